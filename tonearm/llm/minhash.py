@@ -3,9 +3,11 @@
 Two fixed permutations of the 32-bit numbers make every signature coordinate: the first scatters the shingles of a
 document, the second, shifted circularly by k, gives coordinate k as its minimum.  Documents with equal shingle sets
 become one node at once.  Nodes that agree on a band share a bucket.  Pairs are compared on full sets only where they
-can still join two groups: first every node with the bucket's leader, a few rounds with other leaders, then
-what is left in buckets that still hold several groups.  Pairs within one group need no look, so large groups of
-copies cost rows, not squares of rows.  A 128-bit sketch of one-bit minima drops hopeless pairs before the sets are fetched
+can still join two groups: first every node with the bucket's leader; then the nodes of buckets that still hold several
+groups, by an exact prefix filter: two sets that reach the threshold share one of their rarest shingles, as many as the
+sets may differ by and one more; and the parities of 1024 hashed cells, of which every differing shingle turns at most
+one, may not differ in more cells than the sets may differ by.  Pairs within one group need no look, and texts that share only common passages share no
+rare shingle, so large groups cost rows, not squares of rows.  A 128-bit sketch of one-bit minima drops hopeless pairs before the sets are fetched
 (a pair at the threshold fails it about once in 10**9).  With 30 bands of 5, a pair at Jaccard 0.8 shares no band
 once in 150,000, at 0.85 once in 5 * 10**7.
 
@@ -31,10 +33,11 @@ SIMILARITY = 80
 BANDS, ROWS = 30, 5
 #: Differing bits of the 128 that a pair may show before its sets are compared: 12.8 +- 3.4 at Jaccard 0.8.
 SKETCH_BITS = 36
-LEADER_ROUNDS = 3
 #: Ids are broadcast to pick documents only up to this number (16 bytes each).
 MAX_BROADCAST_IDS = 2_000_000
 BLOCK = 16_384
+#: Parity cells of the exact filter on set differences.
+CELLS = 1024
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -149,27 +152,63 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where(least & (apart <= SKETCH_BITS)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys whose rows belong to more than one group."""
+    return rows.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(key)
+
+
+def _rare_pairs(open_: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Candidate pairs of different groups among (node, comp, n, sa, sb) that share one of their rarest shingles."""
+    sets = c.materialise(_sets(texts, open_.select("node"), words))
+    each = c.materialise(sets.select("node", F.explode("shingles").alias("shingle")))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # the shingles of one node only are the rarest and meet nobody: they count towards the prefix and need no row
+    cells = c.materialise(sets.select("node", *(F.col("cells")[i].alias(f"p{i}") for i in range(CELLS // 64))))
+    some = each.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("some"))
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
+    prefix = F.col("n") - least + 1 - (F.col("n") - F.size("some"))
+    mine, yours = [f"p{i}" for i in range(CELLS // 64)], [f"q{i}" for i in range(CELLS // 64)]
+    rare = some.join(open_, "node").join(cells, "node").where(prefix > 0).select(F.explode(F.slice("some", F.lit(1), prefix.cast("int"))).alias("s"), F.col("node").alias("x"), "comp", "n", "sa", "sb", *mine)
+    rare = c.materialise(rare.select(F.col("s.shingle").alias("shingle"), "x", "comp", "n", "sa", "sb", *mine))
+    rare = rare.join(_several(rare, "shingle"), "shingle", "left_semi")
+    # all rows against those outside the key's largest group
+    most = rare.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    outside = rare.join(most, "shingle").where("comp <> main").select("shingle", F.col("x").alias("y"), F.col("n").alias("m"), F.col("sa").alias("ta"), F.col("sb").alias("tb"), F.col("comp").alias("other"), *(F.col(p).alias(q) for p, q in zip(mine, yours, strict=True)))
+    turned = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(mine, yours, strict=True)), F.lit(0))
+    may = turned * (100 + SIMILARITY) <= (F.col("n") + F.col("m")) * (100 - SIMILARITY)
+    return _pairs(rare.join(outside, "shingle").where(F.col("comp") != F.col("other")).where(may))
+
+
+def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of some nodes: sorted distinct hashes; rows that share an id stand for one node."""
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            found = [shingles(t, words, known).tobytes() for t in c.utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+            found = [shingles(t, words, known) for t in c.utf8(batch.column(1))]
+            cells = [np.packbits(np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).view(np.int64) for x in found]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(cells, kind)], ["node", "shingles", "cells"])
+
+    return texts.join(ids, "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>, cells array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("cells").alias("cells"))
+
 
-    # rows that share an id and differ in text never stand for a node together: the node's own row is picked by its set key
-    own = c.materialise(texts.join(ids, "node", "left_semi").mapInArrow(sets, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those pairs whose full shingle sets reach the threshold."""
+    ids = c.materialise(pairs.select("a").union(pairs.select("b")).toDF("node").distinct())
+    own = c.materialise(_sets(texts, ids, words).drop("cells"))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
 
+    def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+        return (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for s, t in zip(arrays(batch.column(2)), arrays(batch.column(3)), strict=True):
                 inter = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * inter >= SIMILARITY * (len(s) + len(t) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -189,32 +228,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     rows = nodes.select(F.explode("bands").alias("band"), F.col("node").alias("x"), "n", "sa", "sb")
     crowded = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     rows = c.materialise(rows.join(crowded, "band", "left_semi"))
-    comp = nodes.select("node", F.col("node").alias("comp"))
-    links, tested = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = rows.join(comp.withColumnRenamed("node", "x"), "x") if turn else rows.withColumn("comp", F.col("x"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-        now = now.join(mixed, "band", "left_semi")
-        if turn:
-            now = c.materialise(now)
-            if now.isEmpty():
-                break
-        if turn < LEADER_ROUNDS:
-            lead = F.min(F.struct((F.col("x") if not turn else F.xxhash64("x", F.lit(turn))).alias("rank"), F.col("x"), F.col("n"), F.col("sa"), F.col("sb"), F.col("comp"))).alias("l")
-            heads = now.groupBy("band").agg(lead).select("band", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.sa").alias("ta"), F.col("l.sb").alias("tb"), F.col("l.comp").alias("other"))
-        else:  # what is left: all rows against those outside the bucket's largest group
-            most = now.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-            heads = now.join(most, "band").where("comp <> main").select("band", F.col("x").alias("y"), F.col("n").alias("m"), F.col("sa").alias("ta"), F.col("sb").alias("tb"), F.col("comp").alias("other"))
-        pairs = _pairs(now.join(heads, "band").where("comp <> other"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = c.materialise(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        if pairs.isEmpty():
-            continue
-        found = _verified(pairs, texts, words)
-        links = found if links is None else links.union(found)
-        comp = components(links, nodes)
+    # every node with the leader of its bucket, the smallest node
+    lead = F.min(F.struct(F.col("x"), F.col("n"), F.col("sa"), F.col("sb"))).alias("l")
+    heads = rows.groupBy("band").agg(lead).select("band", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.sa").alias("ta"), F.col("l.sb").alias("tb"))
+    tested = c.materialise(_pairs(rows.join(heads, "band").where("x <> y")))
+    links = _verified(tested, texts, words)
+    comp = components(links, nodes)
+    # what is left: nodes of buckets with several groups
+    now = rows.select("band", "x").join(comp.withColumnRenamed("node", "x"), "x")
+    open_ = c.materialise(now.join(_several(now, "band"), "band", "left_semi").select(F.col("x").alias("node"), "comp").distinct())
+    if not open_.isEmpty():
+        sketched = open_.join(nodes.select("node", "n", "sa", "sb"), "node")
+        pairs = c.materialise(_rare_pairs(sketched, texts, words).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            comp = components(links.union(_verified(pairs, texts, words)), nodes)
     place = nodes.select("key_a", "key_b", "node").join(comp, "node").select("key_a", "key_b", "comp")
     out = feats.select("doc", "null_id", "n", "key_a", "key_b").join(place, ["key_a", "key_b"], "left")
     label = F.coalesce("comp", "doc")
