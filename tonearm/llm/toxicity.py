@@ -32,7 +32,7 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: At most so many labelled documents, taken in the order of a hash of their text, fit the model.
 MAX_TRAIN_DOCS = 20_000
 #: At most so many words of either kind fit the model.
-MAX_TRAIN_WORDS = 30_000
+MAX_TRAIN_WORDS = 12_000
 LANDMARKS = 160
 POWER = 4
 FLOOR = 0.6
