@@ -38,9 +38,11 @@ POWER = 4
 FLOOR = 0.6
 START_WEIGHT = 2.0
 LONGEST = 32
-WORDS_KEPT = 500_000
+WORDS_KEPT = 400_000
 CUTOFF = 0.3
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+#: Landmarks are gathered into so many groups to rule words out before the kernel is worked out.
+GROUPS = 10
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 #: Three or more letters set apart by single spaces form one more word.
 APART = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
@@ -125,18 +127,18 @@ class Landmarks:
     def bound(self, words: list[str], most: np.ndarray) -> np.ndarray:
         """Likeness that no landmark exceeds, from the greatest weight of each row among the landmarks."""
         out = np.zeros(len(words))
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
             cls, starts = encode(part)
             each = np.zeros(len(cls), np.float32)
             for codes, weight in occurrences(cls):
                 each[: len(codes)] += most[self.index[codes]] * weight
-            out[lo : lo + 50_000] = np.add.reduceat(each, starts)
+            out[lo : lo + 10_000] = np.add.reduceat(each, starts)
         return out / length_norm(np.array([len(w) for w in words]))
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """Kernel values of words (rows) against landmarks (columns); a likeness below FLOOR counts as none."""
-        out = np.zeros((len(words), len(self.marks)), np.float32)
+    def likeness(self, words: list[str], rows: np.ndarray) -> np.ndarray:
+        """Summed weights of a table with one row for each known subsequence, over the norm of each word."""
+        out = np.zeros((len(words), rows.shape[1]), np.float32)
         for lo in range(0, len(words), 4000):
             part = words[lo : lo + 4000]
             cls, starts = encode(part)
@@ -154,9 +156,13 @@ class Landmarks:
                 first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                 for f in range(0, len(first), 500):
                     x, y = first[f], first[f + 500] if f + 500 < len(first) else len(where)
-                    out[lo + where[first[f : f + 500]]] = np.add.reduceat(self.rows[which[x:y]] * how[x:y, None], first[f : f + 500] - x, axis=0)
-        out = np.minimum(out / length_norm(np.array([len(w) for w in words]))[:, None], 1.2)
-        return np.where(out >= FLOOR, out, 0) ** POWER
+                    out[lo + where[first[f : f + 500]]] = np.add.reduceat(rows[which[x:y]] * how[x:y, None], first[f : f + 500] - x, axis=0)
+        return out / length_norm(np.array([len(w) for w in words])).astype(np.float32)[:, None]
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel values of words (rows) against landmarks (columns); a likeness below FLOOR counts as none."""
+        out = np.minimum(self.likeness(words, self.rows), np.float32(1.2))
+        return np.where(out >= FLOOR, out, np.float32(0)) ** POWER
 
 
 @dataclass
@@ -173,9 +179,18 @@ class Model:
         cut = [pieces(w) for w in words]
         flat = [p for x in cut for p in x]
         got = np.full(len(flat), self.bias)
-        most = self.marks.rows[:, self.alpha > 0].max(axis=1, initial=0)
-        near = np.flatnonzero(self.marks.bound(flat, most) >= FLOOR)
-        got[near] += self.marks.kernel([flat[i] for i in near]) @ self.alpha
+        toxic = np.flatnonzero(self.alpha > 0)
+        if len(toxic):
+            groups = [self.marks.rows[:, g].max(axis=1) for g in np.array_split(toxic, min(GROUPS, len(toxic)))]
+            near = np.flatnonzero(self.marks.bound(flat, np.max(groups, axis=0)) >= FLOOR)
+            grouped = np.stack(groups, axis=1)
+            for lo in range(0, len(near), 4000):  # few words at a time: the tables are as wide as the landmarks
+                at = near[lo : lo + 4000]
+                # the slack covers the rounding of single-precision sums
+                at = at[self.marks.likeness([flat[i] for i in at], grouped).max(axis=1) >= FLOOR - 1e-4]
+                found = self.marks.kernel([flat[i] for i in at])
+                close = found[:, toxic].max(axis=1) > 0
+                got[at[close]] += found[close] @ self.alpha
         return np.maximum.reduceat(got, np.cumsum([0] + [len(x) for x in cut[:-1]])) if words else np.zeros(0)
 
     def features(self, texts: list[str], known: dict[bytes, float]) -> np.ndarray:
