@@ -36,6 +36,8 @@ SKETCH_BITS = 36
 #: Ids are broadcast to pick documents only up to this number (16 bytes each).
 MAX_BROADCAST_IDS = 2_000_000
 BLOCK = 16_384
+#: A task keeps the hashes of so many words; beyond that it starts afresh.
+WORDS_KEPT = 150_000
 #: Parity cells of the exact filter on set differences.
 CELLS = 1024
 
@@ -70,7 +72,7 @@ def shingles(text: bytes, words: int, known: dict[bytes, int]) -> np.ndarray:
     found = text.lower().split()  # A-Z only, and split at ASCII white space only, as these are bytes
     if not found:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
+    if len(known) > WORDS_KEPT:
         known.clear()
     hashes = []
     for w in found:
