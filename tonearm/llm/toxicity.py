@@ -300,10 +300,17 @@ def fit_words(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows whose crc32(id) mod 4 is not 2; at most max_docs of them, by a hash of the text."""
+    """Fit on labelled rows whose crc32(id) mod 4 is not 2; at most max_docs of them, by a hash of the text.
+
+    Rows that repeat both id and text count once.
+    """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").where(c.remainder(F.col("__id"), 4) != 2).groupBy("__id").agg(F.max("__y").alias("__y"))
-    train = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(known, "__id").orderBy(F.xxhash64("__text"), "__id").limit(max_docs)
-    train = c.materialise(train.select("__text", "__y").repartition(c.shuffle_partitions(docs.sparkSession)))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    # ids and hashes are ranked; the texts of those picked, max_docs at most, come from a second look at the table
+    hashed = texts.select("__id", F.xxhash64("__text").alias("__hash")).join(known, "__id").distinct()
+    picks = c.materialise(hashed.orderBy("__hash", "__id").limit(max_docs))
+    picked_texts = texts.withColumn("__hash", F.xxhash64("__text")).join(F.broadcast(picks), ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    train = c.materialise(picked_texts.select("__text", "__y").repartition(c.shuffle_partitions(docs.sparkSession)))
     size = {r["__y"]: r["count"] for r in train.groupBy("__y").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     empty = Model(Landmarks([]), np.zeros(0), -1.0, np.zeros(4), False)
