@@ -76,7 +76,7 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """Array of (start, finish, match) of all matches, leftmost first, valid or not."""
+    """Array of (start, finish, match) of the valid matches, leftmost first; the others only move the position on."""
     pattern, needs, _ = KINDS[kind]
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), matches.alias("match"))
@@ -86,7 +86,7 @@ def _found(text: Column, kind: str) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
         new = F.array(F.struct(begin.alias("start"), end.alias("finish"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.coalesce(_valid(kind, x["match"]), F.lit(False)) & x["match"].isNotNull(), F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast("array<struct<start:int,finish:int,match:string>>")
     possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
@@ -105,7 +105,7 @@ def _confirmed(text: Column, kind: str, found: Column) -> Column:
             told = told | F.contains(around, F.lit(word))
         return F.lit(base) + F.when(told, BOOST).otherwise(0.0)
 
-    spans = F.transform(F.filter(found, lambda x: _valid(kind, x["match"])), lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["finish"].alias("finish"), F.lit(kind).alias("kind"), near(x).alias("score")))
+    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["finish"].alias("finish"), F.lit(kind).alias("kind"), near(x).alias("score")))
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
 
 
