@@ -126,7 +126,7 @@ def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc", "null_id", "n", "key_a", "key_b", "sketch_a", "sketch_b", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, FEATURES)
+    return c.in_small_batches(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")), run, FEATURES)
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(cells, kind)], ["node", "shingles", "cells"])
 
-    return texts.join(ids, "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>, cells array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("cells").alias("cells"))
+    return c.in_small_batches(texts.join(ids, "node", "left_semi"), run, "node bigint, shingles array<bigint>, cells array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("cells").alias("cells"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 keep.append(100 * inter >= SIMILARITY * (len(s) + len(t) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return c.materialise(both.select("a", "b", "s", "t").mapInArrow(linked, "a bigint, b bigint"))
+    return c.materialise(c.in_small_batches(both.select("a", "b", "s", "t"), linked, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +265,7 @@ def _with_keys(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 ids.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1)], ["node", "text"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node bigint, text string")
+    return c.in_small_batches(docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")), run, "node bigint, text string")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,7 +78,7 @@ def measures(docs: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id",
             cols = list(zip(*map(measure, c.utf8(batch.column(2))), strict=True)) or [[]] * len(_MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(x, pa.int64()) for x in cols], schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return c.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")), run, schema)
 
 
 def _value(name: str) -> Column:
@@ -165,4 +165,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_
             strata = batch.column(batch.schema.get_field_index(stratum_col)).cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([not bad(measure(t), s) for t, s in zip(texts, strata, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.in_small_batches(docs, run, docs.schema)

@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_c
                 f = model.features(texts[a:b], known)
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2]), batch.column(1).slice(a, b - a)], ["a", "b", "c", "y"])
 
-    seen = train.mapInArrow(features, "a double, b double, c double, y int").toPandas()
+    seen = c.in_small_batches(train, features, "a double, b double, c double, y int").toPandas()
     model.scale = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy(float))
     return model
 
@@ -355,7 +355,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType())])
-    out = docs.select(id_col, text_col).mapInArrow(run, schema)
+    out = c.in_small_batches(docs.select(id_col, text_col), run, schema)
     return out.select(id_col, (c.remainder(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
@@ -368,4 +368,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(scores(model, texts, known) < CUTOFF))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.in_small_batches(docs, run, docs.schema)
