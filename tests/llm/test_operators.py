@@ -113,6 +113,20 @@ def test_html(spark):
     assert html_tree.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, bodies):
+    """Texts of pages of one host, by page."""
+    rows = [(i, f"http://h.example/{i}", b) for i, b in enumerate(bodies)]
+    got = by_id(html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    return [got[i].text for i in range(len(rows))]
+
+
+def test_html_tree_judges_branches_inside_articles(spark):
+    page = "<body><article><h1>Head {i}</h1><p>text number {i}</p><div class='x1'><p>Get our app</p><b>now</b></div></article></body>"
+    assert extracted(spark, [page.format(i=i) for i in range(20)]) == [f"Head {i}\ntext number {i}" for i in range(20)]
+    few = [page.format(i=i) for i in range(html_tree.MIN_PAGES - 1)]
+    assert all("Get our app" in t for t in extracted(spark, few))
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

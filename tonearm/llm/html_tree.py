@@ -3,12 +3,14 @@
 The pages of a host are merged into one tree.  Its nodes are paths of tags with their class, id and role; each node keeps which
 presentations (sequences of child nodes) and which contents (texts) it showed on how many pages.  Importance of
 presentation is the entropy of the presentations over the node's m pages, base m; importance of content is one minus
-the entropy with which a text spreads over the pages, so what every page repeats counts nothing; a branch takes the mean
-of both where it holds text.  A branch of a host with enough pages whose importance is low is removed from each page.
+the entropy with which a text spreads over the pages, so what every page repeats counts nothing; a node takes the mean
+of both where it holds text and children.  The text that stands directly in a node of a host with enough pages is removed from each
+page if the node's importance is low.  A node's children are judged for themselves, so a branch goes as a whole only if
+everything in it is unimportant, and no branch goes with an important child in it.  
 
-Two priors stand beside the entropies, since random adverts differ on every page and a host may have one page only: a branch
-whose tag, role or class names a known kind of boilerplate has no importance, and an article or main branch is never
-removed by entropy; if a page has one with text, only such branches count.
+Two priors stand beside the entropies as weights, since random adverts differ on every page and a host may have one page only: a
+branch whose tag, role or class names a known kind of boilerplate weighs nothing, and what stands in an article or main
+branch weighs MAIN_WEIGHT; if a page has such a branch with text, only text in it counts.
 
 Defined results: null html is empty; a page without text gives the empty string; broken markup is closed like a browser
 would; a null or odd url is a host of its own; repeated rows each get their result; extra columns are ignored.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ from tonearm.llm import _common as c
 #: Branches of hosts with fewer pages are judged by the priors alone.
 MIN_PAGES = 8
 LEAST_IMPORTANCE = 0.2
-#: Counted nodes and texts a task holds before it hands them on.
-HELD = 300_000
+#: Weight of importance in article and main branches.
+MAIN_WEIGHT = 2.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
@@ -152,18 +153,38 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str]]:
     return out
 
 
-def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
-    """Blocks joined by line feeds; low: paths of branches that the site's tree holds unimportant."""
-    found = [b for b in blocks(html) if not b[1]]
-    if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
-    elif low:
-        found = [b for b in found if not _under(b[0], low)]
-    return "\n".join(b[3] for b in found)
+def _candidates(found: list[tuple[str, bool, bool, str]]) -> list[tuple[str, bool, bool, str]]:
+    """The blocks that the priors alone leave."""
+    found = [b for b in found if not b[1]]
+    return [b for b in found if b[2]] if any(b[2] for b in found) else found
 
 
-def _under(path: str, low: frozenset[str]) -> bool:
-    return any(path[:i] in low for i in [m.start() for m in re.finditer("/", path)][1:] + [len(path)])
+def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
+    """Blocks joined by line feeds; low: paths of nodes that the site's tree holds unimportant."""
+    return "\n".join(b[3] for b in _candidates(blocks(html)) if b[0] not in low)
+
+
+def nodes(html: str) -> tuple[int, list[tuple[str, int, bool, int]]]:
+    """A hash of what the priors leave of the page, and (path, kind, in a main branch, hash) of its nodes: kind 1 is
+    the text directly in a node, kind 0 the sequence of child nodes of a node that also has text."""
+    found = blocks(html)
+    page = _hash("\n".join(f"{b[0]}\t{b[3]}" for b in _candidates(found)))
+    contents: dict[str, list[str]] = {}
+    inside: dict[str, bool] = {}
+    for path, bad, main, text in found:
+        if not bad:
+            contents.setdefault(path, []).append(text)
+            inside[path] = inside.get(path, False) or main
+    children: dict[str, list[str]] = {}
+    for path, bad, _, _ in found:
+        while path and not bad:
+            up, _, last = path.rpartition("/")
+            if up in contents:
+                seen = children.setdefault(up, [])
+                if not seen or seen[-1] != last:
+                    seen.append(last)
+            path = up
+    return page, [(p, 1, inside[p], _hash("\n".join(x))) for p, x in contents.items()] + [(p, 0, inside[p], _hash("/".join(x))) for p, x in children.items()]
 
 
 def host_of(url) -> F.Column:
@@ -171,45 +192,33 @@ def host_of(url) -> F.Column:
 
 
 def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, low): paths of the unimportant branches of each host that has any."""
+    """(host, low): paths of the unimportant nodes of each host that has any."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    schema = "host string, page bigint, path string, kind int, main boolean, hash bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str, int, int]] = Counter()  # host, path, kind, hash
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*((*k, n) for k, n in held.items()), strict=True)) or [[]] * 5
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["host", "path", "kind", "hash", "pages"])
-
         for batch in batches:
+            out = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [b for b in blocks(html or "") if not b[1] and not b[2]]
-                contents: dict[str, list[str]] = {}
-                children: dict[str, list[str]] = {}
-                for path, _, _, text in found:
-                    contents.setdefault(path, []).append(text)
-                    up, _, last = path.rpartition("/")
-                    seen = children.setdefault(up, [])
-                    if not seen or seen[-1] != last:
-                        seen.append(last)
-                for path, texts in contents.items():
-                    held[host, path, 1, _hash("\n".join(texts))] += 1
-                for path, names in children.items():
-                    if path:
-                        held[host, path, 0, _hash("/".join(names))] += 1
-            if len(held) > HELD:
-                yield out()
-        yield out()
-
-    counted = rows.mapInArrow(run, "host string, path string, kind int, hash bigint, pages bigint").groupBy("host", "path", "kind", "hash").agg(F.sum("pages").alias("k"))
-    node = counted.groupBy("host", "path", "kind").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k"))).alias("klogk"))
+                page, found = nodes(html or "")
+                out += [(host, page, *node) for node in found]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["host", "page", "path", "kind", "main", "hash"])
+
+    counted = c.in_small_batches(rows, run, schema).groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("k"), F.max("main").alias("main"))
+    node = counted.groupBy("host", "path", "kind").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k"))).alias("klogk"), F.max("main").alias("main"))
+    of = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
+    node = node.groupBy("host", "path").agg(of(1, "m").alias("m"), of(1, "klogk").alias("texts"), of(0, "m").alias("with_children"), of(0, "klogk").alias("sequences"), F.max("main").alias("main"))
+    node = node.where(F.col("m") >= MIN_PAGES)
     # entropy of the texts or presentations over the node's m pages, to base m: 1 if all differ, 0 if all are the same.  For
-    # contents this equals the mean over pages of 1 - log(pages with this text) / log(m)
-    spread = F.when(F.col("m") > 1, 1 - F.col("klogk") / (F.col("m") * F.log(F.col("m")))).otherwise(1.0)
-    shown = node.where(F.col("m") >= MIN_PAGES).select("host", "path", "kind", spread.alias("importance"))
-    branch = shown.where("kind = 1 and importance < %f" % LEAST_IMPORTANCE)
-    return branch.groupBy("host").agg(F.collect_set("path").alias("low"))
+    # contents this equals the mean over pages of 1 - log(pages with this text) / log(m).  Pages without children share a presentation
+    spread = lambda klogk: 1 - klogk / (F.col("m") * F.log(F.col("m")))
+    without = F.col("m") - F.col("with_children")
+    presentation = spread(F.col("sequences") + F.when(without > 0, without * F.log(without)).otherwise(0.0))
+    content = spread(F.col("texts"))
+    both = content * F.when(F.col("main"), MAIN_WEIGHT).otherwise(1.0)
+    return node.where(both < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
 def _hash(text: str) -> int:
