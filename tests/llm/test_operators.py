@@ -127,6 +127,26 @@ def test_html_tree_judges_branches_inside_articles(spark):
     assert all("Get our app" in t for t in extracted(spark, few))
 
 
+def test_html_tree_keeps_important_children_and_copies(spark):
+    bare = "<body>Skip to content<div class='c'>Share this<div class='story'>text number {i}</div></div></body>"
+    assert extracted(spark, [bare.format(i=i) for i in range(20)]) == [f"text number {i}" for i in range(20)]
+    # one page under many urls, with another advert each time
+    copies = ["<body><div class='story'>the only text</div><div class='ad'>%s</div></body>" % ("buy " * i) for i in range(20)]
+    assert set(extracted(spark, copies)) == {"the only text"}
+    copied = ["<article><p>the only text</p></article>"] * 20
+    assert set(extracted(spark, copied)) == {"the only text"}
+
+
+def test_html_tree_takes_the_mean_of_both_entropies(spark):
+    def page(i, children):
+        return f"<body><div class='box'>same words{children}</div><div class='story'>text number {i}</div></body>"
+
+    varied = [page(i, "".join(f"<div class='k{int(d)}'>word {i}</div>" for d in f"{i:05b}")) for i in range(20)]
+    assert all("same words" in t for t in extracted(spark, varied))
+    fixed = [page(i, f"<div class='k0'>word {i}</div>") for i in range(20)]
+    assert not any("same words" in t for t in extracted(spark, fixed))
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

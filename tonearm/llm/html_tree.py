@@ -6,7 +6,8 @@ presentation is the entropy of the presentations over the node's m pages, base m
 the entropy with which a text spreads over the pages, so what every page repeats counts nothing; a node takes the mean
 of both where it holds text and children.  The text that stands directly in a node of a host with enough pages is removed from each
 page if the node's importance is low.  A node's children are judged for themselves, so a branch goes as a whole only if
-everything in it is unimportant, and no branch goes with an important child in it.  
+everything in it is unimportant, and no branch goes with an important child in it.  Pages of a host with the same text and
+paths where the priors look for main text count once.
 
 Two priors stand beside the entropies as weights, since random adverts differ on every page and a host may have one page only: a
 branch whose tag, role or class names a known kind of boilerplate weighs nothing, and what stands in an article or main
@@ -206,7 +207,8 @@ def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["host", "page", "path", "kind", "main", "hash"])
 
-    counted = c.in_small_batches(rows, run, schema).groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("k"), F.max("main").alias("main"))
+    once = c.in_small_batches(rows, run, schema).groupBy("host", "page", "path", "kind").agg(F.max("main").alias("main"), F.min("hash").alias("hash"))
+    counted = once.groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("k"), F.max("main").alias("main"))
     node = counted.groupBy("host", "path", "kind").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k"))).alias("klogk"), F.max("main").alias("main"))
     of = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
     node = node.groupBy("host", "path").agg(of(1, "m").alias("m"), of(1, "klogk").alias("texts"), of(0, "m").alias("with_children"), of(0, "klogk").alias("sequences"), F.max("main").alias("main"))
@@ -217,7 +219,7 @@ def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     without = F.col("m") - F.col("with_children")
     presentation = spread(F.col("sequences") + F.when(without > 0, without * F.log(without)).otherwise(0.0))
     content = spread(F.col("texts"))
-    both = content * F.when(F.col("main"), MAIN_WEIGHT).otherwise(1.0)
+    both = F.coalesce((content + presentation) / 2, content) * F.when(F.col("main"), MAIN_WEIGHT).otherwise(1.0)
     return node.where(both < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
