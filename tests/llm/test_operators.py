@@ -288,6 +288,24 @@ def test_ctw_bits_are_a_distribution():
         assert abs(sum(10 ** tree.bits(np.arange(256) + high)) - 1) < 1e-6
 
 
+def test_ctw_scores_with_all_contexts(spark, monkeypatch):
+    """However few runs are broadcast, scores are those of the one tree of all contexts."""
+    d = table(spark, SF, "documents").limit(60).union(table(spark, SF, "documents").where("doc_id is null")).select("doc_id", "text")
+    rows = [(r.doc_id, (r.text or "")[:3000]) for r in d.collect()] + [(900_000, "only \u4e2d here \x7f"), (900_001, None)]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() for _, t in rows]
+    train = [t for (i, _), t in zip(rows, low, strict=True) if zlib.crc32(str(i).encode()) % 5 != 1]
+    code = ctw.runs(train, ctw.DEPTH).astype(np.int64)
+    tree = ctw.Tree([np.unique(code & ((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ctw.DEPTH + 1)])
+    want = {i: tree.bits(ctw.runs([t], ctw.DEPTH).astype(np.int64)).sum() for (i, _), t in zip(rows, low, strict=True)}
+    given = docs(spark, rows)
+    for most in (8, 1 << 20):
+        monkeypatch.setattr(ctw, "MAX_RUNS", most)
+        for r in ctw.score_documents(given).collect():
+            n = len(low[[i for i, _ in rows].index(r.doc_id)]) + 1
+            assert abs(r.score - want[r.doc_id]) < 1e-6 * n
+            assert abs(r.bits_per_byte + want[r.doc_id] / math.log10(2) / n) < 1e-6
+
+
 @pytest.mark.parametrize("kind", ["real", "odd", "empty"])
 def test_pipeline_stages(spark, kind):
     rows = {"real": None, "odd": ODD, "empty": []}[kind]

@@ -3,9 +3,10 @@
 A byte is eight binary decisions.  Every context of 0 to DEPTH preceding bytes keeps, for each decision, the
 training counts of both bits, which give a Krichevsky-Trofimov estimate; the weighted probability of a node is half its
 own estimate plus half the product of its children's, and a bit is predicted by the mixture of all depths that follows from
-these weights.  The counts come from all training texts: tasks count byte runs of their rows, Spark adds them up.  The tree
-that every task gets is bounded: a run of bytes belongs to it if it makes at least one in MAX_RUNS of all runs of its
-length, so there are at most MAX_RUNS of each length whatever the corpus; rarer ones are predicted from shorter contexts.
+these weights.  The counts come from all training texts: tasks count byte runs of their rows, Spark adds them up.  Every
+counted context takes part and none is dropped: the tree is dealt to tasks by the TOP bytes before the decision, since what lies below such a
+context depends on no other one, and the levels above are at most 2**16 contexts in all.  The tasks work out the chance of each run; runs that
+make at least one in MAX_RUNS of all (so at most MAX_RUNS) are broadcast, the others of each text are joined.
 
 Beside it stands the base score, add-half unigram over words.  Words that make at least one in MAX_COMMON of all training
 tokens (so at most MAX_COMMON) are broadcast; the others of each text are joined by a shuffle.
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,10 @@ from tonearm.llm import _common as c
 
 DEPTH = 4
 MAX_RUNS = 1 << 20
+#: Contexts of so many bytes deal the tree to tasks.
+TOP = 2
+#: Runs of a task that are worked on at a time; those of one context stay together.
+RUNS_HELD = 100_000
 MAX_COMMON = 200_000
 CHUNK = 2_000_000
 WORDS_HELD = 400_000
@@ -90,7 +96,10 @@ def count_partial(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov block probability."""
-    lg = np.vectorize(math.lgamma, otypes=[float])
+    def lg(x: np.ndarray) -> np.ndarray:
+        some, back = np.unique(x, return_inverse=True)
+        return np.array([math.lgamma(v) for v in some.tolist()], float)[back]
+
     return lg(zeros + 0.5) + lg(ones + 0.5) - lg(zeros + ones + 1.0) - math.log(math.pi)
 
 
@@ -98,12 +107,14 @@ class Tree:
     """keys[d]: sorted numbers (context of d bytes, decision node); one[d]: chance of bit 1 by the node's own counts;
     own[d]: weight of the node's own estimate against its children's."""
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
-        """counted[d]: byte runs of length d + 1 and their counts."""
-        self.keys, self.one, self.own = [], [], []
-        below = None  # of the next deeper level: keys, log weighted probability, zeros, ones
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: tuple | None = None):
+        """counted[d]: byte runs of length first + d + 1 and their counts.
+
+        below: keys, log weighted probability, zeros and ones of the level under the last, if it has one.
+        """
+        self.keys, self.one, self.own, self.first = [], [], [], first
         levels = []
-        for depth, (run, n) in enumerate(counted):
+        for run, n in counted:
             byte, context = run & 255, run >> 8
             nodes, zero, one = [], [], []
             for k in range(8):
@@ -114,8 +125,8 @@ class Tree:
                 one.append(n * (bit == 1))
             key, at = np.unique(np.concatenate(nodes), return_inverse=True)
             levels.append((key, np.bincount(at, np.concatenate(zero), len(key)).astype(float), np.bincount(at, np.concatenate(one), len(key)).astype(float)))
-        for depth in range(len(levels) - 1, -1, -1):
-            key, zero, one = levels[depth]
+        for depth in range(first + len(levels) - 1, first - 1, -1):
+            key, zero, one = levels[depth - first]
             log_own = _kt(zero, one)
             if below is None:
                 weighted, share = log_own, np.ones(len(key))
@@ -133,14 +144,13 @@ class Tree:
             self.keys.insert(0, key)
             self.one.insert(0, (one + 0.5) / (zero + one + 1))
             self.own.insert(0, share)
-        # the answer for every run of the full length in the tree, so that most bytes take one look
-        self.full = np.sort(counted[-1][0])
-        self.answer = self.bits(self.full)
+        self.top = below
 
-    def bits(self, run: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each run, after the bytes before it."""
+    def bits(self, run: np.ndarray, above: Tree | None = None) -> np.ndarray:
+        """log10 probability of the last byte of each run, after the bytes before it; above: the tree of the levels over the first."""
         total = np.zeros(len(run))
         byte = run & 255
+        levels = [(t.first + k, t.keys[k], t.one[k], t.own[k]) for t in (above, self) if t for k in range(len(t.keys))]
         for k in range(8):
             node = 1 << k | byte >> (8 - k)
             bit = byte >> (7 - k) & 1
@@ -148,39 +158,92 @@ class Tree:
             left = np.ones(len(run))  # weight that longer contexts have yet to share out
             mixed = np.zeros(len(run))
             inside = np.ones(len(run), bool)
-            for depth in range(len(self.keys)):
-                key = self.keys[depth]
+            for depth, key, one, own in levels:
                 if not len(key):
                     break
                 want = (run >> 8 & ((1 << 8 * depth) - 1)) << 8 | node
                 at = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 inside &= key[at] == want
-                chance = np.where(inside, self.one[depth][at], chance)
-                share = np.where(inside, self.own[depth][at], 0)
+                chance = np.where(inside, one[at], chance)
+                share = np.where(inside, own[at], 0)
                 mixed += left * share * chance
                 left *= 1 - share
             mixed += left * chance  # beyond the tree, the deepest node's own estimate holds
             total += np.log10(np.maximum(np.where(bit == 1, mixed, 1 - mixed), 1e-12))
         return total
 
-    def look(self, run: np.ndarray) -> np.ndarray:
-        if not len(self.full):
-            return self.bits(run)
-        at = np.minimum(np.searchsorted(self.full, run), len(self.full) - 1)
-        out = self.answer[at]
-        new = np.flatnonzero(self.full[at] != run)
-        if len(new):
-            some, back = np.unique(run[new], return_inverse=True)
-            out[new] = self.bits(some)[back]
-        return out
+
+def levels(run: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Byte runs of first + 1 to last + 1 bytes with their counts, from longer ones."""
+    out = []
+    for depth in range(first, last + 1):
+        key, at = np.unique(run & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        out.append((key, np.bincount(at, n, len(key))))
+    return out
+
+
+def _context() -> F.Column:
+    return F.shiftright("run", 8).bitwiseAND((1 << 8 * TOP) - 1)
+
+
+def _by_context(counted: DataFrame, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """work(run, n) on all runs of some contexts of TOP bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # run and n in two columns
+        size = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
+            size += len(held[-1])
+            if size >= RUNS_HELD:
+                rows = np.concatenate(held)
+                context = rows[:, 0] >> 8 & ((1 << 8 * TOP) - 1)
+                cut = int(np.searchsorted(context, context[-1]))  # the last context may go on
+                if cut:
+                    yield work(rows[:cut, 0], rows[:cut, 1])
+                held, size = [rows[cut:]], len(rows) - cut if cut else 0
+        if held and len(rows := np.concatenate(held)):
+            yield work(rows[:, 0], rows[:, 1])
+
+    dealt = counted.select("run", "n", _context().alias("context")).repartition("context").sortWithinPartitions("context")
+    return dealt.select("run", "n").mapInArrow(run, schema)
+
+
+def top_tree(counted: DataFrame) -> Tree:
+    """The levels of fewer than TOP bytes, weighted against all that is below them."""
+
+    def work(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        key, *values = Tree(levels(run, n, TOP, DEPTH), TOP).top
+        up, at = np.unique((key >> 8 & ((1 << 8 * (TOP - 1)) - 1)) << 8 | key & 255, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(up)] + [pa.array(np.bincount(at, v, len(up)).astype(float)) for v in values], ["node", "weighted", "zeros", "ones"])
+
+    parts = _by_context(counted, work, "node bigint, weighted double, zeros double, ones double").groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
+    short = F.col("run").bitwiseAND((1 << 8 * TOP) - 1)
+    few = counted.groupBy(short.alias("run")).agg(F.sum("n").alias("n")).toPandas()
+    below = (parts["node"].to_numpy(np.int64), parts["weighted"].to_numpy(float), parts["zeros"].to_numpy(float), parts["ones"].to_numpy(float))
+    return Tree(levels(few["run"].to_numpy(np.int64), few["n"].to_numpy(float), 0, TOP - 1), 0, below)
+
+
+def answers(counted: DataFrame, top: Broadcast[Tree]) -> DataFrame:
+    """(run, n, chance): log10 probability of the last byte of each run; runs with n = 0 are asked for only."""
+
+    def work(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        own = Tree(levels(run[n > 0], n[n > 0], TOP, DEPTH), TOP)
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n), pa.array(own.bits(run, top.value))], ["run", "n", "chance"])
+
+    return _by_context(counted, work, "run bigint, n bigint, chance double")
 
 
-def log10_chances(tree: Tree, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each whole text and its end."""
+def known_chances(full: np.ndarray, answer: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+    """Summed log10 probability of the runs of each whole text and its end that are in `full`, and its other runs."""
     code, back = np.unique(runs(texts, DEPTH).astype(np.int64), return_inverse=True)
-    each = tree.look(code)[back]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.add.reduceat(each, np.r_[0, ends[:-1]])
+    at = np.minimum(np.searchsorted(full, code), max(len(full) - 1, 0))
+    hit = full[at] == code if len(full) else np.zeros(len(code), bool)
+    each = np.where(hit, answer[at], 0.0)[back] if len(full) else np.zeros(len(back))
+    other = ~hit[back]
+    starts = np.r_[0, np.cumsum([len(t) + 1 for t in texts])[:-1]]
+    offsets = np.r_[0, np.cumsum(np.add.reduceat(other.astype(np.int64), starts))].astype(np.int32)
+    return np.add.reduceat(each, starts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(code[back[other]]))
 
 
 # ---- the operator ----
@@ -196,13 +259,11 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = counts.where("run is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    levels = []
-    for depth in range(DEPTH + 1):
-        run = F.col("run").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("r")
-        kept = counts.where("run is not null").groupBy(run).agg(F.sum("n").alias("n")).where(F.col("n") * MAX_RUNS >= total).toPandas()
-        order = np.argsort(kept["r"].to_numpy(np.int64))
-        levels.append((kept["r"].to_numpy(np.int64)[order], kept["n"].to_numpy(np.int64)[order]))
-    tree = spark.sparkContext.broadcast(Tree(levels))
+    counted = counts.where("run is not null").select("run", "n")
+    top = spark.sparkContext.broadcast(top_tree(counted))
+    answered = c.materialise(answers(counted, top))
+    frequent = answered.where(F.col("n") * MAX_RUNS >= total).select("run", "chance").toPandas().sort_values("run")
+    tree = spark.sparkContext.broadcast((frequent["run"].to_numpy(np.int64), frequent["chance"].to_numpy(float)))
     often = words.where(F.col("c") * MAX_COMMON >= n).toPandas()  # at most MAX_COMMON rows
     log_count = dict(zip((bytes(w) for w in often["word"]), np.log10(often["c"].to_numpy(float) + 0.5).tolist(), strict=True))
     common = spark.sparkContext.broadcast(log_count)
@@ -213,7 +274,7 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
         for batch in batches:
             texts = [t.lower() for t in c.utf8(batch.column(2))]
             for a, b in c.slices(texts, CHUNK):
-                chance = log10_chances(tree.value, texts[a:b])
+                chance, other = known_chances(*tree.value, texts[a:b])
                 rows = []
                 for t in texts[a:b]:
                     found = t.split()
@@ -221,13 +282,20 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
                     logs = [known[w] for w in found if w in known]
                     rows.append((len(found), len(logs), math.fsum(logs), [w for w in found if w not in known]))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(chance)], ["row", "id", "n_tokens", "n_known", "logs", "rare", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(chance), other, pa.array([len(t) + 1 for t in texts[a:b]], pa.int64())], schema.names)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("score", T.DoubleType()), T.StructField("other", T.ArrayType(T.LongType())), T.StructField("n_bytes", T.LongType())])
     first = c.materialise(slim.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(score, schema))
     seldom = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = seldom.join(words.where(F.col("c") * MAX_COMMON < n), "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("more"))
-    out = first.drop("rare").join(met, "row", "left")
+    # runs that are not broadcast: each text's own, and the chances of those that no training text has
+    other = first.select("row", F.explode("other").alias("run"))
+    unseen = c.materialise(other.select("run").distinct().join(answered, "run", "left_anti").select("run", F.lit(0).cast("bigint").alias("n")))
+    new = answers(counted.join(unseen.select(_context().alias("context")).distinct(), _context() == F.col("context"), "left_semi").unionByName(unseen), top).where("n = 0")
+    chances = answered.where(F.col("n") * MAX_RUNS < total).unionByName(new).select("run", "chance")
+    others = other.join(chances, "run").groupBy("row").agg(F.sum("chance").alias("others"))
+    out = first.drop("rare", "other").join(met, "row", "left").join(others, "row", "left")
+    score_ = F.col("score") + F.coalesce("others", F.lit(0.0))
     known = F.col("n_known") + F.coalesce("known", F.lit(0))
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * math.log10(0.5)
-    return out.select(F.col("id").alias(id_col), (c.remainder(F.col("id"), parts) == held).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (logs + F.col("n_tokens") * plain).alias("base_score"), "score")
+    return out.select(F.col("id").alias(id_col), (c.remainder(F.col("id"), parts) == held).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (logs + F.col("n_tokens") * plain).alias("base_score"), score_.alias("score"), (-score_ / (math.log10(2) * F.col("n_bytes"))).alias("bits_per_byte"))
