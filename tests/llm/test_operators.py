@@ -51,6 +51,15 @@ def test_toxicity_tolerates_gaps():
     assert model.margins(["id.iot", "i-diot", "idi0t", "idxiot"]).min() > clean
 
 
+def test_toxicity_tolerates_signs_between_all_letters():
+    for insult in ("idiot", "moron", "stupid"):
+        words = [insult, insult + "s", "table", "chair", "window", "garden", "river"]
+        model = toxicity.fit_words(words, np.array([30.0, 9, 3, 3, 3, 3, 3]), np.array([0.0, 0, 30, 30, 30, 30, 30]), 40, 300)
+        gapped = [f"{insult[:2]}.{insult[2]}.{insult[3:]}"] + [sign.join(insult) for sign in (".", "-", "..", "*_", ".....")]
+        assert np.allclose(model.margins(gapped), model.margins([insult]))
+        assert np.allclose(model.margins(["t.a.b.l.e", "g--a--r--d--e--n"]), model.margins(["table", "garden"]))
+
+
 def plain_fit(sizes, capacity):
     return math.ceil(sum(sizes) / capacity)
 

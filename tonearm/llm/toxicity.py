@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 The kernel compares two words by the three-letter subsequences they share, gaps allowed: an occurrence
-that spans s letters weighs DECAY**s, so an insult with letters or symbols put between still matches; a mark before
+that spans s letters weighs DECAY**s, so an insult with letters put between still matches; a word with signs inside is also
+read without them, so that signs count as no letters however many there are; a mark before
 the first letter takes part, and the normalised value is raised to POWER (a polynomial kernel on top).
 Every word of a sentence inherits the label of its document (a multiple-instance setting); a squared-hinge
 SVM in the Nystroem space of the landmark words separates them.  A logistic model on the largest, the summed and the
@@ -102,9 +103,19 @@ def length_norm(lengths: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, DECAY**6))
 
 
+def without_signs(word: str) -> str:
+    """The letters, digits and lookalikes of a word; the word itself if it has none."""
+    return "".join(ch for ch in word if CLASSES[min(ord(ch), 65535)] != GAP) or word
+
+
 def pieces(word: str) -> list[str]:
-    """A word, or its stretches of LONGEST characters if it is longer: the best stretch counts."""
+    """A word, also without the signs inside, or their stretches of LONGEST characters if longer: the best one counts."""
     word = word.strip(EDGES)
+    plain = without_signs(word)
+    return stretches(word) + (stretches(plain) if plain != word else [])
+
+
+def stretches(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
@@ -292,7 +303,7 @@ def fit_words(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_
     marks = Landmarks(_landmarks(words, pos, neg, rate))
     values, vectors = np.linalg.eigh(marks.kernel(marks.marks).astype(float) + 1e-2 * np.eye(len(marks.marks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = marks.kernel(words) @ root
+    x = np.maximum(marks.kernel(words), marks.kernel([without_signs(w) for w in words])) @ root
     favour = np.clip((pos / n_pos) / np.maximum(neg / n_neg, 0.5 / n_neg) / 5 - 1, 0, 1)
     weight = np.concatenate([pos * favour, np.minimum(neg, 20)])
     w = _svm(np.vstack([x, x]), np.repeat([1.0, -1.0], len(words)), weight)
