@@ -36,12 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write df once into the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    batch_rows: most rows of the batches that go to Python during this write; the session's setting comes back after it.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/tonearm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    before = spark.conf.get(name)
+    if batch_rows:
+        spark.conf.set(name, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() wrote and that no later result reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -52,7 +71,8 @@ def remainder(doc_id: Column, n: int) -> Column:
 def in_small_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema), in batches small enough that whole texts take little memory on either side.
 
-    The session keeps the setting, as Spark reads it when it plans the action; a smaller one of the session stays.
+    Every function of this subpackage that gets texts goes this way.  The session keeps the setting, as Spark reads it
+    when the action runs; a smaller one of the session stays.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:

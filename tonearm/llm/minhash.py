@@ -4,27 +4,30 @@ Two fixed permutations of the 32-bit numbers make every signature coordinate: th
 document, the second, shifted circularly by k, gives coordinate k as its minimum.  Documents with equal shingle sets
 become one node at once.  Nodes that agree on a band share a bucket.  Pairs are compared on full sets only where they
 can still join two groups: first every node with the bucket's leader; then the nodes of buckets that still hold several
-groups, by an exact prefix filter: two sets that reach the threshold share one of their rarest shingles, as many as the
-sets may differ by and one more; and the parities of 1024 hashed cells, of which every differing shingle turns at most
-one, may not differ in more cells than the sets may differ by.  Pairs within one group need no look, and texts that share only common passages share no
-rare shingle, so large groups cost rows, not squares of rows.  A 128-bit sketch of one-bit minima drops hopeless pairs before the sets are fetched
+groups, by an exact prefix filter on their rarest shingles (see _rare_pairs) and the parities of 1024 hashed
+cells, of which every differing shingle turns at most one, so that they may not differ in more cells than the sets may.  Pairs within
+one group need no look, and texts with enough words of their own do not meet in a phrase that all share, so large groups cost
+rows, not squares of rows.  A 128-bit sketch of one-bit minima drops hopeless pairs before the sets are fetched
 (a pair at the threshold fails it about once in 10**9).  With 30 bands of 5, a pair at Jaccard 0.8 shares no band
 once in 150,000, at 0.85 once in 5 * 10**7.
 
-Defined results: texts that are null or hold no word have no shingles and stay alone; a text with fewer words than a
-shingle takes is one shingle; rows with equal text form one group, also if their id repeats; a null id counts as larger
-than any id, and a group of null ids only has a null component_id; extra columns are ignored.
+Defined results: ids are whole numbers, any that fit 64 bits; texts that are null or hold no word have no shingles and stay
+alone; a text with fewer words than a shingle takes is one shingle; rows with equal sets form one group, also if an id repeats,
+and rows with one id and different texts are documents of their own; a null id counts as larger than any id, and a group of
+null ids only has a null component_id and is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.llm import _common as c
 
@@ -100,16 +103,23 @@ def signature(found: np.ndarray, size: int) -> np.ndarray:
     return best
 
 
-FEATURES = "doc bigint, null_id boolean, n bigint, key_a bigint, key_b bigint, sketch_a bigint, sketch_b bigint, bands array<bigint>"
+FEATURES = "doc bigint, text_hash bigint, n bigint, key_a bigint, key_b bigint, sketch_a bigint, sketch_b bigint, bands array<bigint>"
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers; number the rows first")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         scale = _ODD[:ROWS]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), c.utf8(batch.column(1)), strict=True):
+            for text in c.utf8(batch.column(2)):
                 s = shingles(text, words, known)
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 if len(s):
@@ -119,66 +129,106 @@ def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                     bands = mixed.view(np.int64)
                 else:
                     bits, bands = np.zeros(2, np.int64), np.zeros(0, np.int64)
-                # a missing id gets a place above all ids, the same for equal sets
-                own = doc if doc is not None else (int(key[0]) & (2**61 - 1)) + 2**62
-                rows.append((own, doc is None, len(s), int(key[0]), int(key[1]), int(bits[0]), int(bits[1]), bands))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc", "null_id", "n", "key_a", "key_b", "sketch_a", "sketch_b", "bands"])
+                rows.append((len(s), int(key[0]), int(key[1]), int(bits[0]), int(bits[1]), bands))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["doc", "text_hash", "n", "key_a", "key_b", "sketch_a", "sketch_b", "bands"])
+
+    return c.in_small_batches(docs.select(F.col(id_col).cast("bigint").alias("doc"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")), run, FEATURES)
 
-    return c.in_small_batches(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")), run, FEATURES)
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) of every node of links (a, b): the smallest node that it reaches.
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that is reachable over links (a, b); by contraction, each round written out."""
-    spark = links.sparkSession
-    comp = nodes.select("node", F.col("node").alias("comp"))
+    A round points each node at the smallest node within two links, follows these pointers to their ends by doubling, and
+    contracts the links to the ends.  Two ends are more than two links apart, so each has a neighbour that no other end
+    has: a round leaves half the nodes at most, and a path of n nodes takes about log2(n) tables in all.
+    """
     links = c.materialise(links.select("a", "b").where("a <> b"))
-    while not links.isEmpty():
+    comp = None
+    while comp is None or not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("up"))
-        up = c.materialise(up)
-        far = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.up", "x.up").alias("up"))
-        up = c.materialise(far)
-        comp = c.materialise(comp.join(up, F.col("comp") == F.col("v"), "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        one = c.materialise(both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m")).withColumnRenamed("a", "b"))
+        up = c.materialise(both.join(one, "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("up")))
+        c.discard(one)
+        moved = True
+        while moved:
+            x, y = up.alias("x"), up.alias("y")
+            far = c.materialise(x.join(y, F.col("x.up") == F.col("y.v")).select("x.v", "y.up", (F.col("x.up") != F.col("y.up")).alias("moved")))
+            c.discard(up)
+            moved = not far.where("moved").isEmpty()
+            up = far
+        up = up.select("v", "up")
+        if comp is None:
+            comp, kept = up.toDF("node", "comp"), far
+        else:
+            old, kept = kept, c.materialise(comp.join(up, F.col("comp") == F.col("v"), "left").select("node", F.coalesce("up", "comp").alias("comp")))
+            comp = kept
         ends = links.join(up, F.col("a") == F.col("v")).select(F.col("up").alias("a"), "b").join(up, F.col("b") == F.col("v")).select("a", F.col("up").alias("b"))
-        links = c.materialise(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    del spark
+        fewer = c.materialise(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        c.discard(links)
+        if kept is not far:
+            c.discard(old, far)
+        links = fewer
+    c.discard(links)
     return comp
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct candidate pairs, smaller node first, whose sizes and sketches allow the threshold."""
-    least = F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY
-    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("ta"))) + F.bit_count(F.col("sb").bitwiseXOR(F.col("tb")))
-    return rows.where(least & (apart <= SKETCH_BITS)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows (x, ...) and comp: a node without links is a component of its own."""
+    return rows.join(comp.toDF("x", "__comp"), "x", "left").withColumn("comp", F.coalesce("__comp", "x")).drop("__comp")
+
 
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sizes and sketches allow the threshold."""
+    some = nodes.select("node", "n", "sa", "sb")
+    both = pairs.join(some.toDF("a", "n", "sa", "sb"), "a").join(some.toDF("b", "m", "ta", "tb"), "b")
+    return both.where(_alike()).select("a", "b")
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """The keys whose rows belong to more than one group."""
-    return rows.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(key)
+
+def _alike() -> Column:
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("ta"))) + F.bit_count(F.col("sb").bitwiseXOR(F.col("tb")))
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY) & (apart <= SKETCH_BITS)
 
 
 def _rare_pairs(open_: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Candidate pairs of different groups among (node, comp, n, sa, sb) that share one of their rarest shingles."""
-    sets = c.materialise(_sets(texts, open_.select("node"), words))
-    each = c.materialise(sets.select("node", F.explode("shingles").alias("shingle")))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # the shingles of one node only are the rarest and meet nobody: they count towards the prefix and need no row
-    cells = c.materialise(sets.select("node", *(F.col("cells")[i].alias(f"p{i}") for i in range(CELLS // 64))))
-    some = each.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("some"))
-    least = F.ceil(F.col("n") * SIMILARITY / 100)
-    prefix = F.col("n") - least + 1 - (F.col("n") - F.size("some"))
-    mine, yours = [f"p{i}" for i in range(CELLS // 64)], [f"q{i}" for i in range(CELLS // 64)]
-    rare = some.join(open_, "node").join(cells, "node").where(prefix > 0).select(F.explode(F.slice("some", F.lit(1), prefix.cast("int"))).alias("s"), F.col("node").alias("x"), "comp", "n", "sa", "sb", *mine)
-    rare = c.materialise(rare.select(F.col("s.shingle").alias("shingle"), "x", "comp", "n", "sa", "sb", *mine))
-    rare = rare.join(_several(rare, "shingle"), "shingle", "left_semi")
-    # all rows against those outside the key's largest group
-    most = rare.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    outside = rare.join(most, "shingle").where("comp <> main").select("shingle", F.col("x").alias("y"), F.col("n").alias("m"), F.col("sa").alias("ta"), F.col("sb").alias("tb"), F.col("comp").alias("other"), *(F.col(p).alias(q) for p, q in zip(mine, yours, strict=True)))
-    turned = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(mine, yours, strict=True)), F.lit(0))
-    may = turned * (100 + SIMILARITY) <= (F.col("n") + F.col("m")) * (100 - SIMILARITY)
-    return _pairs(rare.join(outside, "shingle").where(F.col("comp") != F.col("other")).where(may))
+    """Candidate pairs (a, b) of different groups among (x, comp, n, sa, sb) that can reach the threshold.
+
+    All shingles are ordered, the rarest first.  A pair at the threshold shares a shingle that is among the first of
+    the smaller set's, as many as two sets of its size may each lack and one more, and among the first of the
+    larger set's, as many as that set may lack and one more; and what follows it in either set must do for the
+    overlap.  So sets with enough shingles of their own do not meet in those that all have in common.
+    """
+    sets = c.materialise(_sets(texts, open_.select(F.col("x").alias("node")), words).withColumnRenamed("node", "x"))
+    each = c.materialise(sets.select("x", F.explode("shingles").alias("shingle")))
+    shared = c.materialise(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    # the shingles of one node only are the rarest and meet nobody: they count towards the order and need no row
+    bits = [f"p{i}" for i in range(CELLS // 64)]
+    cells = sets.select("x", *(F.col("cells")[i].alias(p) for i, p in enumerate(bits)))
+    some = each.join(shared, "shingle").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("some"))
+    own = F.col("n") - F.size("some")
+    probe = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
+    index = F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY) / (100 + SIMILARITY)) + 1
+    first = some.join(open_, "x").where(probe > own).select("x", "comp", "n", "sa", "sb", index.alias("index"), own.alias("own"), F.posexplode(F.slice("some", F.lit(1), (probe - own).cast("int"))).alias("at", "s"))
+    rare = c.materialise(first.select("x", "comp", "n", "sa", "sb", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("at")).alias("at"), (F.col("own") + F.col("at") < F.col("index")).alias("early")))
+    # each key's largest group; only pairs of different groups are of use
+    count = rare.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.max("early").alias("early"))
+    several = c.materialise(count.groupBy("shingle").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("groups"), F.max("early").alias("early")).where("groups > 1 and early").select("shingle", "main"))
+    rows = c.materialise(rare.join(several, "shingle").join(cells, "x").withColumn("outside", F.col("comp") != F.col("main")).drop("main"))
+    other = {"x": "y", "comp": "other", "n": "m", "sa": "ta", "sb": "tb", "at": "there", "early": "__early", "outside": "__outside"} | {p: f"q{p[1:]}" for p in bits}
+    turned = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(other[p]))) for p in bits), F.lit(0))
+    most = (F.col("n") + F.col("m")) * (100 - SIMILARITY)
+    behind = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) * (100 + SIMILARITY) >= (F.col("n") + F.col("m")) * SIMILARITY
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
+    fits = smaller & (F.col("comp") != F.col("other")) & behind & _alike() & (turned * (100 + SIMILARITY) <= most)
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.withColumnsRenamed(other), "shingle").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    pairs = met(rows.where("early"), rows.where("outside")).union(met(rows.where("early and outside"), rows.where("not outside")))
+    out = c.materialise(pairs.distinct())
+    c.discard(sets, each, shared, rare, several, rows)
+    return out
 
 
 def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -215,63 +265,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 keep.append(100 * inter >= SIMILARITY * (len(s) + len(t) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return c.materialise(c.in_small_batches(both.select("a", "b", "s", "t"), linked, "a bigint, b bigint"))
+    out = c.materialise(c.in_small_batches(both.select("a", "b", "s", "t"), linked, "a bigint, b bigint"))
+    c.discard(ids, own)
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document: its id, n_shingles, component_id and kept."""
+def _grouped(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text_hash, n, root, label) of every row: the node that stands for its group and the group's smallest id.
+
+    The root is null for rows without shingles, the label also for groups without any id.
+    """
     feats = c.materialise(features(docs, words, id_col, text_col))
     # one node for each distinct set: its smallest id stands for it
-    firsts = feats.where("n > 0").groupBy("key_a", "key_b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"), F.first("bands").alias("bands"))
-    nodes = c.materialise(firsts)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text")).where("node is not null")
-    if not nodes.where(F.col("node") >= 2**62).isEmpty():  # nodes of missing ids only: their rows are found by the set
-        texts = _with_keys(docs, words, id_col, text_col)
-    rows = nodes.select(F.explode("bands").alias("band"), F.col("node").alias("x"), "n", "sa", "sb")
-    crowded = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    rows = c.materialise(rows.join(crowded, "band", "left_semi"))
+    firsts = feats.where("n > 0").groupBy("key_a", "key_b").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"), F.first("bands").alias("bands"))
+    nodes = c.materialise(firsts.withColumn("node", F.col("least")))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
+    # ids that do not tell sets apart: missing ones and those of several sets
+    odd = c.materialise(feats.groupBy("doc").agg(F.min("key_a").alias("low"), F.max("key_a").alias("high")).where("low <> high or doc is null").select("doc"))
+    plain = odd.isEmpty()
+    if not plain:
+        nodes = _renumbered(nodes, odd)
+        texts = _with_keys(docs, words, text_col).join(nodes.select("key_a", "key_b", "node"), ["key_a", "key_b"]).select("node", "text")
     # every node with the leader of its bucket, the smallest node
-    lead = F.min(F.struct(F.col("x"), F.col("n"), F.col("sa"), F.col("sb"))).alias("l")
-    heads = rows.groupBy("band").agg(lead).select("band", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.sa").alias("ta"), F.col("l.sb").alias("tb"))
-    tested = c.materialise(_pairs(rows.join(heads, "band").where("x <> y")))
+    banded = nodes.select(F.explode("bands").alias("band"), F.col("node").alias("x"))
+    leads = c.materialise(banded.groupBy("band").agg(F.min("x").alias("y"), F.count("*").alias("size")).where("size > 1").select("band", "y"))
+    members = c.materialise(banded.join(leads, "band"))
+    tested = c.materialise(_possible(members.where("x <> y").select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), nodes))
     links = _verified(tested, texts, words)
-    comp = components(links, nodes)
+    comp = components(links)
     # what is left: nodes of buckets with several groups
-    now = rows.select("band", "x").join(comp.withColumnRenamed("node", "x"), "x")
-    open_ = c.materialise(now.join(_several(now, "band"), "band", "left_semi").select(F.col("x").alias("node"), "comp").distinct())
+    now = c.materialise(_with_component(members.select("band", "x"), comp))
+    several = c.materialise(now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"))
+    open_ = c.materialise(now.join(several, "band", "left_semi").select("x", "comp").distinct())
+    c.discard(leads, members, now, several)
     if not open_.isEmpty():
-        sketched = open_.join(nodes.select("node", "n", "sa", "sb"), "node")
-        pairs = c.materialise(_rare_pairs(sketched, texts, words).join(tested, ["a", "b"], "left_anti"))
+        sketched = open_.join(nodes.select(F.col("node").alias("x"), "n", "sa", "sb"), "x")
+        found = _rare_pairs(sketched, texts, words)
+        pairs = c.materialise(found.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            comp = components(links.union(_verified(pairs, texts, words)), nodes)
-    place = nodes.select("key_a", "key_b", "node").join(comp, "node").select("key_a", "key_b", "comp")
-    out = feats.select("doc", "null_id", "n", "key_a", "key_b").join(place, ["key_a", "key_b"], "left")
-    label = F.coalesce("comp", "doc")
-    label = F.when(label < 2**62, label)
-    return out.select(F.when(~F.col("null_id"), F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc") == F.coalesce("comp", "doc"), F.lit(True)).alias("kept"))
+            more = _verified(pairs, texts, words)
+            comp = components(links.union(more))
+            c.discard(more)
+        c.discard(found, pairs)
+    c.discard(tested, links, open_)
+    place = nodes.select("key_a", "key_b", "node", "least").join(comp, "node", "left").select("key_a", "key_b", "least", F.coalesce("comp", "node").alias("root"))
+    if plain:
+        place = place.select("key_a", "key_b", "root", F.col("root").alias("label"))
+    else:
+        place = place.join(place.groupBy("root").agg(F.min("least").alias("label")), "root").select("key_a", "key_b", "root", "label")
+    place = c.materialise(place)
+    return feats.select("doc", "text_hash", "n", "key_a", "key_b").join(place, ["key_a", "key_b"], "left").select("doc", "text_hash", "n", "root", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc")).alias("label"))
+
+
+def _renumbered(nodes: DataFrame, odd: DataFrame) -> DataFrame:
+    """nodes whose numbers are in odd (doc) get a hash of their set that no other node has."""
+    odd = odd.select(F.col("doc").alias("__odd"), F.lit(True).alias("__is"))
+    for seed in itertools.count():
+        other = F.xxhash64(F.lit(seed), "key_a", "key_b")
+        new = c.materialise(nodes.join(odd, F.col("node").eqNullSafe(F.col("__odd")), "left").withColumn("node", F.when(F.col("__is"), other).otherwise(F.col("node"))).drop("__odd", "__is"))
+        if new.groupBy("node").count().where("count > 1").isEmpty():
+            return new
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each document: its id, n_shingles, component_id and kept."""
+    return _grouped(docs, words, id_col, text_col).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.when((F.col("n") == 0) | F.col("label").isNull(), True).otherwise(F.coalesce(F.col("doc") == F.col("label"), F.lit(False))).alias("kept"))
 
 
-def _with_keys(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) where a missing id is replaced as in features()."""
+def _with_keys(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(key_a, key_b, text) of every row with shingles, for tables whose ids do not tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            ids = []
-            for doc, text in zip(batch.column(0).to_pylist(), c.utf8(batch.column(1)), strict=True):
-                if doc is None:
-                    key = np.frombuffer(xxhash.xxh3_128_digest(shingles(text, words, known).tobytes()), np.int64)
-                    doc = (int(key[0]) & (2**61 - 1)) + 2**62
-                ids.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1)], ["node", "text"])
+            found = [shingles(t, words, known) for t in c.utf8(batch.column(0))]
+            keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in found], np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0)], ["key_a", "key_b", "text"])
+            yield out.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    return c.in_small_batches(docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")), run, "node bigint, text string")
+    return c.in_small_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "key_a bigint, key_b bigint, text string")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: one row of each group, the one with the smallest id, with all its columns."""
-    gone = near_duplicates(docs, words, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"))
-    gone = c.materialise(gone.where("__gone is not null").distinct())
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The documents that stay, with all their columns: exactly one row of each group, and all rows without shingles.
+
+    The row with the smallest id stays, null ids last; of rows that share it, the one with the smallest hash of the
+    text; of rows that repeat id and text, any one.
+    """
+    rows = c.materialise(_grouped(docs, words, id_col, text_col).where("n > 0").select("doc", "text_hash", "root"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("best"), F.count("*").alias("size"))
+    best = c.materialise(best.where("size > 1").select("root", F.col("best.doc").alias("best_doc"), F.col("best.text_hash").alias("best_hash")))
+    told = c.materialise(rows.join(best, "root").select("doc", "text_hash", (F.col("doc").eqNullSafe(F.col("best_doc")) & (F.col("text_hash") == F.col("best_hash"))).alias("stays")))
+    gone = c.materialise(told.where("not stays").select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__gone")).distinct())
+    again = c.materialise(told.where("stays").groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__again")).count().where("count > 1").select("__doc", "__again"))
+    c.discard(rows, best, told)
+    here = F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
+
+    left = docs.withColumn("__hash", _text_hash(text_col)).join(small(gone), here & (F.col("__hash") == F.col("__gone")), "left_anti")
+    if again.isEmpty():
+        return left.drop("__hash")
+    twice = here & (F.col("__hash") == F.col("__again"))
+    few = small(again)
+    one = left.join(few, twice, "left_semi").dropDuplicates([id_col, "__hash"])
+    return left.join(few, twice, "left_anti").unionByName(one).drop("__hash")
