@@ -37,6 +37,8 @@ MAX_RUNS = 1 << 20
 TOP = 2
 #: Runs of a task that are worked on at a time; those of one context stay together.
 RUNS_HELD = 100_000
+#: Rows of a batch of runs and counts, which are numbers only.
+ROWS_SENT = 10_000
 MAX_COMMON = 200_000
 CHUNK = 2_000_000
 WORDS_HELD = 400_000
@@ -88,7 +90,7 @@ def count_partial(docs: DataFrame, text_col: str) -> DataFrame:
         yield held()
         yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.binary()), pa.array(seen.astype(np.int64)), pa.array(often)], ["word", "run", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, run bigint, n bigint")
+    return c.in_small_batches(docs.select(text_col), run, "word binary, run bigint, n bigint")
 
 
 # ---- the tree ----
@@ -217,7 +219,8 @@ def top_tree(counted: DataFrame) -> Tree:
         up, at = np.unique((key >> 8 & ((1 << 8 * (TOP - 1)) - 1)) << 8 | key & 255, return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(up)] + [pa.array(np.bincount(at, v, len(up)).astype(float)) for v in values], ["node", "weighted", "zeros", "ones"])
 
-    parts = _by_context(counted, work, "node bigint, weighted double, zeros double, ones double").groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
+    each = _by_context(counted, work, "node bigint, weighted double, zeros double, ones double").groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    parts = c.materialise(each, ROWS_SENT).toPandas()  # at most 2**16 rows
     short = F.col("run").bitwiseAND((1 << 8 * TOP) - 1)
     few = counted.groupBy(short.alias("run")).agg(F.sum("n").alias("n")).toPandas()
     below = (parts["node"].to_numpy(np.int64), parts["weighted"].to_numpy(float), parts["zeros"].to_numpy(float), parts["ones"].to_numpy(float))
@@ -261,7 +264,7 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
 
     counted = counts.where("run is not null").select("run", "n")
     top = spark.sparkContext.broadcast(top_tree(counted))
-    answered = c.materialise(answers(counted, top))
+    answered = c.materialise(answers(counted, top), ROWS_SENT)
     frequent = answered.where(F.col("n") * MAX_RUNS >= total).select("run", "chance").toPandas().sort_values("run")
     tree = spark.sparkContext.broadcast((frequent["run"].to_numpy(np.int64), frequent["chance"].to_numpy(float)))
     often = words.where(F.col("c") * MAX_COMMON >= n).toPandas()  # at most MAX_COMMON rows
@@ -280,21 +283,24 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
                     found = t.split()
                     found.append(END)
                     logs = [known[w] for w in found if w in known]
-                    rows.append((len(found), len(logs), math.fsum(logs), [w for w in found if w not in known]))
+                    rare = Counter(w for w in found if w not in known)
+                    rows.append((len(found), len(logs), math.fsum(logs), list(rare), list(rare.values())))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(chance), other, pa.array([len(t) + 1 for t in texts[a:b]], pa.int64())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(cols[4], pa.list_(pa.int64())), pa.array(chance), other, pa.array([len(t) + 1 for t in texts[a:b]], pa.int64())], schema.names)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("score", T.DoubleType()), T.StructField("other", T.ArrayType(T.LongType())), T.StructField("n_bytes", T.LongType())])
-    first = c.materialise(slim.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(score, schema))
-    seldom = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("score", T.DoubleType()), T.StructField("other", T.ArrayType(T.LongType())), T.StructField("n_bytes", T.LongType())])
+    first = c.materialise(c.in_small_batches(slim.select(F.monotonically_increasing_id().alias("row"), "id", "text"), score, schema))
+    # each word once a row, as the tasks have counted it: one shuffle, by the word
+    seldom = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
     met = seldom.join(words.where(F.col("c") * MAX_COMMON < n), "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("more"))
     # runs that are not broadcast: each text's own, and the chances of those that no training text has
     other = first.select("row", F.explode("other").alias("run"))
     unseen = c.materialise(other.select("run").distinct().join(answered, "run", "left_anti").select("run", F.lit(0).cast("bigint").alias("n")))
-    new = answers(counted.join(unseen.select(_context().alias("context")).distinct(), _context() == F.col("context"), "left_semi").unionByName(unseen), top).where("n = 0")
+    new = c.materialise(answers(counted.join(unseen.select(_context().alias("context")).distinct(), _context() == F.col("context"), "left_semi").unionByName(unseen), top).where("n = 0"), ROWS_SENT)
+    c.discard(unseen)
     chances = answered.where(F.col("n") * MAX_RUNS < total).unionByName(new).select("run", "chance")
     others = other.join(chances, "run").groupBy("row").agg(F.sum("chance").alias("others"))
-    out = first.drop("rare", "other").join(met, "row", "left").join(others, "row", "left")
+    out = first.drop("rare", "times", "other").join(met, "row", "left").join(others, "row", "left")
     score_ = F.col("score") + F.coalesce("others", F.lit(0.0))
     known = F.col("n_known") + F.coalesce("known", F.lit(0))
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * math.log10(0.5)
