@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tonearm import schemas
-from tonearm.operators import actions, cache, classify, filters, match, plan
+from tonearm.operators import actions, cache, classify, filters, match, plan, requests
 from tonearm.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_copyable_keeps_order_and_repeats(spark):
 def test_first_artist_with_a_bucket_wins(spark):
     df = items(spark, [track("1", artists=[("none", ""), ("house", "")]), track("2", artists=[("zzz", "")])])
     genres = spark.createDataFrame([("house", 0, "xyz"), ("house", 1, "deep house"), ("none", 0, "??")], "artist_id string, gpos int, genre string")
-    got = classify.track_bucket(df, classify.artist_bucket(genres, classify.rules(spark)))
+    got = classify.classify_library(df, genres, classify.rules(spark))[0]
     assert [r.bucket for r in got.orderBy("position").collect()] == ["Electronic", "Other"]
 
 
@@ -54,13 +54,13 @@ def test_validation(spark, name, owner, shared, reason):
 def test_match_ties_and_names(spark):
     b = spark.createDataFrame([("u", "Hip Hop", 1), ("u", "Pop", 2)], "user_id string, bucket string, bucket_ordinal int")
     d = spark.createDataFrame([("u", "p1", 1, "x"), ("u", "p2", 2, "My Hip Hop Mix"), ("u", "p3", 3, "y")], "user_id string, playlist_id string, ordinal int, name string")
-    p = spark.createDataFrame([("p1", "Hip Hop", 0.09), ("p1", "Rock", 0.91), ("p3", "Hip Hop", 0.1)], "playlist_id string, bucket string, share double")
+    p = spark.createDataFrame([("u", "p1", "Hip Hop", 0.09), ("u", "p1", "Rock", 0.91), ("u", "p3", "Hip Hop", 0.1), ("v", "p2", "Pop", 1.0)], "user_id string, playlist_id string, bucket string, share double")
     got = {r.bucket: r.playlist_id for r in match.best(match.scores(b, d, p)).collect()}
     assert got == {"Hip Hop": "p2"}
 
 
 def test_replay_safety_of_empty_lists(spark):
-    d = spark.createDataFrame([("p",), ("q",)], "playlist_id string")
+    d = spark.createDataFrame([("u", "p"), ("u", "q")], "user_id string, playlist_id string")
     got = {r.playlist_id: r.safe for r in match.replay_safe(d, items(spark, [track(), None])).collect()}
     assert got == {"p": False, "q": True}
 
@@ -106,12 +106,150 @@ def test_pages(spark, tmp_path):
 
 def test_replace_clears_and_append_counts(spark):
     have = spark.createDataFrame([("u", "p", 0, "x"), ("u", "q", 0, "y")], "user_id string, playlist_id string, position long, track string")
-    gone = spark.createDataFrame([("p",)], "playlist_id string")
+    gone = spark.createDataFrame([("u", "p"), ("v", "q")], "user_id string, playlist_id string")
     assert [r.playlist_id for r in pages.replace_items(have, gone, have.limit(0)).collect()] == ["q"]
     more = spark.createDataFrame([("u", "p", 0, "z"), ("u", "r", 0, "z")], "user_id string, playlist_id string, rank long, track string")
     assert {(r.playlist_id, r.position) for r in pages.append_items(have, more).collect()} == {("p", 1), ("r", 0)}
 
 
+def shared(spark):
+    """A list that two users hold: two items each, and one more list of the first user."""
+    rows = [("u", "liked", 0, track("1", "a")), ("u", "liked", 1, None), ("v", "liked", 0, track("2", "b")), ("v", "liked", 1, track("3", "c")), ("u", "own", 0, track("1", "a"))]
+    one = items(spark, [track()])
+    return spark.createDataFrame(rows, one.schema)
+
+
+def test_lists_of_several_users_stay_apart(spark):
+    df = shared(spark)
+    both = df.select("user_id", "playlist_id").distinct()
+    assert {(r.user_id, r.playlist_id): (r.n_copyable, r.n_items) for r in match.replay_safe(both, df).collect()} == {("u", "liked"): (1, 2), ("v", "liked"): (2, 2), ("u", "own"): (1, 1)}
+    liked = both.where("playlist_id = 'liked' and user_id = 'u'")
+    assert [(r.user_id, r.uri) for r in plan.base_items(liked, df).collect()] == [("u", "a")]
+    left = pages.replace_items(df, liked, df.limit(0))
+    assert left.where("user_id = 'v'").count() == 2 and left.where("user_id = 'u'").count() == 1
+    more = spark.createDataFrame([("u", "own", 0, None), ("v", "liked", 0, None), ("v", "own", 0, None)], "user_id string, playlist_id string, rank long, track string")
+    assert {(r.user_id, r.playlist_id): r.position for r in pages.append_items(df, more).collect()} == {("u", "own"): 1, ("v", "liked"): 2, ("v", "own"): 0}
+    assigned = spark.createDataFrame([("u", "liked", "Pop"), ("v", "liked", "Rock")], "user_id string, playlist_id string, bucket string")
+    assert {(r.user_id, r.bucket): r.share for r in match.genre_profile(assigned).collect()} == {("u", "Pop"): 1.0, ("v", "Rock"): 1.0}
+
+
+BLANKS = ["\t", "\u00a0", "\u2003\ufeff", " \n"]
+
+
+def test_undo_gate_trims_all_white_space(spark):
+    cases = [(["Pop", "Rock"], True), ([], False), (None, False), (["Pop", None], False), (["Pop", "Pop"], False)] + [([b], False) for b in BLANKS] + [(["Pop", "Pop" + b], False) for b in BLANKS]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, buckets array<string>")
+    got = {r.i: r.ok for r in df.select("i", actions.request_ok().alias("ok")).collect()}
+    assert [got[i] for i in range(len(cases))] == [ok for _, ok in cases]
+
+
+def issues(spark, **given):
+    row = {"source_type": "playlist", "output_mode": "sort-into-existing", "write_mode": None, "playlist_id": "p", "editable_playlist_ids": ["d"], "safe_copy_names": None, "create_backup": None} | given
+    df = spark.createDataFrame([tuple(row.values())], "source_type string, output_mode string, write_mode string, playlist_id string, editable_playlist_ids array<string>, safe_copy_names map<string,string>, create_backup boolean")
+    return [(x.path, x.message) for x in requests.with_issues(df).first().issues]
+
+
+def test_requests(spark):
+    assert issues(spark) == [] and issues(spark, safe_copy_names={"d": "x" * 100}) == []
+    assert issues(spark, playlist_id="\u00a0\t") == [("playlistId", "playlistId must not be blank")]
+    assert [p for p, _ in issues(spark, editable_playlist_ids=["d", " ", "\ufeff", None])] == [f"editablePlaylistIds.{i}" for i in (1, 2, 3)]
+    assert issues(spark, editable_playlist_ids=["d", "p\t"]) == [("editablePlaylistIds", "source playlist cannot be a destination")]
+    assert issues(spark, safe_copy_names={"x": "a", "d": "b", "y": "c"}) == [(f"safeCopyNames.{k}", f"safeCopyNames key '{k}' is not in editablePlaylistIds") for k in "xy"]
+    assert issues(spark, safe_copy_names={"d": "\u2003"}) == [("safeCopyNames.d", "safe copy name must not be blank")]
+    assert len(issues(spark, safe_copy_names={"d": "x" * 100 + " \n"})) == 0 and len(issues(spark, safe_copy_names={"d": "😀" * 51})) == 1
+    assert issues(spark, output_mode="x", source_type=None)[0][0] == "sourceType"
+
+
+def test_records_and_updates(spark):
+    now = dt.datetime(2024, 1, 1)
+    b = spark.createDataFrame([("u", "q", "Pop", 2, "applied"), ("u", "p", "Rock", 1, "strange"), ("u", "p", "Jazz", 3, "undone"), ("w", "p", "Pop", 1, "applied")], "user_id string, playlist_id string, bucket string, bucket_ordinal int, status string")
+    h = spark.createDataFrame([("u", "p", "P"), ("u", "q", "Q"), ("w", "p", "W")], "user_id string, playlist_id string, name string")
+    base = spark.createDataFrame([("u", "p", 1, "b2"), ("u", "p", 0, "b1"), ("u", "p", 2, "b2")], "user_id string, playlist_id string, position int, uri string")
+    cand = spark.createDataFrame([("u", "Rock", 5, "r2"), ("u", "Rock", 3, "r1"), ("u", "Pop", 4, "x")], "user_id string, bucket string, position int, uri string")
+    snap = spark.createDataFrame([("u", "p", "s1"), ("u", "q", "s2"), ("w", "p", None)], "user_id string, playlist_id string, actual string")
+    got = {r.user_id: r for r in actions.record(b, h, base, cand, snap, F.lit(now)).collect()}
+    a = got["u"].action
+    assert [(d.playlistId, d.playlistName, d.baselineUris, d.expectedSnapshotId, d.bucketOrder) for d in a.destinations] == [("p", "P", ["b1", "b2", "b2"], "s1", ["Rock", "Jazz"]), ("q", "Q", [], "s2", ["Pop"])]
+    assert [(x.bucket, x.playlistId, x.trackUris, x.status) for x in a.buckets] == [("Rock", "p", ["r1", "r2"], "applied"), ("Pop", "q", ["x"], "applied"), ("Jazz", "p", [], "undone")]
+    assert a.expiresAt - a.createdAt == dt.timedelta(hours=24) and a.userId == "u" and got["u"].warning is None
+    assert got["w"].action is None and got["w"].warning.endswith(" p")
+    raw = actions.record(b, h, base, cand, snap, F.lit(now)).where("action is not null").select("user_id", F.to_json("action").alias("raw"))
+    assert actions.parse(raw).first().action == a
+    for later, left in ((1.5, 24 * 3600 - 1), (30 * 3600, 1)):
+        row = actions.update(spark.createDataFrame([(a.expiresAt,)], "expires_at timestamp"), F.lit(now + dt.timedelta(seconds=later))).first()
+        assert (row.expires_at, row.seconds_left) == (a.expiresAt, left)
+
+
+def test_undo_keeps_order_and_snapshots(spark):
+    b = spark.createDataFrame([("u", "p", "Rock", 1, "applied", 2), ("u", "q", "Pop", 2, "applied", 1), ("u", "p", "Jazz", 3, "applied", 1)], "user_id string, playlist_id string, bucket string, bucket_ordinal int, status string, n int")
+    asked = spark.createDataFrame([("u", "Rock"), ("u", "Pop")], "user_id string, bucket string")
+    expected = spark.createDataFrame([("u", "p", "s1"), ("u", "q", "s2")], "user_id string, playlist_id string, expected string")
+    current = expected.withColumnRenamed("expected", "actual").union(spark.createDataFrame([("w", "p", "other")], "user_id string, playlist_id string, actual string"))
+    base = spark.createDataFrame([("u", "p", 0, "b"), ("u", "p", 1, "b")], "user_id string, playlist_id string, position int, uri string")
+    cand = spark.createDataFrame([("u", "Rock", 0, "r"), ("u", "Jazz", 1, "j"), ("u", "Pop", 2, "x")], "user_id string, bucket string, position int, uri string")
+    receipts = spark.createDataFrame([("u", "p", True, "n1"), ("u", "q", False, None), ("w", "q", True, "n9")], "user_id string, playlist_id string, ok boolean, snapshot string")
+    done = actions.plan_undo(asked, b, expected, current, base, cand, receipts)
+    assert done["conflicts"].count() == 0
+    assert [(r.playlist_id, r.uri) for r in done["rebuilt"].orderBy("playlist_id", "position").collect()] == [("p", "b"), ("p", "b"), ("p", "j")]
+    assert {r.playlist_id for r in done["lists"].collect()} == {"p", "q"}  # q is written empty: it is cleared
+    assert {r.bucket: r.status for r in done["buckets"].collect()} == {"Rock": "undone", "Pop": "applied", "Jazz": "applied"}
+    assert {r.playlist_id: r.expected for r in done["snapshots"].collect()} == {"p": "n1", "q": "s2"}
+    assert done["totals"].first().outcome == "partial"
+    changed = actions.plan_undo(asked, b, expected, current.withColumn("actual", F.when(F.col("playlist_id") == "q", "other").otherwise(F.col("actual"))), base, cand, receipts)
+    assert [r.playlist_id for r in changed["conflicts"].collect()] == ["q"] and changed["lists"].count() == 0 and changed["buckets"].where("status = 'undone'").count() == 0
+    places = actions.destinations(b).withColumn("name", F.upper("playlist_id"))
+    told = [(r.group_no, r.place, r.bucket) for r in actions.groups(places.where("playlist_id = 'p'"), b).orderBy("group_no", "at").collect()]
+    assert told == [(1, "P", "Rock"), (1, "P", "Jazz"), (2, actions.ORPHANS, "Pop")]
+
+
+def test_runs_stop_where_they_must(spark):
+    asked = spark.createDataFrame([("u", "p"), ("v", "p"), ("w", "x")], "user_id string, playlist_id string")
+    headers = spark.createDataFrame([("u", "p", "Mine"), ("v", "p", "Hers")], "user_id string, playlist_id string, name string")
+    df = shared(spark).withColumn("playlist_id", F.lit("p")).where("user_id = 'u' or position = 9")
+    saved = plan.backup_status(asked, headers, df)
+    assert {r.user_id: (r.name, r.tracks_copied, r.status) for r in saved.collect()} == {"u": ("Mine" + plan.BACKUP_SUFFIX, 2, "success"), "v": ("Hers" + plan.BACKUP_SUFFIX, 0, "success"), "w": (None, 0, plan.NO_SOURCE)}
+    assigned = spark.createDataFrame([("u", "p", "Pop")], "user_id string, playlist_id string, bucket string")
+    going = plan.runs(asked, saved, assigned)
+    assert {r.user_id: r.outcome for r in going.collect()} == {"u": "sorted", "v": "empty", "w": "aborted"}
+    lists = spark.createDataFrame([("u", "a", 1, "A", "u", False), ("u", "b", 2, "", "u", False), ("u", "c", 3, "C", "z", False), ("u", "p", 4, "Mine", "u", False), ("v", "a", 1, "", "v", False)], "user_id string, playlist_id string, ordinal int, name string, owner_id string, collaborative boolean")
+    wish = spark.createDataFrame([("u", i, k) for k, i in enumerate(["gone", "c", "b", "a", "p", "lost"])] + [("v", "a", 0)], "user_id string, playlist_id string, asked int")
+    good, bad = match.validate_destinations(wish, lists, asked.withColumnRenamed("playlist_id", "source_id"), going.where("outcome = 'sorted'"))
+    assert [r.playlist_id for r in good.collect()] == ["a"]
+    assert [(r.playlist_id, r.reason) for r in bad.orderBy("place").collect()] == [("gone", "not found"), ("lost", "not found"), ("b", "no name"), ("c", "not editable")]
+
+
+def test_all_readers(spark, tmp_path):
+    def dump(name, *rows):
+        (tmp_path / name).mkdir()
+        for k, r in enumerate(rows):
+            (tmp_path / name / f"{k}.json").write_text(json.dumps(r))
+        return str(tmp_path / name)
+
+    t = {"id": "1", "name": "n", "uri": "u", "artists": [{"id": "a", "name": "x"}]}
+    liked = pages.liked_items(spark, dump("liked", {"user_id": "u", "offset": 1, "next": None, "items": [{"track": None}]}, {"user_id": "u", "offset": 0, "next": "x", "items": [{"track": t}]}))
+    assert [(r.playlist_id, r.position, r.track and r.track.id) for r in liked.orderBy("position").collect()] == [("liked", 0, "1"), ("liked", 1, None)]
+    assert liked.where(filters.sortable(F.col("track"))).count() == 1
+    p = {"id": "p", "name": "N", "owner": {"id": "o"}, "collaborative": None, "snapshot_id": "s", "items": None, "tracks": {"total": 7}}
+    heads = pages.playlists(spark, dump("heads", {"user_id": "u", "offset": 0, "items": [None, p, p | {"id": "q", "items": {"total": 3}}]}))
+    rows = heads.select("*", filters.item_count(heads).alias("n")).orderBy("ordinal").collect()
+    assert [(r.playlist_id, r.ordinal, r.owner_id, r.n) for r in rows] == [("p", 1, "o", 7), ("q", 2, "o", 3)]
+    assert pages.snapshots(heads).columns == ["user_id", "playlist_id", "actual"]
+    found = pages.artists(spark, dump("artists", {"seq": 1, "artists": [{"id": "a", "genres": ["new"]}, None]}, {"seq": 0, "artists": [{"id": "a", "genres": ["old"]}, {"id": "b", "genres": []}]}))
+    assert {r.artist_id: r.genres for r in found.collect()} == {"a": ["new"], "b": []}
+    assert pages.artists(spark, str(tmp_path / "artists")).where("artist_id is null").count() == 0
+
+
+def test_refresh(spark):
+    now = dt.datetime(2024, 1, 31)
+    cached = spark.createDataFrame([("new", ["a"], now), ("stale", ["b"], now - dt.timedelta(days=15)), ("silent", ["c"], now - dt.timedelta(days=15))], "artist_id string, genres array<string>, last_fetched_at timestamp")
+    asked = spark.createDataFrame([("new",), ("stale",), ("silent",), ("",), ("stale",), ("fresh",)], "artist_id string")
+    fetched = spark.createDataFrame([("stale", ["B"]), ("fresh", ["F"]), ("other", ["O"])], "artist_id string, genres array<string>")
+    use, ask, after = cache.refresh(asked, cached, fetched, F.lit(now))
+    assert {r.artist_id: r.genres for r in use.collect()} == {"new": ["a"], "stale": ["B"], "fresh": ["F"]}
+    assert sorted(r.artist_id for r in ask.collect()) == ["fresh", "silent", "stale"]
+    assert {r.artist_id: r.genres for r in after.collect()} == {"new": ["a"], "stale": ["B"], "silent": ["c"], "fresh": ["F"]}
+
+
 def test_order_of_rows_does_not_matter(spark):
     df = items(spark, [track(str(i), f"u{i}") for i in range(50)])
     one, two = (filters.copyable_uris(x).first()["uris"] for x in (df, df.repartition(7, F.rand(3))))
@@ -125,7 +263,7 @@ def test_profile_mapping_and_names(spark):
     assert [r[0] for r in lists.orderBy("playlist_id").select(plan.copy_name()).collect()] == ["Mine", "Mix" + plan.COPY_SUFFIX, "Mix" + plan.COPY_SUFFIX]
 
 
-@pytest.mark.parametrize("name", ["bucket_counts", "bucket_map", "best_match", "plan_safe_copy", "result_ledger", "undo_rebuild", "request_issues", "user_profile_upsert"])
+@pytest.mark.parametrize("name", ["bucket_counts", "bucket_map", "best_match", "plan_safe_copy", "result_ledger", "undo_rebuild", "record_action", "direct_ledger", "excluded_playlists", "request_issues", "user_profile_upsert"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):

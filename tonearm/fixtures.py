@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tonearm import schemas
 from tonearm.operators import actions, classify, match, plan
+from tonearm.operators.filters import LIST
+from tonearm.sources import pages
 
 AS_OF = "timestamp '2024-01-31 00:00:00'"
 
@@ -27,15 +29,26 @@ class Library:
             self._kept[name] = make().persist()
         return self._kept[name]
 
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def members(self) -> DataFrame:
+        """(playlist_id, user_id, o_custkey, o_orderstatus, o_orderdate): every order is a list of its customer; some are shared with the next customer."""
+        rows = self.table("orders").select(F.col("o_orderkey").alias("playlist_id"), "o_custkey", "o_orderstatus", "o_orderdate")
+        users = F.when(F.col("playlist_id") % 31 == 0, F.array("o_custkey", F.col("o_custkey") + 1)).otherwise(F.array("o_custkey"))
+        return rows.withColumn("user_id", F.explode(users))
+
     def playlists(self) -> DataFrame:
-        k = F.col("o_orderkey")
+        k = F.col("playlist_id")
         name = F.when(k % 23 == 0, "").when(k % 23 == 1, "   ").otherwise(F.concat("bucket", F.lit(" mix")))
-        rows = self.table("orders").join(F.broadcast(classify.buckets(self.spark)), (k % 16).cast("int") == F.col("bucket_no"))
-        ordinal = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-        return rows.select(k.alias("playlist_id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") + (k % 7 == 0).cast("int")).alias("owner_id"), (F.col("o_orderstatus") == "P").alias("collaborative"), name.alias("name"), ordinal.alias("ordinal"), F.concat(F.lit("s"), k).alias("snapshot_id"))
+        rows = self.members().join(F.broadcast(classify.buckets(self.spark)), (k % 16).cast("int") == F.col("bucket_no"))
+        ordinal = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("o_orderdate"), "playlist_id"))
+        return rows.select("playlist_id", "user_id", (F.col("o_custkey") + (k % 7 == 0).cast("int")).alias("owner_id"), ((F.col("o_orderstatus") == "P") | (k % 31 == 0)).alias("collaborative"), name.alias("name"), ordinal.alias("ordinal"), F.concat(F.lit("s"), k).alias("snapshot_id"))
 
     def items(self) -> DataFrame:
         part = F.col("l_partkey")
@@ -54,8 +67,7 @@ class Library:
             F.when(part % 4 != 0, F.concat(F.lit("lib/"), part)).alias("url"),
         )
         rows = self.table("lineitem").select(F.col("l_orderkey").alias("playlist_id"), F.row_number().over(order).alias("position"), F.when(F.col("l_quantity") != 50, track).alias("track"))
-        owners = self.table("orders").select(F.col("o_orderkey").alias("playlist_id"), F.col("o_custkey").alias("user_id"))
-        return rows.join(owners, "playlist_id")
+        return rows.join(self.members().select("playlist_id", "user_id"), "playlist_id")
 
     def sources(self) -> DataFrame:
         return self.playlists().where("ordinal = 1")
@@ -84,24 +96,62 @@ class Library:
     def dim(self) -> DataFrame:
         return classify.artist_bucket(self.artist_genres(), classify.rules(self.spark))
 
+    def rules(self) -> DataFrame:
+        return classify.rules(self.spark)
+
     def assigned(self) -> DataFrame:
-        return classify.track_bucket(self.items(), self.dim())
+        """For queries that read it once; kept_assigned() is for those that read it again."""
+        return classify.track_bucket(self.items(), self.dim(), self.rules())
+
+    def kept_assigned(self) -> DataFrame:
+        return self._keep("assigned", self.assigned)
 
     def source_assigned(self) -> DataFrame:
-        return self.assigned().join(self.sources().select("playlist_id"), "playlist_id", "left_semi")
+        return self._keep("source", lambda: self.kept_assigned().join(self.sources().select(*LIST), LIST, "left_semi"))
 
     def buckets(self) -> DataFrame:
         return classify.bucket_map(self.source_assigned())
 
     def scores(self) -> DataFrame:
-        return match.scores(self.buckets(), self.destinations(), match.genre_profile(self.assigned()))
+        return match.scores(self.buckets(), self.destinations(), match.genre_profile(self.kept_assigned()))
 
     def matched(self) -> DataFrame:
         return self._keep("matched", lambda: match.best(self.scores()))
 
     def receipts(self) -> DataFrame:
-        bad = F.col("playlist_id") % 11 == 0
-        return self.playlists().select("playlist_id", (~bad).alias("ok"), F.when(bad, "write failed").alias("error"))
+        bad = (F.col("playlist_id") + F.col("user_id")) % 11 == 0
+        return self.playlists().select(*LIST, (~bad).alias("ok"), F.when(bad, "write failed").alias("error"), F.concat(F.lit("n"), "playlist_id").alias("snapshot"))
+
+    def safety(self) -> DataFrame:
+        return match.replay_safe(self.destinations(), self.items())
+
+    def known_headers(self) -> DataFrame:
+        return self.playlists().where("playlist_id % 13 <> 0")
+
+    def backups(self) -> DataFrame:
+        return plan.backup_status(self.sources().where("user_id % 2 = 0"), self.known_headers(), self.items())
+
+    def runs(self) -> DataFrame:
+        return self._keep("runs", lambda: plan.runs(self.sources(), self.backups(), self.assigned()))
+
+    def validated(self) -> tuple[DataFrame, DataFrame]:
+        lists = self.playlists()
+        both = F.array(F.struct(F.col("playlist_id").alias("id"), (F.col("ordinal") * 2).alias("at")), F.struct((F.col("playlist_id") + 1).alias("id"), (F.col("ordinal") * 2 + 1).alias("at")))
+        asked = lists.select("user_id", F.explode(both).alias("x")).select("user_id", F.col("x.id").alias("playlist_id"), F.col("x.at").alias("asked"))
+        return match.validate_destinations(asked, lists, self.sources().select("user_id", F.col("playlist_id").alias("source_id")), self.runs().where("outcome = 'sorted'"))
+
+    def copies(self) -> DataFrame:
+        """Headers of the copies that a run makes, and the lists they are made from."""
+        named = self.playlists().withColumn("safe_copy_names", F.when(F.col("playlist_id") % 4 == 0, F.create_map(F.col("playlist_id").cast("string"), F.lit("Named"))))
+        return plan.new_lists(named.join(self.matched(), LIST, "left_semi"), "copy", plan.copy_name(), *LIST)
+
+    def recorded(self) -> DataFrame:
+        """Actions of copying runs; the snapshots of every 23rd user's lists are not known."""
+        rows = self.action_buckets().join(self.receipts().where("ok"), LIST, "left_semi").withColumn("status", F.when(F.col("user_id") % 13 == 0, "odd").otherwise("applied"))
+        base = actions.copies_of(plan.base_items(self.matched(), self.items()))
+        known = F.when(F.col("user_id") % 23 != 0, F.concat(F.lit("s"), F.substring("playlist_id", 1, 8)))
+        created = F.expr("timestamp '2024-01-30 00:00:00'") + F.make_dt_interval(hours=F.col("user_id") % 36)
+        return actions.record(actions.copies_of(rows), self.copies(), base, self.candidates(), self.copies().select(*LIST, known.alias("actual")), created)
 
     def action_buckets(self) -> DataFrame:
         return self._keep("action_buckets", self._action_buckets)
@@ -119,10 +169,12 @@ class Library:
     def chosen(self) -> DataFrame:
         return self._keep("chosen", lambda: actions.selection(self.undo_requests(), self.action_buckets()))
 
+    def expected(self) -> DataFrame:
+        return self.action_buckets().select(*LIST).distinct().withColumn("expected", F.concat(F.lit("s"), "playlist_id"))
+
     def conflicts(self) -> DataFrame:
-        expected = self.action_buckets().select("user_id", "playlist_id").distinct().withColumn("expected", F.concat(F.lit("s"), "playlist_id"))
-        current = self.playlists().select("playlist_id", F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")).alias("actual"))
-        return actions.conflicts(self.chosen(), expected, current)
+        current = self.playlists().withColumn("snapshot_id", F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")))
+        return actions.conflicts(self.chosen(), self.expected(), pages.snapshots(current))
 
     def after_undo(self) -> DataFrame:
         return actions.transition(self.action_buckets(), self.chosen(), self.conflicts(), self.receipts())
@@ -135,9 +187,9 @@ class Library:
     def requests(self) -> DataFrame:
         u, none = F.col("c_custkey"), F.lit(None).cast("string")
         own = F.concat(F.lit("p"), u)
-        ids = F.when(u % 10 == 0, F.array().cast("array<string>")).when(u % 12 == 0, F.array(own, F.lit("d1"))).when(u % 4 != 0, F.array(F.lit("d1"), F.lit("d2")))
-        names = F.when(u % 11 == 0, F.create_map(F.lit("d1"), F.repeat(F.lit("x"), 101))).when(u % 7 == 0, F.create_map(F.lit("d3"), F.lit("My copy")))
-        return self.table("customer").select(u.alias("user_id"), F.when(u % 6 == 1, "liked").otherwise("playlist").alias("source_type"), F.when(u % 4 == 0, "auto-create").otherwise("sort-into-existing").alias("output_mode"), F.when(u % 4 == 1, "copy").when((u % 4 == 2) | (u % 20 == 0), "direct").alias("write_mode"), F.when(u % 9 == 0, F.lit(" ")).when(u % 8 != 3, own).otherwise(none).alias("playlist_id"), ids.alias("editable_playlist_ids"), names.alias("safe_copy_names"), (u % 5 == 0).alias("create_backup"))
+        ids = F.when(u % 10 == 0, F.array().cast("array<string>")).when(u % 12 == 0, F.array(F.concat(own, F.lit("\t")), F.lit("d1"))).when(u % 4 != 0, F.array(F.lit("d1"), F.lit("d2")))
+        names = F.when(u % 11 == 0, F.create_map(F.lit("d1"), F.repeat(F.lit("x"), 101))).when(u % 7 == 0, F.create_map(F.lit("d3"), F.lit("My copy"), F.lit("d4"), F.lit("Mine")))
+        return self.table("customer").select(u.alias("user_id"), F.when(u % 6 == 1, "liked").otherwise("playlist").alias("source_type"), F.when(u % 4 == 0, "auto-create").otherwise("sort-into-existing").alias("output_mode"), F.when(u % 4 == 1, "copy").when((u % 4 == 2) | (u % 20 == 0), "direct").alias("write_mode"), F.when(u % 9 == 0, F.lit(" \u00a0\t")).when(u % 8 != 3, own).otherwise(none).alias("playlist_id"), ids.alias("editable_playlist_ids"), names.alias("safe_copy_names"), (u % 5 == 0).alias("create_backup"))
 
     def candidates(self) -> DataFrame:
         return plan.candidates(self.source_assigned(), self.buckets())

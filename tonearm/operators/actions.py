@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm import schemas
+from tonearm.operators import plan
+from tonearm.operators.filters import LIST, trimmed
 
 LIFETIME = "24 hours"
 ORPHANS = "Other destinations"
+APPLIED, UNDONE = "applied", "undone"
 
 
 def expires(created: str = "created_at") -> Column:
@@ -16,10 +19,15 @@ def expires(created: str = "created_at") -> Column:
 
 
 def seconds_left(as_of: Column, expires_at: str = "expires_at") -> Column:
-    """Whole seconds, rounded up, 1 at least; an update keeps the expiry it had."""
+    """Whole seconds, rounded up, 1 at least."""
     return F.greatest(F.lit(1), F.ceil(F.unix_micros(F.col(expires_at).cast("timestamp")) / 1e6 - F.unix_micros(as_of.cast("timestamp")) / 1e6))
 
 
+def status(given: str = "status") -> Column:
+    """A bucket's status as it is stored: anything unknown counts as applied."""
+    return F.when(F.col(given) == UNDONE, UNDONE).otherwise(APPLIED)
+
+
 def parse(raw: DataFrame, json: str = "raw", user: str = "user_id") -> DataFrame:
     """Rows whose JSON is a record of their user's, with column action; anything else is left out."""
     rows = raw.withColumn("action", F.from_json(json, schemas.ACTION))
@@ -34,15 +42,61 @@ def latest(actions: DataFrame, as_of: Column) -> DataFrame:
     return last.where((F.col("expires_at") > as_of) & F.col("valid"))
 
 
+# ---- recording ----
+
+
 def destinations(buckets: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, bucket_order): one row for each list that was written, its buckets in order."""
-    return buckets.groupBy("user_id", "playlist_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket_ordinal", "bucket"))), lambda x: x["bucket"]).alias("bucket_order"))
+    """(user_id, playlist_id, place, bucket_order): one row for each list that was written, its buckets in order.
+
+    place is that of the list's first bucket; it orders the lists of an action.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("bucket_ordinal", "bucket")))
+    grouped = buckets.groupBy(*LIST).agg(F.min("bucket_ordinal").alias("place"), listed.alias("r"))
+    return grouped.select(*LIST, "place", F.transform("r", lambda x: x["bucket"]).alias("bucket_order"))
+
+
+def uris(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the uris of some rows in order."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "uri"))).alias("r"))
+    return listed.select(*keys, F.transform("r", lambda x: x["uri"]).alias(name))
+
+
+def record(written: DataFrame, headers: DataFrame, baseline: DataFrame, candidates: DataFrame, snapshots: DataFrame, created_at: Column) -> DataFrame:
+    """(user_id, action, warning): the action of each user with a successful write, as a record; its JSON is to_json(action).
+
+    written: user_id, playlist_id, bucket, bucket_ordinal and status of the successful writes.  headers: user_id, playlist_id,
+    name.  baseline: user_id, playlist_id, position, uri of what the lists held before.  candidates: user_id, bucket, position,
+    uri.  snapshots: user_id, playlist_id, actual after the writes.  created_at: over the columns of written.  A list
+    whose snapshot is not known leaves its user without an action and with a warning that names it.
+    """
+    held = destinations(written).join(headers.select(*LIST, "name"), LIST, "left").join(snapshots.select(*LIST, "actual"), LIST, "left").join(uris(baseline, LIST, "baseline"), LIST, "left")
+    none = F.array().cast("array<string>")
+    text = lambda c: F.col(c).cast("string")
+    place = F.struct(text("playlist_id").alias("playlistId"), F.col("name").alias("playlistName"), F.coalesce("baseline", none).alias("baselineUris"), F.col("actual").alias("expectedSnapshotId"), F.col("bucket_order").alias("bucketOrder"))
+    lost = F.min(F.when(F.col("actual").isNull(), F.struct("place", text("playlist_id").alias("id"))))["id"]
+    lists = held.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", place.alias("d")))).alias("places"), lost.alias("lost"))
+    tracks = written.join(headers.select(*LIST, "name"), LIST, "left").join(uris(candidates, ["user_id", "bucket"], "uris"), ["user_id", "bucket"], "left")
+    bucket = F.struct(F.col("bucket"), text("playlist_id").alias("playlistId"), F.col("name").alias("playlistName"), F.coalesce("uris", none).alias("trackUris"), status().alias("status"))
+    whole = tracks.withColumn("created_at", created_at).groupBy("user_id").agg(F.min("created_at").alias("created_at"), F.array_sort(F.collect_list(F.struct("bucket_ordinal", bucket.alias("b")))).alias("buckets"))
+    rows = whole.join(lists, "user_id").withColumn("expires_at", expires())
+    number = F.sha2(F.concat_ws("|", F.lit("action"), text("user_id"), F.unix_micros("created_at").cast("string")), 256)
+    action = F.struct(number.alias("id"), text("user_id").alias("userId"), F.col("created_at").alias("createdAt"), F.col("expires_at").alias("expiresAt"), F.transform("places", lambda x: x["d"]).alias("destinations"), F.transform("buckets", lambda x: x["b"]).alias("buckets"))
+    return rows.select("user_id", F.when(F.col("lost").isNull(), action).alias("action"), F.concat(F.lit("no action was recorded: the final snapshot is not known of list "), "lost").alias("warning"))
+
+
+def update(actions: DataFrame, as_of: Column) -> DataFrame:
+    """actions to be stored again: their expiry stays as it was, and seconds_left tells for how long they are kept, 1 at least."""
+    return actions.withColumn("seconds_left", seconds_left(as_of).cast("bigint"))
+
+
+# ---- undoing ----
 
 
 def request_ok() -> Column:
-    """An undo request names something, nothing blank, nothing twice (after trimming)."""
-    names = F.transform("buckets", lambda b: F.trim(b))
-    return (F.coalesce(F.size("buckets"), F.lit(0)) > 0) & F.forall(names, lambda b: b != "") & (F.size(F.array_distinct(names)) == F.size("buckets"))
+    """An undo request names something, nothing blank, nothing twice (after trimming white space of every kind)."""
+    names = F.transform("buckets", lambda b: trimmed(b))
+    good = (F.size("buckets") > 0) & F.forall(names, lambda b: F.coalesce(b, F.lit("")) != "") & (F.size(F.array_distinct(names)) == F.size("buckets"))
+    return F.coalesce(good, F.lit(False))
 
 
 def unknown(requested: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -50,7 +104,7 @@ def unknown(requested: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def already_undone(requested: DataFrame, buckets: DataFrame) -> DataFrame:
-    return requested.join(buckets.where("status = 'undone'").select("user_id", "bucket"), ["user_id", "bucket"], "left_semi")
+    return requested.join(buckets.where(F.col("status") == UNDONE).select("user_id", "bucket"), ["user_id", "bucket"], "left_semi")
 
 
 def selection(requested: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -62,40 +116,79 @@ def selection(requested: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def conflicts(chosen: DataFrame, expected: DataFrame, current: DataFrame) -> DataFrame:
     """(user_id, playlist_id, expected, actual): lists to be rebuilt that changed since."""
-    rows = chosen.select("user_id", "playlist_id").distinct().join(expected, ["user_id", "playlist_id"]).join(current, "playlist_id", "left")
-    return rows.where(~F.col("actual").eqNullSafe(F.col("expected"))).select("user_id", "playlist_id", "expected", "actual")
+    rows = chosen.select(*LIST).distinct().join(expected, LIST).join(current, LIST, "left")
+    return rows.where(~F.col("actual").eqNullSafe(F.col("expected"))).select(*LIST, "expected", "actual")
+
+
+def rewritten(chosen: DataFrame, conflicting: DataFrame) -> DataFrame:
+    """(user_id, playlist_id) of the lists to write: one conflict voids all writes of its action."""
+    return chosen.select(*LIST).distinct().join(conflicting.select("user_id").distinct(), "user_id", "left_anti")
 
 
 def rebuild(chosen: DataFrame, conflicting: DataFrame, buckets: DataFrame, base: DataFrame, candidates: DataFrame) -> DataFrame:
     """(user_id, playlist_id, position, uri) of the lists to write: the baseline and the buckets that stay.
 
-    One conflict voids all writes of its action.  A list that becomes empty has no rows here: replace clears it.
+    A list that becomes empty has no rows here: replace clears it.
     """
-    lists = chosen.select("user_id", "playlist_id").distinct().join(conflicting.select("user_id").distinct(), "user_id", "left_anti")
-    stay = buckets.where("status = 'applied'").join(chosen.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti").join(lists, ["user_id", "playlist_id"], "left_semi")
+    lists = rewritten(chosen, conflicting)
+    stay = buckets.where(F.col("status") == APPLIED).join(chosen.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti").join(lists, LIST, "left_semi")
     more = candidates.select("user_id", "bucket", "position", "uri").join(stay.select("user_id", "bucket", "bucket_ordinal", "playlist_id"), ["user_id", "bucket"])
-    a = base.join(lists, ["user_id", "playlist_id"], "left_semi").select("user_id", "playlist_id", F.lit(0).alias("bucket_ordinal"), "position", "uri")
-    at = F.row_number().over(Window.partitionBy("user_id", "playlist_id").orderBy("bucket_ordinal", "position")) - 1
-    return a.unionByName(more.select("user_id", "playlist_id", "bucket_ordinal", "position", "uri")).select("user_id", "playlist_id", at.alias("position"), "uri")
+    a = base.join(lists, LIST, "left_semi").select(*LIST, F.lit(0).alias("bucket_ordinal"), "position", "uri")
+    at = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "position")) - 1
+    return a.unionByName(more.select(*LIST, "bucket_ordinal", "position", "uri")).select(*LIST, at.alias("position"), "uri")
 
 
 def transition(buckets: DataFrame, chosen: DataFrame, conflicting: DataFrame, receipts: DataFrame) -> DataFrame:
     """Action buckets with their new status: undone where asked for, not voided, and the write was confirmed."""
-    done = chosen.join(conflicting.select("user_id").distinct(), "user_id", "left_anti").join(receipts.where("ok").select("playlist_id"), "playlist_id", "left_semi").select("user_id", "bucket", F.lit(True).alias("now"))
-    return buckets.join(done, ["user_id", "bucket"], "left").withColumn("status", F.when(F.col("now"), "undone").otherwise(F.col("status"))).drop("now")
+    confirmed = rewritten(chosen, conflicting).join(receipts.where("ok").select(*LIST), LIST, "left_semi")
+    done = chosen.join(confirmed, LIST, "left_semi").select("user_id", "bucket", F.lit(True).alias("now"))
+    return buckets.join(done, ["user_id", "bucket"], "left").withColumn("status", F.when(F.col("now"), UNDONE).otherwise(F.col("status"))).drop("now")
+
+
+def new_snapshots(expected: DataFrame, chosen: DataFrame, conflicting: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(user_id, playlist_id, expected) after an undo: the snapshot of the write where one was confirmed, else as before.
+
+    receipts: user_id, playlist_id, ok, snapshot.
+    """
+    confirmed = receipts.where("ok").join(rewritten(chosen, conflicting), LIST, "left_semi").select(*LIST, "snapshot")
+    return expected.join(confirmed, LIST, "left").select(*LIST, F.coalesce("snapshot", "expected").alias("expected"))
+
+
+def plan_undo(requested: DataFrame, buckets: DataFrame, expected: DataFrame, current: DataFrame, base: DataFrame, candidates: DataFrame, receipts: DataFrame) -> dict[str, DataFrame]:
+    """All steps of undoing: selection, conflicts, rebuilt lists, and buckets, snapshots and totals as they are afterwards."""
+    chosen = selection(requested, buckets)
+    changed = conflicts(chosen, expected, current)
+    after = transition(buckets, chosen, changed, receipts)
+    return {"chosen": chosen, "conflicts": changed, "lists": rewritten(chosen, changed), "rebuilt": rebuild(chosen, changed, buckets, base, candidates), "buckets": after, "snapshots": new_snapshots(expected, chosen, changed, receipts), "totals": undo_totals(after, chosen)}
 
 
 def undo_totals(after: DataFrame, chosen: DataFrame) -> DataFrame:
     """(user_id, applied, undone, tracks_undone, outcome): partial if a chosen bucket is still applied."""
     asked = chosen.select("user_id", "bucket", F.lit(True).alias("asked"))
-    gone = F.col("status") == "undone"
+    gone = F.col("status") == UNDONE
     return after.join(asked, ["user_id", "bucket"], "left").groupBy("user_id").agg(F.count_if(~gone).alias("applied"), F.count_if(gone).alias("undone"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("tracks_undone"), F.when(F.bool_or(F.coalesce("asked", F.lit(False)) & ~gone), "partial").otherwise("complete").alias("outcome"))
 
 
-def groups(buckets: DataFrame, headers: DataFrame) -> DataFrame:
-    """(user_id, bucket, place): buckets under the name of their list, those without one under ORPHANS."""
-    return buckets.join(headers.select("playlist_id", F.col("name").alias("place")), "playlist_id", "left").select("user_id", "bucket", F.coalesce("place", F.lit(ORPHANS)).alias("place"))
+def groups(places: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(user_id, group_no, place, at, bucket): the buckets under their lists, lists and buckets in the order of the action.
+
+    places: user_id, playlist_id, name, place, bucket_order.  Buckets whose list is not among them come last, under ORPHANS.
+    """
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    numbered = places.withColumn("group_no", number)
+    named = numbered.select("user_id", "group_no", F.col("name").alias("place"), F.posexplode("bucket_order").alias("at", "bucket"))
+    known = named.join(buckets.select("user_id", "bucket"), ["user_id", "bucket"], "left_semi")
+    last = numbered.groupBy("user_id").agg(F.max("group_no").alias("groups"))
+    orphans = buckets.join(places.select(*LIST), LIST, "left_anti").join(last, "user_id", "left")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("bucket_ordinal")) - 1
+    more = orphans.select("user_id", (F.coalesce("groups", F.lit(0)) + 1).alias("group_no"), F.lit(ORPHANS).alias("place"), at.alias("at"), "bucket")
+    return known.select("user_id", "group_no", "place", "at", "bucket").unionByName(more)
 
 
 def undone_names(buckets: DataFrame) -> DataFrame:
-    return buckets.where("status = 'undone'").groupBy("user_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    return buckets.where(F.col("status") == UNDONE).groupBy("user_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+
+
+def copies_of(written: DataFrame) -> DataFrame:
+    """Writes on the copies of their lists instead of the lists themselves."""
+    return written.withColumn("playlist_id", plan.list_id("copy", *LIST))

@@ -29,6 +29,19 @@ def effective(fresh_rows: DataFrame, fetched: DataFrame) -> DataFrame:
     return both.groupBy("artist_id").agg(F.max_by("genres", "w").alias("genres"))
 
 
+def refresh(requested: DataFrame, cached: DataFrame, fetched: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a run may use (artist_id, genres), what it has to ask for (artist_id), and the table as it is afterwards.
+
+    requested: artist_id, empty and repeated ids allowed.  cached: artist_id, genres, last_fetched_at.  fetched: artist_id,
+    genres of the artists that an answer came for; what is not answered stays as it was and is not used if stale.
+    """
+    wanted = requested.where("artist_id <> ''").select("artist_id").distinct()
+    good = fresh(wanted, cached, as_of)
+    ask = missing(wanted, good)
+    got = fetched.join(ask, "artist_id", "left_semi").select("artist_id", "genres").withColumn("last_fetched_at", as_of)
+    return effective(good, got), ask, cached.join(got, "artist_id", "left_anti").unionByName(got)
+
+
 def upsert_profiles(stored: DataFrame, new: DataFrame, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
     """Profiles by user_id: new values replace old ones, null ones too, but for the columns in keep_if_null."""
     cols = [c for c in stored.columns if c != "user_id"]

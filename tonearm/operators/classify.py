@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm import schemas
-from tonearm.operators.filters import sortable
+from tonearm.operators.filters import LIST, sortable
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -18,42 +18,59 @@ def buckets(spark: SparkSession) -> DataFrame:
 
 
 def normalize(genres: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """(genre, bucket) of each distinct genre: the first rule with a keyword inside it, else Other.
+    """(genre, bucket, priority) of each distinct genre: the first rule with a keyword inside it, else Other.
 
-    The rules are a fixed small table, so every genre meets them in a broadcast join.
+    The rules are a fixed small table, so every genre meets them in a broadcast join.  A priority belongs to one bucket.
     """
     met = genres.select("genre").distinct().join(F.broadcast(rule_table), F.contains(F.lower("genre"), F.col("keyword")), "left")
-    return met.groupBy("genre").agg(F.coalesce(F.min_by("bucket", "priority"), F.lit(schemas.OTHER)).alias("bucket"))
+    return met.groupBy("genre").agg(F.coalesce(F.min_by("bucket", "priority"), F.lit(schemas.OTHER)).alias("bucket"), F.min("priority").alias("priority"))
 
 
 def artist_bucket(artist_genres: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """(artist_id, bucket): the first bucket other than Other in the artist's list; artists without one are absent."""
+    """(artist_id, bucket, priority): the first bucket other than Other in the artist's list; artists without one are absent."""
     named = artist_genres.join(normalize(artist_genres, rule_table), "genre").where(F.col("bucket") != schemas.OTHER)
-    return named.groupBy("artist_id").agg(F.min_by("bucket", "gpos").alias("bucket"))
+    first = F.min_by(F.struct("bucket", "priority"), "gpos").alias("b")
+    return named.groupBy("artist_id").agg(first).select("artist_id", "b.bucket", "b.priority")
 
 
-def item_artists(items: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, position, artist_pos, artist_id) of sortable items."""
+def item_artists(items: DataFrame, *more: Column) -> DataFrame:
+    """(user_id, playlist_id, position, more, artist_pos, artist_id) of sortable items."""
     rows = items.where(sortable(F.col("track")))
-    return rows.select("user_id", "playlist_id", "position", F.posexplode("track.artists").alias("artist_pos", "a")).select("user_id", "playlist_id", "position", "artist_pos", F.col("a.id").alias("artist_id"))
+    return rows.select(*LIST, "position", *more, F.posexplode("track.artists.id").alias("artist_pos", "artist_id"))
 
 
-def track_bucket(items: DataFrame, artist_dim: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, position, track_id, uri, bucket) of every sortable occurrence: its first artist with a bucket."""
-    rows = items.where(sortable(F.col("track"))).select("user_id", "playlist_id", "position", F.col("track.id").alias("track_id"), F.col("track.uri").alias("uri"), F.posexplode(F.col("track.artists.id")).alias("artist_pos", "artist_id"))
-    keys = ["user_id", "playlist_id", "position", "track_id", "uri"]
-    first = F.min(F.when(F.col("bucket").isNotNull(), F.struct("artist_pos", "bucket")))["bucket"]
-    return rows.join(artist_dim, "artist_id", "left").groupBy(*keys).agg(F.coalesce(first, F.lit(schemas.OTHER)).alias("bucket"))
+def track_bucket(items: DataFrame, artist_dim: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """(user_id, playlist_id, position, track_id, uri, bucket) of every sortable occurrence: its first artist with a bucket.
+
+    The artist's place and the bucket's priority travel as one number, so that the aggregate hashes and need not sort.
+    """
+    rows = item_artists(items, F.col("track.id").alias("track_id"), F.col("track.uri").alias("uri"))
+    place = F.col("artist_pos").cast("bigint") * 2**32 + F.col("priority")
+    first = rows.join(artist_dim.select("artist_id", "priority"), "artist_id", "left").groupBy(*LIST, "position", "track_id", "uri").agg(F.min(place).alias("place"))
+    names = F.broadcast(rule_table.select("priority", F.col("bucket").alias("name")).distinct())  # as small as the rules
+    named = first.withColumn("priority", (F.col("place") % 2**32).cast("int")).join(names, "priority", "left")
+    return named.select(*LIST, "position", "track_id", "uri", F.coalesce("name", F.lit(schemas.OTHER)).alias("bucket"))
 
 
 def bucket_map(assigned: DataFrame) -> DataFrame:
-    """(user_id, bucket, n, first_position, track_ids, bucket_ordinal): buckets by first appearance in the source."""
-    grouped = assigned.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("r"))
-    order = F.row_number().over(Window.partitionBy("user_id").orderBy("first_position"))
-    return grouped.select("user_id", "bucket", "n", "first_position", F.transform("r", lambda x: x["track_id"]).alias("track_ids"), order.alias("bucket_ordinal"))
+    """(user_id, bucket, n, first_position, bucket_ordinal): buckets by first appearance in the source."""
+    grouped = assigned.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), F.min("position").alias("first_position"))
+    return grouped.withColumn("bucket_ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("first_position")))
+
+
+def bucket_tracks(assigned: DataFrame) -> DataFrame:
+    """(user_id, bucket, track_ids): the tracks of each bucket in source order, for output."""
+    listed = assigned.groupBy("user_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("r"))
+    return listed.select("user_id", "bucket", F.transform("r", lambda x: x["track_id"]).alias("track_ids"))
+
+
+def classify_library(items: DataFrame, artist_genres: DataFrame, rule_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (user_id, playlist_id, position, track) and genres (artist_id, gpos, genre) to assigned items and the bucket map."""
+    assigned = track_bucket(items, artist_bucket(artist_genres, rule_table), rule_table)
+    return assigned, bucket_map(assigned)
 
 
 def first_seen_artists(items: DataFrame) -> DataFrame:
     """(user_id, artist_id, seen): distinct artists with the place where each appears first; empty ids are dropped."""
-    rows = items.where(sortable(F.col("track"))).select("user_id", "playlist_id", "position", F.posexplode("track.artists").alias("artist_pos", "a"))
-    return rows.where(F.col("a.id") != "").groupBy("user_id", F.col("a.id").alias("artist_id")).agg(F.min(F.struct("playlist_id", "position", "artist_pos")).alias("seen"))
+    rows = item_artists(items).where("artist_id <> ''")
+    return rows.groupBy("user_id", "artist_id").agg(F.min(F.struct("playlist_id", "position", "artist_pos")).alias("seen"))

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Only white space, the no-break space and the byte order mark included.
-BLANK = r"^[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]*$"
+#: What tells a list apart: one list may stand in the libraries of several users.
+LIST = ["user_id", "playlist_id"]
+#: White space, the no-break space, the other Unicode blanks and the byte order mark included.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANK = f"^{SPACE}*$"
+
+
+def trimmed(text: Column) -> Column:
+    """The text without any kind of white space at its ends; the built-in trim knows the plain space only."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 units, where characters beyond the first 65,536 count twice."""
+    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
 
 
 def copyable(track: Column) -> Column:
@@ -53,10 +66,13 @@ def profile(user: Column) -> Column:
     return F.struct(user["id"].alias("user_id"), user["display_name"].alias("display_name"), F.get(user["images"], F.lit(0))["url"].alias("picture_url"))
 
 
+def public_user(users: DataFrame) -> DataFrame:
+    """What anybody may see of a stored profile."""
+    return users.select("user_id", "display_name", "picture_url")
+
+
 def batches(rows: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
     """(keys, batch_no, values): an ordered list cut into runs of `size`, the last one short."""
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     numbered = rows.select(*keys, F.col(value).alias("v"), at.alias("at")).withColumn("batch_no", F.floor(F.col("at") / size))
     return numbered.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("r")).select(*keys, "batch_no", F.transform("r", lambda x: x["v"]).alias("values"))

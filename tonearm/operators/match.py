@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.operators.filters import copyable, exclusion
+from tonearm.operators.filters import LIST, copyable, exclusion
 
 NAME_SCORE = 0.1
 
@@ -17,18 +17,33 @@ def validate(playlists: DataFrame) -> DataFrame:
 
 def selected(requested: DataFrame, playlists: DataFrame) -> DataFrame:
     """Headers that were asked for; their own order, each once."""
-    return playlists.join(requested.select("user_id", "playlist_id"), ["user_id", "playlist_id"], "left_semi")
+    return playlists.join(requested.select(*LIST), LIST, "left_semi")
 
 
 def not_found(requested: DataFrame, playlists: DataFrame) -> DataFrame:
     """Asked-for ids without a header; repeated requests repeat."""
-    return requested.join(playlists.select("user_id", "playlist_id"), ["user_id", "playlist_id"], "left_anti").withColumn("reason", F.lit("not found"))
+    return requested.join(playlists.select(*LIST), LIST, "left_anti").withColumn("reason", F.lit("not found"))
+
+
+def validate_destinations(requested: DataFrame, playlists: DataFrame, sources: DataFrame, proceeding: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Destinations and exclusions of the users in proceeding; the others stop before anything is validated.
+
+    requested: user_id, playlist_id, asked (place in the request).  sources: user_id, source_id; a source is never a
+    destination.  Destinations are headers in their own order; exclusions (user_id, playlist_id, name, reason, place) have those
+    without a header first, in order of the request, then the others in order of the headers.
+    """
+    asked = requested.join(proceeding.select("user_id"), "user_id", "left_semi")
+    told = validate(selected(asked, playlists)).join(sources.select("user_id", F.col("source_id").alias("__source")), "user_id", "left").where(~F.col("playlist_id").eqNullSafe(F.col("__source"))).drop("__source")
+    lost = not_found(asked, playlists).select(*LIST, F.lit("").alias("name"), "reason", F.lit(0).alias("part"), F.col("asked").alias("at"))
+    bad = told.where("reason is not null").select(*LIST, "name", "reason", F.lit(1).alias("part"), F.col("ordinal").alias("at"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("part", "at"))
+    return told.where("reason is null").drop("reason"), lost.unionByName(bad).select(*LIST, "name", "reason", place.alias("place"))
 
 
 def genre_profile(assigned: DataFrame) -> DataFrame:
-    """(playlist_id, bucket, n, share); no rows for a list without sortable items."""
-    n = assigned.groupBy("playlist_id", "bucket").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("playlist_id")))
+    """(user_id, playlist_id, bucket, n, share); no rows for a list without sortable items."""
+    n = assigned.groupBy(*LIST, "bucket").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*LIST)))
 
 
 def scores(buckets: DataFrame, destinations: DataFrame, profile: DataFrame) -> DataFrame:
@@ -36,8 +51,8 @@ def scores(buckets: DataFrame, destinations: DataFrame, profile: DataFrame) -> D
 
     A list without sortable items scores NAME_SCORE where its name holds a word of the bucket's.  At most 16 buckets a user.
     """
-    filled = profile.groupBy("playlist_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "share"))).alias("shares"))
-    known = destinations.select("user_id", "playlist_id", "ordinal", "name").join(filled, "playlist_id", "left")
+    filled = profile.groupBy(*LIST).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "share"))).alias("shares"))
+    known = destinations.select(*LIST, "ordinal", "name").join(filled, LIST, "left")
     words = F.split(F.lower("bucket"), r"[\s/&]+")
     named = F.when(F.exists(words, lambda k: F.contains(F.lower("name"), k)), NAME_SCORE).otherwise(0.0)
     score = F.when(F.col("shares").isNull(), named).otherwise(F.coalesce(F.try_element_at("shares", F.col("bucket")), F.lit(0.0)))
@@ -55,8 +70,8 @@ def unmatched(buckets: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def replay_safe(destinations: DataFrame, items: DataFrame) -> DataFrame:
-    """(playlist_id, n_copyable, n_items, safe): whether every item could be added again; an empty list is safe."""
-    n = items.groupBy("playlist_id").agg(F.count_if(copyable(F.col("track"))).alias("k"), F.count("*").alias("n"))
-    joined = destinations.select("playlist_id").join(n, "playlist_id", "left")
+    """(user_id, playlist_id, n_copyable, n_items, safe): whether every item could be added again; an empty list is safe."""
+    n = items.groupBy(*LIST).agg(F.count_if(copyable(F.col("track"))).alias("k"), F.count("*").alias("n"))
+    joined = destinations.select(*LIST).join(n, LIST, "left")
     k, n = F.coalesce("k", F.lit(0)), F.coalesce("n", F.lit(0))
-    return joined.select("playlist_id", k.alias("n_copyable"), n.alias("n_items"), (k == n).alias("safe"))
+    return joined.select(*LIST, k.alias("n_copyable"), n.alias("n_items"), (k == n).alias("safe"))

@@ -14,17 +14,18 @@ VIEWS = f"""
 WITH buckets(bucket, bucket_no) AS (VALUES {_values([(b, i) for i, b in enumerate(schemas.BUCKETS)])}),
 rules(priority, keyword, bucket) AS (VALUES {_values(schemas.RULE_ROWS)}),
 vocab(v, genre) AS (VALUES {_values(list(enumerate(schemas.VOCAB)))}),
+members AS (SELECT *, o_custkey AS user_id FROM orders UNION ALL SELECT *, o_custkey + 1 FROM orders WHERE o_orderkey % 31 = 0),
 lists AS (
-  SELECT o_orderkey AS playlist_id, o_custkey AS user_id, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner_id,
-    o_orderstatus = 'P' AS collaborative, CASE o_orderkey % 23 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE bucket || ' mix' END AS name,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS ordinal
-  FROM orders JOIN buckets ON bucket_no = o_orderkey % 16),
+  SELECT o_orderkey AS playlist_id, user_id, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner_id,
+    o_orderstatus = 'P' OR o_orderkey % 31 = 0 AS collaborative, CASE o_orderkey % 23 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE bucket || ' mix' END AS name,
+    row_number() OVER (PARTITION BY user_id ORDER BY o_orderdate DESC, o_orderkey) AS ordinal
+  FROM members JOIN buckets ON bucket_no = o_orderkey % 16),
 items AS (
-  SELECT l_orderkey AS playlist_id, o_custkey AS user_id, l_partkey AS track_id, l_suppkey,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position,
+  SELECT l_orderkey AS playlist_id, user_id, l_partkey AS track_id, l_suppkey,
+    row_number() OVER (PARTITION BY l_orderkey, user_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position,
     l_quantity <> 50 AS has_track, CASE WHEN l_partkey % 97 = 0 THEN '' ELSE 'lib:track:' || l_partkey END AS uri,
     l_returnflag = 'R' AND l_linenumber = 7 AS is_local, NOT (l_linenumber = 6 AND l_returnflag = 'A') AS playable, l_partkey % 53 <> 0 AS has_artists
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  FROM lineitem JOIN members ON o_orderkey = l_orderkey),
 copyable AS (SELECT * FROM items WHERE has_track AND NOT is_local AND playable AND uri <> ''),
 sortable AS (SELECT * FROM copyable WHERE has_artists),
 seen AS (
@@ -40,36 +41,36 @@ genre_bucket AS (
 dim AS (SELECT artist_id, arg_min(bucket, gpos) AS bucket FROM artist_genres JOIN genre_bucket USING (genre) WHERE bucket <> 'Other' GROUP BY artist_id),
 assigned AS (
   SELECT s.user_id, s.playlist_id, s.position, s.track_id, s.uri, coalesce(arg_min(d.bucket, a.artist_pos) FILTER (d.bucket IS NOT NULL), 'Other') AS bucket
-  FROM sortable s JOIN seen a ON a.playlist_id = s.playlist_id AND a.position = s.position LEFT JOIN dim d ON d.artist_id = a.artist_id
+  FROM sortable s JOIN seen a ON a.user_id = s.user_id AND a.playlist_id = s.playlist_id AND a.position = s.position LEFT JOIN dim d ON d.artist_id = a.artist_id
   GROUP BY s.user_id, s.playlist_id, s.position, s.track_id, s.uri),
-src AS (SELECT a.* FROM assigned a JOIN lists l USING (playlist_id) WHERE l.ordinal = 1),
+src AS (SELECT a.* FROM assigned a JOIN lists l USING (user_id, playlist_id) WHERE l.ordinal = 1),
 bmap AS (
   SELECT user_id, bucket, count(*) AS n, min(position) AS first_position, string_agg(track_id::VARCHAR, ',' ORDER BY position) AS track_ids,
     row_number() OVER (PARTITION BY user_id ORDER BY min(position)) AS bucket_ordinal FROM src GROUP BY user_id, bucket),
 verdicts AS (SELECT *, CASE WHEN trim(name) = '' THEN 'no name' WHEN owner_id <> user_id AND NOT collaborative THEN 'not editable' ELSE 'valid' END AS verdict FROM lists),
 dests AS (SELECT * FROM verdicts WHERE ordinal > 1 AND verdict = 'valid'),
-profile AS (SELECT playlist_id, bucket, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY playlist_id) AS share FROM assigned GROUP BY playlist_id, bucket),
+profile AS (SELECT user_id, playlist_id, bucket, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id, playlist_id) AS share FROM assigned GROUP BY user_id, playlist_id, bucket),
 scores AS (
   SELECT m.user_id, m.bucket, d.playlist_id, d.ordinal,
-    CASE WHEN d.playlist_id IN (SELECT playlist_id FROM profile) THEN coalesce(p.share, 0.0E0)
+    CASE WHEN (d.user_id, d.playlist_id) IN (SELECT (user_id, playlist_id) FROM profile) THEN coalesce(p.share, 0.0E0)
       WHEN len(list_filter(regexp_split_to_array(lower(m.bucket), '[\\s/&]+'), lambda k: contains(lower(d.name), k))) > 0 THEN 1.0E-1 ELSE 0.0E0 END AS score
-  FROM bmap m JOIN dests d USING (user_id) LEFT JOIN profile p ON p.playlist_id = d.playlist_id AND p.bucket = m.bucket),
+  FROM bmap m JOIN dests d USING (user_id) LEFT JOIN profile p ON p.user_id = d.user_id AND p.playlist_id = d.playlist_id AND p.bucket = m.bucket),
 best AS (
   SELECT user_id, bucket, playlist_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, bucket ORDER BY score DESC, ordinal) AS r FROM scores WHERE score > 0) WHERE r = 1),
 safety AS (
-  SELECT d.playlist_id, count(*) FILTER (i.has_track AND NOT i.is_local AND i.playable AND i.uri <> '') AS n_copyable, count(i.playlist_id) AS n_items
-  FROM dests d LEFT JOIN items i USING (playlist_id) GROUP BY d.playlist_id),
+  SELECT d.user_id, d.playlist_id, count(*) FILTER (i.has_track AND NOT i.is_local AND i.playable AND i.uri <> '') AS n_copyable, count(i.playlist_id) AS n_items
+  FROM dests d LEFT JOIN items i USING (user_id, playlist_id) GROUP BY ALL),
 cand AS (SELECT s.user_id, s.bucket, m.bucket_ordinal, s.position, s.uri FROM src s JOIN bmap m USING (user_id, bucket)),
 base AS (SELECT user_id, playlist_id, 0 AS segment, 0 AS bucket_ordinal, position, uri FROM copyable),
 copies AS (
   SELECT user_id, playlist_id, row_number() OVER (PARTITION BY user_id, playlist_id ORDER BY segment, bucket_ordinal, position) - 1 AS position, uri FROM (
-    SELECT * FROM base WHERE playlist_id IN (SELECT playlist_id FROM best)
+    SELECT * FROM base WHERE (user_id, playlist_id) IN (SELECT (user_id, playlist_id) FROM best)
     UNION ALL SELECT c.user_id, b.playlist_id, 1, c.bucket_ordinal, c.position, c.uri FROM cand c JOIN best b USING (user_id, bucket))),
 ledger AS (
-  SELECT m.user_id, m.bucket, b.playlist_id, m.n, CASE WHEN b.playlist_id % 11 <> 0 THEN 'success' ELSE 'failed' END AS status,
-    CASE WHEN b.playlist_id % 11 <> 0 THEN m.n ELSE 0 END AS tracks_added,
-    CASE WHEN b.playlist_id IS NULL THEN 'no matching playlist' WHEN b.playlist_id % 11 = 0 THEN 'write failed' END AS reason,
+  SELECT m.user_id, m.bucket, b.playlist_id, m.n, CASE WHEN (b.playlist_id + m.user_id) % 11 <> 0 THEN 'success' ELSE 'failed' END AS status,
+    CASE WHEN (b.playlist_id + m.user_id) % 11 <> 0 THEN m.n ELSE 0 END AS tracks_added,
+    CASE WHEN b.playlist_id IS NULL THEN 'no matching playlist' WHEN (b.playlist_id + m.user_id) % 11 = 0 THEN 'write failed' END AS reason,
     row_number() OVER (PARTITION BY m.user_id ORDER BY b.playlist_id IS NOT NULL, m.bucket_ordinal) AS result_ordinal
   FROM bmap m LEFT JOIN best b USING (user_id, bucket)),
 wanted AS (SELECT DISTINCT artist_id FROM seen),
@@ -97,23 +98,53 @@ rebuilt AS (
     WHERE ab.status = 'applied' AND NOT EXISTS (SELECT 1 FROM chosen h WHERE h.user_id = c.user_id AND h.bucket = c.bucket))),
 after AS (
   SELECT ab.user_id, ab.bucket, ab.n, h.user_id IS NOT NULL AS was_asked,
-    CASE WHEN h.user_id IS NOT NULL AND ab.playlist_id % 11 <> 0 AND ab.user_id NOT IN (SELECT user_id FROM conflicts) THEN 'undone' ELSE ab.status END AS status
-  FROM ab LEFT JOIN chosen h ON h.user_id = ab.user_id AND h.bucket = ab.bucket)
+    CASE WHEN h.user_id IS NOT NULL AND (ab.playlist_id + ab.user_id) % 11 <> 0 AND ab.user_id NOT IN (SELECT user_id FROM conflicts) THEN 'undone' ELSE ab.status END AS status
+  FROM ab LEFT JOIN chosen h ON h.user_id = ab.user_id AND h.bucket = ab.bucket),
+sources AS (SELECT * FROM lists WHERE ordinal = 1),
+backups AS (
+  SELECT s.user_id, s.playlist_id, CASE WHEN s.playlist_id % 13 <> 0 THEN sha256('backup|' || s.user_id || '|' || s.playlist_id) END AS list_id,
+    CASE WHEN s.playlist_id % 13 <> 0 THEN s.name || ' — Backup' END AS name,
+    CASE WHEN s.playlist_id % 13 <> 0 THEN (SELECT count(*) FROM copyable c WHERE c.user_id = s.user_id AND c.playlist_id = s.playlist_id) ELSE 0 END AS tracks_copied,
+    CASE WHEN s.playlist_id % 13 <> 0 THEN 'success' ELSE 'source not found' END AS status
+  FROM sources s WHERE s.user_id % 2 = 0),
+runs AS (
+  SELECT s.user_id, s.playlist_id, coalesce(n, 0) AS n_sortable, CASE WHEN b.status = 'source not found' THEN 'aborted' WHEN n IS NULL THEN 'empty' ELSE 'sorted' END AS outcome
+  FROM sources s LEFT JOIN (SELECT user_id, playlist_id, count(*) AS n FROM sortable GROUP BY ALL) k USING (user_id, playlist_id) LEFT JOIN backups b USING (user_id, playlist_id)),
+going AS (SELECT user_id FROM runs WHERE outcome = 'sorted'),
+wish AS (SELECT user_id, playlist_id, 2 * ordinal AS place FROM lists UNION ALL SELECT user_id, playlist_id + 1, 2 * ordinal + 1 FROM lists),
+excluded AS (
+  SELECT user_id, playlist_id, name, reason, row_number() OVER (PARTITION BY user_id ORDER BY part, place) AS place FROM (
+    SELECT w.user_id, w.playlist_id, '' AS name, 'not found' AS reason, 0 AS part, w.place FROM wish w LEFT JOIN lists l USING (user_id, playlist_id) WHERE l.name IS NULL
+    UNION ALL SELECT user_id, playlist_id, name, verdict, 1, ordinal FROM verdicts WHERE verdict <> 'valid' AND ordinal > 1)
+  WHERE user_id IN (SELECT user_id FROM going)),
+made AS (
+  SELECT user_id, playlist_id, sha256('copy|' || user_id || '|' || playlist_id) AS list_id, CASE WHEN playlist_id % 4 = 0 THEN 'Named' ELSE name || ' — Copy' END AS copy_name
+  FROM lists WHERE (user_id, playlist_id) IN (SELECT (user_id, playlist_id) FROM best)),
+kept AS (SELECT ab.*, list_id, copy_name, user_id % 23 = 0 AS lost FROM ab JOIN made USING (user_id, playlist_id) WHERE (ab.playlist_id + ab.user_id) % 11 <> 0),
+recorded AS (
+  SELECT user_id, TIMESTAMP '2024-01-30 00:00:00' + to_hours((user_id % 36)::INTEGER) AS created_at, bool_or(lost) AS lost, arg_min(list_id, bucket_ordinal) AS first_list,
+    string_agg(bucket || ':' || list_id || ':' || copy_name || ':applied:' || (SELECT string_agg(uri, '+' ORDER BY position) FROM cand c WHERE c.user_id = k.user_id AND c.bucket = k.bucket), ';' ORDER BY bucket_ordinal) AS buckets
+  FROM kept k GROUP BY user_id),
+record_lists AS (
+  SELECT user_id, string_agg(list_id || ':' || copy_name || ':s' || list_id[1:8] || ':' || bucket_order || ':' || baseline, ';' ORDER BY place) AS destinations FROM (
+    SELECT user_id, list_id, copy_name, min(bucket_ordinal) AS place, string_agg(bucket, '+' ORDER BY bucket_ordinal) AS bucket_order,
+      coalesce((SELECT string_agg(uri, '+' ORDER BY position) FROM base b WHERE b.user_id = k.user_id AND b.playlist_id = k.playlist_id), '') AS baseline
+    FROM kept k GROUP BY user_id, playlist_id, list_id, copy_name) GROUP BY user_id)
 """
 
 REQUESTS = """
 WITH r AS (
   SELECT c_custkey AS u, CASE WHEN c_custkey % 6 = 1 THEN 'liked' ELSE 'playlist' END AS st, c_custkey % 4 <> 0 AS existing,
     CASE WHEN c_custkey % 4 = 1 THEN 'copy' WHEN c_custkey % 4 = 2 OR c_custkey % 20 = 0 THEN 'direct' END AS wm,
-    CASE WHEN c_custkey % 9 = 0 THEN ' ' WHEN c_custkey % 8 <> 3 THEN 'p' || c_custkey END AS pid,
+    CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 8 <> 3 THEN 'p' || c_custkey END AS pid,
     CASE WHEN c_custkey % 10 = 0 THEN 'none' WHEN c_custkey % 12 = 0 THEN 'own' WHEN c_custkey % 4 <> 0 THEN 'two' END AS ids,
     CASE WHEN c_custkey % 11 = 0 THEN 'd1' WHEN c_custkey % 7 = 0 THEN 'd3' END AS named, c_custkey % 5 = 0 AS backup
   FROM customer),
 f AS (
   SELECT *, concat_ws('; ',
-    CASE WHEN pid = ' ' THEN 'playlistId: playlistId must not be blank' END,
+    CASE WHEN pid = '' THEN 'playlistId: playlistId must not be blank' END,
     CASE WHEN ids = 'none' THEN 'editablePlaylistIds: editablePlaylistIds must contain at least one playlist id' END,
-    CASE WHEN named = 'd1' THEN 'safeCopyNames: safe copy name must be at most 100 characters' END) AS fields FROM r),
+    CASE WHEN named = 'd1' THEN 'safeCopyNames.d1: safe copy name must be at most 100 characters' END) AS fields FROM r),
 i AS (
   SELECT u, existing, wm, CASE WHEN fields <> '' THEN fields ELSE concat_ws('; ',
     CASE WHEN st = 'playlist' AND pid IS NULL THEN 'playlistId: playlistId is required when sourceType is playlist' END,
@@ -122,20 +153,27 @@ i AS (
     CASE WHEN NOT existing AND wm IS NOT NULL THEN 'existingPlaylistWriteMode: existingPlaylistWriteMode is only valid when outputMode is sort-into-existing' END,
     CASE WHEN named IS NOT NULL AND NOT existing THEN 'safeCopyNames: safeCopyNames is only valid when outputMode is sort-into-existing' END,
     CASE WHEN named IS NOT NULL AND existing AND wm = 'direct' THEN 'safeCopyNames: safeCopyNames is only valid when existingPlaylistWriteMode is copy' END,
-    CASE WHEN named = 'd3' OR named = 'd1' AND ids IS NULL THEN 'safeCopyNames: safeCopyNames key is not in editablePlaylistIds' END,
+    CASE WHEN named = 'd3' THEN 'safeCopyNames.d3: safeCopyNames key ''d3'' is not in editablePlaylistIds' END,
+    CASE WHEN named = 'd3' THEN 'safeCopyNames.d4: safeCopyNames key ''d4'' is not in editablePlaylistIds' END,
     CASE WHEN st = 'playlist' AND existing AND ids = 'own' AND pid IS NOT NULL THEN 'editablePlaylistIds: source playlist cannot be a destination' END) END AS issues FROM f)
 """
 
+PROFILES = """
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 1 THEN 'old' WHEN c_custkey % 3 <> 0 THEN c_name END AS display_name,
+  CASE WHEN c_custkey % 2 = 1 THEN 'old.png' WHEN c_custkey % 4 <> 0 THEN 'img/' || c_custkey END AS picture_url,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'XX' END AS country
+FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 <> 0"""
+
 ORACLES = {
     k: VIEWS + v
     for k, v in {
-        "sortable_items": "SELECT playlist_id, position, track_id::VARCHAR AS track_id FROM sortable",
-        "copyable_uris": "SELECT playlist_id, string_agg(uri, ',' ORDER BY position) AS uris FROM copyable GROUP BY playlist_id",
-        "track_summary": "SELECT playlist_id, position, track_id::VARCHAR AS id, 'track ' || track_id AS name, 'artist ' || l_suppkey || CASE WHEN track_id % 2 = 0 THEN ',artist ' || (track_id % 100) ELSE '' END AS artists, CASE WHEN track_id % 10 <> 0 THEN 'album ' || (track_id % 10) ELSE '' END AS album, CASE WHEN track_id % 4 <> 0 THEN 'lib/' || track_id ELSE '' END AS url FROM sortable",
-        "playlist_item_count": "SELECT l.playlist_id, CASE WHEN l.playlist_id % 15 <> 0 THEN max(c.n) END AS n_items FROM lists l LEFT JOIN (SELECT playlist_id, count(*) AS n FROM items GROUP BY 1) c USING (playlist_id) GROUP BY l.playlist_id",
+        "sortable_items": "SELECT user_id, playlist_id, position, track_id::VARCHAR AS track_id FROM sortable",
+        "copyable_uris": "SELECT user_id, playlist_id, string_agg(uri, ',' ORDER BY position) AS uris FROM copyable GROUP BY ALL",
+        "track_summary": "SELECT user_id, playlist_id, position, track_id::VARCHAR AS id, 'track ' || track_id AS name, 'artist ' || l_suppkey || CASE WHEN track_id % 2 = 0 THEN ',artist ' || (track_id % 100) ELSE '' END AS artists, CASE WHEN track_id % 10 <> 0 THEN 'album ' || (track_id % 10) ELSE '' END AS album, CASE WHEN track_id % 4 <> 0 THEN 'lib/' || track_id ELSE '' END AS url FROM sortable",
+        "playlist_item_count": "SELECT l.user_id, l.playlist_id, CASE WHEN l.playlist_id % 15 <> 0 THEN c.n END AS n_items FROM lists l LEFT JOIN (SELECT user_id, playlist_id, count(*) AS n FROM items GROUP BY ALL) c USING (user_id, playlist_id)",
         "normalize_genre": "SELECT * FROM genre_bucket",
         "artist_bucket": "SELECT artist_id::VARCHAR AS artist_id, bucket FROM dim",
-        "track_bucket": "SELECT playlist_id, position, track_id::VARCHAR AS track_id, bucket FROM assigned",
+        "track_bucket": "SELECT user_id, playlist_id, position, track_id::VARCHAR AS track_id, bucket FROM assigned",
         "bucket_counts": "SELECT bucket, count(*) AS n FROM assigned GROUP BY bucket",
         "bucket_map": "SELECT user_id, bucket, n, first_position, track_ids, bucket_ordinal FROM bmap",
         "distinct_artists": "SELECT user_id, artist_id::VARCHAR AS artist_id, playlist_id, position, artist_pos::BIGINT AS artist_pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, artist_id ORDER BY playlist_id, position, artist_pos) AS r FROM seen) WHERE r = 1",
@@ -144,25 +182,36 @@ ORACLES = {
         "cache_upsert_latest": "SELECT user_id AS artist_id, max(ts) AS fetched_at, arg_max(value, ts) AS payload FROM events GROUP BY user_id",
         "effective_genres": "SELECT artist_id::VARCHAR AS artist_id, genres FROM fresh UNION ALL SELECT artist_id::VARCHAR, genre FROM missing JOIN vocab ON v = (artist_id + 1) % 24 WHERE artist_id % 5 <> 0",
         "artist_request_batches": ", q AS (SELECT user_id, artist_id, row_number() OVER (PARTITION BY user_id ORDER BY playlist_id, position, artist_pos) - 1 AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id, artist_id ORDER BY playlist_id, position, artist_pos) AS k FROM seen) WHERE k = 1 AND artist_id IN (SELECT artist_id FROM missing)) SELECT user_id, r // 50 AS batch_no, string_agg(artist_id::VARCHAR, ',' ORDER BY r) AS values FROM q GROUP BY 1, 2",
-        "validate_playlists": "SELECT playlist_id, verdict FROM verdicts",
-        "editable_playlists": "SELECT playlist_id, owner_id = user_id OR collaborative AS editable, NOT (owner_id = user_id OR collaborative) AND ordinal <> 1 AS unavailable FROM lists",
+        "validate_playlists": "SELECT user_id, playlist_id, verdict FROM verdicts",
+        "editable_playlists": "SELECT user_id, playlist_id, owner_id = user_id OR collaborative AS editable, NOT (owner_id = user_id OR collaborative) AND ordinal <> 1 AS unavailable FROM lists",
         "not_found_ids": "SELECT user_id, playlist_id, 'not found' AS reason FROM (SELECT user_id, playlist_id FROM lists UNION ALL SELECT user_id, playlist_id + 1 FROM lists) q WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.user_id = q.user_id AND l.playlist_id = q.playlist_id)",
         "selected_playlists": "SELECT user_id, playlist_id, ordinal FROM lists WHERE playlist_id % 3 = 0 AND ordinal <> 1",
-        "genre_profile": "SELECT playlist_id, bucket, n, round(share, 9) AS share FROM profile",
+        "genre_profile": "SELECT user_id, playlist_id, bucket, n, round(share, 9) AS share FROM profile",
         "bucket_match_scores": "SELECT user_id, bucket, playlist_id, round(score, 9) AS score FROM scores",
         "best_match": "SELECT user_id, bucket, playlist_id, round(score, 9) AS score FROM best",
         "unmatched_buckets": "SELECT user_id, bucket, n FROM bmap m WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.user_id = m.user_id AND b.bucket = m.bucket)",
         "replay_safe": "SELECT *, n_copyable = n_items AS safe FROM safety",
         "plan_auto_create": "SELECT user_id, bucket, sha256('auto|' || user_id || '|' || bucket) AS list_id, row_number() OVER (PARTITION BY user_id, bucket ORDER BY position) - 1 AS position, uri FROM src",
         "plan_safe_copy": "SELECT * FROM copies",
-        "copy_names": "SELECT playlist_id, CASE WHEN playlist_id % 4 = 0 THEN 'Named' ELSE name || ' — Copy' END AS copy_name FROM lists WHERE playlist_id IN (SELECT playlist_id FROM best)",
-        "plan_direct": "SELECT c.user_id, b.playlist_id, s.n_items + row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS position, c.uri FROM cand c JOIN best b USING (user_id, bucket) JOIN safety s ON s.playlist_id = b.playlist_id WHERE s.n_copyable = s.n_items",
-        "plan_backup": "SELECT l.user_id, l.name || ' — Backup' AS name, sha256('backup|' || l.user_id || '|' || l.playlist_id) AS list_id, row_number() OVER (PARTITION BY l.user_id ORDER BY c.position) - 1 AS position, c.uri FROM lists l JOIN copyable c USING (playlist_id) WHERE l.ordinal = 1",
+        "copy_names": "SELECT user_id, list_id, copy_name, user_id AS owner_id, false AS collaborative, false AS public FROM made",
+        "plan_direct": "SELECT c.user_id, b.playlist_id, s.n_items + row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS position, c.uri FROM cand c JOIN best b USING (user_id, bucket) JOIN safety s ON s.user_id = b.user_id AND s.playlist_id = b.playlist_id WHERE s.n_copyable = s.n_items",
+        "plan_backup": "SELECT l.user_id, l.name || ' — Backup' AS name, sha256('backup|' || l.user_id || '|' || l.playlist_id) AS list_id, row_number() OVER (PARTITION BY l.user_id ORDER BY c.position) - 1 AS position, c.uri FROM lists l JOIN copyable c USING (user_id, playlist_id) WHERE l.ordinal = 1",
         "write_batches": "SELECT user_id, playlist_id, position // 5 AS batch_no, string_agg(uri, ',' ORDER BY position) AS values FROM copies GROUP BY 1, 2, 3",
         "result_ledger": "SELECT * FROM ledger",
         "ledger_totals": "SELECT user_id, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'failed') AS failed, sum(tracks_added)::BIGINT AS tracks_added FROM ledger GROUP BY user_id",
         "unique_copies": "SELECT user_id, playlist_id, arg_min(bucket, result_ordinal) AS bucket FROM ledger WHERE status = 'success' GROUP BY 1, 2",
-        "action_destinations": "SELECT user_id, playlist_id, string_agg(bucket, ',' ORDER BY bucket_ordinal) AS bucket_order FROM ab GROUP BY 1, 2",
+        "backup_status": "SELECT * FROM backups",
+        "run_outcomes": "SELECT * FROM runs",
+        "valid_destinations": "SELECT user_id, playlist_id, name, ordinal FROM dests WHERE user_id IN (SELECT user_id FROM going)",
+        "excluded_playlists": "SELECT * FROM excluded",
+        "refresh_artist_cache": "SELECT artist_id::VARCHAR AS artist_id, string_agg(genre, ',' ORDER BY gpos) AS genres, TIMESTAMP '2024-01-31 00:00:00' - to_days((artist_id % 29)::INTEGER) AS last_fetched_at FROM artist_genres WHERE artist_id NOT IN (SELECT artist_id FROM missing WHERE artist_id % 5 <> 0) GROUP BY artist_id UNION ALL SELECT artist_id::VARCHAR, genre, TIMESTAMP '2024-01-31 00:00:00' FROM missing JOIN vocab ON v = (artist_id + 1) % 24 WHERE artist_id % 5 <> 0",
+        "append_lists": "SELECT c.user_id, b.playlist_id, coalesce((SELECT count(*) FROM items i WHERE i.user_id = b.user_id AND i.playlist_id = b.playlist_id), 0) + row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS position, c.uri FROM cand c JOIN best b USING (user_id, bucket)",
+        "direct_ledger": "SELECT l.* REPLACE (CASE WHEN s.n_copyable <> s.n_items THEN 'failed' ELSE l.status END AS status, CASE WHEN s.n_copyable <> s.n_items THEN 0 ELSE l.tracks_added END AS tracks_added, CASE WHEN s.n_copyable <> s.n_items THEN 'the list holds items that could not be written again, so a direct change could not be undone' ELSE l.reason END AS reason) FROM ledger l LEFT JOIN safety s ON s.user_id = l.user_id AND s.playlist_id = l.playlist_id",
+        "action_destinations": "SELECT user_id, playlist_id, string_agg(bucket, ',' ORDER BY bucket_ordinal) AS bucket_order, coalesce((SELECT string_agg(uri, ',' ORDER BY position) FROM base b WHERE b.user_id = ab.user_id AND b.playlist_id = ab.playlist_id), '') AS baseline, 's' || playlist_id AS expected FROM ab GROUP BY user_id, playlist_id",
+        "record_action": "SELECT user_id, CASE WHEN NOT lost THEN sha256('action|' || user_id || '|' || epoch_us(created_at)) END AS action_id, CASE WHEN NOT lost THEN created_at END AS created_at, CASE WHEN NOT lost THEN created_at + INTERVAL 24 HOURS END AS expires_at, CASE WHEN NOT lost THEN destinations END AS destinations, CASE WHEN NOT lost THEN buckets END AS buckets, CASE WHEN lost THEN 'no action was recorded: the final snapshot is not known of list ' || first_list END AS warning FROM recorded JOIN record_lists USING (user_id)",
+        "update_action": "SELECT user_id, sha256('action|' || user_id || '|' || epoch_us(created_at)) AS action_id, created_at + INTERVAL 24 HOURS AS expires_at, greatest(1, (user_id % 36) * 3600)::BIGINT AS seconds_left FROM recorded WHERE NOT lost",
+        "undo_snapshots": "SELECT user_id, playlist_id, CASE WHEN (playlist_id + user_id) % 11 <> 0 AND (user_id, playlist_id) IN (SELECT (user_id, playlist_id) FROM rewrite) THEN 'n' ELSE 's' END || playlist_id AS expected FROM (SELECT DISTINCT user_id, playlist_id FROM ab)",
+        "replace_lists": "SELECT user_id, playlist_id, position - 1 AS position, CASE WHEN has_track THEN uri END AS uri FROM items WHERE (user_id, playlist_id) NOT IN (SELECT (user_id, playlist_id) FROM rewrite) UNION ALL SELECT user_id, playlist_id, position, uri FROM rebuilt",
         "latest_action": "SELECT user_id, event_id AS action_id, greatest(1, ceil(epoch(ts + INTERVAL 24 HOURS - TIMESTAMP '2024-01-29 12:00:00')))::BIGINT AS seconds_left FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-29 12:00:00' AND event_id % 10 <> 0",
         "undo_unknown_buckets": "SELECT * FROM unknown",
         "undo_already_undone": "SELECT * FROM again",
@@ -170,16 +219,13 @@ ORACLES = {
         "undo_rebuild": "SELECT * FROM rebuilt",
         "undo_transition": "SELECT user_id, bucket, status FROM after",
         "undo_totals": "SELECT user_id, count(*) FILTER (status <> 'undone') AS applied, count(*) FILTER (status = 'undone') AS undone, coalesce(sum(n) FILTER (status = 'undone'), 0)::BIGINT AS tracks_undone, CASE WHEN bool_or(was_asked AND status <> 'undone') THEN 'partial' ELSE 'complete' END AS outcome FROM after GROUP BY user_id",
-        "undo_groups": "SELECT ab.user_id, bucket, CASE WHEN ab.playlist_id % 29 = 0 THEN 'Other destinations' ELSE l.name END AS place FROM ab JOIN lists l USING (playlist_id)",
+        "undo_groups": ", g AS (SELECT user_id, playlist_id, row_number() OVER (PARTITION BY user_id ORDER BY min(bucket_ordinal)) AS group_no FROM ab WHERE playlist_id % 29 <> 0 GROUP BY user_id, playlist_id) SELECT ab.user_id, coalesce(g.group_no, (SELECT count(*) FROM g h WHERE h.user_id = ab.user_id) + 1) AS group_no, CASE WHEN g.group_no IS NULL THEN 'Other destinations' ELSE l.name END AS place, row_number() OVER (PARTITION BY ab.user_id, g.group_no ORDER BY bucket_ordinal) - 1 AS at, bucket FROM ab JOIN lists l USING (user_id, playlist_id) LEFT JOIN g ON g.user_id = ab.user_id AND g.playlist_id = ab.playlist_id",
         "undone_bucket_names": "SELECT user_id, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM after WHERE status = 'undone' GROUP BY user_id",
     }.items()
 } | {
     "request_issues": REQUESTS + "SELECT u AS user_id, issues FROM i",
     "request_defaults": REQUESTS + "SELECT u AS user_id, CASE WHEN existing THEN coalesce(wm, 'copy') END AS write_mode FROM i WHERE issues = ''",
     "undo_request_gate": "SELECT c_custkey AS user_id, c_custkey % 5 NOT IN (0, 1, 2) AND c_mktsegment <> 'Pop' AS ok FROM customer",
-    "user_profile_upsert": """
-SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 1 THEN 'old' WHEN c_custkey % 3 <> 0 THEN c_name END AS display_name,
-  CASE WHEN c_custkey % 2 = 1 THEN 'old.png' WHEN c_custkey % 4 <> 0 THEN 'img/' || c_custkey END AS picture_url,
-  CASE WHEN c_custkey % 5 <> 0 THEN 'XX' END AS country
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 <> 0""",
+    "user_profile_upsert": PROFILES,
+    "public_users": f"SELECT user_id, display_name, picture_url FROM ({PROFILES})",
 }

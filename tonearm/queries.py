@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.fixtures import Library
 from tonearm.operators import actions, cache, classify, filters, match, plan, requests
+from tonearm.operators.filters import LIST
+from tonearm.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+#: The library whose views are kept; the next query lets go of them.
+_HELD: list[Library] = []
+
+
 def query(f: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Library(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _HELD:
+            _HELD.pop().release()
+        _HELD.append(Library(spark, sf_dir))
+        return f(_HELD[-1])
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -29,51 +41,53 @@ def _n(name: str) -> Column:
 
 @query
 def sortable_items(lib: Library) -> DataFrame:
-    return lib.items().where(filters.sortable(F.col("track"))).select("playlist_id", _n("position"), F.col("track.id").alias("track_id"))
+    return lib.items().where(filters.sortable(F.col("track"))).select(*LIST, _n("position"), F.col("track.id").alias("track_id"))
 
 
 @query
 def copyable_uris(lib: Library) -> DataFrame:
-    return filters.copyable_uris(lib.items()).select("playlist_id", _joined("uris"))
+    return filters.copyable_uris(lib.items()).select(*LIST, _joined("uris"))
 
 
 @query
 def track_summary(lib: Library) -> DataFrame:
-    rows = lib.items().where(filters.sortable(F.col("track"))).select("playlist_id", "position", filters.summary(F.col("track")).alias("s"))
-    return rows.select("playlist_id", _n("position"), "s.id", "s.name", F.array_join("s.artists", ",").alias("artists"), "s.album", "s.url")
+    rows = lib.items().where(filters.sortable(F.col("track"))).select(*LIST, "position", filters.summary(F.col("track")).alias("s"))
+    return rows.select(*LIST, _n("position"), "s.id", "s.name", F.array_join("s.artists", ",").alias("artists"), "s.album", "s.url")
 
 
 @query
 def playlist_item_count(lib: Library) -> DataFrame:
-    n = lib.items().groupBy("playlist_id").agg(F.count("*").alias("n"))
-    rows = lib.playlists().join(n, "playlist_id", "left")
+    n = lib.items().groupBy(*LIST).agg(F.count("*").alias("n"))
+    rows = lib.playlists().join(n, LIST, "left")
     rows = rows.withColumn("items_total", F.when(F.col("playlist_id") % 3 != 0, F.col("n"))).withColumn("tracks_total", F.when(F.col("playlist_id") % 5 != 0, F.col("n")))
-    return rows.select("playlist_id", filters.item_count(rows).alias("n_items"))
+    return rows.select(*LIST, filters.item_count(rows).alias("n_items"))
 
 
 @query
 def normalize_genre(lib: Library) -> DataFrame:
-    return classify.normalize(lib.artist_genres(), classify.rules(lib.spark))
+    return classify.normalize(lib.artist_genres(), lib.rules()).select("genre", "bucket")
 
 
 @query
 def artist_bucket(lib: Library) -> DataFrame:
-    return lib.dim()
+    return lib.dim().select("artist_id", "bucket")
 
 
 @query
 def track_bucket(lib: Library) -> DataFrame:
-    return lib.assigned().select("playlist_id", _n("position"), "track_id", "bucket")
+    return lib.assigned().select(*LIST, _n("position"), "track_id", "bucket")
 
 
 @query
 def bucket_counts(lib: Library) -> DataFrame:
-    return lib.assigned().groupBy("bucket").agg(F.count("*").alias("n"))
+    assigned, _ = classify.classify_library(lib.items(), lib.artist_genres(), lib.rules())
+    return assigned.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query
 def bucket_map(lib: Library) -> DataFrame:
-    return lib.buckets().select("user_id", "bucket", "n", _n("first_position"), _joined("track_ids"), _n("bucket_ordinal"))
+    rows = lib.buckets().join(classify.bucket_tracks(lib.source_assigned()), ["user_id", "bucket"])
+    return rows.select("user_id", "bucket", "n", _n("first_position"), _joined("track_ids"), _n("bucket_ordinal"))
 
 
 @query
@@ -118,19 +132,19 @@ def artist_request_batches(lib: Library) -> DataFrame:
 
 @query
 def validate_playlists(lib: Library) -> DataFrame:
-    return match.validate(lib.playlists()).select("playlist_id", F.coalesce("reason", F.lit("valid")).alias("verdict"))
+    return match.validate(lib.playlists()).select(*LIST, F.coalesce("reason", F.lit("valid")).alias("verdict"))
 
 
 @query
 def editable_playlists(lib: Library) -> DataFrame:
-    return lib.playlists().select("playlist_id", filters.editable().alias("editable"), (~filters.editable() & (F.col("ordinal") != 1)).alias("unavailable"))
+    return lib.playlists().select(*LIST, filters.editable().alias("editable"), (~filters.editable() & (F.col("ordinal") != 1)).alias("unavailable"))
 
 
 @query
 def not_found_ids(lib: Library) -> DataFrame:
     lists = lib.playlists()
     asked = lists.select("user_id", F.explode(F.array("playlist_id", F.col("playlist_id") + 1)).alias("playlist_id"))
-    return match.not_found(asked, lists).select("user_id", "playlist_id", "reason")
+    return match.not_found(asked, lists).select(*LIST, "reason")
 
 
 @query
@@ -138,12 +152,12 @@ def selected_playlists(lib: Library) -> DataFrame:
     lists = lib.playlists()
     asked = lists.where("playlist_id % 3 = 0").select("user_id", F.explode(F.array("playlist_id", "playlist_id")).alias("playlist_id"))
     rows = match.selected(asked, lists).join(lib.sources().select("user_id", F.col("playlist_id").alias("source_id")), "user_id")
-    return filters.without_source(rows).select("user_id", "playlist_id", _n("ordinal"))
+    return filters.without_source(rows).select(*LIST, _n("ordinal"))
 
 
 @query
 def genre_profile(lib: Library) -> DataFrame:
-    return match.genre_profile(lib.assigned()).select("playlist_id", "bucket", "n", F.round("share", 9).alias("share"))
+    return match.genre_profile(lib.assigned()).select(*LIST, "bucket", "n", F.round("share", 9).alias("share"))
 
 
 @query
@@ -163,7 +177,7 @@ def unmatched_buckets(lib: Library) -> DataFrame:
 
 @query
 def replay_safe(lib: Library) -> DataFrame:
-    return match.replay_safe(lib.destinations(), lib.items())
+    return lib.safety()
 
 
 @query
@@ -173,20 +187,17 @@ def plan_auto_create(lib: Library) -> DataFrame:
 
 @query
 def plan_safe_copy(lib: Library) -> DataFrame:
-    return plan.safe_copy(lib.matched(), lib.source_assigned(), lib.buckets(), lib.items()).select("user_id", "playlist_id", _n("position"), "uri")
+    return plan.safe_copy(lib.matched(), lib.source_assigned(), lib.buckets(), lib.items()).select(*LIST, _n("position"), "uri")
 
 
 @query
 def copy_names(lib: Library) -> DataFrame:
-    used = lib.matched().select("playlist_id").distinct()
-    given = F.when(F.col("playlist_id") % 4 == 0, F.create_map(F.col("playlist_id").cast("string"), F.lit("Named")))
-    rows = lib.playlists().join(used, "playlist_id", "left_semi").withColumn("safe_copy_names", given)
-    return rows.select("playlist_id", plan.copy_name().alias("copy_name"))
+    return lib.copies().select("user_id", F.col("playlist_id").alias("list_id"), F.col("name").alias("copy_name"), "owner_id", "collaborative", "public")
 
 
 @query
 def plan_direct(lib: Library) -> DataFrame:
-    return plan.direct(lib.matched(), lib.source_assigned(), lib.buckets(), match.replay_safe(lib.destinations(), lib.items())).select("user_id", "playlist_id", _n("position"), "uri")
+    return plan.direct(lib.matched(), lib.source_assigned(), lib.buckets(), lib.safety()).select(*LIST, _n("position"), "uri")
 
 
 @query
@@ -194,10 +205,45 @@ def plan_backup(lib: Library) -> DataFrame:
     return plan.backup(lib.sources(), lib.items()).select("user_id", "name", "list_id", _n("position"), "uri")
 
 
+@query
+def backup_status(lib: Library) -> DataFrame:
+    return lib.backups().select(*LIST, "list_id", "name", _n("tracks_copied"), "status")
+
+
+@query
+def run_outcomes(lib: Library) -> DataFrame:
+    return lib.runs().select(*LIST, _n("n_sortable"), "outcome")
+
+
+@query
+def valid_destinations(lib: Library) -> DataFrame:
+    return lib.validated()[0].select(*LIST, "name", _n("ordinal"))
+
+
+@query
+def excluded_playlists(lib: Library) -> DataFrame:
+    return lib.validated()[1].select(*LIST, "name", "reason", _n("place"))
+
+
+@query
+def refresh_artist_cache(lib: Library) -> DataFrame:
+    asked = classify.item_artists(lib.items()).select("artist_id")
+    _, _, after = cache.refresh(asked, lib.cached(), lib.fetched(asked), lib.as_of)
+    return after.select("artist_id", _joined("genres"), "last_fetched_at")
+
+
+@query
+def append_lists(lib: Library) -> DataFrame:
+    more = lib.candidates().join(lib.matched().select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
+    at = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "position")) - 1
+    rows = more.select(*LIST, at.alias("rank"), F.col("uri").alias("track"))
+    return pages.append_items(lib.items(), rows).select(*LIST, _n("position"), F.col("track").alias("uri"))
+
+
 @query
 def write_batches(lib: Library) -> DataFrame:
     rows = plan.safe_copy(lib.matched(), lib.source_assigned(), lib.buckets(), lib.items())
-    return filters.batches(rows, ["user_id", "playlist_id"], ["position"], "uri", 5).select("user_id", "playlist_id", _n("batch_no"), _joined("values"))
+    return filters.batches(rows, LIST, ["position"], "uri", 5).select(*LIST, _n("batch_no"), _joined("values"))
 
 
 def _ledger(lib: Library) -> DataFrame:
@@ -209,6 +255,12 @@ def result_ledger(lib: Library) -> DataFrame:
     return _ledger(lib).select("user_id", "bucket", "playlist_id", "n", "status", _n("tracks_added"), "reason", _n("result_ordinal"))
 
 
+@query
+def direct_ledger(lib: Library) -> DataFrame:
+    rows = plan.ledger(lib.buckets(), lib.matched(), lib.receipts(), plan.refused(lib.safety()))
+    return rows.select("user_id", "bucket", "playlist_id", "n", "status", _n("tracks_added"), "reason", _n("result_ordinal"))
+
+
 @query
 def ledger_totals(lib: Library) -> DataFrame:
     return plan.ledger_totals(_ledger(lib)).select("user_id", _n("succeeded"), _n("failed"), _n("tracks_added"))
@@ -221,7 +273,26 @@ def unique_copies(lib: Library) -> DataFrame:
 
 @query
 def action_destinations(lib: Library) -> DataFrame:
-    return actions.destinations(lib.action_buckets()).select("user_id", "playlist_id", _joined("bucket_order"))
+    base = actions.uris(plan.base_items(lib.action_buckets(), lib.items()), LIST, "baseline")
+    rows = actions.destinations(lib.action_buckets()).join(base, LIST, "left").join(lib.expected(), LIST, "left")
+    return rows.select(*LIST, _joined("bucket_order"), F.coalesce(F.array_join("baseline", ","), F.lit("")).alias("baseline"), "expected")
+
+
+@query
+def record_action(lib: Library) -> DataFrame:
+    a = F.col("action")
+    lists = F.transform(a["destinations"], lambda d: F.concat_ws(":", d["playlistId"], d["playlistName"], d["expectedSnapshotId"], F.array_join(d["bucketOrder"], "+"), F.array_join(d["baselineUris"], "+")))
+    buckets = F.transform(a["buckets"], lambda b: F.concat_ws(":", b["bucket"], b["playlistId"], b["playlistName"], b["status"], F.array_join(b["trackUris"], "+")))
+    rows = lib.recorded()
+    return rows.select("user_id", a["id"].alias("action_id"), a["createdAt"].alias("created_at"), a["expiresAt"].alias("expires_at"), F.array_join(lists, ";").alias("destinations"), F.array_join(buckets, ";").alias("buckets"), "warning")
+
+
+@query
+def update_action(lib: Library) -> DataFrame:
+    stored = lib.recorded().where("action is not null").select("user_id", F.to_json("action").alias("raw"))
+    read = actions.parse(stored.withColumn("user_id", F.col("user_id").cast("string")))
+    rows = read.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("action.id").alias("action_id"), F.col("action.expiresAt").alias("expires_at"))
+    return actions.update(rows, lib.as_of)
 
 
 @query
@@ -230,6 +301,10 @@ def latest_action(lib: Library) -> DataFrame:
     return last.select("user_id", "action_id", actions.seconds_left(F.expr("timestamp '2024-01-29 12:00:00'")).cast("bigint").alias("seconds_left"))
 
 
+def _rebuilt(lib: Library) -> DataFrame:
+    return actions.rebuild(lib.chosen(), lib.conflicts(), lib.action_buckets(), plan.base_items(lib.chosen(), lib.items()), lib.candidates())
+
+
 @query
 def undo_unknown_buckets(lib: Library) -> DataFrame:
     return actions.unknown(lib.undo_requests(), lib.action_buckets())
@@ -245,10 +320,21 @@ def undo_conflicts(lib: Library) -> DataFrame:
     return lib.conflicts()
 
 
+@query
+def undo_snapshots(lib: Library) -> DataFrame:
+    return actions.new_snapshots(lib.expected(), lib.chosen(), lib.conflicts(), lib.receipts())
+
+
 @query
 def undo_rebuild(lib: Library) -> DataFrame:
-    lists = lib.chosen().select("user_id", "playlist_id").distinct()
-    return actions.rebuild(lib.chosen(), lib.conflicts(), lib.action_buckets(), plan.base_items(lists, lib.items()), lib.candidates()).select("user_id", "playlist_id", _n("position"), "uri")
+    return _rebuilt(lib).select(*LIST, _n("position"), "uri")
+
+
+@query
+def replace_lists(lib: Library) -> DataFrame:
+    """All lists after an undo: those that are written hold what the undo leaves, maybe nothing."""
+    now = lib.items().select(*LIST, (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
+    return pages.replace_items(now, actions.rewritten(lib.chosen(), lib.conflicts()), _rebuilt(lib)).select(*LIST, _n("position"), "uri")
 
 
 @query
@@ -258,12 +344,16 @@ def undo_transition(lib: Library) -> DataFrame:
 
 @query
 def undo_totals(lib: Library) -> DataFrame:
-    return actions.undo_totals(lib.after_undo(), lib.chosen()).select("user_id", _n("applied"), _n("undone"), _n("tracks_undone"), "outcome")
+    current = lib.playlists().select(*LIST, F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")).alias("actual"))
+    undone = actions.plan_undo(lib.undo_requests(), lib.action_buckets(), lib.expected(), current, plan.base_items(lib.action_buckets(), lib.items()), lib.candidates(), lib.receipts())
+    return undone["totals"].select("user_id", _n("applied"), _n("undone"), _n("tracks_undone"), "outcome")
 
 
 @query
 def undo_groups(lib: Library) -> DataFrame:
-    return actions.groups(lib.action_buckets(), lib.playlists().where("playlist_id % 29 <> 0"))
+    rows = lib.action_buckets()
+    places = actions.destinations(rows).where("playlist_id % 29 <> 0").join(lib.playlists().select(*LIST, "name"), LIST)
+    return actions.groups(places, rows).select("user_id", _n("group_no"), "place", _n("at"), "bucket")
 
 
 @query
@@ -285,15 +375,24 @@ def request_defaults(lib: Library) -> DataFrame:
 @query
 def undo_request_gate(lib: Library) -> DataFrame:
     k = F.col("c_custkey")
-    names = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("Pop"), F.lit(" Pop "))).when(k % 5 == 2, F.array(F.lit("  "), F.lit("Pop"))).otherwise(F.array(F.lit("Pop"), F.col("c_mktsegment")))
+    names = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("Pop"), F.lit(" Pop\u00a0"))).when(k % 5 == 2, F.array(F.lit(" \t"), F.lit("Pop"))).otherwise(F.array(F.lit("Pop"), F.col("c_mktsegment")))
     return lib.table("customer").select(k.alias("user_id"), names.alias("buckets")).select("user_id", actions.request_ok().alias("ok"))
 
 
-@query
-def user_profile_upsert(lib: Library) -> DataFrame:
+def _profiles(lib: Library) -> tuple[DataFrame, DataFrame]:
     k = F.col("c_custkey")
     images = F.when(k % 4 != 0, F.array(F.struct(F.concat(F.lit("img/"), k).alias("url")))).otherwise(F.array().cast("array<struct<url:string>>"))
     users = lib.table("customer").select(F.struct(k.alias("id"), F.when(k % 3 != 0, F.col("c_name")).alias("display_name"), images.alias("images")).alias("u"))
     new = users.select(filters.profile(F.col("u")).alias("p")).select("p.*", F.lit(None).cast("string").alias("country")).where("user_id % 2 = 0")
     stored = lib.table("customer").where(k % 5 != 0).select(k.alias("user_id"), F.lit("old").alias("display_name"), F.lit("old.png").alias("picture_url"), F.lit("XX").alias("country"))
-    return cache.upsert_profiles(stored, new, ("country",))
+    return stored, new
+
+
+@query
+def user_profile_upsert(lib: Library) -> DataFrame:
+    return cache.upsert_profiles(*_profiles(lib), ("country",))
+
+
+@query
+def public_users(lib: Library) -> DataFrame:
+    return filters.public_user(cache.upsert_profiles(*_profiles(lib), ("country",)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm import schemas
+from tonearm.operators.filters import LIST
 
 
 def _rows(spark: SparkSession, path: str, schema, name: str) -> DataFrame:
@@ -37,15 +38,15 @@ def artists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshots(headers: DataFrame) -> DataFrame:
-    return headers.select("playlist_id", F.col("snapshot_id").alias("actual"))
+    return headers.select(*LIST, F.col("snapshot_id").alias("actual"))
 
 
 def append_items(items: DataFrame, more: DataFrame) -> DataFrame:
     """Rows of `more` (user_id, playlist_id, rank, track) numbered behind what each list holds; lists without rows get none."""
-    held = items.groupBy("playlist_id").agg(F.count("*").alias("n"))
-    return more.join(held, "playlist_id", "left").select("user_id", "playlist_id", (F.coalesce("n", F.lit(0)) + F.col("rank")).alias("position"), "track")
+    held = items.groupBy(*LIST).agg(F.count("*").alias("n"))
+    return more.join(held, LIST, "left").select(*LIST, (F.coalesce("n", F.lit(0)) + F.col("rank")).alias("position"), "track")
 
 
 def replace_items(items: DataFrame, affected: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """All items with the affected lists replaced; an affected list without rebuilt rows is cleared."""
-    return items.join(affected.select("playlist_id").distinct(), "playlist_id", "left_anti").unionByName(rebuilt)
+    """All items with the affected lists (user_id, playlist_id) replaced; an affected list without rebuilt rows is cleared."""
+    return items.join(affected.select(*LIST).distinct(), LIST, "left_anti").unionByName(rebuilt)
