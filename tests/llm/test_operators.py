@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -60,8 +61,39 @@ def test_toxicity_tolerates_signs_between_all_letters():
         assert np.allclose(model.margins(["t.a.b.l.e", "g--a--r--d--e--n"]), model.margins(["table", "garden"]))
 
 
-def plain_fit(sizes, capacity):
-    return math.ceil(sum(sizes) / capacity)
+def plain_best_fit(rows, capacity):
+    """Bins of (size, source, cluster), each put by a look at all bins."""
+    bins, out = [], []
+    for size, source, cluster in rows:
+        fit = [k for k, b in enumerate(bins) if b["room"] >= size and (source is None or source not in b["sources"]) and (cluster is None or cluster not in b["clusters"])]
+        k = min(fit, key=lambda k: (bins[k]["room"], k), default=len(bins))
+        if k == len(bins):
+            bins.append({"room": capacity, "sources": set(), "clusters": set()})
+        bins[k]["room"] -= size
+        bins[k]["sources"].add(source)
+        bins[k]["clusters"].add(cluster)
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_equals_a_look_at_all_bins(seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(n), None if s == 0 else int(s), None if k == 0 else int(k)) for n, s, k in zip(rng.integers(1, 100, 400), rng.integers(0, 12, 400), rng.integers(0, 60, 400), strict=True)]
+    for some in (rows, sorted(rows, key=lambda r: -r[0])):
+        assert packing.best_fit(*map(list, zip(*some, strict=True)), 100) == plain_best_fit(some, 100)
+
+
+def test_packing_does_not_depend_on_files(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 64)
+    rows = [(i % 400, " ".join(["w"] * (i % 90)) + f" {i % 500}") for i in range(600)] + [(7, "the same row"), (7, "the same row"), (None, None), (9, "long " * 250), (9, "long " * 250)]
+    df = docs(spark, rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 9))
+    one, two = (sorted(map(str, packing.pack_documents(x, capacity=100).collect())) for x in (df.coalesce(1), df.repartition(7, F.rand(2))))
+    assert one == two
+    out = packing.pack_documents(df, capacity=100).toPandas()
+    assert len({b.split("-")[0] for b in out.bin.dropna() if not b.startswith("full")}) > 3
+    full = out[out.bin.fillna("").str.startswith("full")]
+    assert (full.groupby("bin").tokens.agg(["sum", "count"]) == [100, 1]).all(axis=None) and len(full) >= 4
 
 
 def test_packing(spark):
@@ -99,10 +131,48 @@ def test_chat_branches_and_round_trip(spark):
 def test_sentencepiece(spark):
     got = sentencepiece_tok.encode_documents(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.n_ids == len(r.ids) for r in got)
-    whole = sentencepiece_tok.encode_documents(table(spark, SF, "documents"))
-    assert whole.where("not exact").count() <= whole.where("n_ids > 0").count()
     use = sentencepiece_tok.Codec(open(sentencepiece_tok.MODEL_PATH, "rb").read())
-    use.verify([r.text or "" for r in table(spark, SF, "documents").limit(100).collect()])
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    whole = sentencepiece_tok.encode_documents(table(spark, SF, "documents")).collect()
+    assert len(whole) == len(texts)
+    for r in whole:
+        assert list(r.ids) == use.other.encode(texts[r.doc_id]) and r.exact == (use.other.decode(list(r.ids)) == texts[r.doc_id])
+    assert {r.parity for r in whole} == {None, True}
+
+
+def field(number, value):
+    """A protobuf field: bytes, an int, or a float."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+
+def unigram_model(fallback):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256 * fallback)]
+    pieces += [("▁", -2.5, 1), ("▁the", -2.0, 1), ("▁cat", -3.5, 1), ("▁sat", -3.6, 1), ("s", -3.1, 1), ("at", -3.0, 1), ("unused", -1.0, 5)] + [(ch, -5.0 - k / 8, 1) for k, ch in enumerate("abcdehiotué")]
+    trainer = field(3, 1) + field(4, len(pieces)) + field(35, int(fallback)) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, (1 << 64) - 1)
+    return b"".join(field(1, field(1, t.encode()) + field(2, s) + field(3, k)) for t, s, k in pieces) + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_sentencepiece_unigram_models(spark, tmp_path, fallback):
+    data = unigram_model(fallback)
+    use = sentencepiece_tok.Codec(data)
+    texts = ["the cat sat", "  the   the ", "that hat", "écoute", "", "cats at the sea", "unused <s> the </s>", "日 the 本", "z"]
+    for t, ids in zip(texts, use.encode(texts), strict=True):
+        assert ids == use.other.encode(t), t
+        if fallback:
+            assert use.decode([ids])[0] == use.other.decode(ids), t
+    if fallback:
+        (tmp_path / "m.model").write_bytes(data)
+        got = by_id(sentencepiece_tok.encode_documents(docs(spark, list(enumerate(texts))), str(tmp_path / "m.model")))
+        assert [list(got[i].ids) for i in range(len(texts))] == [use.other.encode(t) for t in texts]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
@@ -132,7 +202,7 @@ def extracted(spark, bodies):
 def test_html_tree_judges_branches_inside_articles(spark):
     page = "<body><article><h1>Head {i}</h1><p>text number {i}</p><div class='x1'><p>Get our app</p><b>now</b></div></article></body>"
     assert extracted(spark, [page.format(i=i) for i in range(20)]) == [f"Head {i}\ntext number {i}" for i in range(20)]
-    few = [page.format(i=i) for i in range(html_tree.MIN_PAGES - 1)]
+    few = [page.format(i=i) for i in range(6)]
     assert all("Get our app" in t for t in extracted(spark, few))
 
 
@@ -146,6 +216,56 @@ def test_html_tree_keeps_important_children_and_copies(spark):
     assert set(extracted(spark, copied)) == {"the only text"}
 
 
+def plain_importances(rows):
+    """Of each (host, path): pages, and the mean of content and presentation importance, straight from their definitions."""
+    seen = {}
+    for url, text in rows:
+        blocks = html_tree.blocks(text or "")
+        kept = [b for b in blocks if not b[1]]
+        main = [b for b in kept if b[2]] or kept
+        page = tuple((b[0], b[3]) for b in main)
+        host = seen.setdefault((re.match(r"\w+://([^/]+)", url or "") or ["", ""])[1], {})
+        texts, children = {}, {}
+        for path, _, _, words in kept:
+            texts.setdefault(path, []).append(words)
+        for path, _, _, _ in kept:
+            parts = path.split("/")[1:]
+            for k in range(len(parts)):
+                up = "".join("/" + x for x in parts[:k])
+                if up in texts and children.setdefault(up, [""])[-1] != parts[k]:
+                    children[up].append(parts[k])
+        host[page] = {p: (tuple(x), tuple(children.get(p, ()))) for p, x in texts.items()}
+    out = {}
+    for host, pages in seen.items():
+        for path in {p for x in pages.values() for p in x}:
+            shown = [x[path] for x in pages.values() if path in x]
+            m = len(shown)
+            if m > 1:
+                entropy = lambda xs: -sum(k / m * math.log(k / m, m) for k in Counter(xs).values())  # noqa: E731, B023
+                content, presentation = entropy([x for x, _ in shown]), entropy([y for _, y in shown])
+                out[host, path] = (m, (content + presentation) / 2 if any(y for _, y in shown) else content)
+    return out
+
+
+def test_html_tree_equals_plain_entropies(spark):
+    rows = [(r.url, r.html) for r in table(spark, SF.replace("0.001", "0.01"), "pages").collect()]
+    box = "<body>menu<div class='box'>words {a}{b}</div><div class='story'>text {c}<p>{d}</p></div><div class='x1'>same</div></body>"
+    rows += [(f"http://mixed.example/{i}", box.format(a=i % 3, b="<p>x</p>" * (i % 4) + "<ul><li>y</ul>" * (i % 2), c=i % 7, d=i)) for i in range(23)] * 2
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r.host, r.path): r for r in html_tree.importances(df).collect()}
+    want = plain_importances(rows)
+    assert set(got) == set(want) and ("mixed.example", "/body/div.box") in want
+    for key, (m, importance) in want.items():
+        assert got[key].m == m and abs(got[key].importance - importance) < 1e-9
+        held = ((m - 1) * importance + html_tree.PRIOR * html_tree.PRIOR_PAGES) / (m - 1 + html_tree.PRIOR_PAGES)
+        assert abs(got[key].weighed - held * (html_tree.MAIN_WEIGHT if got[key].main else 1)) < 1e-9
+
+
+def test_html_of_very_long_pages():
+    assert html_tree.main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
+    assert html_tree.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
 def test_html_tree_takes_the_mean_of_both_entropies(spark):
     def page(i, children):
         return f"<body><div class='box'>same words{children}</div><div class='story'>text number {i}</div></body>"

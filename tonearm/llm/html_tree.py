@@ -4,7 +4,8 @@ The pages of a host are merged into one tree.  Its nodes are paths of tags with
 presentations (sequences of child nodes) and which contents (texts) it showed on how many pages.  Importance of
 presentation is the entropy of the presentations over the node's m pages, base m; importance of content is one minus
 the entropy with which a text spreads over the pages, so what every page repeats counts nothing; a node takes the mean
-of both where it holds text and children.  The text that stands directly in a node of a host with enough pages is removed from each
+of both where it holds text and children.  What m pages show is weighed against a prior importance that counts as PRIOR_PAGES
+pages, so a host of one page is judged by the prior alone.  The text that stands directly in a node is removed from each
 page if the node's importance is low.  A node's children are judged for themselves, so a branch goes as a whole only if
 everything in it is unimportant, and no branch goes with an important child in it.  Pages of a host with the same text and
 paths where the priors look for main text count once.
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from tonearm.llm import _common as c
 
-#: Branches of hosts with fewer pages are judged by the priors alone.
-MIN_PAGES = 8
+#: Importance before any page was seen, and the pages it counts for.
+PRIOR, PRIOR_PAGES = 0.5, 4
 LEAST_IMPORTANCE = 0.2
 #: Weight of importance in article and main branches.
 MAIN_WEIGHT = 2.0
@@ -192,8 +193,8 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, low): paths of the unimportant nodes of each host that has any."""
+def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, m, main, importance, weighed) of the nodes with text that more than one page of a host shows."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     schema = "host string, page bigint, path string, kind int, main boolean, hash bigint"
 
@@ -212,15 +213,22 @@ def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     node = counted.groupBy("host", "path", "kind").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k"))).alias("klogk"), F.max("main").alias("main"))
     of = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
     node = node.groupBy("host", "path").agg(of(1, "m").alias("m"), of(1, "klogk").alias("texts"), of(0, "m").alias("with_children"), of(0, "klogk").alias("sequences"), F.max("main").alias("main"))
-    node = node.where(F.col("m") >= MIN_PAGES)
+    node = node.where("m > 1")
     # entropy of the texts or presentations over the node's m pages, to base m: 1 if all differ, 0 if all are the same.  For
     # contents this equals the mean over pages of 1 - log(pages with this text) / log(m).  Pages without children share a presentation
     spread = lambda klogk: 1 - klogk / (F.col("m") * F.log(F.col("m")))
     without = F.col("m") - F.col("with_children")
     presentation = spread(F.col("sequences") + F.when(without > 0, without * F.log(without)).otherwise(0.0))
     content = spread(F.col("texts"))
-    both = F.coalesce((content + presentation) / 2, content) * F.when(F.col("main"), MAIN_WEIGHT).otherwise(1.0)
-    return node.where(both < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("low"))
+    both = F.coalesce((content + presentation) / 2, content)
+    held = ((F.col("m") - 1) * both + PRIOR_PAGES * PRIOR) / (F.col("m") - 1 + PRIOR_PAGES)
+    weighed = held * F.when(F.col("main"), MAIN_WEIGHT).otherwise(1.0)
+    return node.select("host", "path", "m", "main", both.alias("importance"), weighed.alias("weighed"))
+
+
+def site_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, low): paths of the unimportant nodes of each host that has any."""
+    return importances(pages, url_col, html_col).where(F.col("weighed") < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
 def _hash(text: str) -> int:
@@ -239,4 +247,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h or "", frozenset(x or ())) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
-    return joined.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "url": url_col})
+    return c.in_small_batches(joined, run, schema).withColumnsRenamed({"id": id_col, "url": url_col})

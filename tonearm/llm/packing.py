@@ -5,11 +5,13 @@ best fit, largest first.  Open bins are ordered by their residual and carry two
 clusters they hold.  A piece goes to the tightest bin that has room and neither bit set; the successor search walks up
 the order until it finds one, else a new bin opens.
 
-Pieces are dealt by a hash of their row to shards of about SHARD pieces, so copies and pieces of one source spread evenly, and
-each shard is packed alone: no task holds more than a shard.  Only ids and sizes are shuffled, never texts.
+Pieces are dealt by a hash of what they hold to shards of about SHARD pieces, so copies and pieces of one source spread evenly, and
+each shard is packed alone: no task holds more than a shard, and the tightest bin is sought among the shard's bins.  Pieces that agree in
+everything are numbered first, so that a hot row spreads too and the bins depend on the rows alone, not on their
+files.  Only ids and sizes are shuffled, never texts.
 
 Defined results: null and empty texts have no tokens and take a place in no bin (bin null); a null source or cluster conflicts
-with nothing; ties in size go by id and part; repeated rows are packed each for itself; extra columns are ignored.
+with nothing; ties in size go by id, part, source and cluster; repeated rows are packed each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,23 +69,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(id, part, start, tokens, source, cluster, bin): bin is text, shard and number, the same for the pieces of a bin."""
-    cut = c.materialise(cut)
+    keys = ["id", "source", "cluster", "part", "start", "tokens"]
+    alike = cut.groupBy(*keys).agg(F.count("*").alias("copies"))
+    cut = c.materialise(alike.select(*keys, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
     n = cut.where("tokens between 1 and %d" % (capacity - 1)).count()
     shards = max(1, -(-n // SHARD))
-    whole = cut.where(F.col("tokens") >= capacity).withColumn("bin", F.concat(F.lit("full-"), F.monotonically_increasing_id()))
+    name = F.md5(F.to_json(F.struct("id", "source", "cluster", "part", "copy")))
+    whole = cut.where(F.col("tokens") >= capacity).withColumn("bin", F.concat(F.lit("full-"), name))
     none = cut.where("tokens = 0").withColumn("bin", F.lit(None).cast("string"))
-    rest = cut.where(F.col("tokens").between(1, capacity - 1)).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))  # stable: cut is a written table
+    rest = cut.where(F.col("tokens").between(1, capacity - 1)).withColumn("shard", F.pmod(F.xxhash64("id", "source", "cluster", "part", "copy"), F.lit(shards)).cast("int"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tokens", "id", "part"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["tokens", "id", "part", "source", "cluster", "copy"], ascending=[False, True, True, True, True, True], kind="stable")
         sources = [None if pd.isna(x) else x for x in group["source"]]
         clusters = [None if pd.isna(x) else x for x in group["cluster"]]
         numbers = best_fit(group["tokens"].tolist(), sources, clusters, capacity)
         shard = group["shard"].iloc[0]
-        return group.drop(columns="shard").assign(bin=[f"{shard}-{k}" for k in numbers])
+        return group.drop(columns=["shard", "copy"]).assign(bin=[f"{shard}-{k}" for k in numbers])
 
     names = ["id", "source", "cluster", "part", "start", "tokens", "bin"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", bin string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "copy") + ", bin string"
     packed = rest.groupBy("shard").applyInPandas(run, schema)
     return packed.select(*names).unionByName(whole.select(*names)).unionByName(none.select(*names))
 

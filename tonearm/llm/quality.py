@@ -3,8 +3,9 @@
 Each rule rejects documents beyond a cutoff of one measure.  For each stratum (language) and rule, the cutoffs of a fixed
 ladder are tested from the most lenient on: a cutoff passes if the exact binomial tail rules out, on labelled good
 documents, that it rejects more than RISK of them.  Testing stops at the first failure (fixed sequence), and the level is
-shared out over all rules and strata (Bonferroni), so with probability 1 - LEVEL every cutoff in use keeps its promise.
-A rule without a passing cutoff rejects nothing.
+shared out over all rules and strata (Bonferroni), so with probability 1 - LEVEL every cutoff in use keeps its promise, and
+all rules together reject at most len(LADDERS) * RISK of a stratum's good documents.  The bound takes the labelled documents for
+independent draws: equal texts of a stratum count once; near copies count each.  A rule without a passing cutoff rejects nothing.
 
 Defined results: null text has no words and fails the base rules; a null stratum is a stratum of its own; labels that are
 null or neither 0 nor 1 are ignored, repeated labels of an id count once (0 wins); without labels only the base rules
@@ -70,15 +71,15 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stratum, figures) of every document; no shuffle."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("stratum", T.StringType()), *(T.StructField(m, T.LongType()) for m in _MEASURES)])
+    """(id, stratum, text_hash, figures) of every document; no shuffle."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("stratum", T.StringType()), T.StructField("text_hash", T.LongType()), *(T.StructField(m, T.LongType()) for m in _MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*map(measure, c.utf8(batch.column(2))), strict=True)) or [[]] * len(_MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(x, pa.int64()) for x in cols], schema.names)
+            cols = list(zip(*map(measure, c.utf8(batch.column(3))), strict=True)) or [[]] * len(_MEASURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)] + [pa.array(x, pa.int64()) for x in cols], schema.names)
 
-    return c.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")), run, schema)
+    return c.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), run, schema)
 
 
 def _value(name: str) -> Column:
@@ -116,7 +117,7 @@ def calibrate(figures: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     """
     spark = figures.sparkSession
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    good = figures.where(~base_failed()).join(y.where("y = 1").select("id"), "id", "left_semi")
+    good = figures.where(~base_failed()).join(y.where("y = 1").select("id"), "id", "left_semi").dropDuplicates(["stratum", "text_hash"])
     counts = [F.sum(_beyond(m, larger, cut).cast("long")).alias(f"r{i}_{j}") for i, (m, larger, cuts) in enumerate(LADDERS) for j, cut in enumerate(cuts)]
     least = math.log(level / len(LADDERS)) / math.log1p(-risk)
     rows = good.groupBy("stratum").agg(F.count("*").alias("n"), *counts).where(F.col("n") >= least).collect()
