@@ -77,6 +77,90 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op6_sql() -> str:
+    """Spans straight from the plain patterns; positions from the lengths of the matches and of what lies between them.
+
+    The engine has no look-around.  A social security number is a whole run of digits and hyphens; for bank accounts
+    every run of letters and digits is put between two marks, which the pattern then names.
+    """
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digits}[-i]::INT ELSE {digits}[-i]::INT * 2 - CASE WHEN {digits}[-i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    account = "replace(m, ' ', '')"
+    number = f"array_to_string(list_transform(string_split({account}[5:] || {account}[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), '')"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0",
+        "card": f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": f"list_reduce(list_transform(string_split({number}, ''), lambda d: d::INT), lambda a, d: (a * 10 + d) % 97) = 1",
+        "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')",
+    }
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\x01[A-Z]{2}[0-9]{2}(?:(?:\x02 \x01)?[A-Z0-9]){11,30}\x02",
+        "ssn": r"[0-9-]+",
+    }
+    parts, checks = [], []
+    for k, (kind, pattern) in enumerate(patterns.items()):
+        text = "u" if kind == "iban" else "t"
+        bare = (lambda x: f"replace(replace({x}, chr(1), ''), chr(2), '')") if kind == "iban" else (lambda x: x)
+        one = f"SELECT doc_id, t, {k} AS o, '{kind}' AS kind, generate_subscripts(g, 1) AS i, unnest(g) AS gap, unnest(ms) AS m FROM (SELECT doc_id, t, list_transform(regexp_split_to_array({text}, '{pattern}'), lambda x: {bare('x')}) AS g, list_transform(regexp_extract_all({text}, '{pattern}'), lambda x: {bare('x')}) AS ms FROM d)"
+        parts.append(one)
+        near = " OR ".join(f"contains(around, '{w}')" for w in pii.CONTEXT[kind])
+        base = pii.KINDS[kind][2]
+        checks.append(f"SELECT doc_id, o, kind, start, finish, CASE WHEN {near} THEN '{round(base + pii.BOOST, 2)}' ELSE '{base}' END AS score FROM placed WHERE kind = '{kind}' AND ({valid[kind]})" + ("" if base >= pii.LEAST_SCORE or kind in pii.BASE else f" AND ({near})"))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
+    spans = "kind || ':' || start || ':' || finish, ',' ORDER BY start, o"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), '~~'), '([A-Za-z0-9]+)', chr(1) || '\\1' || chr(2), 'g') AS u FROM documents
+), found AS ({" UNION ALL ".join(parts)}),
+ends AS (SELECT *, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, o ORDER BY i)::BIGINT AS finish FROM found),
+bounds AS (SELECT *, finish - length(m) AS start FROM ends WHERE m IS NOT NULL),
+placed AS (SELECT *, lower(substring(t, greatest(start - {pii.WINDOW}, 0) + 1, finish - greatest(start - {pii.WINDOW}, 0) + {pii.WINDOW})) AS around FROM bounds),
+told AS ({" UNION ALL ".join(checks)})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({spans}) FILTER (o < {len(pii.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({spans}), '') AS spans, coalesce(string_agg(score, ',' ORDER BY start, o), '') AS scores
+FROM d LEFT JOIN told USING (doc_id) GROUP BY doc_id
+"""
+
+
+def _op7_sql() -> str:
+    rules = ", ".join(f"({i}, '{m}', {str(larger).lower()}, {j}, {cut!r}::DOUBLE)" for i, (m, larger, cuts) in enumerate(quality.LADDERS) for j, cut in enumerate(cuts))
+    value = "CASE measure WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE mean_word END"
+    beyond = f"CASE WHEN larger THEN {value} > cut ELSE {value} < cut END"
+    risk, n_rules = quality.RISK, len(quality.LADDERS)
+    return f"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), win AS (SELECT doc_id, unnest(range(1, len(a) - 6)) AS i, a FROM w WHERE len(a) > 8),
+keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(a[i:i + 7], ' ')) AS k FROM win),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM keyed, range(8) r(j) WHERE k > 1 GROUP BY doc_id),
+fig AS (
+  SELECT doc_id, lang, t, len(a) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN covered c USING (doc_id)
+), v AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word FROM fig
+), rules(rule, measure, larger, step, cut) AS (VALUES {rules}),
+fine AS (SELECT doc_id FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT DISTINCT ON (lang, t) * FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM fine)),
+size AS (SELECT lang, count(*) AS n FROM good GROUP BY lang HAVING count(*) >= ln({quality.LEVEL} / {n_rules}) / ln(1 - {risk})),
+tried AS (SELECT g.lang, n, rule, step, cut, count(*) FILTER ({beyond}) AS k FROM good g JOIN size s ON g.lang IS NOT DISTINCT FROM s.lang CROSS JOIN rules GROUP BY ALL),
+tested AS (
+  SELECT *, CASE WHEN k < n * {risk} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))
+    <= {quality.LEVEL} / ({n_rules} * (SELECT count(*) FROM size)) ELSE false END AS passed FROM tried),
+sofar AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY step) AS held FROM tested),
+cuts AS (SELECT lang, rule, arg_max(cut, step) AS cut FROM sofar WHERE held GROUP BY lang, rule),
+gone AS (SELECT DISTINCT doc_id FROM v JOIN cuts c ON v.lang IS NOT DISTINCT FROM c.lang JOIN (SELECT DISTINCT rule, measure, larger FROM rules) r USING (rule) WHERE {beyond})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM v
+"""
+
+
 def op8_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_edit_and_next(table(spark, sf_dir, "documents"))
 
@@ -114,4 +198,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, pipeline)}
-ORACLES = {"op3_chat": OP3_SQL, "op9_minhash": OP9_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL}
