@@ -137,8 +137,9 @@ def _op7_sql() -> str:
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
-), win AS (SELECT doc_id, unnest(range(1, len(a) - 6)) AS i, a FROM w WHERE len(a) > 8),
-keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(a[i:i + 7], ' ')) AS k FROM win),
+), word AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM w WHERE len(a) > 8),
+win AS (SELECT doc_id, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 8))}) AS key, lead(i, 7) OVER o AS last FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS k FROM win WHERE last IS NOT NULL),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM keyed, range(8) r(j) WHERE k > 1 GROUP BY doc_id),
 fig AS (
   SELECT doc_id, lang, t, len(a) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
