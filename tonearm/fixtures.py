@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonearm import schemas
+from tonearm import schemas, tables
 from tonearm.operators import actions, classify, match, plan
 from tonearm.operators.filters import LIST
 from tonearm.sources import pages
@@ -24,16 +24,11 @@ class Library:
         self._kept: dict[str, DataFrame] = {}
 
     def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A view that several parts of one query read: worked out once, spilled to disk, made anew if it is lost."""
+        """A view that several parts of one query read: written once, so that no plan holds it twice."""
         if name not in self._kept:
-            self._kept[name] = make().persist()
+            self._kept[name] = tables.write(make())
         return self._kept[name]
 
-    def release(self) -> None:
-        for df in self._kept.values():
-            df.unpersist()
-        self._kept.clear()
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -50,9 +45,18 @@ class Library:
         ordinal = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("o_orderdate"), "playlist_id"))
         return rows.select("playlist_id", "user_id", (F.col("o_custkey") + (k % 7 == 0).cast("int")).alias("owner_id"), ((F.col("o_orderstatus") == "P") | (k % 31 == 0)).alias("collaborative"), name.alias("name"), ordinal.alias("ordinal"), F.concat(F.lit("s"), k).alias("snapshot_id"))
 
+    def share_items(self) -> None:
+        self._keep("items", self._items)
+
     def items(self) -> DataFrame:
+        return self._kept["items"] if "items" in self._kept else self._items()
+
+    def _items(self) -> DataFrame:
+        # numbered first and described afterwards: only keys and flags are shuffled, and they stay dealt by list
+        raw = self.table("lineitem").select(F.col("l_orderkey").alias("playlist_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity")
+        order = Window.partitionBy("playlist_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+        raw = raw.withColumn("position", F.row_number().over(order))
         part = F.col("l_partkey")
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
         artist = lambda x: F.struct(x.cast("string").alias("id"), F.concat(F.lit("artist "), x).alias("name"))
         artists = F.when(part % 53 == 0, F.array().cast("array<struct<id:string,name:string>>")).when(part % 2 == 0, F.array(artist(F.col("l_suppkey")), artist(part % 100))).otherwise(F.array(artist(F.col("l_suppkey"))))
         playable = F.when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "A"), False).when(F.col("l_linenumber") != 5, True)
@@ -66,7 +70,7 @@ class Library:
             artists.alias("artists"),
             F.when(part % 4 != 0, F.concat(F.lit("lib/"), part)).alias("url"),
         )
-        rows = self.table("lineitem").select(F.col("l_orderkey").alias("playlist_id"), F.row_number().over(order).alias("position"), F.when(F.col("l_quantity") != 50, track).alias("track"))
+        rows = raw.select("playlist_id", "position", F.when(F.col("l_quantity") != 50, track).alias("track"))
         return rows.join(self.members().select("playlist_id", "user_id"), "playlist_id")
 
     def sources(self) -> DataFrame:
@@ -94,7 +98,8 @@ class Library:
         return rows.join(self._vocab(), "v").select("artist_id", F.array("genre").alias("genres"))
 
     def dim(self) -> DataFrame:
-        return classify.artist_bucket(self.artist_genres(), classify.rules(self.spark))
+        """Written, so that its size is known: a small one is broadcast, a large one is not."""
+        return self._keep("dim", lambda: classify.artist_bucket(self.artist_genres(), self.rules()))
 
     def rules(self) -> DataFrame:
         return classify.rules(self.spark)
@@ -107,13 +112,14 @@ class Library:
         return self._keep("assigned", self.assigned)
 
     def source_assigned(self) -> DataFrame:
-        return self._keep("source", lambda: self.kept_assigned().join(self.sources().select(*LIST), LIST, "left_semi"))
+        return self._keep("source", lambda: (self._kept.get("assigned") or self.assigned()).join(self.sources().select(*LIST), LIST, "left_semi"))
 
     def buckets(self) -> DataFrame:
         return classify.bucket_map(self.source_assigned())
 
     def scores(self) -> DataFrame:
-        return match.scores(self.buckets(), self.destinations(), match.genre_profile(self.kept_assigned()))
+        assigned = self.kept_assigned()
+        return match.scores(self.buckets(), self.destinations(), match.genre_profile(assigned))
 
     def matched(self) -> DataFrame:
         return self._keep("matched", lambda: match.best(self.scores()))
@@ -132,7 +138,7 @@ class Library:
         return plan.backup_status(self.sources().where("user_id % 2 = 0"), self.known_headers(), self.items())
 
     def runs(self) -> DataFrame:
-        return self._keep("runs", lambda: plan.runs(self.sources(), self.backups(), self.assigned()))
+        return self._keep("runs", lambda: plan.runs(self.sources(), self.backups(), self.source_assigned()))
 
     def validated(self) -> tuple[DataFrame, DataFrame]:
         lists = self.playlists()
@@ -173,6 +179,9 @@ class Library:
         return self.action_buckets().select(*LIST).distinct().withColumn("expected", F.concat(F.lit("s"), "playlist_id"))
 
     def conflicts(self) -> DataFrame:
+        return self._keep("conflicts", self._conflicts)
+
+    def _conflicts(self) -> DataFrame:
         current = self.playlists().withColumn("snapshot_id", F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")))
         return actions.conflicts(self.chosen(), self.expected(), pages.snapshots(current))
 

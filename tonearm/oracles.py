@@ -175,6 +175,7 @@ ORACLES = {
         "artist_bucket": "SELECT artist_id::VARCHAR AS artist_id, bucket FROM dim",
         "track_bucket": "SELECT user_id, playlist_id, position, track_id::VARCHAR AS track_id, bucket FROM assigned",
         "bucket_counts": "SELECT bucket, count(*) AS n FROM assigned GROUP BY bucket",
+        "library_buckets": "SELECT user_id, bucket, count(*) AS n, min(position) AS first_position FROM assigned GROUP BY user_id, bucket",
         "bucket_map": "SELECT user_id, bucket, n, first_position, track_ids, bucket_ordinal FROM bmap",
         "distinct_artists": "SELECT user_id, artist_id::VARCHAR AS artist_id, playlist_id, position, artist_pos::BIGINT AS artist_pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, artist_id ORDER BY playlist_id, position, artist_pos) AS r FROM seen) WHERE r = 1",
         "fresh_artists": "SELECT artist_id::VARCHAR AS artist_id, genres FROM fresh",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,19 +17,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-#: The library whose views are kept; the next query lets go of them.
-_HELD: list[Library] = []
+def query(f: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Library(spark, sf_dir))
+    return f
 
 
-def query(f: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        while _HELD:
-            _HELD.pop().release()
-        _HELD.append(Library(spark, sf_dir))
-        return f(_HELD[-1])
+def sharing(f: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
+    """For queries that read the items more than once: they are put in order once."""
 
-    QUERIES[f.__name__] = run
-    return f
+    @functools.wraps(f)
+    def run(lib: Library) -> DataFrame:
+        lib.share_items()
+        return f(lib)
+
+    return query(run)
 
 
 def _joined(name: str) -> Column:
@@ -80,8 +82,13 @@ def track_bucket(lib: Library) -> DataFrame:
 
 @query
 def bucket_counts(lib: Library) -> DataFrame:
-    assigned, _ = classify.classify_library(lib.items(), lib.artist_genres(), lib.rules())
-    return assigned.groupBy("bucket").agg(F.count("*").alias("n"))
+    return lib.assigned().groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query
+def library_buckets(lib: Library) -> DataFrame:
+    _, buckets = classify.classify_library(lib.items(), lib.artist_genres(), lib.rules())
+    return buckets.select("user_id", "bucket", "n", _n("first_position"))
 
 
 @query
@@ -185,7 +192,7 @@ def plan_auto_create(lib: Library) -> DataFrame:
     return plan.auto_create(lib.source_assigned(), lib.buckets()).select("user_id", "bucket", "list_id", _n("position"), "uri")
 
 
-@query
+@sharing
 def plan_safe_copy(lib: Library) -> DataFrame:
     return plan.safe_copy(lib.matched(), lib.source_assigned(), lib.buckets(), lib.items()).select(*LIST, _n("position"), "uri")
 
@@ -195,7 +202,7 @@ def copy_names(lib: Library) -> DataFrame:
     return lib.copies().select("user_id", F.col("playlist_id").alias("list_id"), F.col("name").alias("copy_name"), "owner_id", "collaborative", "public")
 
 
-@query
+@sharing
 def plan_direct(lib: Library) -> DataFrame:
     return plan.direct(lib.matched(), lib.source_assigned(), lib.buckets(), lib.safety()).select(*LIST, _n("position"), "uri")
 
@@ -210,17 +217,17 @@ def backup_status(lib: Library) -> DataFrame:
     return lib.backups().select(*LIST, "list_id", "name", _n("tracks_copied"), "status")
 
 
-@query
+@sharing
 def run_outcomes(lib: Library) -> DataFrame:
     return lib.runs().select(*LIST, _n("n_sortable"), "outcome")
 
 
-@query
+@sharing
 def valid_destinations(lib: Library) -> DataFrame:
     return lib.validated()[0].select(*LIST, "name", _n("ordinal"))
 
 
-@query
+@sharing
 def excluded_playlists(lib: Library) -> DataFrame:
     return lib.validated()[1].select(*LIST, "name", "reason", _n("place"))
 
@@ -232,7 +239,7 @@ def refresh_artist_cache(lib: Library) -> DataFrame:
     return after.select("artist_id", _joined("genres"), "last_fetched_at")
 
 
-@query
+@sharing
 def append_lists(lib: Library) -> DataFrame:
     more = lib.candidates().join(lib.matched().select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
     at = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "position")) - 1
@@ -240,7 +247,7 @@ def append_lists(lib: Library) -> DataFrame:
     return pages.append_items(lib.items(), rows).select(*LIST, _n("position"), F.col("track").alias("uri"))
 
 
-@query
+@sharing
 def write_batches(lib: Library) -> DataFrame:
     rows = plan.safe_copy(lib.matched(), lib.source_assigned(), lib.buckets(), lib.items())
     return filters.batches(rows, LIST, ["position"], "uri", 5).select(*LIST, _n("batch_no"), _joined("values"))
@@ -255,7 +262,7 @@ def result_ledger(lib: Library) -> DataFrame:
     return _ledger(lib).select("user_id", "bucket", "playlist_id", "n", "status", _n("tracks_added"), "reason", _n("result_ordinal"))
 
 
-@query
+@sharing
 def direct_ledger(lib: Library) -> DataFrame:
     rows = plan.ledger(lib.buckets(), lib.matched(), lib.receipts(), plan.refused(lib.safety()))
     return rows.select("user_id", "bucket", "playlist_id", "n", "status", _n("tracks_added"), "reason", _n("result_ordinal"))
@@ -271,14 +278,14 @@ def unique_copies(lib: Library) -> DataFrame:
     return plan.unique_copies(_ledger(lib))
 
 
-@query
+@sharing
 def action_destinations(lib: Library) -> DataFrame:
     base = actions.uris(plan.base_items(lib.action_buckets(), lib.items()), LIST, "baseline")
     rows = actions.destinations(lib.action_buckets()).join(base, LIST, "left").join(lib.expected(), LIST, "left")
     return rows.select(*LIST, _joined("bucket_order"), F.coalesce(F.array_join("baseline", ","), F.lit("")).alias("baseline"), "expected")
 
 
-@query
+@sharing
 def record_action(lib: Library) -> DataFrame:
     a = F.col("action")
     lists = F.transform(a["destinations"], lambda d: F.concat_ws(":", d["playlistId"], d["playlistName"], d["expectedSnapshotId"], F.array_join(d["bucketOrder"], "+"), F.array_join(d["baselineUris"], "+")))
@@ -287,7 +294,7 @@ def record_action(lib: Library) -> DataFrame:
     return rows.select("user_id", a["id"].alias("action_id"), a["createdAt"].alias("created_at"), a["expiresAt"].alias("expires_at"), F.array_join(lists, ";").alias("destinations"), F.array_join(buckets, ";").alias("buckets"), "warning")
 
 
-@query
+@sharing
 def update_action(lib: Library) -> DataFrame:
     stored = lib.recorded().where("action is not null").select("user_id", F.to_json("action").alias("raw"))
     read = actions.parse(stored.withColumn("user_id", F.col("user_id").cast("string")))
@@ -325,12 +332,12 @@ def undo_snapshots(lib: Library) -> DataFrame:
     return actions.new_snapshots(lib.expected(), lib.chosen(), lib.conflicts(), lib.receipts())
 
 
-@query
+@sharing
 def undo_rebuild(lib: Library) -> DataFrame:
     return _rebuilt(lib).select(*LIST, _n("position"), "uri")
 
 
-@query
+@sharing
 def replace_lists(lib: Library) -> DataFrame:
     """All lists after an undo: those that are written hold what the undo leaves, maybe nothing."""
     now = lib.items().select(*LIST, (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
@@ -342,7 +349,7 @@ def undo_transition(lib: Library) -> DataFrame:
     return lib.after_undo().select("user_id", "bucket", "status")
 
 
-@query
+@sharing
 def undo_totals(lib: Library) -> DataFrame:
     current = lib.playlists().select(*LIST, F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")).alias("actual"))
     undone = actions.plan_undo(lib.undo_requests(), lib.action_buckets(), lib.expected(), current, plan.base_items(lib.action_buckets(), lib.items()), lib.candidates(), lib.receipts())
