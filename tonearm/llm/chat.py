@@ -1,7 +1,7 @@
 """Chat formatting from reply trees; DataFrame functions only.
 
 Messages point to the message they answer.  Iterative self-joins double the reach of every message's pointer towards its
-root, so a tree of depth d takes log2(d) joins of one row a message; the sums they carry give each leaf the mean
+root, so a tree of depth d takes log2(d) joins, each of the messages that have not met their root yet; the sums they carry give each leaf the mean
 score of its branch.  The best leaves of each tree are chosen, the same doubled pointers enumerate their root-to-leaf
 paths, and every path is formatted as one conversation with a loss mask over the assistant's words.
 
@@ -49,22 +49,25 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     ids = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     has = ids.select("tree", "node")
     joined = ids.alias("x").join(has.alias("y"), _same("x", "y") & (F.col("x.parent") == F.col("y.node")) & (F.col("x.parent") != F.col("x.node")), "left")
-    hop = c.materialise(joined.select("x.tree", "x.node", F.col("y.node").alias("to"), F.col("x.score").alias("sum"), F.lit(1).cast("bigint").alias("n")))
-    parents = hop.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
-    leaves = hop.alias("x").join(parents.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.node")), "left_anti").select("tree", F.col("node").alias("leaf"))
-    longest = hop.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    hops = [hop]
+    first = c.materialise(joined.select("x.tree", "x.node", F.col("y.node").alias("to"), F.col("x.score").alias("sum"), F.lit(1).cast("bigint").alias("n")))
+    parents = first.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
+    leaves = first.alias("x").join(parents.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.node")), "left_anti").select("tree", F.col("node").alias("leaf"))
+    longest = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    # live[k]: the messages with 2**k others on the way to their root, and the last of these; done: those that have met their root
+    live, done = [first.where("to is not null")], first.where("to is null")
     for _ in range(int(longest - 1).bit_length()):
-        if hops[-1].where("to is not null").isEmpty():
+        if live[-1].isEmpty():
             break
-        x, y = hops[-1].alias("x"), hops[-1].alias("y")
-        far = x.join(y, _same("x", "y") & (F.col("x.to") == F.col("y.node")), "left")
-        hops.append(c.materialise(far.select("x.tree", "x.node", F.col("y.to").alias("to"), (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum"), (F.col("x.n") + F.coalesce("y.n", F.lit(0))).alias("n"))))
-    rooted = hops[-1].where("to is null").alias("x").join(leaves.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.leaf"))).select("x.tree", "y.leaf", (F.col("sum") / F.col("n")).alias("mean"))
+        x, y = live[-1].alias("x"), live[-1].unionByName(done).alias("y")
+        met = x.join(y, _same("x", "y") & (F.col("x.to") == F.col("y.node")))
+        far = c.materialise(met.select("x.tree", "x.node", F.col("y.to").alias("to"), (F.col("x.sum") + F.col("y.sum")).alias("sum"), (F.col("x.n") + F.col("y.n")).alias("n")))
+        live.append(far.where("to is not null"))
+        done = done.unionByName(far.where("to is null"))
+    rooted = done.alias("x").join(leaves.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.leaf"))).select("x.tree", "y.leaf", (F.col("sum") / F.col("n")).alias("mean"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
     path = c.materialise(rooted.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("back"), "branch"))
-    for k, hop in enumerate(hops):
-        step = path.alias("x").join(hop.where("to is not null").alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.node"))).select("x.tree", "x.leaf", F.col("y.to").alias("node"), (F.col("x.back") + 2**k).alias("back"), "x.branch")
+    for k, hop in enumerate(live):
+        step = path.alias("x").join(hop.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.node"))).select("x.tree", "x.leaf", F.col("y.to").alias("node"), (F.col("x.back") + 2**k).alias("back"), "x.branch")
         path = c.materialise(path.union(step))
     return path
 
