@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm import tables
+from tonearm.tables import discard  # noqa: F401
+
 #: Characters that separate words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 SPACE = r"\x20\x09-\x0D"
 #: Most rows of a batch that goes to Python.
@@ -21,46 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it.
-
-    Only a local master may go without the setting; it then gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tonearm-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def materialise(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write df once into the shared folder and read it back: the lineage ends there and survives lost executors.
 
     batch_rows: most rows of the batches that go to Python during this write; the session's setting comes back after it.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/tonearm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     before = spark.conf.get(name)
     if batch_rows:
         spark.conf.set(name, str(batch_rows))
     try:
-        df.write.parquet(path)
+        return tables.write(df)
     finally:
         spark.conf.set(name, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that materialise() wrote and that no later result reads."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.llm import _common as c
 
@@ -32,7 +33,7 @@ SPAN = 6
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: At most so many labelled documents, taken in the order of a hash of their text, fit the model.
 MAX_TRAIN_DOCS = 20_000
-#: At most so many words of either kind fit the model.
+#: At most so many of their words of either kind fit the model.
 MAX_TRAIN_WORDS = 12_000
 LANDMARKS = 160
 POWER = 4
@@ -310,10 +311,11 @@ def fit_words(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_
     return Model(marks, root @ w[:-1], float(w[-1]), np.zeros(4), True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_TRAIN_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows whose crc32(id) mod 4 is not 2; at most max_docs of them, by a hash of the text.
 
-    Rows that repeat both id and text count once.
+    Rows that repeat both id and text count once.  Of their words of 3 to 40 characters that occur in two documents at least,
+    the max_words that toxic documents favour most and the max_words most frequent ones in others are the examples.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").where(c.remainder(F.col("__id"), 4) != 2).groupBy("__id").agg(F.max("__y").alias("__y"))
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -334,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_c
     told = F.col("pos") - F.lit(rate) * (F.col("pos") + F.col("neg"))
     picked: dict[str, Row] = {}
     for order in (told.desc(), F.col("neg").desc()):
-        picked |= {r["word"]: r for r in counts.orderBy(order, "word").limit(MAX_TRAIN_WORDS).collect()}
+        picked |= {r["word"]: r for r in counts.orderBy(order, "word").limit(max_words).collect()}
     rows = sorted(picked.values(), key=lambda r: r["word"])
     if not rows:
         return empty
@@ -363,8 +365,6 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             got = scores(model, [t or "" for t in batch.column(1).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], [id_col, "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType())])
     out = c.in_small_batches(docs.select(id_col, text_col), run, schema)
     return out.select(id_col, (c.remainder(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
