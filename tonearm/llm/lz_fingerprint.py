@@ -10,6 +10,7 @@ and another 0; rows are taken in ascending id (nulls first), repeated ids by tex
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,58 +29,98 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def parse(text: str, seen: set[str], start: int = 0) -> list[int]:
-    """Ends of the LZ78 phrases of text[start:], with `seen` phrases known already; seen grows.
+class Parser:
+    """LZ78 parsing of a text piece by piece, on a tree of the phrases: a node holds its children by character.
 
-    Every start of a known phrase is known, so the longest match is found by stepping from the last length.
+    ends: where the phrases end; a phrase that is still open ends with the text.
     """
-    ends, n, guess = [], len(text), 4
-    while start < n:
-        size = min(guess, n - start)
-        if text[start : start + size] in seen:
-            while start + size < n and text[start : start + size + 1] in seen:
-                size += 1
-        else:
-            size -= 1
-            while size and text[start : start + size] not in seen:
-                size -= 1
-        guess = size or 1
-        end = min(start + size + 1, n)
-        seen.add(text[start:end])
-        ends.append(end)
-        start = end
-    return ends
-
-
-def _hashes(text: str, ends: list[int]) -> np.ndarray:
-    """Distinct hashes of the phrases between the ends."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+        self.node, self.at, self.ends = self.root, 0, []
+
+    def feed(self, text: str) -> None:
+        root, node, at, ends = self.root, self.node, self.at, self.ends
+        for ch in text:
+            at += 1
+            below = node.get(ch)
+            if below is None:
+                node[ch] = {}
+                node = root
+                ends.append(at)
+            else:
+                node = below
+        self.node, self.at = node, at
+
+    def feed_on_trial(self, text: str) -> list[int]:
+        """The ends of all phrases if the text went on like this; the parser stays as it is."""
+        root, node, at, ends, grown = self.root, self.node, self.at, list(self.ends), []
+        for ch in text:
+            at += 1
+            below = node.get(ch)
+            if below is None:
+                node[ch] = {}
+                grown.append((node, ch))
+                node = root
+                ends.append(at)
+            else:
+                node = below
+        if node is not root:
+            ends.append(at)
+        for up, ch in grown:
+            del up[ch]
+        return ends
+
+
+def parse(text: str) -> list[int]:
+    """Ends of the LZ78 phrases of the text; the last one may have come before."""
+    return Parser().feed_on_trial(text)
+
+
+def _hashes(text: str, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases between the ends; they do not depend on what stands before."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(code)
-    power, back = np.full(n + 1, _R, np.uint64), np.full(n + 1, _R_INVERSE, np.uint64)
-    power[0] = back[0] = 1
-    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    power, back = _powers(n)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:n], dtype=np.uint64)])
-    end = np.array(ends, np.int64)
-    start = np.concatenate([[0], end[:-1]])
-    h = (run[end] - run[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    start = np.concatenate([[0], ends[:-1]])
+    h = (run[ends] - run[start]) * back[start] + (ends - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique((h ^ (h >> np.uint64(31))) >> np.uint64(32))
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(32)
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to the n-th; kept up to the longest text met."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_R, _R_INVERSE)):
+            each = np.full(n + 1, base, np.uint64)
+            each[0] = 1
+            _POWERS[k] = np.multiply.accumulate(each)
+    return _POWERS[0], _POWERS[1]
+
+
+def _smallest(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes)[:SIZE]
 
 
 def fingerprint(text: str, ends: list[int] | None = None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint64)
-    return _hashes(text, parse(text, set()) if ends is None else ends)[:SIZE]
+    return _smallest(_hashes(text, np.array(parse(text) if ends is None else ends, np.int64)))
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    both = np.union1d(x, y)
+    a, b = set(x.tolist()), set(y.tolist())
+    both = a | b
     if len(x) == SIZE or len(y) == SIZE:
-        both = both[:SIZE]
-    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True)) / len(both)
+        both = set(sorted(both)[:SIZE])
+    return len(a & b & both) / len(both)
 
 
 def to_hex(x: np.ndarray) -> str:
@@ -124,15 +165,15 @@ def compare_with_edit_and_next(docs: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for the next one
+        gc.disable()  # trees of phrases hold no cycles, and looking for some costs a third of the time
         for batch in batches:
             ids, out = [], []
             for at, rid, text, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ends = parse(text, set())
-                prints = fingerprint(text, ends)
+                work = Parsed(text)
                 if held and held[0] == at:
                     ids.append(held[1])
-                    out.append(_row(*held[2:], text, prints))
-                held = None if last else (at, rid, text, ends, prints)
+                    out.append(_row(held[2], work))
+                held = None if last else (at, rid, work)
             kind = batch.schema.field(1).type
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind)] + [pa.array(x, k) for x, k in zip(cols, arrow, strict=True)], schema.names)
@@ -140,15 +181,26 @@ def compare_with_edit_and_next(docs: DataFrame, id_col: str = "doc_id", text_col
     return with_next(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def _row(text: str, ends: list[int], prints: np.ndarray, following: str, other: np.ndarray) -> tuple:
-    new = edited(text, following)
-    same = len(text) - len(text) // 4
-    k = int(np.searchsorted(np.array(ends, np.int64), same, "right"))  # phrases that end in the part that stays
-    if new == text:
-        changed = prints
+class Parsed:
+    """A text with its parser as it stood where an edit would begin, its phrases and its fingerprint."""
+
+    def __init__(self, text: str):
+        self.text, self.parser = text, Parser()
+        self.same = len(text) - len(text) // 4
+        self.parser.feed(text[: self.same])
+        ends = np.array(self.parser.feed_on_trial(text[self.same :]), np.int64)
+        self.hashes = _hashes(text, ends) if text else np.zeros(0, np.uint64)
+        self.prints = _smallest(self.hashes)
+
+
+def _row(own: Parsed, following: Parsed) -> tuple:
+    new = edited(own.text, following.text)
+    if new == own.text:
+        changed = own.prints
     else:
-        # the phrases of the part that stays are those of the text, so parsing goes on behind them
-        bounds = [0, *ends[:k]]
-        seen = {text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)}
-        changed = fingerprint(new, ends[:k] + parse(new, seen, bounds[-1]))
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(prints), to_hex(changed), likeness(prints, changed), likeness(prints, other)
+        ends = own.parser.feed_on_trial(new[own.same :])
+        k = len(own.parser.ends)  # phrases that end in the part that stays
+        begin = ends[k - 1] if k else 0
+        tail = _hashes(new[begin:], np.array(ends[k:], np.int64) - begin) if len(ends) > k else np.zeros(0, np.uint64)
+        changed = _smallest(np.concatenate([own.hashes[:k], tail]))
+    return len(own.text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(own.prints), to_hex(changed), likeness(own.prints, changed), likeness(own.prints, following.prints)
