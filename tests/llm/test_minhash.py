@@ -50,8 +50,14 @@ def test_components_take_few_rounds(spark, monkeypatch, pairs, most):
 
 def test_short_texts_with_a_common_phrase_do_not_meet(spark, monkeypatch):
     """Each text shares four of its five shingles with all others, too few for the threshold: no pair comes up."""
-    found = []
-    monkeypatch.setattr(minhash, "_rare_pairs", lambda *a, f=minhash._rare_pairs: found.append(f(*a).count()) or f(*a))
+    found, pairs = [], minhash._rare_pairs
+
+    def counted(*a):
+        out = pairs(*a)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_rare_pairs", counted)
     for n in (300, 30_000):
         texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("one phrase that all of them share "), F.concat(F.lit("w"), "id")).alias("text"))
         assert minhash.near_duplicates(texts, words=4).where("kept").count() == n
@@ -90,8 +96,9 @@ def test_one_row_of_each_group_stays(spark, name):
     rows = CASES[name]
     group, sets = plain_groups(rows, 5)
     df = documents(spark, rows)
-    left = minhash.keep_one_of_each(df).collect()
-    assert df.columns == minhash.keep_one_of_each(df).columns
+    kept = minhash.keep_one_of_each(df)
+    left = kept.collect()
+    assert df.columns == kept.columns
     want = []
     for g in sorted(set(group)):
         mine = [r for r, x, s in zip(rows, group, sets, strict=True) if x == g and s]
