@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm import chat, ctw, html_tree, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity
+from tonearm.llm import chat, ctw, html_tree, infill, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity
 from tonearm.llm._common import table
 
 
@@ -192,11 +192,27 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draws AS (SELECT *, ('0x' || substring(h, 1, 8))::BIGINT AS h1, ('0x' || substring(h, 9, 8))::BIGINT AS h2, ('0x' || substring(h, 17, 8))::BIGINT AS h3, ('0x' || substring(h, 25, 8))::BIGINT AS h4 FROM h),
+cuts AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, pipeline)}
-ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, op12_infill, pipeline)}
+ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL, "op12_infill": OP12_SQL}
