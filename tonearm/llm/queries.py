@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm import chat, ctw, html_tree, infill, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity
+from tonearm.llm import chat, ctw, html_tree, infill, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity, whitening
 from tonearm.llm._common import table
 
 
@@ -208,11 +208,15 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.transform(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, op12_infill, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, op12_infill, op13_whitening, pipeline)}
 ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL, "op12_infill": OP12_SQL}
