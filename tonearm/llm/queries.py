@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm import chat, ctw, html_tree, infill, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity, whitening
+from tonearm.llm import chat, ctw, html_tree, infill, lz_fingerprint, minhash, packing, pii, quality, sentencepiece_tok, toxicity, whitening, winnowing
 from tonearm.llm._common import table
 
 
@@ -192,6 +192,24 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), winnowing.Benchmark(table(spark, sf_dir, "benchmark")))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(a), 10) AS size, unnest(list_transform(range(1, greatest(len(a) - 10, 0) + 2), lambda i: array_to_string(a[i:i + 9], ' '))) AS win FROM b WHERE len(a) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+spans AS (SELECT doc_id, size, unnest(list_transform(range(1, len(a) - size + 2), lambda i: {'start': i, 'win': array_to_string(a[i:i + size - 1], ' ')})) AS s FROM d JOIN sizes ON len(a) >= size),
+met AS (SELECT doc_id, item_id, s.start AS start, win.size AS size FROM spans JOIN win ON win.win = s.win AND win.size = spans.size),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(start, start + size)) AS w FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM met) GROUP BY doc_id)
+SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
 
@@ -218,5 +236,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, op12_infill, op13_whitening, pipeline)}
-ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL, "op12_infill": OP12_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_chat, op4_sentencepiece, op5_html, op6_pii, op7_quality, op8_lz, op9_minhash, op10_ctw, op11_decontamination, op12_infill, op13_whitening, pipeline)}
+ORACLES = {"op3_chat": OP3_SQL, "op6_pii": _op6_sql(), "op7_quality": _op7_sql(), "op9_minhash": OP9_SQL, "op11_decontamination": OP11_SQL, "op12_infill": OP12_SQL}
