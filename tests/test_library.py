@@ -162,44 +162,113 @@ def test_requests(spark):
 
 def test_records_and_updates(spark):
     now = dt.datetime(2024, 1, 1)
-    b = spark.createDataFrame([("u", "q", "Pop", 2, "applied"), ("u", "p", "Rock", 1, "strange"), ("u", "p", "Jazz", 3, "undone"), ("w", "p", "Pop", 1, "applied")], "user_id string, playlist_id string, bucket string, bucket_ordinal int, status string")
+    b = spark.createDataFrame([("u", "r", "q", "Pop", 2, "applied", "name"), ("u", "r", "p", "Rock", 1, "strange", "name"), ("u", "r", "p", "Jazz", 3, "undone", "name"), ("w", "r", "p", "Pop", 1, "applied", "name"), ("u", "again", "q", "Pop", 1, "applied", "name")], "user_id string, run string, playlist_id string, bucket string, bucket_ordinal int, status string, name string")
     h = spark.createDataFrame([("u", "p", "P"), ("u", "q", "Q"), ("w", "p", "W")], "user_id string, playlist_id string, name string")
     base = spark.createDataFrame([("u", "p", 1, "b2"), ("u", "p", 0, "b1"), ("u", "p", 2, "b2")], "user_id string, playlist_id string, position int, uri string")
-    cand = spark.createDataFrame([("u", "Rock", 5, "r2"), ("u", "Rock", 3, "r1"), ("u", "Pop", 4, "x")], "user_id string, bucket string, position int, uri string")
+    cand = spark.createDataFrame([("u", "Rock", 5, "r2", ("2", "n", ["a"], "", "")), ("u", "Rock", 3, "r1", ("1", "n", ["a", "b"], "A", "l")), ("u", "Pop", 4, "x", None)], "user_id string, bucket string, position int, uri string, summary " + actions.TRACKS[6:-1])
     snap = spark.createDataFrame([("u", "p", "s1"), ("u", "q", "s2"), ("w", "p", None)], "user_id string, playlist_id string, actual string")
-    got = {r.user_id: r for r in actions.record(b, h, base, cand, snap, F.lit(now)).collect()}
-    a = got["u"].action
+    record = actions.record(b, h, base, cand, snap, F.lit(now))
+    got = {(r.user_id, r.run): r for r in record.collect()}
+    a = got["u", "r"].action
     assert [(d.playlistId, d.playlistName, d.baselineUris, d.expectedSnapshotId, d.bucketOrder) for d in a.destinations] == [("p", "P", ["b1", "b2", "b2"], "s1", ["Rock", "Jazz"]), ("q", "Q", [], "s2", ["Pop"])]
-    assert [(x.bucket, x.playlistId, x.trackUris, x.status) for x in a.buckets] == [("Rock", "p", ["r1", "r2"], "applied"), ("Pop", "q", ["x"], "applied"), ("Jazz", "p", [], "undone")]
-    assert a.expiresAt - a.createdAt == dt.timedelta(hours=24) and a.userId == "u" and got["u"].warning is None
-    assert got["w"].action is None and got["w"].warning.endswith(" p")
-    raw = actions.record(b, h, base, cand, snap, F.lit(now)).where("action is not null").select("user_id", F.to_json("action").alias("raw"))
-    assert actions.parse(raw).first().action == a
+    assert [(x.bucket, x.playlistId, x.trackUris, x.status, [t.id for t in x.tracks]) for x in a.buckets] == [("Rock", "p", ["r1", "r2"], "applied", ["1", "2"]), ("Pop", "q", ["x"], "applied", []), ("Jazz", "p", [], "undone", [])]
+    assert (a.createdAt, a.expiresAt, a.userId, got["u", "r"].warning) == ("2024-01-01T00:00:00.000Z", "2024-01-02T00:00:00.000Z", "u", None)
+    assert got["w", "r"].action is None and got["w", "r"].warning.endswith(" p")
+    assert got["u", "again"].action.id != a.id and len(got["u", "again"].action.buckets) == 1
+    raw = record.where("action is not null and run = 'r'").select("user_id", F.to_json("action").alias("raw"))
+    read = actions.parse(raw)
+    row = read.select("action_id", "created_at", "expires_at", F.to_json("action").alias("j"), "raw").first()
+    assert (row.action_id, row.expires_at - row.created_at) == (a.id, dt.timedelta(hours=24)) and json.loads(row.j) == json.loads(row.raw)
     for later, left in ((1.5, 24 * 3600 - 1), (30 * 3600, 1)):
-        row = actions.update(spark.createDataFrame([(a.expiresAt,)], "expires_at timestamp"), F.lit(now + dt.timedelta(seconds=later))).first()
-        assert (row.expires_at, row.seconds_left) == (a.expiresAt, left)
-
-
-def test_undo_keeps_order_and_snapshots(spark):
-    b = spark.createDataFrame([("u", "p", "Rock", 1, "applied", 2), ("u", "q", "Pop", 2, "applied", 1), ("u", "p", "Jazz", 3, "applied", 1)], "user_id string, playlist_id string, bucket string, bucket_ordinal int, status string, n int")
-    asked = spark.createDataFrame([("u", "Rock"), ("u", "Pop")], "user_id string, bucket string")
-    expected = spark.createDataFrame([("u", "p", "s1"), ("u", "q", "s2")], "user_id string, playlist_id string, expected string")
-    current = expected.withColumnRenamed("expected", "actual").union(spark.createDataFrame([("w", "p", "other")], "user_id string, playlist_id string, actual string"))
-    base = spark.createDataFrame([("u", "p", 0, "b"), ("u", "p", 1, "b")], "user_id string, playlist_id string, position int, uri string")
-    cand = spark.createDataFrame([("u", "Rock", 0, "r"), ("u", "Jazz", 1, "j"), ("u", "Pop", 2, "x")], "user_id string, bucket string, position int, uri string")
-    receipts = spark.createDataFrame([("u", "p", True, "n1"), ("u", "q", False, None), ("w", "q", True, "n9")], "user_id string, playlist_id string, ok boolean, snapshot string")
-    done = actions.plan_undo(asked, b, expected, current, base, cand, receipts)
-    assert done["conflicts"].count() == 0
+        assert actions.update(read, F.lit(now + dt.timedelta(seconds=later))).first().seconds_left == left
+
+
+RECORD = {
+    "id": "A",
+    "userId": "u",
+    "createdAt": "2024-01-01T00:00:00.000Z",
+    "expiresAt": "2024-01-02T00:00:00.000Z",
+    "client": {"version": [1, 2.5, None]},
+    "destinations": [
+        {"playlistId": "p", "playlistName": "P", "baselineUris": ["b", "b"], "expectedSnapshotId": "s1", "bucketOrder": ["Rock", "Jazz"], "color": "red"},
+        {"playlistId": "q", "playlistName": "Q", "baselineUris": [], "expectedSnapshotId": "s2", "bucketOrder": ["Pop"]},
+    ],
+    "buckets": [
+        {"bucket": "Rock", "playlistId": "p", "playlistName": "P", "trackUris": ["r"], "tracks": [{"id": "1", "artists": ["x"]}], "status": "applied"},
+        {"bucket": "Pop", "playlistId": "q", "playlistName": "Q", "trackUris": ["x"], "tracks": [], "status": "applied"},
+        {"bucket": "Jazz", "playlistId": "p", "playlistName": "P", "trackUris": ["j"], "status": "applied"},
+        {"bucket": "Lost", "playlistId": "gone", "playlistName": "G", "trackUris": ["g"], "status": "applied"},
+    ],
+}
+
+
+def undo(spark, requests, records, current={"p": "s1", "q": "s2"}, bad=("q",), as_of="2024-01-01 12:00:00"):  # noqa: B006
+    stored = actions.parse(spark.createDataFrame([(r["userId"], json.dumps(r)) for r in records], "user_id string, raw string"))
+    asked = spark.createDataFrame(requests, "user_id string, action_id string, buckets array<string>")
+    now = spark.createDataFrame([("u", k, v) for k, v in current.items()] + [("w", "p", "other")], "user_id string, playlist_id string, actual string")
+    receipts = spark.createDataFrame([("u", k, k not in bad, "n" + k) for k in "pq"] + [("w", "q", True, "n9")], "user_id string, playlist_id string, ok boolean, snapshot string")
+    return actions.plan_undo(asked, stored, now, receipts, F.expr(f"timestamp '{as_of}'"))
+
+
+def told(done):
+    return {(r.user_id, r.action_id): r.outcome for r in done["outcomes"].collect()}
+
+
+def test_undo_keeps_order_snapshots_and_unknown_fields(spark):
+    done = undo(spark, [("u", "A", ["Rock", "Pop\t"])], [RECORD])
+    assert told(done) == {("u", "A"): "partial"} and done["conflicts"].count() == 0
     assert [(r.playlist_id, r.uri) for r in done["rebuilt"].orderBy("playlist_id", "position").collect()] == [("p", "b"), ("p", "b"), ("p", "j")]
     assert {r.playlist_id for r in done["lists"].collect()} == {"p", "q"}  # q is written empty: it is cleared
-    assert {r.bucket: r.status for r in done["buckets"].collect()} == {"Rock": "undone", "Pop": "applied", "Jazz": "applied"}
-    assert {r.playlist_id: r.expected for r in done["snapshots"].collect()} == {"p": "n1", "q": "s2"}
-    assert done["totals"].first().outcome == "partial"
-    changed = actions.plan_undo(asked, b, expected, current.withColumn("actual", F.when(F.col("playlist_id") == "q", "other").otherwise(F.col("actual"))), base, cand, receipts)
-    assert [r.playlist_id for r in changed["conflicts"].collect()] == ["q"] and changed["lists"].count() == 0 and changed["buckets"].where("status = 'undone'").count() == 0
-    places = actions.destinations(b).withColumn("name", F.upper("playlist_id"))
-    told = [(r.group_no, r.place, r.bucket) for r in actions.groups(places.where("playlist_id = 'p'"), b).orderBy("group_no", "at").collect()]
-    assert told == [(1, "P", "Rock"), (1, "P", "Jazz"), (2, actions.ORPHANS, "Pop")]
+    assert {r.bucket: r.status for r in done["buckets"].collect()} == {"Rock": "undone", "Pop": "applied", "Jazz": "applied", "Lost": "applied"}
+    want = json.loads(json.dumps(RECORD))
+    want["destinations"][0]["expectedSnapshotId"], want["buckets"][0]["status"] = "np", "undone"
+    again = done["records"].select("user_id", F.to_json("action").alias("raw"))
+    assert json.loads(again.first().raw) == want
+    # what was stored again can be undone further, from its own state
+    more = undo(spark, [("u", "A", ["Jazz"])], [want], {"p": "np"})
+    assert [r.uri for r in more["rebuilt"].orderBy("position").collect()] == ["b", "b"] and told(more) == {("u", "A"): "complete"}
+    assert told(undo(spark, [("u", "A", ["Rock"])], [want], {"p": "np"})) == {("u", "A"): "already undone"}
+
+
+def test_actions_are_undone_one_by_one(spark):
+    two = json.loads(json.dumps(RECORD)) | {"id": "B"}
+    two["buckets"][0]["status"] = "undone"
+    done = undo(spark, [("u", "A", ["Rock"]), ("u", "B", ["Rock"])], [RECORD, two, RECORD | {"userId": "w", "id": "W"}])
+    assert told(done) == {("u", "A"): "complete", ("u", "B"): "already undone"}
+    assert {(r.action_id, r.bucket) for r in done["chosen"].collect()} == {("A", "Rock")}
+    assert {(r.action_id, r.status) for r in done["buckets"].where("bucket = 'Rock'").collect()} == {("A", "undone"), ("B", "undone"), ("W", "applied")}
+    # one action in conflict does not keep another from being undone
+    other = json.loads(json.dumps(RECORD)) | {"id": "C"}
+    other["destinations"][0]["expectedSnapshotId"] = "older"
+    done = undo(spark, [("u", "A", ["Pop"]), ("u", "C", ["Rock", "Pop"])], [RECORD, other], bad=())
+    assert told(done) == {("u", "A"): "complete", ("u", "C"): "conflict"}
+    assert [tuple(r) for r in done["conflicts"].collect()] == [("u", "C", "p", "P", "older", "s1", ["Rock"])]
+    assert {(r.action_id, r.playlist_id) for r in done["lists"].collect()} == {("A", "q")}
+
+
+@pytest.mark.parametrize(
+    ("request_", "record", "as_of", "outcome"),
+    [
+        (("u", "A", ["Rock", "Lost"]), RECORD, "2024-01-01 12:00:00", "missing destination"),
+        (("u", "A", ["Rock", "Nope"]), RECORD, "2024-01-01 12:00:00", "unknown bucket"),
+        (("u", "A", ["Rock", "Rock "]), RECORD, "2024-01-01 12:00:00", "invalid request"),
+        (("u", "A", []), RECORD, "2024-01-01 12:00:00", "invalid request"),
+        (("u", "Z", ["Rock"]), RECORD, "2024-01-01 12:00:00", "action not found"),
+        (("w", "A", ["Rock"]), RECORD, "2024-01-01 12:00:00", "action not found"),
+        (("u", "A", ["Rock"]), RECORD, "2024-01-02 00:00:00", "action not found"),
+        (("u", "A", ["Rock"]), RECORD | {"destinations": []}, "2024-01-01 12:00:00", "missing destination"),
+    ],
+)
+def test_undo_writes_nothing_where_it_must_not(spark, request_, record, as_of, outcome):
+    done = undo(spark, [request_], [record], as_of=as_of)
+    assert told(done) == {request_[:2]: outcome}
+    assert done["lists"].count() == done["rebuilt"].count() == done["buckets"].where("status = 'undone'").count() == 0
+
+
+def test_groups_of_an_action(spark):
+    stored = actions.parse(spark.createDataFrame([("u", json.dumps(RECORD))], "user_id string, raw string"))
+    found = actions.groups(actions.places_of(stored), actions.buckets_of(stored)).orderBy("group_no", "at").collect()
+    assert [(r.group_no, r.place, r.bucket) for r in found] == [(1, "P", "Rock"), (1, "P", "Jazz"), (2, "Q", "Pop"), (3, actions.ORPHANS, "Lost")]
 
 
 def test_runs_stop_where_they_must(spark):

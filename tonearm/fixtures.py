@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm import schemas, tables
-from tonearm.operators import actions, classify, match, plan
+from tonearm.operators import actions, classify, filters, match, plan
 from tonearm.operators.filters import LIST
 from tonearm.sources import pages
 
 AS_OF = "timestamp '2024-01-31 00:00:00'"
 
 
+def _number(column: str) -> Column:
+    """A list's number in the source table, null for the lists that runs have made."""
+    return F.col(column).try_cast("bigint")
+
+
 class Library:
     """The derived views of one folder, lazily."""
 
@@ -46,7 +51,11 @@ class Library:
         return rows.select("playlist_id", "user_id", (F.col("o_custkey") + (k % 7 == 0).cast("int")).alias("owner_id"), ((F.col("o_orderstatus") == "P") | (k % 31 == 0)).alias("collaborative"), name.alias("name"), ordinal.alias("ordinal"), F.concat(F.lit("s"), k).alias("snapshot_id"))
 
     def share_items(self) -> None:
-        self._keep("items", self._items)
+        """Without names, albums and links: what tells where an item may go."""
+        t = F.col("track")
+        ids = F.transform(t["artists"], lambda a: F.struct(a["id"].alias("id")))
+        slim = F.struct(t["id"].alias("id"), t["uri"].alias("uri"), t["is_local"].alias("is_local"), t["is_playable"].alias("is_playable"), ids.alias("artists"))
+        self._keep("items", lambda: self._items().withColumn("track", F.when(t.isNotNull(), slim)))
 
     def items(self) -> DataFrame:
         return self._kept["items"] if "items" in self._kept else self._items()
@@ -112,7 +121,14 @@ class Library:
         return self._keep("assigned", self.assigned)
 
     def source_assigned(self) -> DataFrame:
-        return self._keep("source", lambda: (self._kept.get("assigned") or self.assigned()).join(self.sources().select(*LIST), LIST, "left_semi"))
+        return self._keep("source", self._source_assigned)
+
+    def _source_assigned(self) -> DataFrame:
+        """From all items if they are classified already, else only the sources' items are."""
+        sources = self.sources().select(*LIST)
+        if "assigned" in self._kept:
+            return self._kept["assigned"].join(sources, LIST, "left_semi")
+        return classify.track_bucket(self.items().join(sources, LIST, "left_semi"), self.dim(), self.rules())
 
     def buckets(self) -> DataFrame:
         return classify.bucket_map(self.source_assigned())
@@ -151,42 +167,102 @@ class Library:
         named = self.playlists().withColumn("safe_copy_names", F.when(F.col("playlist_id") % 4 == 0, F.create_map(F.col("playlist_id").cast("string"), F.lit("Named"))))
         return plan.new_lists(named.join(self.matched(), LIST, "left_semi"), "copy", plan.copy_name(), *LIST)
 
+    # ---- recorded runs and what is undone of them ----
+
+    def _summaries(self) -> DataFrame:
+        """(user_id, position, summary) of the tracks of sources, as records keep them."""
+        t = filters.summary(F.col("track"))
+        kept = F.struct(t["id"].alias("id"), t["name"].alias("name"), t["artists"].alias("artists"), t["album"].alias("albumName"), t["url"].alias("url"))
+        rows = self._items().where(filters.sortable(F.col("track"))).join(self.sources().select(*LIST), LIST, "left_semi")
+        return rows.select("user_id", "position", kept.alias("summary"))
+
+    def runs_written(self) -> DataFrame:
+        """(user_id, run, playlist_id, name, bucket, bucket_ordinal, n): what three kinds of runs want to write of each bucket."""
+        matched = self.matched()
+        own = self.buckets().select("user_id", "bucket", "bucket_ordinal", "n")
+        met = own.join(matched.select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
+        safe = met.join(self.safety().where("safe").select(*LIST), LIST, "left_semi").join(self.playlists().select(*LIST, "name"), LIST)
+        copied = actions.copies_of(met).join(self.copies().select(*LIST, "name"), LIST)
+        cols = ["user_id", "run", F.col("playlist_id").cast("string").alias("playlist_id"), "name", "bucket", "bucket_ordinal", "n"]
+        auto = own.withColumn("playlist_id", plan.list_id("auto", "user_id", "bucket")).withColumn("name", F.col("bucket"))
+        each = [rows.withColumn("run", F.lit(run)).select(*cols) for run, rows in (("copy", copied), ("direct", safe), ("auto", auto))]
+        return each[0].unionByName(each[1]).unionByName(each[2])
+
     def recorded(self) -> DataFrame:
-        """Actions of copying runs; the snapshots of every 23rd user's lists are not known."""
-        rows = self.action_buckets().join(self.receipts().where("ok"), LIST, "left_semi").withColumn("status", F.when(F.col("user_id") % 13 == 0, "odd").otherwise("applied"))
-        base = actions.copies_of(plan.base_items(self.matched(), self.items()))
+        """Actions of copying, direct and creating runs; the snapshots of every 23rd user's lists are not known."""
+        text = F.col("playlist_id").cast("string").alias("playlist_id")
+        good = F.when(F.col("run") == "direct", (_number("playlist_id") + F.col("user_id")) % 11 != 0).otherwise((F.col("bucket_ordinal") + F.col("user_id")) % 11 != 0)
+        rows = self._keep("written", self.runs_written).where(good).withColumn("status", F.when(F.col("user_id") % 13 == 0, "odd").otherwise("applied"))
+        lists = rows.select(*LIST, "name").distinct()
+        base = plan.base_items(self.matched(), self.items())
+        held = actions.copies_of(base).unionByName(base.select("user_id", text, "position", "uri"))
         known = F.when(F.col("user_id") % 23 != 0, F.concat(F.lit("s"), F.substring("playlist_id", 1, 8)))
         created = F.expr("timestamp '2024-01-30 00:00:00'") + F.make_dt_interval(hours=F.col("user_id") % 36)
-        return actions.record(actions.copies_of(rows), self.copies(), base, self.candidates(), self.copies().select(*LIST, known.alias("actual")), created)
+        tracks = self.candidates().join(self._summaries(), ["user_id", "position"])
+        return actions.record(rows, lists, held, tracks, lists.select(*LIST, known.alias("actual")), created)
 
     def action_buckets(self) -> DataFrame:
+        """(user_id, action_id, run, bucket, bucket_ordinal, n, playlist_id, status): a direct and a creating action of each user."""
         return self._keep("action_buckets", self._action_buckets)
 
     def _action_buckets(self) -> DataFrame:
-        rows = self.buckets().select("user_id", "bucket", "bucket_ordinal", "n").join(self.matched().select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
+        matched = self.matched()
+        own = self.buckets().select("user_id", "bucket", "bucket_ordinal", "n")
         undone = (F.col("user_id") % 19 == 0) & (F.col("bucket_ordinal") == 1)
-        return rows.withColumn("status", F.when(undone, "undone").otherwise("applied"))
+        direct = own.join(matched.select("user_id", "bucket", F.col("playlist_id").cast("string").alias("playlist_id")), ["user_id", "bucket"]).withColumns({"run": F.lit("direct"), "status": F.when(undone, "undone").otherwise("applied")})
+        auto = own.withColumns({"playlist_id": plan.list_id("auto", "user_id", "bucket"), "run": F.lit("auto"), "status": F.lit("applied")})
+        return direct.unionByName(auto).withColumn("action_id", F.concat_ws("-", "run", "user_id"))
+
+    def places(self) -> DataFrame:
+        """The lists that the actions name; every 29th direct one is missing."""
+        rows = self.action_buckets()
+        named = actions.destinations(rows, actions.ACT_LIST).join(rows.select(*actions.ACT_LIST, "run").distinct(), actions.ACT_LIST)
+        return named.where((F.col("run") == "auto") | (_number("playlist_id") % 29 != 0)).withColumns({"name": F.concat(F.lit("list "), F.substring("playlist_id", 1, 8)), "expected": F.concat(F.lit("s"), "playlist_id")})
+
+    def live(self) -> DataFrame:
+        created = F.expr("timestamp '2024-01-29 18:00:00'") + F.make_dt_interval(hours=F.col("user_id") % 36 + F.when(F.col("run") == "direct", 6).otherwise(0))
+        rows = self.action_buckets().select(*actions.ACT, "run").distinct().withColumn("created_at", created)
+        return actions.live(rows.withColumn("expires_at", actions.expires()), self.as_of)
 
     def undo_requests(self) -> DataFrame:
-        rows = self.action_buckets().join(F.broadcast(classify.buckets(self.spark)), "bucket").where((F.col("bucket_no") + F.col("user_id")) % 3 == 0).select("user_id", "bucket")
-        odd = self.action_buckets().where("user_id % 17 = 0").select("user_id").distinct().withColumn("bucket", F.lit("Unknown"))
-        return rows.unionByName(odd)
+        """(user_id, action_id, buckets): some ask for a bucket that is not there, or for a blank name."""
+        turn = F.col("bucket_no") + F.col("user_id") + (F.col("run") == "auto").cast("int")
+        rows = self.action_buckets().join(F.broadcast(classify.buckets(self.spark)), "bucket").where(turn % 3 == 0)
+        odd = lambda n, name: F.when((F.col("run") == "direct") & (F.col("user_id") % n == 0), F.array(F.lit(name))).otherwise(F.array())
+        listed = rows.groupBy(*actions.ACT, "run").agg(F.array_sort(F.collect_list("bucket")).alias("r"))
+        return listed.select(*actions.ACT, F.concat("r", odd(17, "Unknown"), odd(31, " ")).alias("buckets"))
+
+    def wanted(self) -> DataFrame:
+        return self._keep("wanted", lambda: actions.asked(self.undo_requests(), self.live()))
 
     def chosen(self) -> DataFrame:
-        return self._keep("chosen", lambda: actions.selection(self.undo_requests(), self.action_buckets()))
+        return self._keep("chosen", lambda: actions.selection(self.wanted(), self.action_buckets(), self.places()))
 
-    def expected(self) -> DataFrame:
-        return self.action_buckets().select(*LIST).distinct().withColumn("expected", F.concat(F.lit("s"), "playlist_id"))
+    def current(self) -> DataFrame:
+        """Snapshots as they are now, of lists that were there and of those that runs have made."""
+        old = pages.snapshots(self.playlists().withColumn("snapshot_id", F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id"))))
+        made = self.action_buckets().where("run = 'auto'").select(*LIST, F.when(F.substring("playlist_id", 1, 1) == "0", "changed").otherwise(F.concat(F.lit("s"), "playlist_id")).alias("actual"))
+        return old.withColumn("playlist_id", F.col("playlist_id").cast("string")).unionByName(made)
 
     def conflicts(self) -> DataFrame:
-        return self._keep("conflicts", self._conflicts)
+        return self._keep("conflicts", lambda: actions.conflicts(self.chosen(), self.places(), self.current()))
 
-    def _conflicts(self) -> DataFrame:
-        current = self.playlists().withColumn("snapshot_id", F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")))
-        return actions.conflicts(self.chosen(), self.expected(), pages.snapshots(current))
+    def undo_receipts(self) -> DataFrame:
+        bad = F.when(F.col("run") == "direct", (_number("playlist_id") + F.col("user_id")) % 11 == 0).otherwise(F.col("user_id") % 11 == 0)
+        return self.action_buckets().select(*LIST, (~bad).alias("ok"), F.concat(F.lit("n"), "playlist_id").alias("snapshot")).distinct()
 
     def after_undo(self) -> DataFrame:
-        return actions.transition(self.action_buckets(), self.chosen(), self.conflicts(), self.receipts())
+        return actions.transition(self.action_buckets(), self.chosen(), self.conflicts(), self.undo_receipts())
+
+    def baseline(self) -> DataFrame:
+        """(user_id, action_id, playlist_id, position, uri) of what direct runs found in their lists."""
+        lists = self.action_buckets().where("run = 'direct'").select(*actions.ACT_LIST).distinct()
+        text = F.col("playlist_id").cast("string").alias("playlist_id")
+        return plan.base_items(self.matched(), self.items()).select("user_id", text, "position", "uri").join(lists, LIST)
+
+    def recorded_uris(self) -> DataFrame:
+        """(user_id, action_id, bucket, position, uri) of what the actions put into their lists."""
+        return self.candidates().select("user_id", "bucket", "position", "uri").join(self.action_buckets().select("user_id", "action_id", "bucket"), ["user_id", "bucket"])
 
     def action_log(self) -> DataFrame:
         """Every event is a saved action of its user; odd values are broken records."""

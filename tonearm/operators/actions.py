@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm import schemas
 from tonearm.operators import plan
 from tonearm.operators.filters import LIST, trimmed
 
 LIFETIME = "24 hours"
 ORPHANS = "Other destinations"
 APPLIED, UNDONE = "applied", "undone"
+#: What tells an action apart: its id counts within its user's actions only.
+ACT = ["user_id", "action_id"]
+ACT_LIST, ACT_BUCKET = [*ACT, "playlist_id"], [*ACT, "bucket"]
 
 
 def expires(created: str = "created_at") -> Column:
@@ -28,11 +30,69 @@ def status(given: str = "status") -> Column:
     return F.when(F.col(given) == UNDONE, UNDONE).otherwise(APPLIED)
 
 
+# ---- stored records ----
+
+
+def _text(value: Column, path: str) -> Column:
+    """A field of a record if it is a string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def _array(value: Column, path: str, of: str = "variant") -> Column:
+    return F.try_variant_get(value, path, f"array<{of}>")
+
+
 def parse(raw: DataFrame, json: str = "raw", user: str = "user_id") -> DataFrame:
-    """Rows whose JSON is a record of their user's, with column action; anything else is left out."""
-    rows = raw.withColumn("action", F.from_json(json, schemas.ACTION))
+    """Rows whose JSON is a record of their user's, with action_id, created_at, expires_at and the whole record as column action.
+
+    The record is a variant: fields that nobody here knows stay in it.  Anything else is left out.
+    """
+    rows = raw.withColumn("action", F.try_parse_json(json))
+    a = F.col("action")
+    named = (F.coalesce(_text(a, "$.id"), F.lit("")) != "") & _text(a, "$.userId").eqNullSafe(F.col(user)) & _text(a, "$.createdAt").isNotNull() & _text(a, "$.expiresAt").isNotNull()
+    good = rows.where(named & _array(a, "$.destinations").isNotNull() & _array(a, "$.buckets").isNotNull())
+    return good.withColumns({"action_id": _text(a, "$.id"), "created_at": F.try_variant_get(a, "$.createdAt", "timestamp"), "expires_at": F.try_variant_get(a, "$.expiresAt", "timestamp")})
+
+
+def places_of(parsed: DataFrame) -> DataFrame:
+    """(user_id, action_id, place, playlist_id, name, expected, bucket_order, baseline): the lists that records name, in order."""
+    rows = parsed.select(*ACT, F.posexplode(_array(F.col("action"), "$.destinations")).alias("place", "d"))
+    d = F.col("d")
+    return rows.select(*ACT, "place", _text(d, "$.playlistId").alias("playlist_id"), _text(d, "$.playlistName").alias("name"), _text(d, "$.expectedSnapshotId").alias("expected"), _array(d, "$.bucketOrder", "string").alias("bucket_order"), _array(d, "$.baselineUris", "string").alias("baseline"))
+
+
+def buckets_of(parsed: DataFrame) -> DataFrame:
+    """(user_id, action_id, bucket_ordinal from 1, bucket, playlist_id, name, uris, n, tracks, status): the buckets of records, in order."""
+    rows = parsed.select(*ACT, F.posexplode(_array(F.col("action"), "$.buckets")).alias("at", "b"))
+    b, uris = F.col("b"), F.coalesce(_array(F.col("b"), "$.trackUris", "string"), F.array().cast("array<string>"))
+    return rows.select(*ACT, (F.col("at") + 1).alias("bucket_ordinal"), _text(b, "$.bucket").alias("bucket"), _text(b, "$.playlistId").alias("playlist_id"), _text(b, "$.playlistName").alias("name"), uris.alias("uris"), F.size(uris).cast("bigint").alias("n"), F.try_variant_get(b, "$.tracks", "variant").alias("tracks"), _text(b, "$.status").alias("given")).withColumn("status", status("given")).drop("given")
+
+
+def listed(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
+    """(keys, position, uri): a recorded array of uris as rows."""
+    return rows.select(*keys, F.posexplode(array).alias("position", "uri"))
+
+
+def _with(value: Column, name: str, new: Column) -> Column:
+    """A record with one field set; as it is if it is no record or new is null."""
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    whole = F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), new.cast("variant")))
+    return F.when(fields.isNotNull() & new.isNotNull(), F.to_variant_object(whole)).otherwise(value)
+
+
+def stored_again(parsed: DataFrame, after: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(user_id, action_id, expires_at, action): records with new states of buckets and snapshots of lists; all else as it was.
+
+    after: user_id, action_id, bucket_ordinal, status.  snapshots: user_id, action_id, place, expected.
+    """
+    by_place = lambda at, value: F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("int"), F.coalesce(value, F.lit("")))))
+    states = after.groupBy(*ACT).agg(by_place("bucket_ordinal", "status").alias("states"))
+    seen = snapshots.groupBy(*ACT).agg(by_place("place", "expected").alias("seen"))
+    rows = parsed.join(states, ACT, "left").join(seen, ACT, "left")
     a = F.col("action")
-    return rows.where((F.coalesce(a["id"], F.lit("")) != "") & a["userId"].eqNullSafe(F.col(user)) & a["createdAt"].isNotNull() & a["expiresAt"].isNotNull() & a["destinations"].isNotNull() & a["buckets"].isNotNull())
+    lists = F.transform(_array(a, "$.destinations"), lambda d, i: _with(d, "expectedSnapshotId", F.try_element_at("seen", i)))
+    held = F.transform(_array(a, "$.buckets"), lambda b, i: _with(b, "status", F.try_element_at("states", i + 1)))
+    return rows.select(*ACT, "expires_at", _with(_with(a, "destinations", lists), "buckets", held).alias("action"))
 
 
 def latest(actions: DataFrame, as_of: Column) -> DataFrame:
@@ -42,46 +102,61 @@ def latest(actions: DataFrame, as_of: Column) -> DataFrame:
     return last.where((F.col("expires_at") > as_of) & F.col("valid"))
 
 
-# ---- recording ----
+def live(actions: DataFrame, as_of: Column) -> DataFrame:
+    """(user_id, action_id) of the actions that can still be undone."""
+    return actions.where(F.col("expires_at") > as_of).select(*ACT)
+
 
+# ---- recording ----
 
-def destinations(buckets: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, place, bucket_order): one row for each list that was written, its buckets in order.
+def destinations(buckets: DataFrame, keys: list[str] = LIST) -> DataFrame:
+    """(keys, place, bucket_order): one row for each list that was written, its buckets in order.
 
     place is that of the list's first bucket; it orders the lists of an action.
     """
-    listed = F.array_sort(F.collect_list(F.struct("bucket_ordinal", "bucket")))
-    grouped = buckets.groupBy(*LIST).agg(F.min("bucket_ordinal").alias("place"), listed.alias("r"))
-    return grouped.select(*LIST, "place", F.transform("r", lambda x: x["bucket"]).alias("bucket_order"))
+    told = F.array_sort(F.collect_list(F.struct("bucket_ordinal", "bucket")))
+    grouped = buckets.groupBy(*keys).agg(F.min("bucket_ordinal").alias("place"), told.alias("r"))
+    return grouped.select(*keys, "place", F.transform("r", lambda x: x["bucket"]).alias("bucket_order"))
+
+
+def uris(rows: DataFrame, keys: list[str], name: str, value: str = "uri") -> DataFrame:
+    """(keys, name): the uris, or other values, of some rows in order."""
+    told = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", value))).alias("r"))
+    return told.select(*keys, F.transform("r", lambda x: x[value]).alias(name))
 
 
-def uris(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, name): the uris of some rows in order."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "uri"))).alias("r"))
-    return listed.select(*keys, F.transform("r", lambda x: x["uri"]).alias(name))
+#: A track as a record keeps it.
+TRACKS = "array<struct<id:string,name:string,artists:array<string>,albumName:string,url:string>>"
 
 
 def record(written: DataFrame, headers: DataFrame, baseline: DataFrame, candidates: DataFrame, snapshots: DataFrame, created_at: Column) -> DataFrame:
-    """(user_id, action, warning): the action of each user with a successful write, as a record; its JSON is to_json(action).
+    """(user_id, run, action, warning): the action of each user and run with a successful write; its JSON is to_json(action).
 
-    written: user_id, playlist_id, bucket, bucket_ordinal and status of the successful writes.  headers: user_id, playlist_id,
-    name.  baseline: user_id, playlist_id, position, uri of what the lists held before.  candidates: user_id, bucket, position,
-    uri.  snapshots: user_id, playlist_id, actual after the writes.  created_at: over the columns of written.  A list
-    whose snapshot is not known leaves its user without an action and with a warning that names it.
+    written: user_id, run (any name of a run of the user's), playlist_id, bucket, bucket_ordinal and status of the successful
+    writes.  headers: user_id, playlist_id, name.  baseline: user_id, playlist_id, position, uri of what the lists held before.
+    candidates: user_id, bucket, position, uri and, for the tracks of buckets, summary.  snapshots: user_id, playlist_id,
+    actual after the writes.  created_at: over the columns of written.  A list whose snapshot is not known leaves its run
+    without an action and with a warning that names it.
     """
-    held = destinations(written).join(headers.select(*LIST, "name"), LIST, "left").join(snapshots.select(*LIST, "actual"), LIST, "left").join(uris(baseline, LIST, "baseline"), LIST, "left")
+    run = ["user_id", "run"]
+    written = written.withColumn("created_at", created_at).select(*run, "playlist_id", "bucket", "bucket_ordinal", "status", "created_at")
+    held = destinations(written, [*run, "playlist_id"]).join(headers.select(*LIST, "name"), LIST, "left").join(snapshots.select(*LIST, "actual"), LIST, "left").join(uris(baseline, LIST, "baseline"), LIST, "left")
     none = F.array().cast("array<string>")
     text = lambda c: F.col(c).cast("string")
     place = F.struct(text("playlist_id").alias("playlistId"), F.col("name").alias("playlistName"), F.coalesce("baseline", none).alias("baselineUris"), F.col("actual").alias("expectedSnapshotId"), F.col("bucket_order").alias("bucketOrder"))
     lost = F.min(F.when(F.col("actual").isNull(), F.struct("place", text("playlist_id").alias("id"))))["id"]
-    lists = held.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", place.alias("d")))).alias("places"), lost.alias("lost"))
-    tracks = written.join(headers.select(*LIST, "name"), LIST, "left").join(uris(candidates, ["user_id", "bucket"], "uris"), ["user_id", "bucket"], "left")
-    bucket = F.struct(F.col("bucket"), text("playlist_id").alias("playlistId"), F.col("name").alias("playlistName"), F.coalesce("uris", none).alias("trackUris"), status().alias("status"))
-    whole = tracks.withColumn("created_at", created_at).groupBy("user_id").agg(F.min("created_at").alias("created_at"), F.array_sort(F.collect_list(F.struct("bucket_ordinal", bucket.alias("b")))).alias("buckets"))
-    rows = whole.join(lists, "user_id").withColumn("expires_at", expires())
-    number = F.sha2(F.concat_ws("|", F.lit("action"), text("user_id"), F.unix_micros("created_at").cast("string")), 256)
-    action = F.struct(number.alias("id"), text("user_id").alias("userId"), F.col("created_at").alias("createdAt"), F.col("expires_at").alias("expiresAt"), F.transform("places", lambda x: x["d"]).alias("destinations"), F.transform("buckets", lambda x: x["b"]).alias("buckets"))
-    return rows.select("user_id", F.when(F.col("lost").isNull(), action).alias("action"), F.concat(F.lit("no action was recorded: the final snapshot is not known of list "), "lost").alias("warning"))
+    lists = held.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("place", place.alias("d")))).alias("places"), lost.alias("lost"))
+    given = candidates if "summary" in candidates.columns else candidates.withColumn("summary", F.lit(None).cast(TRACKS[6:-1]))
+    each = F.array_sort(F.collect_list(F.struct("position", "uri", "summary")))
+    found = given.groupBy("user_id", "bucket").agg(each.alias("r")).select("user_id", "bucket", F.transform("r", lambda x: x["uri"]).alias("uris"), F.filter(F.transform("r", lambda x: x["summary"]), lambda x: x.isNotNull()).alias("tracks"))
+    tracks = written.join(headers.select(*LIST, "name"), LIST, "left").join(found, ["user_id", "bucket"], "left")
+    bucket = F.struct(F.col("bucket"), text("playlist_id").alias("playlistId"), F.col("name").alias("playlistName"), F.coalesce("uris", none).alias("trackUris"), F.coalesce("tracks", F.array().cast(TRACKS)).alias("tracks"), status().alias("status"))
+    whole = tracks.groupBy(*run).agg(F.min("created_at").alias("created_at"), F.array_sort(F.collect_list(F.struct("bucket_ordinal", bucket.alias("b")))).alias("buckets"))
+    rows = whole.join(lists, run).withColumn("expires_at", expires())
+    number = F.sha2(F.concat_ws("|", F.lit("action"), text("user_id"), text("run"), F.unix_micros("created_at").cast("string")), 256)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    action = F.struct(number.alias("id"), text("user_id").alias("userId"), iso("created_at").alias("createdAt"), iso("expires_at").alias("expiresAt"), F.transform("places", lambda x: x["d"]).alias("destinations"), F.transform("buckets", lambda x: x["b"]).alias("buckets"))
+    return rows.select(*run, F.when(F.col("lost").isNull(), action).alias("action"), F.concat(F.lit("no action was recorded: the final snapshot is not known of list "), "lost").alias("warning"))
 
 
 def update(actions: DataFrame, as_of: Column) -> DataFrame:
@@ -91,7 +166,6 @@ def update(actions: DataFrame, as_of: Column) -> DataFrame:
 
 # ---- undoing ----
 
-
 def request_ok() -> Column:
     """An undo request names something, nothing blank, nothing twice (after trimming white space of every kind)."""
     names = F.transform("buckets", lambda b: trimmed(b))
@@ -99,94 +173,140 @@ def request_ok() -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def unknown(requested: DataFrame, buckets: DataFrame) -> DataFrame:
-    return requested.join(buckets.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti")
+def asked(requested: DataFrame, can: DataFrame) -> DataFrame:
+    """(user_id, action_id, bucket) of good requests (user_id, action_id, buckets) for actions in can; one request an action."""
+    rows = requested.where(request_ok()).select(*ACT, F.explode(F.transform("buckets", lambda b: trimmed(b))).alias("bucket"))
+    return rows.join(can.select(*ACT), ACT, "left_semi")
+
+
+def unknown(wanted: DataFrame, buckets: DataFrame) -> DataFrame:
+    return wanted.join(buckets.select(*ACT_BUCKET), ACT_BUCKET, "left_anti")
+
+
+def already_undone(wanted: DataFrame, buckets: DataFrame) -> DataFrame:
+    return wanted.join(buckets.where(F.col("status") == UNDONE).select(*ACT_BUCKET), ACT_BUCKET, "left_semi")
 
 
-def already_undone(requested: DataFrame, buckets: DataFrame) -> DataFrame:
-    return requested.join(buckets.where(F.col("status") == UNDONE).select("user_id", "bucket"), ["user_id", "bucket"], "left_semi")
+def misplaced(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataFrame:
+    """(user_id, action_id, bucket, playlist_id): buckets asked for whose list the action does not name."""
+    found = wanted.join(buckets.select(*ACT_BUCKET, "playlist_id"), ACT_BUCKET)
+    return found.join(places.select(*ACT_LIST), ACT_LIST, "left_anti").select(*ACT_BUCKET, "playlist_id")
 
 
-def selection(requested: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Action buckets that were asked for, of requests without unknown or undone names."""
-    bad = unknown(requested, buckets).select("user_id").union(already_undone(requested, buckets).select("user_id")).distinct()
-    good = requested.select("user_id", "bucket").distinct().join(bad, "user_id", "left_anti")
-    return buckets.join(good, ["user_id", "bucket"], "left_semi")
+def _refused(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataFrame:
+    bad = [unknown(wanted, buckets), already_undone(wanted, buckets), misplaced(wanted, buckets, places)]
+    return bad[0].select(*ACT).union(bad[1].select(*ACT)).union(bad[2].select(*ACT)).distinct()
 
 
-def conflicts(chosen: DataFrame, expected: DataFrame, current: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, expected, actual): lists to be rebuilt that changed since."""
-    rows = chosen.select(*LIST).distinct().join(expected, LIST).join(current, LIST, "left")
-    return rows.where(~F.col("actual").eqNullSafe(F.col("expected"))).select(*LIST, "expected", "actual")
+def selection(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataFrame:
+    """Action buckets that were asked for, of requests where each is known, applied and in a list that the action names."""
+    good = wanted.select(*ACT_BUCKET).distinct().join(_refused(wanted, buckets, places), ACT, "left_anti")
+    return buckets.join(good, ACT_BUCKET, "left_semi")
+
+
+def conflicts(chosen: DataFrame, places: DataFrame, current: DataFrame) -> DataFrame:
+    """(user_id, action_id, playlist_id, name, expected, actual, buckets): lists to be rebuilt that changed since, and what was asked of them.
+
+    places: user_id, action_id, playlist_id, name, expected.  current: user_id, playlist_id, actual.
+    """
+    told = F.array_sort(F.collect_list(F.struct("bucket_ordinal", "bucket")))
+    lists = chosen.groupBy(*ACT_LIST).agg(told.alias("r")).select(*ACT_LIST, F.transform("r", lambda x: x["bucket"]).alias("buckets"))
+    rows = lists.join(places.select(*ACT_LIST, "name", "expected"), ACT_LIST).join(current.select(*LIST, "actual"), LIST, "left")
+    return rows.where(~F.col("actual").eqNullSafe(F.col("expected"))).select(*ACT_LIST, "name", "expected", "actual", "buckets")
 
 
 def rewritten(chosen: DataFrame, conflicting: DataFrame) -> DataFrame:
-    """(user_id, playlist_id) of the lists to write: one conflict voids all writes of its action."""
-    return chosen.select(*LIST).distinct().join(conflicting.select("user_id").distinct(), "user_id", "left_anti")
+    """(user_id, action_id, playlist_id) of the lists to write: one conflict voids all writes of its action, and no other's."""
+    return chosen.select(*ACT_LIST).distinct().join(conflicting.select(*ACT).distinct(), ACT, "left_anti")
 
 
-def rebuild(chosen: DataFrame, conflicting: DataFrame, buckets: DataFrame, base: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, position, uri) of the lists to write: the baseline and the buckets that stay.
+def rebuild(chosen: DataFrame, conflicting: DataFrame, buckets: DataFrame, baseline: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(user_id, action_id, playlist_id, position, uri) of the lists to write: the recorded baseline and the buckets that stay.
 
-    A list that becomes empty has no rows here: replace clears it.
+    baseline: user_id, action_id, playlist_id, position, uri.  recorded: user_id, action_id, bucket, position, uri.  A list that becomes
+    empty has no rows here: replace clears it.
     """
     lists = rewritten(chosen, conflicting)
-    stay = buckets.where(F.col("status") == APPLIED).join(chosen.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti").join(lists, LIST, "left_semi")
-    more = candidates.select("user_id", "bucket", "position", "uri").join(stay.select("user_id", "bucket", "bucket_ordinal", "playlist_id"), ["user_id", "bucket"])
-    a = base.join(lists, LIST, "left_semi").select(*LIST, F.lit(0).alias("bucket_ordinal"), "position", "uri")
-    at = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "position")) - 1
-    return a.unionByName(more.select(*LIST, "bucket_ordinal", "position", "uri")).select(*LIST, at.alias("position"), "uri")
+    stay = buckets.where(F.col("status") == APPLIED).join(chosen.select(*ACT_BUCKET), ACT_BUCKET, "left_anti").join(lists, ACT_LIST, "left_semi")
+    more = recorded.select(*ACT_BUCKET, "position", "uri").join(stay.select(*ACT_BUCKET, "bucket_ordinal", "playlist_id"), ACT_BUCKET)
+    a = baseline.join(lists, ACT_LIST, "left_semi").select(*ACT_LIST, F.lit(0).alias("bucket_ordinal"), "position", "uri")
+    at = F.row_number().over(Window.partitionBy(*ACT_LIST).orderBy("bucket_ordinal", "position")) - 1
+    return a.unionByName(more.select(*ACT_LIST, "bucket_ordinal", "position", "uri")).select(*ACT_LIST, at.alias("position"), "uri")
 
 
 def transition(buckets: DataFrame, chosen: DataFrame, conflicting: DataFrame, receipts: DataFrame) -> DataFrame:
     """Action buckets with their new status: undone where asked for, not voided, and the write was confirmed."""
     confirmed = rewritten(chosen, conflicting).join(receipts.where("ok").select(*LIST), LIST, "left_semi")
-    done = chosen.join(confirmed, LIST, "left_semi").select("user_id", "bucket", F.lit(True).alias("now"))
-    return buckets.join(done, ["user_id", "bucket"], "left").withColumn("status", F.when(F.col("now"), UNDONE).otherwise(F.col("status"))).drop("now")
+    done = chosen.join(confirmed, ACT_LIST, "left_semi").select(*ACT_BUCKET, F.lit(True).alias("now"))
+    return buckets.join(done, ACT_BUCKET, "left").withColumn("status", F.when(F.col("now"), UNDONE).otherwise(F.col("status"))).drop("now")
 
 
-def new_snapshots(expected: DataFrame, chosen: DataFrame, conflicting: DataFrame, receipts: DataFrame) -> DataFrame:
-    """(user_id, playlist_id, expected) after an undo: the snapshot of the write where one was confirmed, else as before.
+def new_snapshots(places: DataFrame, chosen: DataFrame, conflicting: DataFrame, receipts: DataFrame) -> DataFrame:
+    """places with expected as it is after an undo: the snapshot of the write where one was confirmed, else as before.
 
     receipts: user_id, playlist_id, ok, snapshot.
     """
-    confirmed = receipts.where("ok").join(rewritten(chosen, conflicting), LIST, "left_semi").select(*LIST, "snapshot")
-    return expected.join(confirmed, LIST, "left").select(*LIST, F.coalesce("snapshot", "expected").alias("expected"))
+    confirmed = rewritten(chosen, conflicting).join(receipts.where("ok").select(*LIST, "snapshot"), LIST)
+    return places.join(confirmed, ACT_LIST, "left").withColumn("expected", F.coalesce("snapshot", "expected")).drop("snapshot")
+
 
+#: What becomes of a request, in the order in which it is looked at.
+INVALID, NOT_FOUND, UNKNOWN, AGAIN, MISPLACED, CONFLICT = "invalid request", "action not found", "unknown bucket", "already undone", "missing destination", "conflict"
 
-def plan_undo(requested: DataFrame, buckets: DataFrame, expected: DataFrame, current: DataFrame, base: DataFrame, candidates: DataFrame, receipts: DataFrame) -> dict[str, DataFrame]:
-    """All steps of undoing: selection, conflicts, rebuilt lists, and buckets, snapshots and totals as they are afterwards."""
-    chosen = selection(requested, buckets)
-    changed = conflicts(chosen, expected, current)
-    after = transition(buckets, chosen, changed, receipts)
-    return {"chosen": chosen, "conflicts": changed, "lists": rewritten(chosen, changed), "rebuilt": rebuild(chosen, changed, buckets, base, candidates), "buckets": after, "snapshots": new_snapshots(expected, chosen, changed, receipts), "totals": undo_totals(after, chosen)}
+
+def outcomes(requested: DataFrame, can: DataFrame, buckets: DataFrame, places: DataFrame, chosen: DataFrame, conflicting: DataFrame, after: DataFrame) -> DataFrame:
+    """(user_id, action_id, outcome) of each request: why nothing is written, or complete, or partial if a bucket asked for is still applied."""
+    wanted = asked(requested, can)
+    reasons = [(1, UNKNOWN, unknown(wanted, buckets)), (2, AGAIN, already_undone(wanted, buckets)), (3, MISPLACED, misplaced(wanted, buckets, places)), (4, CONFLICT, conflicting)]
+    left = after.where(F.col("status") == APPLIED).join(chosen.select(*ACT_BUCKET), ACT_BUCKET, "left_semi")
+    told = None
+    for rank, name, rows in [*reasons, (5, "partial", left)]:
+        one = rows.select(*ACT, F.lit(rank).alias("rank"), F.lit(name).alias("told"))
+        told = one if told is None else told.unionByName(one)
+    first = told.groupBy(*ACT).agg(F.min(F.struct("rank", "told"))["told"].alias("told"))
+    rows = requested.select(*ACT, request_ok().alias("good")).join(can.select(*ACT, F.lit(True).alias("there")), ACT, "left").join(first, ACT, "left")
+    return rows.select(*ACT, F.when(~F.col("good"), INVALID).when(F.col("there").isNull(), NOT_FOUND).otherwise(F.coalesce("told", F.lit("complete"))).alias("outcome"))
+
+
+def plan_undo(requested: DataFrame, parsed: DataFrame, current: DataFrame, receipts: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """All steps of undoing, from requests (user_id, action_id, buckets) and records as parse() gives them.
+
+    Everything to be written comes from the record: its baseline and uris, not what lists or candidates hold now.  An action whose
+    record is missing, another user's or expired writes nothing, nor does one that lacks the list of a bucket asked for.
+    """
+    can, buckets, places = live(parsed, as_of), buckets_of(parsed), places_of(parsed)
+    chosen = selection(asked(requested, can), buckets, places)
+    changed = conflicts(chosen, places, current)
+    after, seen = transition(buckets, chosen, changed, receipts), new_snapshots(places, chosen, changed, receipts)
+    rebuilt = rebuild(chosen, changed, buckets, listed(places, ACT_LIST, "baseline"), listed(buckets, ACT_BUCKET, "uris"))
+    told = outcomes(requested, can, buckets, places, chosen, changed, after)
+    return {"chosen": chosen, "conflicts": changed, "lists": rewritten(chosen, changed), "rebuilt": rebuilt, "buckets": after, "snapshots": seen, "totals": undo_totals(after), "outcomes": told, "records": stored_again(parsed, after, seen)}
 
 
-def undo_totals(after: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(user_id, applied, undone, tracks_undone, outcome): partial if a chosen bucket is still applied."""
-    asked = chosen.select("user_id", "bucket", F.lit(True).alias("asked"))
+def undo_totals(after: DataFrame) -> DataFrame:
+    """(user_id, action_id, applied, undone, tracks_undone) of each action."""
     gone = F.col("status") == UNDONE
-    return after.join(asked, ["user_id", "bucket"], "left").groupBy("user_id").agg(F.count_if(~gone).alias("applied"), F.count_if(gone).alias("undone"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("tracks_undone"), F.when(F.bool_or(F.coalesce("asked", F.lit(False)) & ~gone), "partial").otherwise("complete").alias("outcome"))
+    return after.groupBy(*ACT).agg(F.count_if(~gone).alias("applied"), F.count_if(gone).alias("undone"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("tracks_undone"))
 
 
 def groups(places: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(user_id, group_no, place, at, bucket): the buckets under their lists, lists and buckets in the order of the action.
+    """(user_id, action_id, group_no, place, at, bucket): the buckets under their lists, lists and buckets in the order of the action.
 
-    places: user_id, playlist_id, name, place, bucket_order.  Buckets whose list is not among them come last, under ORPHANS.
+    places: user_id, action_id, playlist_id, name, place, bucket_order.  Buckets whose list is not among them come last, under ORPHANS.
     """
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    number = F.row_number().over(Window.partitionBy(*ACT).orderBy("place"))
     numbered = places.withColumn("group_no", number)
-    named = numbered.select("user_id", "group_no", F.col("name").alias("place"), F.posexplode("bucket_order").alias("at", "bucket"))
-    known = named.join(buckets.select("user_id", "bucket"), ["user_id", "bucket"], "left_semi")
-    last = numbered.groupBy("user_id").agg(F.max("group_no").alias("groups"))
-    orphans = buckets.join(places.select(*LIST), LIST, "left_anti").join(last, "user_id", "left")
-    at = F.row_number().over(Window.partitionBy("user_id").orderBy("bucket_ordinal")) - 1
-    more = orphans.select("user_id", (F.coalesce("groups", F.lit(0)) + 1).alias("group_no"), F.lit(ORPHANS).alias("place"), at.alias("at"), "bucket")
-    return known.select("user_id", "group_no", "place", "at", "bucket").unionByName(more)
+    named = numbered.select(*ACT, "group_no", F.col("name").alias("place"), F.posexplode("bucket_order").alias("at", "bucket"))
+    known = named.join(buckets.select(*ACT_BUCKET), ACT_BUCKET, "left_semi")
+    last = numbered.groupBy(*ACT).agg(F.max("group_no").alias("groups"))
+    orphans = buckets.join(places.select(*ACT_LIST), ACT_LIST, "left_anti").join(last, ACT, "left")
+    at = F.row_number().over(Window.partitionBy(*ACT).orderBy("bucket_ordinal")) - 1
+    more = orphans.select(*ACT, (F.coalesce("groups", F.lit(0)) + 1).alias("group_no"), F.lit(ORPHANS).alias("place"), at.alias("at"), "bucket")
+    return known.select(*ACT, "group_no", "place", "at", "bucket").unionByName(more)
 
 
 def undone_names(buckets: DataFrame) -> DataFrame:
-    return buckets.where(F.col("status") == UNDONE).groupBy("user_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    return buckets.where(F.col("status") == UNDONE).groupBy(*ACT).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
 
 
 def copies_of(written: DataFrame) -> DataFrame:

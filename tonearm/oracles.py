@@ -78,28 +78,36 @@ fresh AS (
   SELECT artist_id, string_agg(genre, ',' ORDER BY gpos) AS genres FROM artist_genres WHERE artist_id % 29 <= 14 AND artist_id IN (SELECT artist_id FROM wanted) GROUP BY artist_id),
 missing AS (SELECT artist_id FROM wanted WHERE artist_id NOT IN (SELECT artist_id FROM fresh)),
 ab AS (
-  SELECT m.user_id, m.bucket, m.bucket_ordinal, m.n, b.playlist_id, CASE WHEN m.user_id % 19 = 0 AND m.bucket_ordinal = 1 THEN 'undone' ELSE 'applied' END AS status
-  FROM bmap m JOIN best b USING (user_id, bucket)),
+  SELECT m.user_id, 'direct' AS run, 'direct-' || m.user_id AS action_id, m.bucket, m.bucket_ordinal, m.n, b.playlist_id AS pid, b.playlist_id::VARCHAR AS playlist_id,
+    CASE WHEN m.user_id % 19 = 0 AND m.bucket_ordinal = 1 THEN 'undone' ELSE 'applied' END AS status FROM bmap m JOIN best b USING (user_id, bucket)
+  UNION ALL SELECT user_id, 'auto', 'auto-' || user_id, bucket, bucket_ordinal, n, NULL, sha256('auto|' || user_id || '|' || bucket), 'applied' FROM bmap),
+places AS (
+  SELECT user_id, action_id, run, playlist_id, min(bucket_ordinal) AS place, string_agg(bucket, ',' ORDER BY bucket_ordinal) AS bucket_order, 'list ' || playlist_id[1:8] AS name, 's' || playlist_id AS expected
+  FROM ab WHERE run = 'auto' OR pid % 29 <> 0 GROUP BY user_id, action_id, run, playlist_id),
+req AS (SELECT user_id, run, action_id, bucket, run = 'direct' AND user_id % 31 = 0 AS invalid, user_id % 36 > CASE run WHEN 'direct' THEN 0 ELSE 6 END AS live FROM ab JOIN buckets USING (bucket) WHERE (bucket_no + user_id + (run = 'auto')::INT) % 3 = 0),
 asked AS (
-  SELECT user_id, bucket FROM ab JOIN buckets USING (bucket) WHERE (bucket_no + user_id) % 3 = 0
-  UNION ALL SELECT DISTINCT user_id, 'Unknown' FROM ab WHERE user_id % 17 = 0),
-unknown AS (SELECT * FROM asked q WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.user_id = q.user_id AND ab.bucket = q.bucket)),
-again AS (SELECT q.user_id, q.bucket FROM asked q JOIN ab USING (user_id, bucket) WHERE ab.status = 'undone'),
+  SELECT user_id, action_id, bucket FROM req WHERE live AND NOT invalid
+  UNION ALL SELECT DISTINCT user_id, action_id, 'Unknown' FROM req WHERE run = 'direct' AND user_id % 17 = 0 AND live AND NOT invalid),
+unknown AS (SELECT * FROM asked q WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.action_id = q.action_id AND ab.bucket = q.bucket)),
+again AS (SELECT q.user_id, q.action_id, q.bucket FROM asked q JOIN ab USING (action_id, bucket) WHERE ab.status = 'undone'),
+misplaced AS (SELECT q.user_id, q.action_id, q.bucket, ab.playlist_id FROM asked q JOIN ab USING (action_id, bucket) WHERE NOT EXISTS (SELECT 1 FROM places p WHERE p.action_id = q.action_id AND p.playlist_id = ab.playlist_id)),
 chosen AS (
-  SELECT ab.* FROM ab JOIN asked USING (user_id, bucket)
-  WHERE ab.user_id NOT IN (SELECT user_id FROM unknown) AND ab.user_id NOT IN (SELECT user_id FROM again)),
-conflicts AS (SELECT DISTINCT user_id, playlist_id, 's' || playlist_id AS expected, 'changed' AS actual FROM chosen WHERE playlist_id % 5 = 0),
-rewrite AS (SELECT DISTINCT user_id, playlist_id FROM chosen WHERE user_id NOT IN (SELECT user_id FROM conflicts)),
+  SELECT ab.* FROM ab JOIN asked USING (action_id, bucket)
+  WHERE action_id NOT IN (SELECT action_id FROM unknown) AND action_id NOT IN (SELECT action_id FROM again) AND action_id NOT IN (SELECT action_id FROM misplaced)),
+conflicts AS (
+  SELECT c.user_id, c.action_id, c.playlist_id, p.name, p.expected, 'changed' AS actual, string_agg(c.bucket, ',' ORDER BY c.bucket_ordinal) AS buckets
+  FROM chosen c JOIN places p ON p.action_id = c.action_id AND p.playlist_id = c.playlist_id WHERE CASE c.run WHEN 'direct' THEN c.pid % 5 = 0 ELSE c.playlist_id[1:1] = '0' END GROUP BY ALL),
+rewrite AS (SELECT DISTINCT user_id, run, action_id, playlist_id, pid FROM chosen WHERE action_id NOT IN (SELECT action_id FROM conflicts)),
+ok_write AS (SELECT DISTINCT action_id, playlist_id FROM rewrite WHERE CASE run WHEN 'direct' THEN (pid + user_id) % 11 <> 0 ELSE user_id % 11 <> 0 END),
+stays AS (SELECT ab.* FROM ab WHERE status = 'applied' AND NOT EXISTS (SELECT 1 FROM chosen h WHERE h.action_id = ab.action_id AND h.bucket = ab.bucket)),
 rebuilt AS (
-  SELECT user_id, playlist_id, row_number() OVER (PARTITION BY user_id, playlist_id ORDER BY bucket_ordinal, position) - 1 AS position, uri FROM (
-    SELECT b.user_id, b.playlist_id, 0 AS bucket_ordinal, b.position, b.uri FROM base b JOIN rewrite USING (user_id, playlist_id)
+  SELECT user_id, action_id, playlist_id, row_number() OVER (PARTITION BY action_id, playlist_id ORDER BY bucket_ordinal, position) - 1 AS position, uri FROM (
+    SELECT r.user_id, r.action_id, r.playlist_id, 0 AS bucket_ordinal, b.position, b.uri FROM base b JOIN rewrite r ON r.pid = b.playlist_id AND r.user_id = b.user_id
     UNION ALL
-    SELECT c.user_id, ab.playlist_id, c.bucket_ordinal, c.position, c.uri FROM cand c JOIN ab USING (user_id, bucket) JOIN rewrite r ON r.user_id = ab.user_id AND r.playlist_id = ab.playlist_id
-    WHERE ab.status = 'applied' AND NOT EXISTS (SELECT 1 FROM chosen h WHERE h.user_id = c.user_id AND h.bucket = c.bucket))),
+    SELECT r.user_id, r.action_id, r.playlist_id, s.bucket_ordinal, c.position, c.uri FROM rewrite r JOIN stays s ON s.action_id = r.action_id AND s.playlist_id = r.playlist_id JOIN cand c ON c.user_id = s.user_id AND c.bucket = s.bucket)),
 after AS (
-  SELECT ab.user_id, ab.bucket, ab.n, h.user_id IS NOT NULL AS was_asked,
-    CASE WHEN h.user_id IS NOT NULL AND (ab.playlist_id + ab.user_id) % 11 <> 0 AND ab.user_id NOT IN (SELECT user_id FROM conflicts) THEN 'undone' ELSE ab.status END AS status
-  FROM ab LEFT JOIN chosen h ON h.user_id = ab.user_id AND h.bucket = ab.bucket),
+  SELECT ab.user_id, ab.action_id, ab.bucket, ab.n, h.action_id IS NOT NULL AS was_asked, CASE WHEN h.action_id IS NOT NULL AND k.action_id IS NOT NULL THEN 'undone' ELSE ab.status END AS status
+  FROM ab LEFT JOIN chosen h ON h.action_id = ab.action_id AND h.bucket = ab.bucket LEFT JOIN ok_write k ON k.action_id = ab.action_id AND k.playlist_id = ab.playlist_id),
 sources AS (SELECT * FROM lists WHERE ordinal = 1),
 backups AS (
   SELECT s.user_id, s.playlist_id, CASE WHEN s.playlist_id % 13 <> 0 THEN sha256('backup|' || s.user_id || '|' || s.playlist_id) END AS list_id,
@@ -118,18 +126,47 @@ excluded AS (
     UNION ALL SELECT user_id, playlist_id, name, verdict, 1, ordinal FROM verdicts WHERE verdict <> 'valid' AND ordinal > 1)
   WHERE user_id IN (SELECT user_id FROM going)),
 made AS (
-  SELECT user_id, playlist_id, sha256('copy|' || user_id || '|' || playlist_id) AS list_id, CASE WHEN playlist_id % 4 = 0 THEN 'Named' ELSE name || ' — Copy' END AS copy_name
-  FROM lists WHERE (user_id, playlist_id) IN (SELECT (user_id, playlist_id) FROM best)),
-kept AS (SELECT ab.*, list_id, copy_name, user_id % 23 = 0 AS lost FROM ab JOIN made USING (user_id, playlist_id) WHERE (ab.playlist_id + ab.user_id) % 11 <> 0),
+  SELECT l.user_id, l.playlist_id, sha256('copy|' || l.user_id || '|' || l.playlist_id) AS list_id, CASE WHEN l.playlist_id % 4 = 0 THEN 'Named' ELSE name || ' — Copy' END AS copy_name
+  FROM lists l WHERE EXISTS (SELECT 1 FROM best b WHERE b.user_id = l.user_id AND b.playlist_id = l.playlist_id)),
+written AS (
+  SELECT m.user_id, 'copy' AS run, list_id, copy_name AS name, m.bucket, m.bucket_ordinal, b.playlist_id AS pid FROM bmap m JOIN best b USING (user_id, bucket) JOIN made USING (user_id, playlist_id)
+  UNION ALL SELECT m.user_id, 'direct', b.playlist_id::VARCHAR, l.name, m.bucket, m.bucket_ordinal, b.playlist_id
+    FROM bmap m JOIN best b USING (user_id, bucket) JOIN safety s ON s.user_id = b.user_id AND s.playlist_id = b.playlist_id JOIN lists l ON l.user_id = b.user_id AND l.playlist_id = b.playlist_id WHERE s.n_copyable = s.n_items
+  UNION ALL SELECT user_id, 'auto', sha256('auto|' || user_id || '|' || bucket), bucket, bucket, bucket_ordinal, NULL FROM bmap),
+kept AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY bucket_ordinal) AS k FROM written WHERE (CASE run WHEN 'direct' THEN pid ELSE bucket_ordinal END + user_id) % 11 <> 0),
+held AS (SELECT user_id, playlist_id, string_agg(uri, '+' ORDER BY position) AS uris FROM base GROUP BY ALL),
+told AS (
+  SELECT s.user_id, s.bucket, string_agg(s.uri, '+' ORDER BY s.position) AS uris,
+    string_agg(s.track_id || '/track ' || s.track_id || '/artist ' || i.l_suppkey || CASE WHEN s.track_id % 2 = 0 THEN ',artist ' || (s.track_id % 100) ELSE '' END || '/' || CASE WHEN s.track_id % 10 <> 0 THEN 'album ' || (s.track_id % 10) ELSE '' END || '/' || CASE WHEN s.track_id % 4 <> 0 THEN 'lib/' || s.track_id ELSE '' END, '+' ORDER BY s.position) AS tracks
+  FROM src s JOIN sortable i ON i.user_id = s.user_id AND i.playlist_id = s.playlist_id AND i.position = s.position GROUP BY ALL),
+picked AS (SELECT *, user_id % 23 <> 0 AND user_id % 36 > 0 AND (k + user_id) % 2 = 0 AS picked FROM kept),
+late AS (SELECT DISTINCT user_id, run FROM picked WHERE picked AND list_id[1:1] = '1'),
+undone AS (SELECT p.*, p.picked AND p.user_id % 11 <> 0 AND l.run IS NULL AS gone FROM picked p LEFT JOIN late l ON l.user_id = p.user_id AND l.run = p.run),
 recorded AS (
-  SELECT user_id, TIMESTAMP '2024-01-30 00:00:00' + to_hours((user_id % 36)::INTEGER) AS created_at, bool_or(lost) AS lost, arg_min(list_id, bucket_ordinal) AS first_list,
-    string_agg(bucket || ':' || list_id || ':' || copy_name || ':applied:' || (SELECT string_agg(uri, '+' ORDER BY position) FROM cand c WHERE c.user_id = k.user_id AND c.bucket = k.bucket), ';' ORDER BY bucket_ordinal) AS buckets
-  FROM kept k GROUP BY user_id),
+  SELECT u.user_id, run, TIMESTAMP '2024-01-30 00:00:00' + to_hours((u.user_id % 36)::INTEGER) AS created_at, u.user_id % 23 = 0 AS lost, arg_min(list_id, bucket_ordinal) AS first_list,
+    string_agg(u.bucket || ':' || list_id || ':' || name || ':applied:' || uris || ':' || tracks, ';' ORDER BY bucket_ordinal) AS buckets,
+    string_agg(u.bucket || ':' || list_id || ':' || name || ':' || CASE WHEN gone THEN 'undone' ELSE 'applied' END || ':' || uris || ':' || tracks, ';' ORDER BY bucket_ordinal) AS buckets_after
+  FROM undone u JOIN told t ON t.user_id = u.user_id AND t.bucket = u.bucket GROUP BY u.user_id, run),
 record_lists AS (
-  SELECT user_id, string_agg(list_id || ':' || copy_name || ':s' || list_id[1:8] || ':' || bucket_order || ':' || baseline, ';' ORDER BY place) AS destinations FROM (
-    SELECT user_id, list_id, copy_name, min(bucket_ordinal) AS place, string_agg(bucket, '+' ORDER BY bucket_ordinal) AS bucket_order,
-      coalesce((SELECT string_agg(uri, '+' ORDER BY position) FROM base b WHERE b.user_id = k.user_id AND b.playlist_id = k.playlist_id), '') AS baseline
-    FROM kept k GROUP BY user_id, playlist_id, list_id, copy_name) GROUP BY user_id)
+  SELECT user_id, run, string_agg(list_id || ':' || name || ':s' || list_id[1:8] || ':' || bucket_order || ':' || baseline, ';' ORDER BY place) AS destinations,
+    string_agg(list_id || ':' || name || ':' || CASE WHEN gone THEN 'n' ELSE 's' END || list_id[1:8] || ':' || bucket_order || ':' || baseline, ';' ORDER BY place) AS destinations_after
+  FROM (
+    SELECT u.user_id, run, list_id, name, min(bucket_ordinal) AS place, string_agg(u.bucket, '+' ORDER BY bucket_ordinal) AS bucket_order, bool_or(gone) AS gone, coalesce(any_value(h.uris), '') AS baseline
+    FROM undone u LEFT JOIN held h ON h.user_id = u.user_id AND h.playlist_id = u.pid GROUP BY u.user_id, run, list_id, name) GROUP BY user_id, run),
+appended AS (SELECT c.user_id, b.playlist_id AS pid, row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS rank, c.uri FROM cand c JOIN best b USING (user_id, bucket)),
+swapped AS (SELECT DISTINCT user_id, action_id, playlist_id, pid FROM chosen WHERE run = 'direct' AND action_id NOT IN (SELECT action_id FROM chosen WHERE pid % 7 = 0 AND run = 'direct')),
+stored AS (
+  SELECT l.user_id, l.playlist_id AS pid, w.pid IS NOT NULL AS swapped, a.pid IS NOT NULL AND l.playlist_id % 5 <> 0 AS appended
+  FROM lists l LEFT JOIN swapped w ON w.user_id = l.user_id AND w.pid = l.playlist_id LEFT JOIN (SELECT DISTINCT user_id, pid FROM appended) a ON a.user_id = l.user_id AND a.pid = l.playlist_id),
+stored_items AS (
+  SELECT i.user_id, i.playlist_id AS pid, i.position - 1 AS position, CASE WHEN i.has_track THEN i.uri END AS uri FROM items i JOIN stored s ON s.user_id = i.user_id AND s.pid = i.playlist_id WHERE NOT swapped
+  UNION ALL
+  SELECT a.user_id, a.pid, (SELECT count(*) FROM items i WHERE i.user_id = a.user_id AND i.playlist_id = a.pid) + a.rank, a.uri FROM appended a JOIN stored s ON s.user_id = a.user_id AND s.pid = a.pid WHERE appended AND NOT swapped
+  UNION ALL
+  SELECT user_id, pid, row_number() OVER (PARTITION BY user_id, pid ORDER BY bucket_ordinal, position) - 1, uri FROM (
+    SELECT r.user_id, r.pid, 0 AS bucket_ordinal, b.position, b.uri FROM base b JOIN swapped r ON r.pid = b.playlist_id AND r.user_id = b.user_id
+    UNION ALL
+    SELECT r.user_id, r.pid, s.bucket_ordinal, c.position, c.uri FROM swapped r JOIN stays s ON s.action_id = r.action_id AND s.playlist_id = r.playlist_id JOIN cand c ON c.user_id = s.user_id AND c.bucket = s.bucket))
 """
 
 REQUESTS = """
@@ -208,20 +245,25 @@ ORACLES = {
         "refresh_artist_cache": "SELECT artist_id::VARCHAR AS artist_id, string_agg(genre, ',' ORDER BY gpos) AS genres, TIMESTAMP '2024-01-31 00:00:00' - to_days((artist_id % 29)::INTEGER) AS last_fetched_at FROM artist_genres WHERE artist_id NOT IN (SELECT artist_id FROM missing WHERE artist_id % 5 <> 0) GROUP BY artist_id UNION ALL SELECT artist_id::VARCHAR, genre, TIMESTAMP '2024-01-31 00:00:00' FROM missing JOIN vocab ON v = (artist_id + 1) % 24 WHERE artist_id % 5 <> 0",
         "append_lists": "SELECT c.user_id, b.playlist_id, coalesce((SELECT count(*) FROM items i WHERE i.user_id = b.user_id AND i.playlist_id = b.playlist_id), 0) + row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS position, c.uri FROM cand c JOIN best b USING (user_id, bucket)",
         "direct_ledger": "SELECT l.* REPLACE (CASE WHEN s.n_copyable <> s.n_items THEN 'failed' ELSE l.status END AS status, CASE WHEN s.n_copyable <> s.n_items THEN 0 ELSE l.tracks_added END AS tracks_added, CASE WHEN s.n_copyable <> s.n_items THEN 'the list holds items that could not be written again, so a direct change could not be undone' ELSE l.reason END AS reason) FROM ledger l LEFT JOIN safety s ON s.user_id = l.user_id AND s.playlist_id = l.playlist_id",
-        "action_destinations": "SELECT user_id, playlist_id, string_agg(bucket, ',' ORDER BY bucket_ordinal) AS bucket_order, coalesce((SELECT string_agg(uri, ',' ORDER BY position) FROM base b WHERE b.user_id = ab.user_id AND b.playlist_id = ab.playlist_id), '') AS baseline, 's' || playlist_id AS expected FROM ab GROUP BY user_id, playlist_id",
-        "record_action": "SELECT user_id, CASE WHEN NOT lost THEN sha256('action|' || user_id || '|' || epoch_us(created_at)) END AS action_id, CASE WHEN NOT lost THEN created_at END AS created_at, CASE WHEN NOT lost THEN created_at + INTERVAL 24 HOURS END AS expires_at, CASE WHEN NOT lost THEN destinations END AS destinations, CASE WHEN NOT lost THEN buckets END AS buckets, CASE WHEN lost THEN 'no action was recorded: the final snapshot is not known of list ' || first_list END AS warning FROM recorded JOIN record_lists USING (user_id)",
-        "update_action": "SELECT user_id, sha256('action|' || user_id || '|' || epoch_us(created_at)) AS action_id, created_at + INTERVAL 24 HOURS AS expires_at, greatest(1, (user_id % 36) * 3600)::BIGINT AS seconds_left FROM recorded WHERE NOT lost",
-        "undo_snapshots": "SELECT user_id, playlist_id, CASE WHEN (playlist_id + user_id) % 11 <> 0 AND (user_id, playlist_id) IN (SELECT (user_id, playlist_id) FROM rewrite) THEN 'n' ELSE 's' END || playlist_id AS expected FROM (SELECT DISTINCT user_id, playlist_id FROM ab)",
-        "replace_lists": "SELECT user_id, playlist_id, position - 1 AS position, CASE WHEN has_track THEN uri END AS uri FROM items WHERE (user_id, playlist_id) NOT IN (SELECT (user_id, playlist_id) FROM rewrite) UNION ALL SELECT user_id, playlist_id, position, uri FROM rebuilt",
+        "action_destinations": "SELECT p.user_id, p.action_id, p.playlist_id, p.place, p.bucket_order, coalesce((SELECT string_agg(uri, ',' ORDER BY position) FROM base b WHERE p.run = 'direct' AND b.user_id = p.user_id AND b.playlist_id::VARCHAR = p.playlist_id), '') AS baseline, p.expected FROM places p",
+        "record_action": "SELECT user_id, run, CASE WHEN NOT lost THEN sha256('action|' || user_id || '|' || run || '|' || epoch_us(created_at)) END AS action_id, CASE WHEN NOT lost THEN created_at END AS created_at, CASE WHEN NOT lost THEN created_at + INTERVAL 24 HOURS END AS expires_at, CASE WHEN NOT lost THEN destinations END AS destinations, CASE WHEN NOT lost THEN buckets END AS buckets, CASE WHEN lost THEN 'no action was recorded: the final snapshot is not known of list ' || first_list END AS warning FROM recorded JOIN record_lists USING (user_id, run)",
+        "update_action": "SELECT user_id, run, sha256('action|' || user_id || '|' || run || '|' || epoch_us(created_at)) AS action_id, created_at + INTERVAL 24 HOURS AS expires_at, greatest(1, (user_id % 36) * 3600)::BIGINT AS seconds_left FROM recorded WHERE NOT lost",
+        "undo_snapshots": "SELECT p.user_id, p.action_id, p.playlist_id, CASE WHEN k.action_id IS NULL THEN 's' ELSE 'n' END || p.playlist_id AS expected FROM places p LEFT JOIN ok_write k USING (action_id, playlist_id)",
+        "replace_lists": "SELECT i.user_id, i.playlist_id::VARCHAR AS playlist_id, i.position - 1 AS position, CASE WHEN has_track THEN uri END AS uri FROM items i WHERE NOT EXISTS (SELECT 1 FROM rewrite r WHERE r.user_id = i.user_id AND r.pid = i.playlist_id) UNION ALL SELECT user_id, playlist_id, position, uri FROM rebuilt",
         "latest_action": "SELECT user_id, event_id AS action_id, greatest(1, ceil(epoch(ts + INTERVAL 24 HOURS - TIMESTAMP '2024-01-29 12:00:00')))::BIGINT AS seconds_left FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-29 12:00:00' AND event_id % 10 <> 0",
         "undo_unknown_buckets": "SELECT * FROM unknown",
         "undo_already_undone": "SELECT * FROM again",
         "undo_conflicts": "SELECT * FROM conflicts",
         "undo_rebuild": "SELECT * FROM rebuilt",
-        "undo_transition": "SELECT user_id, bucket, status FROM after",
-        "undo_totals": "SELECT user_id, count(*) FILTER (status <> 'undone') AS applied, count(*) FILTER (status = 'undone') AS undone, coalesce(sum(n) FILTER (status = 'undone'), 0)::BIGINT AS tracks_undone, CASE WHEN bool_or(was_asked AND status <> 'undone') THEN 'partial' ELSE 'complete' END AS outcome FROM after GROUP BY user_id",
-        "undo_groups": ", g AS (SELECT user_id, playlist_id, row_number() OVER (PARTITION BY user_id ORDER BY min(bucket_ordinal)) AS group_no FROM ab WHERE playlist_id % 29 <> 0 GROUP BY user_id, playlist_id) SELECT ab.user_id, coalesce(g.group_no, (SELECT count(*) FROM g h WHERE h.user_id = ab.user_id) + 1) AS group_no, CASE WHEN g.group_no IS NULL THEN 'Other destinations' ELSE l.name END AS place, row_number() OVER (PARTITION BY ab.user_id, g.group_no ORDER BY bucket_ordinal) - 1 AS at, bucket FROM ab JOIN lists l USING (user_id, playlist_id) LEFT JOIN g ON g.user_id = ab.user_id AND g.playlist_id = ab.playlist_id",
-        "undone_bucket_names": "SELECT user_id, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM after WHERE status = 'undone' GROUP BY user_id",
+        "undo_transition": "SELECT user_id, action_id, bucket, status FROM after",
+        "undo_totals": "SELECT user_id, action_id, count(*) FILTER (status <> 'undone') AS applied, count(*) FILTER (status = 'undone') AS undone, coalesce(sum(n) FILTER (status = 'undone'), 0)::BIGINT AS tracks_undone FROM after GROUP BY user_id, action_id",
+        "undo_groups": ", g AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY place) AS group_no FROM places) SELECT ab.user_id, ab.action_id, coalesce(g.group_no, (SELECT count(*) FROM g h WHERE h.action_id = ab.action_id) + 1) AS group_no, coalesce(g.name, 'Other destinations') AS place, row_number() OVER (PARTITION BY ab.action_id, g.group_no ORDER BY bucket_ordinal) - 1 AS at, bucket FROM ab LEFT JOIN g ON g.action_id = ab.action_id AND g.playlist_id = ab.playlist_id",
+        "undone_bucket_names": "SELECT user_id, action_id, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM after WHERE status = 'undone' GROUP BY user_id, action_id",
+        "undo_records": "SELECT user_id, sha256('action|' || user_id || '|' || run || '|' || epoch_us(created_at)) AS action_id, destinations_after AS destinations, buckets_after AS buckets, user_id AS client_of, created_at + INTERVAL 24 HOURS AS expires_at FROM recorded JOIN record_lists USING (user_id, run) WHERE NOT lost",
+        "undo_missing_destinations": "SELECT * FROM misplaced",
+        "undo_outcomes": "SELECT DISTINCT user_id, action_id, CASE WHEN invalid THEN 'invalid request' WHEN NOT live THEN 'action not found' WHEN action_id IN (SELECT action_id FROM unknown) THEN 'unknown bucket' WHEN action_id IN (SELECT action_id FROM again) THEN 'already undone' WHEN action_id IN (SELECT action_id FROM misplaced) THEN 'missing destination' WHEN action_id IN (SELECT action_id FROM conflicts) THEN 'conflict' WHEN action_id IN (SELECT action_id FROM after WHERE was_asked AND status = 'applied') THEN 'partial' ELSE 'complete' END AS outcome FROM req",
+        "stored_lists": "SELECT user_id, pid::VARCHAR AS playlist_id, position, uri FROM stored_items",
+        "stored_heads": "SELECT s.user_id, s.pid::VARCHAR AS playlist_id, CASE WHEN swapped THEN 'v3' WHEN appended THEN 'v2' ELSE 'v1' END AS snapshot, (SELECT count(*) FROM stored_items i WHERE i.user_id = s.user_id AND i.pid = s.pid) AS n_items FROM stored s",
     }.items()
 } | {
     "request_issues": REQUESTS + "SELECT u AS user_id, issues FROM i",

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm import tables
 from tonearm.fixtures import Library
 from tonearm.operators import actions, cache, classify, filters, match, plan, requests
 from tonearm.operators.filters import LIST
-from tonearm.sources import pages
+from tonearm.sources import pages, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,7 +181,8 @@ def best_match(lib: Library) -> DataFrame:
 
 @query
 def unmatched_buckets(lib: Library) -> DataFrame:
-    return match.unmatched(lib.buckets(), lib.matched()).select("user_id", "bucket", "n")
+    matched = lib.matched()
+    return match.unmatched(lib.buckets(), matched).select("user_id", "bucket", "n")
 
 
 @query
@@ -241,10 +244,14 @@ def refresh_artist_cache(lib: Library) -> DataFrame:
 
 @sharing
 def append_lists(lib: Library) -> DataFrame:
-    more = lib.candidates().join(lib.matched().select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
+    return pages.append_items(lib.items(), _appended(lib)).select(*LIST, _n("position"), F.col("track").alias("uri"))
+
+
+def _appended(lib: Library) -> DataFrame:
+    matched = lib.matched()
+    more = lib.candidates().join(matched.select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"])
     at = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "position")) - 1
-    rows = more.select(*LIST, at.alias("rank"), F.col("uri").alias("track"))
-    return pages.append_items(lib.items(), rows).select(*LIST, _n("position"), F.col("track").alias("uri"))
+    return more.select(*LIST, at.alias("rank"), F.col("uri").alias("track"))
 
 
 @sharing
@@ -254,7 +261,8 @@ def write_batches(lib: Library) -> DataFrame:
 
 
 def _ledger(lib: Library) -> DataFrame:
-    return plan.ledger(lib.buckets(), lib.matched(), lib.receipts())
+    matched = lib.matched()  # first: it classifies all items, of which the sources' buckets are a part
+    return plan.ledger(lib.buckets(), matched, lib.receipts())
 
 
 @query
@@ -264,7 +272,8 @@ def result_ledger(lib: Library) -> DataFrame:
 
 @sharing
 def direct_ledger(lib: Library) -> DataFrame:
-    rows = plan.ledger(lib.buckets(), lib.matched(), lib.receipts(), plan.refused(lib.safety()))
+    matched = lib.matched()
+    rows = plan.ledger(lib.buckets(), matched, lib.receipts(), plan.refused(lib.safety()))
     return rows.select("user_id", "bucket", "playlist_id", "n", "status", _n("tracks_added"), "reason", _n("result_ordinal"))
 
 
@@ -278,28 +287,61 @@ def unique_copies(lib: Library) -> DataFrame:
     return plan.unique_copies(_ledger(lib))
 
 
+ACT = actions.ACT
+
+
 @sharing
 def action_destinations(lib: Library) -> DataFrame:
-    base = actions.uris(plan.base_items(lib.action_buckets(), lib.items()), LIST, "baseline")
-    rows = actions.destinations(lib.action_buckets()).join(base, LIST, "left").join(lib.expected(), LIST, "left")
-    return rows.select(*LIST, _joined("bucket_order"), F.coalesce(F.array_join("baseline", ","), F.lit("")).alias("baseline"), "expected")
+    base = actions.uris(lib.baseline(), actions.ACT_LIST, "baseline")
+    rows = lib.places().join(base, actions.ACT_LIST, "left")
+    return rows.select(*ACT, "playlist_id", _n("place"), _joined("bucket_order"), F.coalesce(F.array_join("baseline", ","), F.lit("")).alias("baseline"), "expected")
+
+
+def _flat(lists: Column, buckets: Column, track: Callable[[Column], Column]) -> list[Column]:
+    d = F.transform(lists, lambda d: F.concat_ws(":", d["playlistId"], d["playlistName"], d["expectedSnapshotId"], F.array_join(d["bucketOrder"], "+"), F.array_join(d["baselineUris"], "+")))
+    b = F.transform(buckets, lambda b: F.concat_ws(":", b["bucket"], b["playlistId"], b["playlistName"], b["status"], F.array_join(b["trackUris"], "+"), F.array_join(F.transform(b["tracks"], track), "+")))
+    return [F.array_join(d, ";").alias("destinations"), F.array_join(b, ";").alias("buckets")]
+
+
+def _track(t: Column) -> Column:
+    return F.concat_ws("/", t["id"], t["name"], F.array_join(t["artists"], ","), t["albumName"], t["url"])
 
 
 @sharing
 def record_action(lib: Library) -> DataFrame:
     a = F.col("action")
-    lists = F.transform(a["destinations"], lambda d: F.concat_ws(":", d["playlistId"], d["playlistName"], d["expectedSnapshotId"], F.array_join(d["bucketOrder"], "+"), F.array_join(d["baselineUris"], "+")))
-    buckets = F.transform(a["buckets"], lambda b: F.concat_ws(":", b["bucket"], b["playlistId"], b["playlistName"], b["status"], F.array_join(b["trackUris"], "+")))
     rows = lib.recorded()
-    return rows.select("user_id", a["id"].alias("action_id"), a["createdAt"].alias("created_at"), a["expiresAt"].alias("expires_at"), F.array_join(lists, ";").alias("destinations"), F.array_join(buckets, ";").alias("buckets"), "warning")
+    times = [F.to_timestamp(a[c]).alias(n) for c, n in (("createdAt", "created_at"), ("expiresAt", "expires_at"))]
+    return rows.select("user_id", "run", a["id"].alias("action_id"), *times, *_flat(a["destinations"], a["buckets"], _track), "warning")
+
+
+def _stored(lib: Library) -> DataFrame:
+    """Records as a store gives them, each with a field that only its writer knows; read again."""
+    rows = lib.recorded().where("action is not null")
+    told = F.to_json(F.struct("action.*", F.struct(F.col("user_id").alias("of")).alias("client")))
+    return actions.parse(rows.select(F.col("user_id").cast("string").alias("user_id"), "run", told.alias("raw")))
 
 
 @sharing
 def update_action(lib: Library) -> DataFrame:
-    stored = lib.recorded().where("action is not null").select("user_id", F.to_json("action").alias("raw"))
-    read = actions.parse(stored.withColumn("user_id", F.col("user_id").cast("string")))
-    rows = read.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("action.id").alias("action_id"), F.col("action.expiresAt").alias("expires_at"))
-    return actions.update(rows, lib.as_of)
+    rows = actions.update(_stored(lib).select(F.col("user_id").cast("bigint").alias("user_id"), "run", "action_id", "expires_at"), lib.as_of)
+    return rows
+
+
+@sharing
+def undo_records(lib: Library) -> DataFrame:
+    """Undoing from stored records alone, and the records as they are stored again: new states and snapshots, all else kept."""
+    stored = tables.write(_stored(lib))
+    buckets = actions.buckets_of(stored)
+    asked = buckets.where((F.col("bucket_ordinal") + F.col("user_id").cast("bigint")) % 2 == 0).groupBy(*ACT).agg(F.collect_list("bucket").alias("buckets"))
+    lists = actions.places_of(stored)
+    current = lists.select(*LIST, F.when(F.substring("playlist_id", 1, 1) == "1", "changed").otherwise(F.col("expected")).alias("actual"))
+    receipts = lists.select(*LIST, (F.col("user_id").cast("bigint") % 11 != 0).alias("ok"), F.concat(F.lit("n"), F.substring("playlist_id", 1, 8)).alias("snapshot"))
+    again = actions.plan_undo(asked, stored, current, receipts, lib.as_of)["records"]
+    read = actions.parse(again.select(*ACT, F.to_json("action").alias("raw")).drop("action_id"))
+    shape = "struct<destinations:array<struct<playlistId:string,playlistName:string,expectedSnapshotId:string,bucketOrder:array<string>,baselineUris:array<string>>>,buckets:array<struct<bucket:string,playlistId:string,playlistName:string,status:string,trackUris:array<string>,tracks:" + actions.TRACKS + ">>,client:struct<of:bigint>>"
+    a = F.try_variant_get("action", "$", shape)
+    return read.select(F.col("user_id").cast("bigint").alias("user_id"), "action_id", *_flat(a["destinations"], a["buckets"], _track), a["client"]["of"].alias("client_of"), "expires_at")
 
 
 @query
@@ -309,63 +351,98 @@ def latest_action(lib: Library) -> DataFrame:
 
 
 def _rebuilt(lib: Library) -> DataFrame:
-    return actions.rebuild(lib.chosen(), lib.conflicts(), lib.action_buckets(), plan.base_items(lib.chosen(), lib.items()), lib.candidates())
+    return actions.rebuild(lib.chosen(), lib.conflicts(), lib.action_buckets(), lib.baseline(), lib.recorded_uris())
 
 
 @query
 def undo_unknown_buckets(lib: Library) -> DataFrame:
-    return actions.unknown(lib.undo_requests(), lib.action_buckets())
+    return actions.unknown(lib.wanted(), lib.action_buckets())
 
 
 @query
 def undo_already_undone(lib: Library) -> DataFrame:
-    return actions.already_undone(lib.undo_requests(), lib.action_buckets())
+    return actions.already_undone(lib.wanted(), lib.action_buckets())
+
+
+@query
+def undo_missing_destinations(lib: Library) -> DataFrame:
+    return actions.misplaced(lib.wanted(), lib.action_buckets(), lib.places())
+
+
+@query
+def undo_outcomes(lib: Library) -> DataFrame:
+    return actions.outcomes(lib.undo_requests(), lib.live(), lib.action_buckets(), lib.places(), lib.chosen(), lib.conflicts(), lib.after_undo())
 
 
 @query
 def undo_conflicts(lib: Library) -> DataFrame:
-    return lib.conflicts()
+    return lib.conflicts().select(*ACT, "playlist_id", "name", "expected", "actual", _joined("buckets"))
 
 
 @query
 def undo_snapshots(lib: Library) -> DataFrame:
-    return actions.new_snapshots(lib.expected(), lib.chosen(), lib.conflicts(), lib.receipts())
+    return actions.new_snapshots(lib.places(), lib.chosen(), lib.conflicts(), lib.undo_receipts()).select(*ACT, "playlist_id", "expected")
 
 
 @sharing
 def undo_rebuild(lib: Library) -> DataFrame:
-    return _rebuilt(lib).select(*LIST, _n("position"), "uri")
+    return _rebuilt(lib).select(*ACT, "playlist_id", _n("position"), "uri")
 
 
 @sharing
 def replace_lists(lib: Library) -> DataFrame:
     """All lists after an undo: those that are written hold what the undo leaves, maybe nothing."""
-    now = lib.items().select(*LIST, (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
-    return pages.replace_items(now, actions.rewritten(lib.chosen(), lib.conflicts()), _rebuilt(lib)).select(*LIST, _n("position"), "uri")
+    now = lib.items().select("user_id", F.col("playlist_id").cast("string").alias("playlist_id"), (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
+    return pages.replace_items(now, actions.rewritten(lib.chosen(), lib.conflicts()), _rebuilt(lib).drop("action_id")).select(*LIST, _n("position"), "uri")
 
 
 @query
 def undo_transition(lib: Library) -> DataFrame:
-    return lib.after_undo().select("user_id", "bucket", "status")
+    return lib.after_undo().select(*ACT, "bucket", "status")
 
 
-@sharing
+@query
 def undo_totals(lib: Library) -> DataFrame:
-    current = lib.playlists().select(*LIST, F.when(F.col("playlist_id") % 5 == 0, "changed").otherwise(F.col("snapshot_id")).alias("actual"))
-    undone = actions.plan_undo(lib.undo_requests(), lib.action_buckets(), lib.expected(), current, plan.base_items(lib.action_buckets(), lib.items()), lib.candidates(), lib.receipts())
-    return undone["totals"].select("user_id", _n("applied"), _n("undone"), _n("tracks_undone"), "outcome")
+    return actions.undo_totals(lib.after_undo()).select(*ACT, _n("applied"), _n("undone"), _n("tracks_undone"))
 
 
 @query
 def undo_groups(lib: Library) -> DataFrame:
-    rows = lib.action_buckets()
-    places = actions.destinations(rows).where("playlist_id % 29 <> 0").join(lib.playlists().select(*LIST, "name"), LIST)
-    return actions.groups(places, rows).select("user_id", _n("group_no"), "place", _n("at"), "bucket")
+    return actions.groups(lib.places(), lib.action_buckets()).select(*ACT, _n("group_no"), "place", _n("at"), "bucket")
 
 
 @query
 def undone_bucket_names(lib: Library) -> DataFrame:
-    return actions.undone_names(lib.after_undo()).select("user_id", _joined("buckets"))
+    return actions.undone_names(lib.after_undo()).select(*ACT, _joined("buckets"))
+
+
+@sharing
+def stored_lists(lib: Library) -> DataFrame:
+    """A versioned store: all lists are put in, buckets are appended, an undo replaces and clears, some writers come too late."""
+    kept = _committed(lib)
+    return kept.items().select(F.col("user_id").cast("bigint").alias("user_id"), "playlist_id", "position", "uri")
+
+
+@sharing
+def stored_heads(lib: Library) -> DataFrame:
+    return _committed(lib).heads().select(F.col("user_id").cast("bigint").alias("user_id"), "playlist_id", "snapshot", _n("n_items"))
+
+
+def _committed(lib: Library) -> store.ListStore:
+    kept = store.ListStore(lib.spark, f"{tables.shared_dir(lib.spark)}/tonearm-{lib.spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    text = [F.col(k).cast("string").alias(k) for k in LIST]
+    now = lib.items().select(*text, (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
+    kept.replace(lib.playlists().select(*text), now)
+    seen = kept.heads(1).select(*LIST, F.when(F.col("playlist_id").cast("bigint") % 5 == 0, "stale").otherwise(F.col("snapshot")).alias("expected"))
+    more = _appended(lib).select(*text, F.col("rank").alias("position"), F.col("track").alias("uri"))
+    kept.append(more, seen)
+    # an undo of direct runs: one late list voids its action
+    lists = lib.chosen().where("run = 'direct'").select(*text, "action_id").distinct()
+    expected = kept.heads(2).select(*LIST, F.when(F.col("playlist_id").cast("bigint") % 7 == 0, "stale").otherwise(F.col("snapshot")).alias("expected"))
+    # rebuilt as if nothing had changed: the store itself tells who is late
+    rows = actions.rebuild(lib.chosen().where("run = 'direct'"), lib.chosen().where("false"), lib.action_buckets(), lib.baseline(), lib.recorded_uris())
+    kept.replace(lists.join(expected, LIST, "left"), rows.select(*text, "position", "uri"), ["user_id", "action_id"])
+    return kept
 
 
 @query

@@ -42,16 +42,6 @@ LIKED_PAGE = page_of(_S([_F("added_at", T.StringType()), _F("track", TRACK)]))
 ITEM_PAGE = page_of(_S([_F("added_at", T.StringType()), _F("is_local", T.BooleanType()), _F("item", TRACK)]))
 PLAYLIST_PAGE = page_of(PLAYLIST)
 ARTIST_BATCH = _S([_F("seq", T.LongType()), _F("artists", T.ArrayType(FULL_ARTIST))])
-ACTION = _S(
-    [
-        _F("id", T.StringType()),
-        _F("userId", T.StringType()),
-        _F("createdAt", T.TimestampType()),
-        _F("expiresAt", T.TimestampType()),
-        _F("destinations", T.ArrayType(_S([_F("playlistId", T.StringType()), _F("playlistName", T.StringType()), _F("baselineUris", T.ArrayType(T.StringType())), _F("expectedSnapshotId", T.StringType()), _F("bucketOrder", T.ArrayType(T.StringType()))]))),
-        _F("buckets", T.ArrayType(_S([_F("bucket", T.StringType()), _F("playlistId", T.StringType()), _F("playlistName", T.StringType()), _F("trackUris", T.ArrayType(T.StringType())), _F("status", T.StringType())]))),
-    ]
-)
 
 OTHER = "Other"
 #: Bucket and its keywords, in order of priority; a genre falls to the first with a keyword inside it.
