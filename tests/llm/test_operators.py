@@ -307,6 +307,24 @@ def test_pii(spark):
     assert pii.mask(docs(spark, [])).count() == 0
 
 
+def test_pii_of_a_list_of_addresses(spark):
+    """Many valid matches in one text, over several levels of the running sums; the masked text is put together in their order."""
+    n = pii.CHUNK * pii.CHUNK + 3 * pii.CHUNK + 5
+    text = " ".join(f"é{i} a{i}@b.org 😀 1.2.3.{i % 256}" if i % 5 else f"a{i}@b.org" for i in range(n))
+    short = [" ".join(f"x{i}@y.zz" for i in range(k)) for k in (1, pii.CHUNK - 1, pii.CHUNK, pii.CHUNK + 1)]
+    rows = list(enumerate([text, *short, "x" * 3000 + "1.2.3.4@5.6.7.8", "b@" + "c" * 3000 + ".d 1.2.3.4"]))
+    found = by_id(pii.find(docs(spark, rows)))
+    masked = by_id(pii.mask(docs(spark, rows)))
+    for i, t in rows:
+        assert ",".join(f"{s.kind}:{s.start}:{s.finish}" for s in found[i].pii if s.kind in BASE) == plain_spans(t)
+        at, out = 0, []
+        for s in found[i].pii:
+            if s.start >= at:
+                out += [t[at : s.start], f"<{s.kind}>"]
+            at = max(at, s.finish)
+        assert masked[i].text == "".join(out) + t[at:] and masked[i].n_chars == len(masked[i].text)
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))

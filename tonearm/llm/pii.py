@@ -13,6 +13,8 @@ are ignored by find() and kept by mask().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ CONTEXT = {
 }
 WINDOW = 40
 BOOST = 0.3
+#: Entries that one fold gathers, and characters of the blocks that a text is cut into; neither bounds anything.
+CHUNK, BLOCK = 128, 256
 #: Spans of the kinds beyond BASE stay from this score on.
 LEAST_SCORE = 0.5
 
@@ -75,31 +79,37 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Array of (start, finish, match) of the valid matches, leftmost first; the others only move the position on."""
-    pattern, needs, _ = KINDS[kind]
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,finish:int,match:string>>").alias("out"))
+def _scan(values: str, add: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an array column of numbers, all entries before it added up, from 0.
+
+    A fold copies the array that it builds at every step, so the entries are taken in runs of CHUNK: first the sum of each
+    run, then the sums before each run, then the entries of each run.
+    """
+    out = F.array().cast("array<int>")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
+
+    def before(array: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(array, F.struct(start.alias("at"), out.alias("out")), step, lambda acc: acc["out"])
+
+    starts = before(F.transform(runs, lambda run: F.aggregate(run, F.lit(0), add)), F.lit(0))
+    long = F.flatten(F.zip_with(runs, starts, before))
+    return F.when(F.size(values) == 0, out).when(F.size(values) <= CHUNK, before(F.col(values), F.lit(0))).otherwise(long)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        new = F.array(F.struct(begin.alias("start"), end.alias("finish"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(F.coalesce(_valid(kind, x["match"]), F.lit(False)) & x["match"].isNotNull(), F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,finish:int,match:string>>")
-    possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    return F.when(possible, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+def _cut(start: Column, end: Column) -> Column:
+    """The characters start..end of the text, from the blocks that hold them: a plain substring walks from the text's start."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice("__blocks", first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start % BLOCK + 1, end - start)
 
 
-def _confirmed(text: Column, kind: str, found: Column) -> Column:
+def _confirmed(kind: str, found: str) -> Column:
     """Array of (start, order, finish, kind, score) of the valid spans."""
     order, base = list(KINDS).index(kind), KINDS[kind][2]
 
     def near(x: Column) -> Column:
-        low = F.greatest(x["start"] - WINDOW, F.lit(0))
-        around = F.lower(F.substring(text, low + 1, x["finish"] - low + WINDOW))
+        around = F.lower(_cut(F.greatest(x["start"] - WINDOW, F.lit(0)), F.least(x["finish"] + WINDOW, F.col("__n"))))
         told = F.lit(False)
         for word in CONTEXT[kind]:
             told = told | F.contains(around, F.lit(word))
@@ -109,14 +119,43 @@ def _confirmed(text: Column, kind: str, found: Column) -> Column:
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
 
 
+def _each(make: Callable[[str], Column], name: str) -> dict[str, Column]:
+    return {f"__{name}_{k}": make(k) for k in KINDS}
+
+
 def with_spans(docs: DataFrame, text_col: str, out: str = "__spans") -> DataFrame:
-    """docs and an array of (start, order, finish, kind, score), by start, then by the order of kinds."""
-    clean = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("__text", clean)
-    df = df.withColumns({f"__{k}": _found(F.col("__text"), k) for k in KINDS})
-    df = df.withColumns({f"__{k}": _confirmed(F.col("__text"), k, F.col(f"__{k}")) for k in KINDS})
-    df = df.withColumn(out, F.array_sort(F.concat(*(F.col(f"__{k}") for k in KINDS))))
-    return df.drop(*(f"__{k}" for k in KINDS), "__text")
+    """docs and an array of (start, order, finish, kind, score), by start, then by the order of kinds.
+
+    Every step is linear in the text and in its matches: the places come from running sums over the lengths of the matches and of
+    what lies between them.  The columns __n and __blocks that _cut() reads stay.
+    """
+    t = F.col("__text")
+    df = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+    def possible(kind: str) -> Column:
+        needs = KINDS[kind][1]
+        return F.contains(t, F.lit(needs)) if needs else t.rlike("[0-9]")
+
+    matches = lambda k: F.when(possible(k), F.regexp_extract_all(t, F.lit(KINDS[k][0]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    gaps = lambda k: F.when(F.size(f"__match_{k}") > 0, F.transform(F.split(t, KINDS[k][0], -1), F.length)).otherwise(F.array().cast("array<int>"))
+    lengths = lambda k: F.zip_with(F.slice(f"__gap_{k}", 1, F.size(f"__match_{k}")), f"__match_{k}", lambda g, m: g + F.length(m))
+    df = df.withColumns(_each(matches, "match"))
+    df = df.withColumns(_each(gaps, "gap"))
+    df = df.withColumns(_each(lengths, "length"))
+    df = df.withColumns(_each(lambda k: _scan(f"__length_{k}", lambda x, y: x + y), "before"))
+
+    def valid(kind: str) -> Column:
+        placed = F.transform(F.arrays_zip(*(F.col(f"__{x}_{kind}").alias(x) for x in ("before", "gap", "match"))), lambda x: F.struct((x["before"] + x["gap"]).alias("start"), (x["before"] + x["gap"] + F.length(x["match"])).alias("finish"), x["match"].alias("match")))
+        return F.filter(placed, lambda x: x["match"].isNotNull() & F.coalesce(_valid(kind, x["match"]), F.lit(False)))
+
+    df = df.withColumns(_each(valid, "found"))
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | (F.size(f"__found_{k}") > 0)
+    df = df.withColumns({"__n": F.length(t), "__blocks": F.when(some, F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))})
+    df = df.withColumns(_each(lambda k: _confirmed(k, f"__found_{k}"), "span"))
+    df = df.withColumn(out, F.array_sort(F.concat(*(F.col(f"__span_{k}") for k in KINDS))))
+    return df.select(*docs.columns, out, "__n", "__blocks")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,17 +169,14 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A column n_chars follows the new text.
     """
     df = with_spans(docs, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.concat(acc["out"], F.array(kept, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.when(fresh, new).otherwise(acc["out"]).alias("out"))
-
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    df = df.withColumn("__masked", F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, end)).otherwise(F.col(text_col).cast("string")))
+    # where the spans before each one end, and which spans begin after that
+    df = df.withColumn("__ends", F.transform("__spans", lambda s: s["finish"]))
+    df = df.withColumn("__before", _scan("__ends", lambda x, y: F.greatest(x, y)))
+    pairs = F.arrays_zip(F.col("__spans").alias("s"), F.col("__before").alias("at"))
+    told = lambda x: F.concat(_cut(x["at"], x["s"]["start"]), F.lit("<"), x["s"]["kind"], F.lit(">"))
+    pieces = F.transform(pairs, lambda x: F.when(x["s"]["start"] >= x["at"], told(x)).otherwise(""))
+    rest = _cut(F.array_max("__ends"), F.col("__n"))
+    df = df.withColumn("__masked", F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text_col).cast("string")))
     new = {text_col: F.col("__masked")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__spans") > 0, F.length("__masked")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
