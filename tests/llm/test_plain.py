@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -280,3 +281,18 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert {i: int(b.split("-")[1]) for i, b in zip(out.doc_id, out.bin, strict=True)} == where
     whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(whole.doc_id) == sorted(out.doc_id) and set(whole.columns) == set(out.columns)
+
+
+def test_tasks_leave_the_collector_as_it_was(spark):
+    """Workers go on to other tasks, which may need it."""
+
+    def states(batches):
+        for b in batches:
+            import gc
+
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * len(b))], ["on"])
+
+    docs = spark.createDataFrame([(i, f"text {i} " * 9) for i in range(20)], "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        assert lz_fingerprint.compare_with_edit_and_next(docs).count() == 20
+        assert {r.on for r in docs.mapInArrow(states, "on boolean").collect()} == {True}

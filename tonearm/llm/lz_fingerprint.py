@@ -164,8 +164,16 @@ def compare_with_edit_and_next(docs: DataFrame, id_col: str = "doc_id", text_col
     arrow = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for the next one
+        collects = gc.isenabled()
         gc.disable()  # trees of phrases hold no cycles, and looking for some costs a third of the time
+        try:
+            yield from each(batches)
+        finally:  # the worker goes on to other tasks
+            if collects:
+                gc.enable()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row that waits for the next one
         for batch in batches:
             ids, out = [], []
             for at, rid, text, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
