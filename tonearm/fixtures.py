@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm import schemas, tables
-from tonearm.operators import actions, classify, filters, match, plan
+from tonearm.operators import actions, classify, filters, match, plan, positions
 from tonearm.operators.filters import LIST
 from tonearm.sources import pages
 
@@ -276,5 +276,47 @@ class Library:
         names = F.when(u % 11 == 0, F.create_map(F.lit("d1"), F.repeat(F.lit("x"), 101))).when(u % 7 == 0, F.create_map(F.lit("d3"), F.lit("My copy"), F.lit("d4"), F.lit("Mine")))
         return self.table("customer").select(u.alias("user_id"), F.when(u % 6 == 1, "liked").otherwise("playlist").alias("source_type"), F.when(u % 4 == 0, "auto-create").otherwise("sort-into-existing").alias("output_mode"), F.when(u % 4 == 1, "copy").when((u % 4 == 2) | (u % 20 == 0), "direct").alias("write_mode"), F.when(u % 9 == 0, F.lit(" \u00a0\t")).when(u % 8 != 3, own).otherwise(none).alias("playlist_id"), ids.alias("editable_playlist_ids"), names.alias("safe_copy_names"), (u % 5 == 0).alias("create_backup"))
 
+    # ---- landed pages, as lines of JSON ----
+
+    def _paged(self, rows: DataFrame, value: Column, size: int) -> DataFrame:
+        """(user_id, playlist_id, segment, last, items) of numbered rows."""
+        text = [F.col(k).cast("string").alias(k) for k in LIST]
+        cut = positions.segments(rows.select(*text, (F.col("position") - 1).alias("position"), value.alias("v")), LIST, "v", size).withColumnRenamed("values", "items")
+        return cut.withColumn("last", F.col("segment") == F.max("segment").over(Window.partitionBy(*LIST)))
+
+    def item_lines(self) -> DataFrame:
+        """Pages of two items as they land: some lists lack a page, some pages come twice or overlap, some lines are cut."""
+        pages_ = self._paged(self._items(), F.struct(F.col("track").alias("item")), 2)
+        k, at = F.col("playlist_id").cast("bigint"), F.col("segment")
+        kept = pages_.where(~((k % 41 == 1) & (at == 1)) & ~((k % 59 == 1) & (at == 0)))
+        offset = at * 2 - F.when((k % 47 == 1) & (at == 1), 1).otherwise(0)
+        following = F.when(~F.col("last") | (k % 53 == 1), F.concat(F.lit("page/"), at + 1))
+        line = F.to_json(F.struct(*LIST, offset.alias("offset"), following.alias("next"), "items"))
+        times = F.when((k % 43 == 1) & (at == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        lines = kept.select(F.when((k % 61 == 1) & (at == 0), F.substring(line, 1, 40)).otherwise(line).alias("value"), times.alias("times"))
+        return lines.select("value", F.explode("times")).select("value")
+
+    def liked_lines(self) -> DataFrame:
+        rows = self._items().join(self.sources().select(*LIST), LIST, "left_semi")
+        pages_ = self._paged(rows, F.struct(F.col("track").alias("track")), 3)
+        following = F.when(~F.col("last"), F.concat(F.lit("page/"), F.col("segment") + 1))
+        return pages_.select(F.to_json(F.struct("user_id", F.lit("liked").alias("playlist_id"), (F.col("segment") * 3).alias("offset"), following.alias("next"), "items")).alias("value"))
+
+    def header_lines(self) -> DataFrame:
+        text = lambda c: F.col(c).cast("string")
+        head = F.struct(text("playlist_id").alias("id"), "name", "collaborative", "snapshot_id", F.struct(text("owner_id").alias("id")).alias("owner"))
+        rows = self.playlists().withColumnsRenamed({"ordinal": "position"}).select("user_id", F.lit("lists").alias("playlist_id"), "position", head.alias("head"))
+        pages_ = self._paged(rows, F.col("head"), 50)
+        return pages_.select(F.to_json(F.struct(*LIST, (F.col("segment") * 50).alias("offset"), "items")).alias("value"))
+
+    def artist_lines(self) -> DataFrame:
+        """Answers of 50 artists each, unknown ones null; every third artist was answered before, with other genres."""
+        n = F.col("s_suppkey")
+        known = F.when(n % 13 != 0, F.struct(n.cast("string").alias("id"), F.array(F.concat(F.lit("genre "), n % 24)).alias("genres")))
+        old = F.struct(n.cast("string").alias("id"), F.array(F.lit("old")).alias("genres"))
+        rows = self.table("supplier").select(n, F.lit(1).alias("round"), known.alias("a")).unionByName(self.table("supplier").where(n % 3 == 0).select(n, F.lit(0).alias("round"), old.alias("a")))
+        seq = F.floor(n / 50) * 2 + F.col("round")
+        return rows.groupBy(seq.alias("seq")).agg(F.collect_list("a").alias("known"), F.count("*").alias("n")).select(F.to_json(F.struct("seq", F.col("known").alias("artists"))).alias("value"))
+
     def candidates(self) -> DataFrame:
         return plan.candidates(self.source_assigned(), self.buckets())

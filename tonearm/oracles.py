@@ -169,6 +169,24 @@ stored_items AS (
     SELECT r.user_id, r.pid, s.bucket_ordinal, c.position, c.uri FROM swapped r JOIN stays s ON s.action_id = r.action_id AND s.playlist_id = r.playlist_id JOIN cand c ON c.user_id = s.user_id AND c.bucket = s.bucket))
 """
 
+PAGES = VIEWS + """,
+segs AS (SELECT user_id, playlist_id AS k, (position - 1) // 2 AS seg, count(*) AS n FROM items GROUP BY ALL),
+ends AS (SELECT *, seg = max(seg) OVER (PARTITION BY user_id, k) AS last FROM segs),
+landed AS (
+  SELECT user_id, k, seg, n, 2 * seg - CASE WHEN k % 47 = 1 AND seg = 1 THEN 1 ELSE 0 END AS start, NOT last OR k % 53 = 1 AS named, CASE WHEN k % 43 = 1 AND seg = 0 THEN 2 ELSE 1 END AS times
+  FROM ends WHERE NOT (k % 41 = 1 AND seg = 1) AND NOT (k % 59 = 1 AND seg = 0)),
+good_pages AS (SELECT * FROM landed WHERE NOT (k % 61 = 1 AND seg = 0)),
+faults AS (
+  SELECT *, CASE WHEN lag(start) OVER w IS NULL AND start > 0 THEN 'no first page' WHEN start > lag(start + n) OVER w THEN 'gap' WHEN start < lag(start + n) OVER w THEN 'overlap'
+    WHEN lead(start) OVER w IS NULL AND named THEN 'open end' END AS fault FROM good_pages WINDOW w AS (PARTITION BY user_id, k ORDER BY start)),
+page_told AS (SELECT user_id, k, count(*) AS n_pages, sum(times - 1)::BIGINT AS n_repeated, sum(n)::BIGINT AS n_items, coalesce(arg_min(fault, start) FILTER (fault IS NOT NULL), 'complete') AS verdict FROM faults GROUP BY user_id, k)
+"""
+
+LONG = """
+WITH named AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN 'order ' || l_orderkey ELSE 'all ' || l_returnflag END AS list, * FROM lineitem),
+placed AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS position FROM named)
+"""
+
 REQUESTS = """
 WITH r AS (
   SELECT c_custkey AS u, CASE WHEN c_custkey % 6 = 1 THEN 'liked' ELSE 'playlist' END AS st, c_custkey % 4 <> 0 AS existing,
@@ -271,4 +289,14 @@ ORACLES = {
     "undo_request_gate": "SELECT c_custkey AS user_id, c_custkey % 5 NOT IN (0, 1, 2) AND c_mktsegment <> 'Pop' AS ok FROM customer",
     "user_profile_upsert": PROFILES,
     "public_users": f"SELECT user_id, display_name, picture_url FROM ({PROFILES})",
+    "page_verdicts": PAGES + "SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS playlist_id, n_pages, n_repeated, n_items, verdict FROM page_told",
+    "broken_pages": PAGES + """SELECT ('{"user_id":"' || user_id || '","playlist_id":"' || k || '","offset":0,"next":"page/1","items":[{"item":{')[1:40] AS line FROM landed, range(times) WHERE k % 61 = 1 AND seg = 0""",
+    "scanned_items": PAGES + "SELECT i.user_id::VARCHAR AS user_id, i.playlist_id::VARCHAR AS playlist_id, i.position - 1 AS position, CASE WHEN has_track THEN track_id::VARCHAR END AS track_id, CASE WHEN has_track THEN CASE WHEN NOT has_artists THEN 0 WHEN track_id % 2 = 0 THEN 2 ELSE 1 END END::INTEGER AS n_artists, coalesce(has_track AND NOT is_local AND playable AND uri <> '' AND has_artists, false) AS sortable FROM items i JOIN page_told t ON t.user_id = i.user_id AND t.k = i.playlist_id WHERE t.verdict = 'complete'",
+    "scanned_liked": VIEWS + "SELECT i.user_id::VARCHAR AS user_id, 'liked' AS playlist_id, position - 1 AS position, track_id::VARCHAR AS track_id FROM sortable i JOIN lists l USING (user_id, playlist_id) WHERE l.ordinal = 1",
+    "scanned_headers": VIEWS + "SELECT user_id::VARCHAR AS user_id, playlist_id::VARCHAR AS playlist_id, ordinal - 1 AS ordinal, name, owner_id::VARCHAR AS owner_id, collaborative, 's' || playlist_id AS snapshot_id FROM lists",
+    "scanned_artists": "SELECT s_suppkey::VARCHAR AS artist_id, CASE WHEN s_suppkey % 13 <> 0 THEN 'genre ' || (s_suppkey % 24) ELSE 'old' END AS genres FROM supplier WHERE s_suppkey % 13 <> 0 OR s_suppkey % 3 = 0",
+    "long_list_positions": LONG + "SELECT list, position, l_orderkey, l_linenumber, l_partkey FROM placed",
+    "long_list_segments": LONG + "SELECT list, position // 100 AS segment, string_agg(l_partkey::VARCHAR, ',' ORDER BY position) AS values FROM placed GROUP BY 1, 2",
+    "keyword_matches": "WITH k AS (SELECT DISTINCT unnest([substring(p_name, 2, 6), substring(p_type, 1, 4), right(p_brand, 2)]) AS keyword FROM part), t AS (SELECT DISTINCT p_name AS text FROM part) SELECT text, count(*) AS n, min(keyword) AS first, max(keyword) AS last FROM t JOIN k ON contains(text, keyword) GROUP BY text",
+    "normalize_by_grams": VIEWS + "SELECT * FROM genre_bucket",
 }

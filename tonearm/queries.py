@@ -9,11 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonearm import tables
+from tonearm import schemas, tables
 from tonearm.fixtures import Library
-from tonearm.operators import actions, cache, classify, filters, match, plan, requests
+from tonearm.operators import actions, cache, classify, filters, keywords, match, plan, positions, requests
 from tonearm.operators.filters import LIST
-from tonearm.sources import pages, store
+from tonearm.sources import chains, pages, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,6 +445,81 @@ def _committed(lib: Library) -> store.ListStore:
     return kept
 
 
+# ---- landed pages ----
+
+
+def _item_pages(lib: Library) -> tuple[DataFrame, DataFrame]:
+    return chains.records(lib.item_lines(), schemas.ITEM_PAGE)
+
+
+@query
+def page_verdicts(lib: Library) -> DataFrame:
+    return chains.verdicts(_item_pages(lib)[0]).select(*LIST, "n_pages", _n("n_repeated"), "n_items", "verdict")
+
+
+@query
+def broken_pages(lib: Library) -> DataFrame:
+    return _item_pages(lib)[1]
+
+
+@query
+def scanned_items(lib: Library) -> DataFrame:
+    """Items of the lists whose chains are whole, null items too."""
+    rows = pages.items_of(chains.complete(tables.write(_item_pages(lib)[0])))
+    return rows.select(*LIST, "position", F.col("track.id").alias("track_id"), F.size("track.artists").alias("n_artists"), F.coalesce(filters.sortable(F.col("track")), F.lit(False)).alias("sortable"))
+
+
+@query
+def scanned_liked(lib: Library) -> DataFrame:
+    rows = pages.liked_of(chains.complete(tables.write(chains.records(lib.liked_lines(), schemas.LIKED_PAGE)[0])))
+    return rows.where(filters.sortable(F.col("track"))).select("user_id", "playlist_id", "position", F.col("track.id").alias("track_id"))
+
+
+@query
+def scanned_headers(lib: Library) -> DataFrame:
+    rows = pages.headers_of(chains.once(chains.records(lib.header_lines(), schemas.PLAYLIST_PAGE)[0]))
+    return rows.select(*LIST, "ordinal", "name", "owner_id", "collaborative", "snapshot_id")
+
+
+@query
+def scanned_artists(lib: Library) -> DataFrame:
+    return pages.artists_of(chains.records(lib.artist_lines(), schemas.ARTIST_BATCH)[0]).select("artist_id", _joined("genres"))
+
+
+# ---- long lists and many keywords ----
+
+
+def _long_lists(lib: Library) -> DataFrame:
+    """Every line item in one of a few long lists or many short ones, numbered; lists of over 5,000 items by chunks."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    name = F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit("order "), "l_orderkey")).otherwise(F.concat(F.lit("all "), "l_returnflag"))
+    return positions.number(lib.table("lineitem").select(name.alias("list"), *order), ["list"], order, most=5000)
+
+
+@query
+def long_list_positions(lib: Library) -> DataFrame:
+    return _long_lists(lib).select("list", "position", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query
+def long_list_segments(lib: Library) -> DataFrame:
+    return positions.segments(_long_lists(lib), ["list"], "l_partkey", 100).select("list", "segment", _joined("values"))
+
+
+@query
+def keyword_matches(lib: Library) -> DataFrame:
+    """Which pieces of part names and types stand in which names: thousands of keywords, met by grams."""
+    parts = lib.table("part")
+    pieces = F.array(F.substring("p_name", 2, 6), F.substring("p_type", 1, 4), F.substring("p_brand", -2, 2))
+    met = keywords.matches(parts, parts.select(F.explode(pieces).alias("keyword")), "p_name")
+    return met.groupBy("text").agg(F.count("*").alias("n"), F.min("keyword").alias("first"), F.max("keyword").alias("last"))
+
+
+@query
+def normalize_by_grams(lib: Library) -> DataFrame:
+    return keywords.normalize(lib.artist_genres(), lib.rules()).select("genre", "bucket")
+
+
 @query
 def request_issues(lib: Library) -> DataFrame:
     rows = requests.with_issues(lib.requests())

@@ -9,34 +9,47 @@ from tonearm import schemas
 from tonearm.operators.filters import LIST
 
 
-def _rows(spark: SparkSession, path: str, schema, name: str) -> DataFrame:
+def _rows(pages: DataFrame, name: str) -> DataFrame:
     """One row for each item of each page, null items too; the place is the page's offset and the index in it."""
-    pages = spark.read.schema(schema).json(path)
     return pages.select("user_id", "playlist_id", "offset", F.posexplode("items").alias("at", name)).withColumn("position", F.col("offset") + F.col("at")).drop("offset", "at")
 
 
-def liked_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = _rows(spark, path, schemas.LIKED_PAGE, "row")
-    return rows.select("user_id", F.lit("liked").alias("playlist_id"), "position", F.col("row.track").alias("track"))
+def liked_of(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "row").select("user_id", F.lit("liked").alias("playlist_id"), "position", F.col("row.track").alias("track"))
 
 
-def playlist_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = _rows(spark, path, schemas.ITEM_PAGE, "row")
-    return rows.select("user_id", "playlist_id", "position", F.col("row.item").alias("track"))
+def items_of(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "row").select("user_id", "playlist_id", "position", F.col("row.item").alias("track"))
 
 
-def playlists(spark: SparkSession, path: str) -> DataFrame:
+def headers_of(pages: DataFrame) -> DataFrame:
     p = F.col("p")
-    rows = _rows(spark, path, schemas.PLAYLIST_PAGE, "p").where(p.isNotNull())
+    rows = _rows(pages, "p").where(p.isNotNull())
     return rows.select("user_id", p["id"].alias("playlist_id"), F.col("position").alias("ordinal"), p["name"].alias("name"), p["owner"]["id"].alias("owner_id"), p["collaborative"].alias("collaborative"), p["snapshot_id"].alias("snapshot_id"), p["items"]["total"].alias("items_total"), p["tracks"]["total"].alias("tracks_total"))
 
 
-def artists(spark: SparkSession, path: str) -> DataFrame:
+def artists_of(batches: DataFrame) -> DataFrame:
     """(artist_id, genres): unknown artists are dropped, the last row of a repeated id wins."""
-    rows = spark.read.schema(schemas.ARTIST_BATCH).json(path).select("seq", F.posexplode("artists").alias("at", "a")).where("a is not null")
+    rows = batches.select("seq", F.posexplode("artists").alias("at", "a")).where("a is not null")
     return rows.groupBy(F.col("a.id").alias("artist_id")).agg(F.max_by("a.genres", F.struct("seq", "at")).alias("genres"))
 
 
+def liked_items(spark: SparkSession, path: str) -> DataFrame:
+    return liked_of(spark.read.schema(schemas.LIKED_PAGE).json(path))
+
+
+def playlist_items(spark: SparkSession, path: str) -> DataFrame:
+    return items_of(spark.read.schema(schemas.ITEM_PAGE).json(path))
+
+
+def playlists(spark: SparkSession, path: str) -> DataFrame:
+    return headers_of(spark.read.schema(schemas.PLAYLIST_PAGE).json(path))
+
+
+def artists(spark: SparkSession, path: str) -> DataFrame:
+    return artists_of(spark.read.schema(schemas.ARTIST_BATCH).json(path))
+
+
 def snapshots(headers: DataFrame) -> DataFrame:
     return headers.select(*LIST, F.col("snapshot_id").alias("actual"))
 
