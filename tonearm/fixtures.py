@@ -89,7 +89,7 @@ class Library:
         return match.validate(self.playlists()).where("ordinal > 1 and reason is null").drop("reason")
 
     def _vocab(self) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame(list(enumerate(schemas.VOCAB)), "v int, genre string"))
+        return F.broadcast(tables.inline(self.spark, list(enumerate(schemas.VOCAB)), "v, genre"))
 
     def artist_genres(self) -> DataFrame:
         s = F.col("s_suppkey")

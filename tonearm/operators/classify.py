@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonearm import schemas
+from tonearm import schemas, tables
 from tonearm.operators.filters import LIST, sortable
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(schemas.RULE_ROWS, "priority int, keyword string, bucket string")
+    return tables.inline(spark, schemas.RULE_ROWS, "priority, keyword, bucket")
 
 
 def buckets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(b, i) for i, b in enumerate(schemas.BUCKETS)], "bucket string, bucket_no int")
+    return tables.inline(spark, [(b, i) for i, b in enumerate(schemas.BUCKETS)], "bucket, bucket_no")
 
 
 def normalize(genres: DataFrame, rule_table: DataFrame) -> DataFrame:

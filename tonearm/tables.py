@@ -29,6 +29,16 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small fixed table that stands in the plan itself: its size is known and no Python worker has to bring it.
+
+    rows hold whole numbers and texts; names are column names, comma-separated.
+    """
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return spark.sql(f"select * from values {values} as t({names})")
+
+
 def write(df: DataFrame) -> DataFrame:
     """Write df once and read it back: the plan starts anew there and survives lost executors.
 
