@@ -299,4 +299,17 @@ ORACLES = {
     "long_list_segments": LONG + "SELECT list, position // 100 AS segment, string_agg(l_partkey::VARCHAR, ',' ORDER BY position) AS values FROM placed GROUP BY 1, 2",
     "keyword_matches": "WITH k AS (SELECT DISTINCT unnest([substring(p_name, 2, 6), substring(p_type, 1, 4), right(p_brand, 2)]) AS keyword FROM part), t AS (SELECT DISTINCT p_name AS text FROM part) SELECT text, count(*) AS n, min(keyword) AS first, max(keyword) AS last FROM t JOIN k ON contains(text, keyword) GROUP BY text",
     "normalize_by_grams": VIEWS + "SELECT * FROM genre_bucket",
+    "write_progress": VIEWS + """, c AS (SELECT user_id, playlist_id, (playlist_id + user_id) % 7 AS turn, count(*) AS n, (count(*) + 1) // 2 AS nb FROM copies GROUP BY ALL
+  UNION ALL SELECT DISTINCT user_id, playlist_id, (playlist_id + user_id) % 7, 0, 1 FROM best b WHERE NOT EXISTS (SELECT 1 FROM copies k WHERE k.user_id = b.user_id AND k.playlist_id = b.playlist_id)),
+  d AS (SELECT *, nb > 1 AND turn IN (0, 2, 3, 4) AS stopped FROM c)
+SELECT user_id, playlist_id, nb AS n_batches, CASE WHEN stopped THEN 1 ELSE nb END AS done, CASE WHEN stopped THEN 2 ELSE n END AS n_written,
+  CASE WHEN NOT stopped THEN 'complete' WHEN turn IN (0, 2) THEN 'failed' ELSE 'pending' END AS status, CASE WHEN stopped AND turn IN (3, 4) THEN 1 END AS next_batch,
+  CASE WHEN stopped AND turn = 3 THEN 2 WHEN stopped AND turn = 4 THEN 1 END AS attempt, CASE WHEN stopped AND turn IN (3, 4) THEN 250 END AS wait_ms, 'b' || CASE WHEN stopped THEN 0 ELSE nb - 1 END AS snapshot,
+  CASE WHEN stopped AND turn = 0 THEN 'broken' WHEN stopped AND turn = 2 THEN 'limited' END AS error FROM d""",
+    "profile_upkeep": VIEWS + """, held_items AS (SELECT user_id, playlist_id, count(*) AS held FROM items GROUP BY ALL),
+  now AS (SELECT user_id, playlist_id, position, bucket FROM assigned WHERE NOT (playlist_id % 3 = 0 AND position = 1)
+    UNION ALL SELECT a.user_id, a.pid, h.held + a.rank + 1, a.bucket FROM (
+      SELECT c.user_id, b.playlist_id AS pid, c.bucket, row_number() OVER (PARTITION BY c.user_id, b.playlist_id ORDER BY c.bucket_ordinal, c.position) - 1 AS rank FROM cand c JOIN best b USING (user_id, bucket)) a
+      JOIN held_items h ON h.user_id = a.user_id AND h.playlist_id = a.pid)
+SELECT user_id, playlist_id, bucket, count(*) AS n, min(position) AS first_position, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id, playlist_id), 9) AS share FROM now GROUP BY user_id, playlist_id, bucket""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tonearm import schemas, tables
 from tonearm.fixtures import Library
-from tonearm.operators import actions, cache, classify, filters, keywords, match, plan, positions, requests
+from tonearm.operators import actions, batches, cache, classify, filters, keywords, match, plan, positions, requests, upkeep
 from tonearm.operators.filters import LIST
 from tonearm.sources import chains, pages, store
 
@@ -486,6 +486,36 @@ def scanned_artists(lib: Library) -> DataFrame:
     return pages.artists_of(chains.records(lib.artist_lines(), schemas.ARTIST_BATCH)[0]).select("artist_id", _joined("genres"))
 
 
+# ---- writes in batches, and counts kept up to date ----
+
+
+@sharing
+def write_progress(lib: Library) -> DataFrame:
+    """How far the copies of lists have come, from the receipts of their batches: some writes failed, some were broken off."""
+    matched = lib.matched()
+    rows = tables.write(batches.cut(plan.safe_copy(matched, lib.source_assigned(), lib.buckets(), lib.items()), matched, 2))
+    turn, second = (F.col("playlist_id") + F.col("user_id")) % 7, F.col("batch_no") == 1
+    times = F.when(second & (turn == 1), 3).when(second & (turn == 2), 4).when((F.col("batch_no") > 1) & turn.isin(0, 2, 3) | (F.col("batch_no") > 0) & (turn == 4), 0).otherwise(1)
+    tried = rows.select(*batches.BATCH, turn.alias("turn"), F.explode(F.slice(F.array(*(F.lit(i) for i in range(1, 5))), 1, times)).alias("attempt"))
+    bad = second & ((turn == 0) | (turn == 2) | (turn == 3) | ((turn == 1) & (F.col("attempt") < 3)))
+    receipts = tried.select(*batches.BATCH, "attempt", (~bad).alias("ok"), (bad & (turn != 0)).alias("limited"), F.lit(None).cast("bigint").alias("retry_after_ms"), F.concat(F.lit("b"), "batch_no").alias("snapshot"), F.when(bad, F.when(turn == 0, "broken").otherwise("limited")).alias("error"))
+    return batches.progress(rows, receipts).select(*LIST, "n_batches", "done", "n_written", "status", "next_batch", _n("attempt"), "wait_ms", "snapshot", "error")
+
+
+@sharing
+def profile_upkeep(lib: Library) -> DataFrame:
+    """Profiles after buckets were appended and first items left, from the profiles before and these changes."""
+    before = lib.kept_assigned()
+    held = lib.items().groupBy(*LIST).agg(F.count("*").alias("held"))
+    more = lib.candidates().join(lib.matched().select("user_id", "bucket", "playlist_id"), ["user_id", "bucket"]).withColumnRenamed("position", "from")
+    rank = F.row_number().over(Window.partitionBy(*LIST).orderBy("bucket_ordinal", "from"))
+    added = tables.write(more.join(held, LIST).select(*LIST, (F.col("held") + rank).alias("position"), "bucket"))
+    first = (F.col("playlist_id") % 3 == 0) & (F.col("position") == 1)
+    now = lambda lists: before.where(~first).select(*LIST, "position", "bucket").unionByName(added).join(lists, LIST, "left_semi")
+    after = upkeep.changed(upkeep.counted(before), added, before.where(first).select(*LIST, "position", "bucket"), now)
+    return upkeep.profile(after).select(*LIST, "bucket", "n", _n("first_position"), F.round("share", 9).alias("share"))
+
+
 # ---- long lists and many keywords ----
 
 
