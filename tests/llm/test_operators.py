@@ -261,6 +261,55 @@ def test_html_tree_equals_plain_entropies(spark):
         assert abs(got[key].weighed - held * (html_tree.MAIN_WEIGHT if got[key].main else 1)) < 1e-9
 
 
+def test_html_names_are_no_veto(spark):
+    assert html_tree.main_text("<article><p class='social'>Prose of the story</p><div class='banner-story'>More</div><div class='form-guide'>Still more</div></article>") == "Prose of the story\nMore\nStill more"
+    assert html_tree.main_text("<article><p>Prose</p><p class='ad'>Buy</p><div class='story-banner'>Buy</div><div class='comment-body'>First!</div></article>") == "Prose"
+
+
+def test_html_tree_takes_the_trunk(spark):
+    page = "<body><div class='k1'><a href='/{i}'>go {i}</a></div><div class='k2'>word{i} of{i}</div><h1>Story {i}</h1><div class='k3'><p>{text}</p><div>end {i}</div></div><div class='k4'>{more}</div><p class='k5'>small{i}</p></body>"
+    texts = [f"text number {i} " * 20 for i in range(12)]
+    pages = [page.format(i=i, text=t, more="") for i, t in enumerate(texts)]
+    assert extracted(spark, pages) == [f"Story {i}\n{t.strip()}\nend {i}" for i, t in enumerate(texts)]
+    # what is long enough beside the trunk stays
+    pages = [page.format(i=i, text=t, more=t[:120]) for i, t in enumerate(texts)]
+    assert extracted(spark, pages) == [f"Story {i}\n{t.strip()}\nend {i}\n{t[:120].strip()}" for i, t in enumerate(texts)]
+    # also beside an article; a page without the trunk falls back on its own text, and so does one whose article lies elsewhere
+    page = "<body><div class='k2'>word{i}</div><article><p>{text}</p></article><div class='k4'>{more}</div></body>"
+    pages = [page.format(i=i, text=t, more=t[:120]) for i, t in enumerate(texts)] + ["<body><div class='k2'>only this</div></body>", "<body><div class='k2'>bits</div><main><p>all of it</p></main></body>"]
+    assert extracted(spark, pages) == [f"{t.strip()}\n{t[:120].strip()}" for t in texts] + ["only this", "all of it"]
+
+
+def test_html_tree_without_names_nearly_equals_the_names(spark):
+    df = table(spark, SF.replace("0.001", "0.01"), "pages")
+    named, got = {r.page_id: html_tree.main_text(r.html) for r in df.collect()}, by_id(html_tree.extract(df, names=False))
+    assert sum(got[i].text == t for i, t in named.items()) >= 0.95 * len(named)  # about four pages a host
+    assert {i: r.text for i, r in by_id(html_tree.extract(df)).items()} == named
+
+
+def plain_trunk(pages):
+    """The trunk and its minor branches of one host, straight from their definitions; pages are lists of (path, text)."""
+    held, seen, inner = Counter(), Counter(), set()
+    for page in pages:
+        for path in {"/".join(b[0].split("/")[: i + 1]) for b in page for i in range(b[0].count("/") + 1)}:
+            inside = [t for p, t in page if p == path or p.startswith(path + "/")]
+            held[path] += sum(map(len, inside))
+            seen[path] += 1
+            if any(p.startswith(path + "/") for p, _ in page):
+                inner.add(path)
+    trunk = max((p for p in inner if seen[p] > 1 and held[p] >= html_tree.TRUNK * held[""]), key=len)
+    beside = {p for p in held if seen[p] > 1 and p and (trunk + "/").startswith(p.rpartition("/")[0] + "/") and p.rpartition("/")[0] != trunk and not (trunk + "/").startswith(p + "/")}
+    return trunk, {p for p in beside if held[p] < html_tree.MINOR * held[trunk]}
+
+
+def test_html_tree_equals_plain_trunks(spark):
+    page = "<body><div class='a'>{x}</div><div class='box'><div class='b'>{y}</div><div class='c'><div>{z}</div><p>end {i}</p></div></div></body>"
+    bodies = [page.format(i=i, x="ab" * (i % 3), y="cd" * (i % 7 * 9 + 1), z=f"words {i} " * (i % 5 * 9 + 1)) for i in range(25)]
+    tree = html_tree.site_tree(spark.createDataFrame([("http://h.example/", b) for b in bodies], "url string, html string")).first()
+    trunk, minor = plain_trunk([[(p, t) for p, _, _, t in html_tree.blocks(b)] for b in bodies])
+    assert (tree.trunk, set(tree.minor)) == (trunk, minor) and trunk == "/body/div.box/div.c" and minor == {"/body/div.a"}
+
+
 def test_html_of_very_long_pages():
     assert html_tree.main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
     assert html_tree.main_text("<div>" * 20_000 + "deep") == "deep"
