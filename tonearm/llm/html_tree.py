@@ -80,6 +80,7 @@ HEADERS = frozenset(("header", "masthead", "topbar"))
 ADVERTS = frozenset("ad ads adv advert adverts advertisement adbox adslot promo promotion sponsor sponsored hidden".split())
 #: Words of place and shape, which do not say what an element is.
 PLACES = frozenset("site main page post global top bottom left right box wrap wrapper container bar list block area section inner outer slot unit text message link links item items content body".split())
+MAIN = re.compile(r"(article|main)\b")
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd td th figcaption caption".split())
 
 
@@ -88,6 +89,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _name(tag: str, a: dict[str, str]) -> str:
+    if not a:
+        return tag
     name = tag + "".join(f".{x}" for x in sorted(a.get("class", "").lower().split())) + (f"#{a['id'].lower()}" if a.get("id") else "")
     return tag + re.sub(r"\d\d+", "0", name[len(tag) :]).replace("/", "|")
 
@@ -106,7 +109,7 @@ def _boilerplate(tag: str, a: dict[str, str], inside: bool) -> bool:
     """Whether the element names a kind of boilerplate; inside: it stands in the main branch, where headers hold titles."""
     if tag in DROPPED or (tag == "header" and not inside) or a.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "main"):
+    if not a or tag in ("html", "body", "main"):
         return False
     found = {_says(x) for x in f"{a.get('class', '')} {a.get('id', '')}".split()} & LABELS
     if inside:
@@ -181,7 +184,7 @@ def _blocks(html: str, names: bool) -> list[tuple[str, bool, bool, str, int]]:
         _, path, bad, main, link = stack[-1]
         if tag == "body":  # also ends a head that was left open
             path, bad, main = "", False, False
-        bad = bad or _hidden(a) or (names and _boilerplate(tag, a, main))
+        bad = bad or (bool(a) and _hidden(a)) or (names and _boilerplate(tag, a, main))
         main = main or (names and (tag in ("article", "main") or a.get("role", "").lower() == "main") and not bad)
         if tag not in INLINE:
             path = f"{path}/{_name(tag, a)}"
@@ -230,23 +233,24 @@ def nodes(html: str, names: bool = True) -> tuple[int, list[tuple[str, int, bool
     contents: dict[str, list[str]] = {}
     inside: dict[str, bool] = {}
     amount: dict[str, list[int]] = {}
-    branches: dict[str, list] = {}
     for path, bad, main, text, links in found:
         if not bad:
             contents.setdefault(path, []).append(text)
-            inside[path] = inside.get(path, False) or main
-            held = amount.setdefault(path, [0, 0])
-            held[0] += len(text)
-            held[1] += links
+        inside[path] = inside.get(path, False) or main
+        held = amount.setdefault(path, [0, 0])
+        held[0] += len(text)
+        held[1] += links
+    branches: dict[str, list] = {}
+    for path, (chars, links) in amount.items():
         up, parts, below = "", path.split("/", BRANCH_DEPTH)[1:BRANCH_DEPTH], False
-        for i in range(len(parts) + 1):
+        for part in [*parts, None]:
             branch = branches.setdefault(up, [False, 0, 0])
-            branch[0] = branch[0] or (i < len(parts) and not below)
-            branch[1] += len(text)
+            branch[0] = branch[0] or (part is not None and not below)
+            branch[1] += chars
             branch[2] += links
-            if i < len(parts):
-                below = below or (main and re.match(r"(article|main)\b", up.rpartition("/")[2]) is not None)
-                up = f"{up}/{parts[i]}"
+            if part is not None:
+                below = below or (inside[path] and MAIN.match(up, up.rfind("/") + 1) is not None)
+                up = f"{up}/{part}"
     children: dict[str, list[str]] = {}
     for path, bad, _, _, _ in found:
         while path and not bad:
