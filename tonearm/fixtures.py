@@ -269,6 +269,17 @@ class Library:
         created = F.col("ts")
         return self.table("events").select("user_id", created.alias("created_at"), F.col("event_id").alias("action_id"), actions.expires("ts").alias("expires_at"), (F.col("event_id") % 10 != 0).alias("valid"))
 
+    def action_stream(self) -> DataFrame:
+        """The events as a stream of saved actions; some are stored again two hours later, some of these after they expired."""
+        schema = self.table("events").schema
+        rows = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.dir)
+        k, at = F.col("event_id"), F.col("ts").cast("timestamp")
+        again = F.when(k % 28 == 0, 30).when(k % 4 == 0, 2)
+        times = F.array_compact(F.array(F.lit(0), again))
+        each = rows.select("user_id", k.alias("action_id"), at.alias("created_at"), "event_type", F.explode(times).alias("hours"))
+        payload = F.when(F.col("hours") == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit(" again")))
+        return each.select("user_id", "action_id", "created_at", (F.col("created_at") + F.make_dt_interval(hours="hours")).alias("written_at"), payload.alias("payload"))
+
     def requests(self) -> DataFrame:
         u, none = F.col("c_custkey"), F.lit(None).cast("string")
         own = F.concat(F.lit("p"), u)

@@ -269,6 +269,7 @@ ORACLES = {
         "undo_snapshots": "SELECT p.user_id, p.action_id, p.playlist_id, CASE WHEN k.action_id IS NULL THEN 's' ELSE 'n' END || p.playlist_id AS expected FROM places p LEFT JOIN ok_write k USING (action_id, playlist_id)",
         "replace_lists": "SELECT i.user_id, i.playlist_id::VARCHAR AS playlist_id, i.position - 1 AS position, CASE WHEN has_track THEN uri END AS uri FROM items i WHERE NOT EXISTS (SELECT 1 FROM rewrite r WHERE r.user_id = i.user_id AND r.pid = i.playlist_id) UNION ALL SELECT user_id, playlist_id, position, uri FROM rebuilt",
         "latest_action": "SELECT user_id, event_id AS action_id, greatest(1, ceil(epoch(ts + INTERVAL 24 HOURS - TIMESTAMP '2024-01-29 12:00:00')))::BIGINT AS seconds_left FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-29 12:00:00' AND event_id % 10 <> 0",
+        "latest_action_state": "SELECT user_id, event_id AS action_id, event_type || CASE WHEN event_id % 4 = 0 AND event_id % 28 <> 0 THEN ' again' ELSE '' END AS payload, greatest(1, ceil(epoch(ts + INTERVAL 24 HOURS - TIMESTAMP '2024-01-31 00:00:00')))::BIGINT AS seconds_left FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC) AS r FROM events) WHERE r = 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-31 00:00:00' AND event_id % 10 <> 0",
         "undo_unknown_buckets": "SELECT * FROM unknown",
         "undo_already_undone": "SELECT * FROM again",
         "undo_conflicts": "SELECT * FROM conflicts",
@@ -313,3 +314,5 @@ SELECT user_id, playlist_id, nb AS n_batches, CASE WHEN stopped THEN 1 ELSE nb E
       JOIN held_items h ON h.user_id = a.user_id AND h.playlist_id = a.pid)
 SELECT user_id, playlist_id, bucket, count(*) AS n, min(position) AS first_position, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id, playlist_id), 9) AS share FROM now GROUP BY user_id, playlist_id, bucket""",
 }
+# the table on disk holds and gives what the operators on plain tables do
+ORACLES |= {"artist_table": ORACLES["refresh_artist_cache"], "artist_table_genres": ORACLES["effective_genres"]}

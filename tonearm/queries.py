@@ -13,7 +13,8 @@ from tonearm import schemas, tables
 from tonearm.fixtures import Library
 from tonearm.operators import actions, batches, cache, classify, filters, keywords, match, plan, positions, requests, upkeep
 from tonearm.operators.filters import LIST
-from tonearm.sources import chains, pages, store
+from tonearm.sources import artists, chains, pages, store
+from tonearm.streaming import latest as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,6 +243,27 @@ def refresh_artist_cache(lib: Library) -> DataFrame:
     return after.select("artist_id", _joined("genres"), "last_fetched_at")
 
 
+def _own_folder(lib: Library) -> str:
+    return f"{tables.shared_dir(lib.spark)}/tonearm-{lib.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _artist_table(lib: Library) -> tuple[artists.ArtistTable, DataFrame]:
+    """The artist table on disk after a run over all items, and the genres that the run uses."""
+    kept = artists.ArtistTable(lib.spark, _own_folder(lib))
+    kept.upsert(lib.cached())
+    return kept, kept.refresh(classify.item_artists(lib.items()).select("artist_id"), lib.fetched, lib.as_of)
+
+
+@query
+def artist_table(lib: Library) -> DataFrame:
+    return _artist_table(lib)[0].rows().select("artist_id", _joined("genres"), "last_fetched_at")
+
+
+@query
+def artist_table_genres(lib: Library) -> DataFrame:
+    return _artist_table(lib)[1].select("artist_id", _joined("genres"))
+
+
 @sharing
 def append_lists(lib: Library) -> DataFrame:
     return pages.append_items(lib.items(), _appended(lib)).select(*LIST, _n("position"), F.col("track").alias("uri"))
@@ -350,6 +372,15 @@ def latest_action(lib: Library) -> DataFrame:
     return last.select("user_id", "action_id", actions.seconds_left(F.expr("timestamp '2024-01-29 12:00:00'")).cast("bigint").alias("seconds_left"))
 
 
+@query
+def latest_action_state(lib: Library) -> DataFrame:
+    """The latest action of each user from a stream of all saved actions, if it is good and not expired."""
+    path = _own_folder(lib)
+    streamed.run(lib.action_stream(), path)
+    last = streamed.latest(lib.spark, path).where(F.col("live") & (F.col("expires_at") > lib.as_of) & (F.col("action_id").cast("bigint") % 10 != 0))
+    return last.select("user_id", _n("action_id"), "payload", actions.seconds_left(lib.as_of).cast("bigint").alias("seconds_left"))
+
+
 def _rebuilt(lib: Library) -> DataFrame:
     return actions.rebuild(lib.chosen(), lib.conflicts(), lib.action_buckets(), lib.baseline(), lib.recorded_uris())
 
@@ -429,7 +460,7 @@ def stored_heads(lib: Library) -> DataFrame:
 
 
 def _committed(lib: Library) -> store.ListStore:
-    kept = store.ListStore(lib.spark, f"{tables.shared_dir(lib.spark)}/tonearm-{lib.spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    kept = store.ListStore(lib.spark, _own_folder(lib))
     text = [F.col(k).cast("string").alias(k) for k in LIST]
     now = lib.items().select(*text, (F.col("position") - 1).alias("position"), F.col("track.uri").alias("uri"))
     kept.replace(lib.playlists().select(*text), now)

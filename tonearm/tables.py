@@ -29,6 +29,11 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path, files = _path(spark, name)
+    return files.exists(path)
+
+
 def inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A small fixed table that stands in the plan itself: its size is known and no Python worker has to bring it.
 
