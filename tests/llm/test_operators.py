@@ -484,8 +484,20 @@ def test_ctw_bits_are_a_distribution():
         assert abs(sum(10 ** tree.bits(np.arange(256) + high)) - 1) < 1e-6
 
 
+def test_ctw_splits_hot_contexts(spark):
+    """A context with a third of all runs is dealt in shares of at most 2**16 runs; what numpy and Spark deal by is the same."""
+    low = ((np.arange(30_000) % 200 + 1) << 32 | (np.arange(30_000) // 200 + 1) << 24 | 0x6572 << 8 | 65).tolist()
+    rest = [(i * 2654435761 % (1 << 40), 1) for i in range(60_000)]
+    counted = spark.createDataFrame([(r, 1) for r in low] + rest, "run long, n long")
+    how = ctw.deal(counted)
+    assert 0x6572 in how.hot and len(how.hot) <= ctw.SPLIT
+    rows = counted.select("run", how.column().alias("key")).toPandas()
+    assert (how.keys(rows["run"].to_numpy()) == rows["key"].to_numpy()).all()
+    assert rows["key"].value_counts().max() < 400
+
+
 def test_ctw_scores_with_all_contexts(spark, monkeypatch):
-    """However few runs are broadcast, scores are those of the one tree of all contexts."""
+    """However few runs are broadcast and whichever contexts are split, scores are those of the one tree of all contexts."""
     d = table(spark, SF, "documents").limit(60).union(table(spark, SF, "documents").where("doc_id is null")).select("doc_id", "text")
     rows = [(r.doc_id, (r.text or "")[:3000]) for r in d.collect()] + [(900_000, "only \u4e2d here \x7f"), (900_001, None)]
     low = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() for _, t in rows]
@@ -494,8 +506,9 @@ def test_ctw_scores_with_all_contexts(spark, monkeypatch):
     tree = ctw.Tree([np.unique(code & ((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ctw.DEPTH + 1)])
     want = {i: tree.bits(ctw.runs([t], ctw.DEPTH).astype(np.int64)).sum() for (i, _), t in zip(rows, low, strict=True)}
     given = docs(spark, rows)
-    for most in (8, 1 << 20):
+    for most, split in ((8, 0), (8, 60), (1 << 20, 1 << 30)):  # no context, some and all are dealt by one byte more
         monkeypatch.setattr(ctw, "MAX_RUNS", most)
+        monkeypatch.setattr(ctw, "SPLIT", split)
         for r in ctw.score_documents(given).collect():
             n = len(low[[i for i, _ in rows].index(r.doc_id)]) + 1
             assert abs(r.score - want[r.doc_id]) < 1e-6 * n

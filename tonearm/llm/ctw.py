@@ -5,7 +5,9 @@ training counts of both bits, which give a Krichevsky-Trofimov estimate; the wei
 own estimate plus half the product of its children's, and a bit is predicted by the mixture of all depths that follows from
 these weights.  The counts come from all training texts: tasks count byte runs of their rows, Spark adds them up.  Every
 counted context takes part and none is dropped: the tree is dealt to tasks by the TOP bytes before the decision, since what lies below such a
-context depends on no other one, and the levels above are at most 2**16 contexts in all.  The tasks work out the chance of each run; runs that
+context depends on no other one, and the levels above are at most 2**16 contexts in all.  A context that holds one in SPLIT of all distinct runs (so
+at most SPLIT of them do) is dealt by one byte more, its own level stands with those above, and then no task meets more than 2**16 runs of one
+context.  The tasks work out the chance of each run; runs that
 make at least one in MAX_RUNS of all (so at most MAX_RUNS) are broadcast, the others of each text are joined.
 
 Beside it stands the base score, add-half unigram over words.  Words that make at least one in MAX_COMMON of all training
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ DEPTH = 4
 MAX_RUNS = 1 << 20
 #: Contexts of so many bytes deal the tree to tasks.
 TOP = 2
+#: Contexts that hold one in so many of all distinct runs are dealt by one byte more.
+SPLIT = 1024
 #: Runs of a task that are worked on at a time; those of one context stay together.
 RUNS_HELD = 100_000
 #: Rows of a batch of runs and counts, which are numbers only.
@@ -148,11 +153,11 @@ class Tree:
             self.own.insert(0, share)
         self.top = below
 
-    def bits(self, run: np.ndarray, above: Tree | None = None) -> np.ndarray:
-        """log10 probability of the last byte of each run, after the bytes before it; above: the tree of the levels over the first."""
+    def bits(self, run: np.ndarray, *above: Tree) -> np.ndarray:
+        """log10 probability of the last byte of each run, after the bytes before it; above: trees of the levels over the first, from the root on."""
         total = np.zeros(len(run))
         byte = run & 255
-        levels = [(t.first + k, t.keys[k], t.one[k], t.own[k]) for t in (above, self) if t for k in range(len(t.keys))]
+        levels = [(t.first + k, t.keys[k], t.one[k], t.own[k]) for t in (*above, self) for k in range(len(t.keys))]
         for k in range(8):
             node = 1 << k | byte >> (8 - k)
             bit = byte >> (7 - k) & 1
@@ -188,8 +193,41 @@ def _context() -> F.Column:
     return F.shiftright("run", 8).bitwiseAND((1 << 8 * TOP) - 1)
 
 
-def _by_context(counted: DataFrame, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """work(run, n) on all runs of some contexts of TOP bytes at a time."""
+@dataclass
+class Deal:
+    """How the tree is dealt to tasks: by contexts of TOP bytes, those in `hot` by one byte more."""
+
+    hot: list[int]
+
+    def __post_init__(self) -> None:
+        self.split = np.zeros(1 << 8 * TOP, bool)
+        self.split[self.hot] = True
+
+    def column(self) -> F.Column:
+        more = F.shiftright("run", 8 * (TOP + 1)).bitwiseAND(255) + 1
+        return _context() * 257 + F.when(_context().isin(self.hot), more).otherwise(0)
+
+    def keys(self, run: np.ndarray) -> np.ndarray:
+        context = run >> 8 & ((1 << 8 * TOP) - 1)
+        return context * 257 + np.where(self.split[context], (run >> 8 * (TOP + 1) & 255) + 1, 0)
+
+    def parts(self, run: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Bytes of context that are dealt by, and where in `run` these are."""
+        deeper = self.split[run >> 8 & ((1 << 8 * TOP) - 1)]
+        for first, at in ((TOP, np.flatnonzero(~deeper)), (TOP + 1, np.flatnonzero(deeper))):
+            if len(at):
+                yield first, at
+
+
+def deal(counted: DataFrame) -> Deal:
+    """The contexts that hold one in SPLIT of all distinct runs, SPLIT at most, are split."""
+    total = counted.count()
+    each = counted.groupBy(_context().alias("context")).count()
+    return Deal([r["context"] for r in each.where(F.col("count") * SPLIT >= total).collect()])
+
+
+def _by_context(counted: DataFrame, how: Deal, work: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(run, n) on all runs of some of the contexts dealt at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # run and n in two columns
@@ -199,42 +237,53 @@ def _by_context(counted: DataFrame, work: Callable[[np.ndarray, np.ndarray], pa.
             size += len(held[-1])
             if size >= RUNS_HELD:
                 rows = np.concatenate(held)
-                context = rows[:, 0] >> 8 & ((1 << 8 * TOP) - 1)
-                cut = int(np.searchsorted(context, context[-1]))  # the last context may go on
+                key = how.keys(rows[:, 0])
+                cut = int(np.searchsorted(key, key[-1]))  # the last context may go on
                 if cut:
-                    yield work(rows[:cut, 0], rows[:cut, 1])
+                    yield from work(rows[:cut, 0], rows[:cut, 1])
                 held, size = [rows[cut:]], len(rows) - cut if cut else 0
         if held and len(rows := np.concatenate(held)):
-            yield work(rows[:, 0], rows[:, 1])
+            yield from work(rows[:, 0], rows[:, 1])
 
-    dealt = counted.select("run", "n", _context().alias("context")).repartition("context").sortWithinPartitions("context")
+    dealt = counted.select("run", "n", how.column().alias("context")).repartition("context").sortWithinPartitions("context")
     return dealt.select("run", "n").mapInArrow(run, schema)
 
 
-def top_tree(counted: DataFrame) -> Tree:
-    """The levels of fewer than TOP bytes, weighted against all that is below them."""
+def top_trees(counted: DataFrame, how: Deal) -> tuple[Tree, Tree]:
+    """The levels of fewer than TOP bytes, and that of TOP bytes for split contexts, weighted against all that is below them."""
+
+    def work(run: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first, at in how.parts(run):
+            key, *values = Tree(levels(run[at], n[at], first, DEPTH), first).top
+            up, to = np.unique((key >> 8 & ((1 << 8 * (first - 1)) - 1)) << 8 | key & 255, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(up), first - 1)), pa.array(up)] + [pa.array(np.bincount(to, v, len(up)).astype(float)) for v in values], ["depth", "node", "weighted", "zeros", "ones"])
+
+    each = _by_context(counted, how, work, "depth bigint, node bigint, weighted double, zeros double, ones double").groupBy("depth", "node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    rows = c.materialise(each, ROWS_SENT).toPandas()  # at most 2**16 rows and 2**8 a split context
+
+    def below(depth: int) -> tuple[np.ndarray, ...]:
+        part = rows[rows["depth"] == depth]
+        return (part["node"].to_numpy(np.int64), *(part[k].to_numpy(float) for k in ("weighted", "zeros", "ones")))
 
-    def work(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        key, *values = Tree(levels(run, n, TOP, DEPTH), TOP).top
-        up, at = np.unique((key >> 8 & ((1 << 8 * (TOP - 1)) - 1)) << 8 | key & 255, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(up)] + [pa.array(np.bincount(at, v, len(up)).astype(float)) for v in values], ["node", "weighted", "zeros", "ones"])
+    def shorter(some: DataFrame, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        few = some.groupBy(F.col("run").bitwiseAND((1 << 8 * (last + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")).toPandas()
+        return levels(few["run"].to_numpy(np.int64), few["n"].to_numpy(float), first, last)
 
-    each = _by_context(counted, work, "node bigint, weighted double, zeros double, ones double").groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    parts = c.materialise(each, ROWS_SENT).toPandas()  # at most 2**16 rows
-    short = F.col("run").bitwiseAND((1 << 8 * TOP) - 1)
-    few = counted.groupBy(short.alias("run")).agg(F.sum("n").alias("n")).toPandas()
-    below = (parts["node"].to_numpy(np.int64), parts["weighted"].to_numpy(float), parts["zeros"].to_numpy(float), parts["ones"].to_numpy(float))
-    return Tree(levels(few["run"].to_numpy(np.int64), few["n"].to_numpy(float), 0, TOP - 1), 0, below)
+    split = Tree(shorter(counted.where(_context().isin(how.hot)), TOP, TOP), TOP, below(TOP))
+    under = tuple(np.concatenate(x) for x in zip(below(TOP - 1), split.top, strict=True))
+    return Tree(shorter(counted, 0, TOP - 1), 0, under), split
 
 
-def answers(counted: DataFrame, top: Broadcast[Tree]) -> DataFrame:
+def answers(counted: DataFrame, how: Deal, above: Broadcast[tuple[Tree, Tree]]) -> DataFrame:
     """(run, n, chance): log10 probability of the last byte of each run; runs with n = 0 are asked for only."""
 
-    def work(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        own = Tree(levels(run[n > 0], n[n > 0], TOP, DEPTH), TOP)
-        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n), pa.array(own.bits(run, top.value))], ["run", "n", "chance"])
+    def work(run: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first, at in how.parts(run):
+            some, times = run[at], n[at]
+            own = Tree(levels(some[times > 0], times[times > 0], first, DEPTH), first)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(times), pa.array(own.bits(some, *above.value[: first - TOP + 1]))], ["run", "n", "chance"])
 
-    return _by_context(counted, work, "run bigint, n bigint, chance double")
+    return _by_context(counted, how, work, "run bigint, n bigint, chance double")
 
 
 def known_chances(full: np.ndarray, answer: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
@@ -263,8 +312,9 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
     total = counts.where("run is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     counted = counts.where("run is not null").select("run", "n")
-    top = spark.sparkContext.broadcast(top_tree(counted))
-    answered = c.materialise(answers(counted, top), ROWS_SENT)
+    how = deal(counted)
+    above = spark.sparkContext.broadcast(top_trees(counted, how))
+    answered = c.materialise(answers(counted, how, above), ROWS_SENT)
     frequent = answered.where(F.col("n") * MAX_RUNS >= total).select("run", "chance").toPandas().sort_values("run")
     tree = spark.sparkContext.broadcast((frequent["run"].to_numpy(np.int64), frequent["chance"].to_numpy(float)))
     often = words.where(F.col("c") * MAX_COMMON >= n).toPandas()  # at most MAX_COMMON rows
@@ -296,7 +346,8 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
     # runs that are not broadcast: each text's own, and the chances of those that no training text has
     other = first.select("row", F.explode("other").alias("run"))
     unseen = c.materialise(other.select("run").distinct().join(answered, "run", "left_anti").select("run", F.lit(0).cast("bigint").alias("n")))
-    new = c.materialise(answers(counted.join(unseen.select(_context().alias("context")).distinct(), _context() == F.col("context"), "left_semi").unionByName(unseen), top).where("n = 0"), ROWS_SENT)
+    beside = counted.join(unseen.select(how.column().alias("context")).distinct(), how.column() == F.col("context"), "left_semi")
+    new = c.materialise(answers(beside.unionByName(unseen), how, above).where("n = 0"), ROWS_SENT)
     c.discard(unseen)
     chances = answered.where(F.col("n") * MAX_RUNS < total).unionByName(new).select("run", "chance")
     others = other.join(chances, "run").groupBy("row").agg(F.sum("chance").alias("others"))
