@@ -193,15 +193,14 @@ def misplaced(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataF
     return found.join(places.select(*ACT_LIST), ACT_LIST, "left_anti").select(*ACT_BUCKET, "playlist_id")
 
 
-def _refused(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataFrame:
-    bad = [unknown(wanted, buckets), already_undone(wanted, buckets), misplaced(wanted, buckets, places)]
-    return bad[0].select(*ACT).union(bad[1].select(*ACT)).union(bad[2].select(*ACT)).distinct()
-
-
 def selection(wanted: DataFrame, buckets: DataFrame, places: DataFrame) -> DataFrame:
     """Action buckets that were asked for, of requests where each is known, applied and in a list that the action names."""
-    good = wanted.select(*ACT_BUCKET).distinct().join(_refused(wanted, buckets, places), ACT, "left_anti")
-    return buckets.join(good, ACT_BUCKET, "left_semi")
+    named = places.select(*ACT_LIST).distinct().withColumn("named", F.lit(True))
+    known = buckets.withColumn("known", F.lit(True))
+    found = wanted.select(*ACT_BUCKET).distinct().join(known, ACT_BUCKET, "left").join(named, ACT_LIST, "left")
+    bad = F.col("known").isNull() | F.col("named").isNull() | F.col("status").eqNullSafe(UNDONE)
+    refused = F.max(bad).over(Window.partitionBy(*ACT))
+    return found.withColumn("refused", refused).where(~F.col("refused")).select(*buckets.columns)
 
 
 def conflicts(chosen: DataFrame, places: DataFrame, current: DataFrame) -> DataFrame:
