@@ -10,8 +10,9 @@ texts and roles a backslash follows each backslash, < and [, so no control strin
 becomes <n.  read_back() undoes this.
 
 Defined results: null text and null role are empty; a null tree id is a tree of its own; a message whose parent is
-missing, itself or null is a root; messages on a cycle of parents have no root and belong to no conversation; ties in the
-score go to the smaller message; extra columns are ignored.
+missing, itself or null is a root; messages on a cycle of parents have no root and belong to no conversation, nor do messages
+without an id; messages that share tree and id count once, the smallest by parent, role, text and score (null first); ties in
+the score of branches go to the smaller leaf; turns that repeat a row are turns of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,12 @@ def from_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "tur
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """Each message of each tree once."""
+    first = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return c.materialise(messages.where("node is not null").groupBy("tree", "node").agg(first).select("tree", "node", "m.*"))
+
+
 def _same(left: str, right: str) -> Column:
     return F.col(f"{left}.tree").eqNullSafe(F.col(f"{right}.tree"))
 
@@ -72,8 +79,13 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return path
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, branch, formatted, loss_mask): one row for each chosen path; loss_mask is an array of (start, finish)."""
+def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """(tree, branch, formatted, loss_mask): one row for each chosen path; loss_mask is an array of (start, finish).
+
+    unique: no message comes twice and each has an id, as from_turns() sees to.
+    """
+    if not unique:
+        messages = once(messages)
     paths = best_paths(messages, branches)
     rows = paths.alias("x").join(messages.alias("y"), _same("x", "y") & (F.col("x.node") == F.col("y.node"))).select("x.tree", "branch", "back", "role", "text")
     role, text = F.coalesce("role", F.lit("")), _escaped(F.coalesce("text", F.lit("")))

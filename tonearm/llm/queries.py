@@ -32,7 +32,7 @@ def _sha(text: Column) -> Column:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("select * from values " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in HOSTILE) + " as h(conv_id, turn, role, text)")
-    done = chat.format_trees(chat.from_turns(turns.unionByName(more)))
+    done = chat.format_trees(chat.from_turns(turns.unionByName(more)), unique=True)
     done = done.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_mask")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return done.select(F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), _sha(F.array_join(lines, "")).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), _sha(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
