@@ -39,7 +39,8 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
     n_items counts the items of pages taken once.  A page is as long as its items, null items too.
     """
-    slim = pages.select(*LIST, "offset", "next", F.coalesce(F.size("items"), F.lit(0)).alias("n"))
+    # dealt by list at once, so that neither counting nor the windows shuffle them again
+    slim = pages.select(*LIST, "offset", "next", F.coalesce(F.size("items"), F.lit(0)).alias("n")).repartition(*LIST)
     distinct = slim.groupBy(*LIST, "offset").agg(F.max(F.struct("n", "next")).alias("r"), F.count("*").alias("times")).select(*LIST, "offset", "r.n", "r.next", "times")
     by = Window.partitionBy(*LIST).orderBy("offset")
     end = F.lag(F.col("offset") + F.col("n")).over(by)
@@ -56,6 +57,11 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
 
 def complete(pages: DataFrame) -> DataFrame:
-    """The pages, each once, of lists whose chain is whole: what a scan may take."""
-    good = verdicts(pages).where(F.col("verdict") == COMPLETE)
-    return once(pages).join(good.select(*LIST), LIST, "left_semi")
+    """The pages, each once, of lists whose chain is whole: what a scan may take.
+
+    Pages are dealt by list once, with what is told of their list; repeated ones are told apart where they then lie, as once() does.
+    """
+    good = verdicts(pages).where(F.col("verdict") == COMPLETE).select(*LIST, (F.col("n_repeated") > 0).alias("repeated"))
+    rows = pages.join(good, LIST).withColumns({"n": F.coalesce(F.size("items"), F.lit(0)), "told": F.when(F.col("repeated"), F.to_json(F.struct("items")))})
+    best = Window.partitionBy(*LIST, "offset").orderBy(*(F.desc(c) for c in ("n", "told", "next", "items")))
+    return rows.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(*LIST, "offset", "next", "items")
