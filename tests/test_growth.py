@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tonearm.fixtures import Library
 from tonearm.operators import actions, match
-from tonearm.sources import chains
+from tonearm.sources import chains, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,16 @@ def test_what_is_dealt_by_user_is_joined_as_it_lies(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(found) == 2 and all("hashpartitioning(user_id" in x for x in found)
     assert len(share) == 1
+
+
+def test_a_store_brings_no_rows_from_the_driver(spark, tmp_path):
+    """Else every read of a store starts Python workers, and an empty one is joined by shuffles."""
+    kept = store.ListStore(spark, f"file://{tmp_path}")
+    assert "RDD" not in _plan(kept.heads()) and "RDD" not in _plan(kept.items())
+    rows = spark.sql("select * from values ('u', 'a', 0L, 'x'), ('u', 'a', 1L, 'y') as t(user_id, playlist_id, position, uri)")
+    lists = spark.sql("select 'u' as user_id, 'a' as playlist_id")
+    assert "Join" not in _plan(lists.join(kept.heads(), ["user_id", "playlist_id"], "left"))
+    kept.replace(lists, rows)
+    kept.append(rows)
+    assert "RDD" not in _plan(kept.heads()) and "RDD" not in _plan(kept.items())
+    assert sorted((r.position, r.uri) for r in kept.items().collect()) == [(0, "x"), (1, "y"), (2, "x"), (3, "y")]

@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm import tables
 from tonearm.operators.filters import LIST
 
 STALE = "the list changed since it was read"
@@ -65,9 +66,8 @@ class ListStore:
         """(user_id, playlist_id, commit, version, n, snapshot, start): the entries that make up each list."""
         kept = self._since_base(version)
         if not kept:
-            return self.spark.createDataFrame([], "user_id string, playlist_id string, commit string, version bigint, n bigint, snapshot string, start bigint")
-        numbers = F.broadcast(self.spark.createDataFrame(kept, "version bigint, commit string"))  # one row a commit since the base
-        entries = self.spark.read.parquet(*(f"{self.path}/entries/{commit}" for _, commit in kept)).join(numbers, "commit")
+            return self._none("user_id string, playlist_id string, commit string, version bigint, n bigint, snapshot string, start bigint")
+        entries = self._numbered("entries", kept)
         own = Window.partitionBy(*LIST)
         last = F.max(F.when(F.col("replaces"), F.col("version"))).over(own)
         live = entries.withColumn("last", last).where(F.col("version") >= F.coalesce("last", F.lit(0)))
@@ -75,6 +75,17 @@ class ListStore:
         named = F.coalesce("snapshot", F.concat(F.lit("v"), "version"))
         return live.select(*LIST, "commit", "version", "n", named.alias("snapshot"), F.coalesce(before, F.lit(0)).alias("start"))
 
+    def _none(self, schema: str) -> DataFrame:
+        """No rows, in the plan itself: what is joined with them is not shuffled for it."""
+        columns = (c.split() for c in schema.split(", "))
+        return self.spark.sql("select " + ", ".join(f"cast(null as {kind}) as {name}" for name, kind in columns) + " where false")
+
+    def _numbered(self, kind: str, kept: list[tuple[int, str]]) -> DataFrame:
+        """Rows or entries of some commits with their version, which is short, where the commit's name is long."""
+        numbers = tables.inline(self.spark, kept, "version, commit").select(F.col("version").cast("bigint").alias("version"), "commit")
+        found = self.spark.read.parquet(*(f"{self.path}/{kind}/{commit}" for _, commit in kept))
+        return found.join(F.broadcast(numbers), "commit")  # one row a commit since the base
+
     def heads(self, version: int | None = None) -> DataFrame:
         """(user_id, playlist_id, snapshot, n_items) of every list as of a version, the latest by default."""
         return self._live(version).groupBy(*LIST).agg(F.max_by("snapshot", "version").alias("snapshot"), F.sum("n").alias("n_items"))
@@ -83,10 +94,10 @@ class ListStore:
         """(user_id, playlist_id, position, uri) of every list as of a version."""
         kept = self._since_base(version)
         if not kept:
-            return self.spark.createDataFrame([], "user_id string, playlist_id string, position bigint, uri string")
-        rows = self.spark.read.parquet(*(f"{self.path}/rows/{commit}" for _, commit in kept))
-        live = self._live(version).where("n > 0").select(*LIST, "commit", "start")
-        return rows.join(live, [*LIST, "commit"]).select(*LIST, (F.col("start") + F.col("position")).alias("position"), "uri")
+            return self._none("user_id string, playlist_id string, position bigint, uri string")
+        rows = self._numbered("rows", kept).select(*LIST, "version", "position", "uri")
+        live = self._live(version).where("n > 0").select(*LIST, "version", "start")
+        return rows.join(live, [*LIST, "version"]).select(*LIST, (F.col("start") + F.col("position")).alias("position"), "uri")
 
     # ---- writing ----
 
@@ -117,8 +128,9 @@ class ListStore:
 
     def _write_rows(self, rows: DataFrame, commit: str) -> None:
         text = [F.col(k).cast("string").alias(k) for k in LIST]
-        kept = rows.select(*text, F.col("position").cast("bigint").alias("position"), "uri", F.lit(commit).alias("commit"))
-        kept.sortWithinPartitions(*LIST, "position").write.parquet(f"{self.path}/rows/{commit}")
+        # put in order before the ids become text, as numbers are compared faster
+        kept = rows.select(*LIST, "position", "uri").sortWithinPartitions(*LIST, "position")
+        kept.select(*text, F.col("position").cast("bigint").alias("position"), "uri", F.lit(commit).alias("commit")).write.parquet(f"{self.path}/rows/{commit}")
 
     def _write_entries(self, entries: DataFrame, commit: str) -> None:
         """The entries of a commit; a second try takes the place of the first, which nothing has named yet."""
